@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from duelbook.functions.params import non_blank
 
@@ -31,13 +32,13 @@ def _mapped(names: pd.Series, fn) -> pd.Series:
     return names.map(distinct).astype(object).where(names.notna(), None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_name(names: pd.Series) -> pd.Series:
     """Strip, then NFKC; blank names become NULL."""
     return _mapped(names, lambda n: unicodedata.normalize("NFKC", n.strip()) or None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_key(names: pd.Series) -> pd.Series:
     """Strip, NFKC, casefold; blank names become NULL."""
     return _mapped(names, lambda n: unicodedata.normalize("NFKC", n.strip()).casefold() or None)

@@ -91,7 +91,7 @@ def _solver(gap: int, slice_micros: int, exclude_same_match: bool):
     fields = ["at", "match_id", "perspective_id", "result", "rival"]
     names = [p + f for p in ("a_", "b_") for f in fields]
 
-    def solve(key, events: pd.DataFrame, incoming: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, events: pd.DataFrame, incoming: pd.DataFrame) -> pd.DataFrame:
         events = events.assign(waiting=False)
         if len(incoming):
             events = pd.concat([incoming.assign(waiting=True), events], ignore_index=True)
@@ -186,7 +186,7 @@ def match_pairs(events: DataFrame, max_gap_minutes: int = MAX_GAP_MINUTES, *, wi
 
 
 def _alone(solve):
-    def run(key, events: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
         return solve(key, events, events.iloc[:0])
 
     return run

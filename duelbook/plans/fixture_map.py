@@ -90,14 +90,14 @@ def events_as_perspectives(events: DataFrame) -> DataFrame:
     )
 
 
-def tracked(spark: SparkSession) -> DataFrame:
-    """The tracked list of FIXTURES.md B3: P0..P39 in both leagues, blocks of five."""
-    pos = F.col("id")
-    leagues = F.explode(F.array(F.lit("GT"), F.lit("EADRIATIC")))
-    return spark.range(40).select(
-        leagues.alias("league"), pos.alias("pos"),
-        F.concat(F.lit("P"), pos.cast("string")).alias("player"),
-        F.concat(F.lit("p"), pos.cast("string")).alias("player_key"),
+def tracked(spark: SparkSession, group_size: int = 5) -> DataFrame:
+    """The tracked list of FIXTURES.md B3: P0..P39, first GT, then EADRIATIC."""
+    n = F.col("id")
+    leagues = F.explode(F.array(F.struct(F.lit("GT").alias("name"), F.lit(0).alias("first")),
+                                F.struct(F.lit("EADRIATIC").alias("name"), F.lit(40).alias("first"))))
+    return spark.range(40).select("id", leagues.alias("l")).select(
+        F.col("l.name").alias("league"), (F.col("l.first") + n).alias("pos"),
+        F.concat(F.lit("P"), n.cast("string")).alias("player"), F.concat(F.lit("p"), n.cast("string")).alias("player_key"),
         F.lit(True).alias("tracked"), F.lit(False).alias("selected"),
-        (pos % 7 != 3).alias("bettable"), F.floor(pos / 5).cast("int").alias("group_index"),
+        (n % 7 != 3).alias("bettable"), F.floor(n / group_size).cast("int").alias("group_index"),
     )
