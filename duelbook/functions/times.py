@@ -19,7 +19,7 @@ _NO_SECONDS = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?$"
 _DATE_ONLY = r"^\d{4}-\d{2}-\d{2}$"
 
 
-def _ntz_from_micros(micros: Column) -> Column:
+def from_micros(micros: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
 
 
@@ -38,7 +38,7 @@ def parse_utc(text: Column, naive_zone: str = "UTC") -> Column:
         F.regexp_replace(s, _NO_SECONDS, "$1:00$2")
     )
     zoned = F.regexp_like(s, F.lit(_ZONE_SUFFIX))
-    instant = _ntz_from_micros(F.unix_micros(F.when(zoned, s).try_cast("timestamp")))
+    instant = from_micros(F.unix_micros(F.when(zoned, s).try_cast("timestamp")))
     naive = F.when(~zoned, s).try_cast("timestamp_ntz")
     if naive_zone != "UTC":
         naive = F.convert_timezone(F.lit(naive_zone), F.lit("UTC"), naive)

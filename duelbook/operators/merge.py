@@ -19,14 +19,15 @@ REPAIR_FIELDS = ("timestamp", "timestamp_utc", "round", "competition", "group_ke
                  "source_block_order", "source_row_order")
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in an explicit order.
 
-    ``row_number() = 1`` lets Spark cut each map task to one row per key before the
-    shuffle, so a key with very many copies costs no more than any other.
+    An aggregation that combines map-side: a key with very many copies reaches the shuffle
+    as one row per task.  Several branches of a query over the result share its shuffle.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in df.columns if c not in keys]
+    g = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return g.select(*keys, "_first.*").select(*df.columns)
 
 
 def present(col: Column, dtype: str) -> Column:

@@ -13,12 +13,13 @@ from duelbook.sources import sinks
 
 QUERIES, ORACLE, register = registry()
 
-# Days of the match table are days of the UTC stamp.
-_DAY = F.col("ts").cast("date")
+def _day():
+    """Days of the match table are days of the UTC stamp."""
+    return F.col("ts").cast("date")
 
 
 def _daily(spark, sf):
-    return d.daily_rivals(fx.perspectives(spark, sf), _DAY)
+    return d.daily_rivals(fx.perspectives(spark, sf), _day())
 
 
 def _targets(spark, size: int = 5):
@@ -133,7 +134,7 @@ _WITH_DAYS = f"with recursive {q.PERSPECTIVES}, {q.TRACKED}, {_tg(2)}, {_DLY}, {
 
 def _day_groups(spark, sf):
     p = fx.perspectives(spark, sf)
-    return groups.day_groups(_daily(spark, sf), groups.report_order(d.daily_players(p, _DAY)))
+    return groups.day_groups(_daily(spark, sf), groups.report_order(d.daily_players(p, _day())))
 
 
 @register(f"{_WITH_DAYS} from dg")

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duelbook.functions.times import from_micros, iso_z
+from duelbook.operators import pairing
 from duelbook.plans import fixture_map as fx
 from duelbook.plans import oracle as q
 from duelbook.plans.registry import registry
@@ -50,8 +52,6 @@ se as (select league, player_key, count(*) as played, {q.counts()}, min(ts) as a
 where epoch_us(z) + 5400000000 <= ((select max(epoch_us(ts)) from ev) // 1000 - 172800000) * 1000""")
 def stream_closed_sessions(spark, sf):
     """Sessions closed by the watermark two days behind the last event."""
-    from duelbook.functions.times import iso_z
-
     s = drained(windows.streaming_sessions(event_stream(spark, sf)).drop("s"))
     return s.withColumns({"start": iso_z(F.col("start")), "end": iso_z(F.col("end"))})
 
@@ -62,12 +62,10 @@ select league, player_key, {q.zulu('start')} as start, played, wins, draws, loss
 where epoch_us(start) + 28800000000 <= ((select max(epoch_us(ts)) from ev) // 1000 - 172800000) * 1000""")
 def stream_sliding_snapshot(spark, sf):
     """Eight-hour windows every 15 minutes that the watermark has closed."""
-    from duelbook.functions.times import iso_z
-
     s = windows.sliding_snapshot(event_stream(spark, sf))
     out = drained(s.select("league", "player_key", F.col("window.start").alias("start"), "played", "wins", "draws", "losses",
                            "win_pct", "draw_pct", "loss_pct", "indicator"))
-    return out.withColumn("start", iso_z(F.col("start").cast("timestamp_ntz")))
+    return out.withColumn("start", iso_z(from_micros(F.unix_micros("start"))))
 
 
 def _with_rocksdb(spark, build):
@@ -78,3 +76,27 @@ def _with_rocksdb(spark, build):
         return build()
     finally:
         spark.conf.set(name, before)
+
+
+_SETTLED = "epoch_us(ts) <= ((select max(epoch_us(ts)) from ev) // 1000 - 172800000) * 1000"
+
+
+@register(f"""with {q.EVENTS}, o as (select *, row_number() over w as played, case when result = lag(result) over w then 0 else 1 end as fresh,
+  count(*) filter (where result = 'V') over (w rows unbounded preceding) as wins, count(*) filter (where result = 'E') over (w rows unbounded preceding) as draws,
+  count(*) filter (where result = 'D') over (w rows unbounded preceding) as losses,
+  string_agg(result, '') over (w rows between 23 preceding and current row) as last_24
+  from ev where {_SETTLED} window w as (partition by player_key order by {q.ORDER})),
+s as (select *, max(case when fresh = 1 then played end) over (partition by player_key order by {q.ORDER} rows unbounded preceding) as since from o)
+select league, player_key, match_id, epoch_us(ts) as at, played, wins, draws, losses, result as current_streak_result, played - since + 1 as current_streak, last_24 from s""")
+def stream_running_streaks(spark, sf):
+    """Totals and streak after every match the watermark has settled."""
+    return _with_rocksdb(spark, lambda: drained(stateful.running_streaks(event_stream(spark, sf))))
+
+
+@register(None)
+def stream_running_pairs(spark, sf):
+    """Coincident matches of the most active players, as a stream."""
+    ev = fx.event_perspectives(spark, sf)
+    active = ev.groupBy("league", "player_key", "player").count().orderBy(F.desc("count"), "player_key").limit(4)
+    pairs = pairing.candidate_pairs(active.withColumn("indicator", F.lit("NONE")))
+    return _with_rocksdb(spark, lambda: drained(stateful.running_pairs(event_stream(spark, sf), pairs)))

@@ -36,17 +36,22 @@ def _text(markup: Column, joiner: str = "") -> Column:
 
 
 def _elements(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(_ELEMENTS), F.lit(1))
-
+    """Headings (b), clocks (c), linked rows (r) and other rows (x) with what they say, in page order."""
+    def read(e: Column) -> Column:
+        kind = (
+            F.when(F.lower(F.substring(e, 1, 3)) == "<tr", F.when(F.regexp_extract(e, _HREF, 1) != "", F.lit("r")).otherwise(F.lit("x")))
+            .when(F.regexp_like(e, F.lit(r"(?is)^<span\b[^>]*\bfg-heading\b")), F.lit("b")).otherwise(F.lit("c"))
+        )
+        text = F.when(F.lower(F.substring(e, 1, 3)) == "<tr", e).otherwise(_text(e))
+        return F.struct(kind.alias("kind"), text.alias("text"))
 
-def _is_span(e: Column, css: str) -> Column:
-    return F.regexp_like(e, F.lit(rf"(?is)^<span\b[^>]*\b{css}-heading\b"))
+    return F.transform(F.regexp_extract_all(html, F.lit(_ELEMENTS), F.lit(1)), read)
 
 
 def match_rows(pages: DataFrame) -> DataFrame:
     """(page_id, pos, home, home_score, away_score, away): finished rows without dates, one per link (SRC13)."""
-    rows = F.filter(F.transform(_elements(F.col("html")), lambda e, i: F.struct(i.alias("pos"), e.alias("e"))),
-                    lambda x: F.lower(F.substring(x["e"], 1, 3)) == "<tr")
+    rows = F.filter(F.transform(_elements(F.col("html")), lambda e, i: F.struct(i.alias("pos"), e["kind"].alias("kind"), e["text"].alias("e"))),
+                    lambda x: x["kind"] == "r")
     r = pages.select("page_id", F.explode(rows).alias("x")).select(
         "page_id", "x.pos", F.regexp_extract("x.e", _HREF, 1).alias("href"),
         F.regexp_extract_all("x.e", F.lit(_CELLS), F.lit(1)).alias("td"))
@@ -78,7 +83,7 @@ def _walk_elements(elements: Column) -> Column:
                     F.lit(None).cast("string").alias("clock"), F.lit(0).alias("ord"))
 
     def step(acc: Column, e: Column) -> Column:
-        text = _text(e)
+        text = e["text"]
         heading = F.regexp_extract(text, _HEADING, 1), F.regexp_extract(text, _HEADING, 2)
         dated = heading[1] != ""
         new_block = F.struct(
@@ -91,14 +96,13 @@ def _walk_elements(elements: Column) -> Column:
                          F.array_append(last["times"], text).alias("times"))
         grown = F.when((n > 0) & F.regexp_like(text, F.lit(r"^\d{2}:\d{2}$")),
                        F.array_append(F.slice(acc["blocks"], F.lit(1), n - 1), timed)).otherwise(acc["blocks"])
-        is_block, is_clock = _is_span(e, "fg"), _is_span(e, "time")
-        one_row = F.struct((n - 1).alias("block"), acc["clock"].alias("clock"), acc["ord"].alias("ord"), e.alias("e"))
-        has_href = F.regexp_extract(e, _HREF, 1) != ""
+        is_block, is_clock, is_row = e["kind"] == "b", e["kind"] == "c", e["kind"] == "r"
+        one_row = F.struct((n - 1).alias("block"), acc["clock"].alias("clock"), acc["ord"].alias("ord"), text.alias("e"))
         return F.struct(
             F.when(is_block, F.array_append(acc["blocks"], new_block)).when(is_clock, grown).otherwise(acc["blocks"]).alias("blocks"),
-            F.when(is_block | is_clock | ~has_href, acc["rows"]).otherwise(F.array_append(acc["rows"], one_row)).alias("rows"),
+            F.when(is_row, F.array_append(acc["rows"], one_row)).otherwise(acc["rows"]).alias("rows"),
             F.when(is_block, F.lit(None).cast("string")).when(is_clock, text).otherwise(acc["clock"]).alias("clock"),
-            F.when(is_block, F.lit(0)).when(is_clock | ~has_href, acc["ord"]).otherwise(acc["ord"] + 1).alias("ord"),
+            F.when(is_block, F.lit(0)).when(is_row, acc["ord"] + 1).otherwise(acc["ord"]).alias("ord"),
         )
 
     return F.aggregate(elements, zero, step)

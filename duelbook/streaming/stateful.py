@@ -6,9 +6,11 @@ late data within the delay cannot break a streak.  Needs the RocksDB state store
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +18,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from duelbook.operators.totals import KEYS
 from duelbook.streaming.ingest import REPAIR_DELAY, with_event_time
 
+# The planner's helper process for stateful operators does not see shipped packages, so the
+# processors travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TAIL = 24
 STREAK_SCHEMA = ("league string, player_key string, match_id string, at long, played long, wins long, draws long, "
@@ -24,6 +30,13 @@ PAIR_SCHEMA = ("pair_id string, a_at long, a_match_id string, a_result string, b
                "b_result string, gap_minutes long")
 
 
+def _replace(state, rows: list) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 class _Ordered(StatefulProcessor):
     """Keeps rows until the watermark passes them, then hands them on in order."""
 
@@ -37,13 +50,13 @@ class _Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in self.buffer_schema.split(", ")]
-        latest = None
+        earliest = None
         for batch in rows:
             self.buffer.appendList([tuple(r) for r in batch[names].itertuples(index=False)])
-            top = int(batch["at"].max())
-            latest = top if latest is None else max(latest, top)
-        if latest is not None:
-            self.handle.registerTimer(latest // 1000 + 1)
+            low = int(batch["at"].min())
+            earliest = low if earliest is None else min(earliest, low)
+        if earliest is not None:
+            self.handle.registerTimer(earliest // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -51,7 +64,10 @@ class _Ordered(StatefulProcessor):
         names = [c.split()[0] for c in self.buffer_schema.split(", ")]
         waiting = [dict(zip(names, r)) for r in self.buffer.get()]
         due = sorted((r for r in waiting if r["at"] <= upto), key=lambda r: tuple(r[c] for c in self.order))
-        self.buffer.put([tuple(r[c] for c in names) for r in waiting if r["at"] > upto])
+        later = [r for r in waiting if r["at"] > upto]
+        _replace(self.buffer, [tuple(r[c] for c in names) for r in later])
+        if later:
+            self.handle.registerTimer(min(r["at"] for r in later) // 1000 + 1)
         out = self.advance(key, due)
         return iter((out,)) if len(out) else iter(())
 
@@ -109,7 +125,7 @@ class RunningPairs(_Ordered):
                 stacks[r["side"]].append(r)
         if due:
             alive = [r for s in stacks for r in s if r["at"] >= due[-1]["at"] - self.gap]
-            self.waiting.put([tuple(r[c] for c in names) for r in alive])
+            _replace(self.waiting, [tuple(r[c] for c in names) for r in alive])
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR_SCHEMA.split(", ")])
 
 
