@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from duelbook.functions.binding import bind
 from duelbook.functions.params import non_blank
 
 
@@ -56,9 +57,11 @@ def league_name(league: Column) -> Column:
 
 def player_in_parentheses(label: Column) -> Column:
     """``Team (Player)`` -> ``Player``; NULL without both parentheses or for an e-sport team."""
-    inside = F.trim(F.replace(F.split_part(label, F.lit("("), F.lit(2)), F.lit(")"), F.lit("")))
-    usable = F.contains(label, F.lit("(")) & F.contains(label, F.lit(")"))
-    return F.when(usable & ~F.contains(F.lower(inside), F.lit("esport")) & (inside != ""), inside)
+    def inside(s: Column) -> Column:
+        both = F.contains(s, F.lit("(")) & F.contains(s, F.lit(")"))
+        return F.when(both, F.trim(F.replace(F.split_part(s, F.lit("("), F.lit(2)), F.lit(")"), F.lit(""))))
+
+    return bind(bind(label, inside), lambda s: F.when((s != "") & ~F.contains(F.lower(s), F.lit("esport")), s))
 
 
 def group_slug(members: Column) -> Column:

@@ -11,6 +11,8 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from duelbook.functions.binding import bind
+
 LOCAL_ZONE = "Europe/Madrid"
 
 # ISO-8601 shapes.
@@ -33,16 +35,18 @@ def parse_utc(text: Column, naive_zone: str = "UTC") -> Column:
     A stamp without an offset is read in ``naive_zone``.  Minute precision
     (``2026-07-14T08:00Z``) and bare dates are accepted.
     """
-    s = F.trim(text)
-    s = F.when(F.regexp_like(s, F.lit(_DATE_ONLY)), F.concat(s, F.lit("T00:00:00"))).otherwise(
-        F.regexp_replace(s, _NO_SECONDS, "$1:00$2")
-    )
-    zoned = F.regexp_like(s, F.lit(_ZONE_SUFFIX))
-    instant = from_micros(F.unix_micros(F.when(zoned, s).try_cast("timestamp")))
-    naive = F.when(~zoned, s).try_cast("timestamp_ntz")
-    if naive_zone != "UTC":
-        naive = F.convert_timezone(F.lit(naive_zone), F.lit("UTC"), naive)
-    return F.coalesce(instant, naive)
+    def completed(s: Column) -> Column:
+        return F.when(F.regexp_like(s, F.lit(_DATE_ONLY)), F.concat(s, F.lit("T00:00:00"))).otherwise(
+            F.regexp_replace(s, _NO_SECONDS, "$1:00$2"))
+
+    def parsed(s: Column) -> Column:
+        naive = s.try_cast("timestamp_ntz")
+        if naive_zone != "UTC":
+            naive = F.convert_timezone(F.lit(naive_zone), F.lit("UTC"), naive)
+        zoned = F.regexp_like(s, F.lit(_ZONE_SUFFIX))
+        return F.when(zoned, from_micros(F.unix_micros(s.try_cast("timestamp")))).otherwise(naive)
+
+    return bind(bind(F.trim(text), completed), parsed)
 
 
 def event_time(utc_text: Column, local_text: Column) -> Column:
@@ -71,12 +75,14 @@ def to_local(ts: Column, zone: str = LOCAL_ZONE) -> Column:
 
 
 def local_offset(ts: Column, zone: str = LOCAL_ZONE) -> Column:
-    minutes = F.timestamp_diff("MINUTE", ts, to_local(ts, zone))
-    return F.concat(
-        F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.floor(F.abs(minutes) / 60).cast("string"), 2, "0"), F.lit(":"),
-        F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"),
-    )
+    def shown(minutes: Column) -> Column:
+        return F.concat(
+            F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")),
+            F.lpad(F.floor(F.abs(minutes) / 60).cast("string"), 2, "0"), F.lit(":"),
+            F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"),
+        )
+
+    return bind(F.timestamp_diff("MINUTE", ts, to_local(ts, zone)), shown)
 
 
 def iso_local(ts: Column, zone: str = LOCAL_ZONE, precision: str | None = None) -> Column:
@@ -128,26 +134,29 @@ def parse_kickoff(text: Column) -> Column:
 
     A kickoff without an offset is local time (the feed's day boundaries are local).
     """
-    raw = F.trim(text)
-    offset = F.regexp_extract(raw, r"([+-]\d{2}):?(\d{2})$", 0)
-    zoned = F.regexp_like(raw, F.lit(_ZONE_SUFFIX))
-    is_z = F.endswith(raw, F.lit("Z"))
-    precision = F.when(F.regexp_like(raw, F.lit(r"[T ]\d{2}:\d{2}:\d{2}")), F.lit("second")).otherwise(F.lit("minute"))
-    ts = parse_utc(raw, naive_zone=LOCAL_ZONE)
-    keep = F.when(precision == "second", F.lit(19)).otherwise(F.lit(16))
-    utc = F.concat(F.substring(iso_z(ts, "second"), F.lit(1), keep), F.lit("Z"))
-    colon = F.concat(F.substring(offset, 1, 3), F.lit(":"), F.substring(offset, -2, 2))
-    wall = F.replace(F.substring(F.regexp_replace(raw, _NO_SECONDS, "$1:00$2"), 1, 19), F.lit(" "), F.lit("T"))
-    stamp = (
-        F.when(is_z, F.concat(F.substring(wall, F.lit(1), keep), F.lit("+00:00")))
-        .when(zoned, F.concat(F.substring(wall, F.lit(1), keep), colon))
-        .otherwise(F.concat(F.substring(wall, F.lit(1), keep), local_offset(ts)))
-    )
-    zone = F.when(is_z, F.lit("UTC")).when(zoned, F.concat(F.lit("UTC"), colon)).otherwise(F.lit(LOCAL_ZONE))
-    return F.struct(
-        ts.alias("ts"), stamp.alias("timestamp"), utc.alias("timestamp_utc"),
-        precision.alias("precision"), zone.alias("zone"), (~zoned).alias("inferred"),
-    )
+    def with_instant(raw: Column) -> Column:
+        seconds = F.regexp_like(raw, F.lit(r"[T ]\d{2}:\d{2}:\d{2}"))
+        return F.struct(
+            raw.alias("raw"), parse_utc(raw, naive_zone=LOCAL_ZONE).alias("ts"),
+            F.when(seconds, F.lit(19)).otherwise(F.lit(16)).alias("keep"),
+            F.endswith(raw, F.lit("Z")).alias("z"), F.regexp_extract(raw, r"([+-]\d{2}):?(\d{2})$", 0).alias("offset"),
+            F.replace(F.substring(F.regexp_replace(raw, _NO_SECONDS, "$1:00$2"), 1, 19), F.lit(" "), F.lit("T")).alias("wall"),
+        )
+
+    def labelled(k: Column) -> Column:
+        ts, keep = k["ts"], k["keep"]
+        zoned = k["z"] | (k["offset"] != "")
+        colon = F.concat(F.substring(k["offset"], 1, 3), F.lit(":"), F.substring(k["offset"], -2, 2))
+        shown = F.when(k["z"], F.lit("+00:00")).when(zoned, colon).otherwise(local_offset(ts))
+        return F.struct(
+            ts.alias("ts"), F.concat(F.substring(k["wall"], F.lit(1), keep), shown).alias("timestamp"),
+            F.concat(F.substring(iso_z(ts, "second"), F.lit(1), keep), F.lit("Z")).alias("timestamp_utc"),
+            F.when(keep == 19, F.lit("second")).otherwise(F.lit("minute")).alias("precision"),
+            F.when(k["z"], F.lit("UTC")).when(zoned, F.concat(F.lit("UTC"), colon)).otherwise(F.lit(LOCAL_ZONE)).alias("zone"),
+            (~zoned).alias("inferred"),
+        )
+
+    return bind(bind(F.trim(text), with_instant), labelled)
 
 
 # --- order-preserving slices -------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelbook.functions.binding import bind
 from duelbook.functions.names import player_in_parentheses
 from duelbook.functions.times import LOCAL_ZONE, iso_local, iso_z
 from duelbook.sources.fixtures_json import two_sides
@@ -50,29 +51,32 @@ def _elements(html: Column) -> Column:
 
 def match_rows(pages: DataFrame) -> DataFrame:
     """(page_id, pos, home, home_score, away_score, away): finished rows without dates, one per link (SRC13)."""
-    rows = F.filter(F.transform(_elements(F.col("html")), lambda e, i: F.struct(i.alias("pos"), e["kind"].alias("kind"), e["text"].alias("e"))),
-                    lambda x: x["kind"] == "r")
+    linked = F.filter(F.transform(_elements(F.col("html")), lambda e, i: F.struct(i.alias("pos"), e["kind"].alias("kind"), e["text"].alias("e"))),
+                      lambda x: x["kind"] == "r")
+    rows = F.transform(linked, lambda x: F.struct(x["pos"].alias("pos"), F.regexp_extract(x["e"], _HREF, 1).alias("href"), _match(x["e"]).alias("m")))
     r = pages.select("page_id", F.explode(rows).alias("x")).select(
-        "page_id", "x.pos", F.regexp_extract("x.e", _HREF, 1).alias("href"),
-        F.regexp_extract_all("x.e", F.lit(_CELLS), F.lit(1)).alias("td"))
+        "page_id", "x.pos", "x.href", "x.m")
     # The first row of a link decides, finished or not.
-    first = r.groupBy("page_id", "href").agg(F.min_by(F.struct("pos", "td"), "pos").alias("f"))
-    return first.select("page_id", "f.*").select("page_id", "pos", *_cells("td")).filter(_COMPLETE).select(
-        "page_id", "pos", "home", "home_score", "away_score", "away")
+    first = r.groupBy("page_id", "href").agg(F.min_by(F.struct("pos", "m"), "pos").alias("f"))
+    return first.select("page_id", "f.pos", "f.m.*").filter(_COMPLETE)
 
 
 _COMPLETE = "home IS NOT NULL AND away IS NOT NULL AND home_score IS NOT NULL AND away_score IS NOT NULL"
 
 
-def _cells(td: str) -> list[Column]:
-    ok = F.size(td) >= 3
-    score = _text(F.get(td, F.lit(1)), " ")
-    return [
-        F.when(ok, player_in_parentheses(_text(F.get(td, F.lit(0))))).alias("home"),
-        F.when(ok, F.regexp_extract(score, _SCORE, 1).try_cast("int")).alias("home_score"),
-        F.when(ok, F.regexp_extract(score, _SCORE, 2).try_cast("int")).alias("away_score"),
-        F.when(ok, player_in_parentheses(_text(F.get(td, F.lit(2))))).alias("away"),
-    ]
+def _match(row: Column) -> Column:
+    """Struct(home, home_score, away_score, away) of a match row; NULL parts where it is not a finished match."""
+    def read(td: Column) -> Column:
+        ok = F.size(td) >= 3
+        score = F.when(ok, _text(F.get(td, F.lit(1)), " "))
+        return F.struct(
+            F.when(ok, player_in_parentheses(_text(F.get(td, F.lit(0))))).alias("home"),
+            F.regexp_extract(score, _SCORE, 1).try_cast("int").alias("home_score"),
+            F.regexp_extract(score, _SCORE, 2).try_cast("int").alias("away_score"),
+            F.when(ok, player_in_parentheses(_text(F.get(td, F.lit(2))))).alias("away"),
+        )
+
+    return bind(F.regexp_extract_all(row, F.lit(_CELLS), F.lit(1)), read)
 
 
 def _walk_elements(elements: Column) -> Column:
@@ -169,17 +173,22 @@ def page_matches(pages: DataFrame) -> DataFrame:
     """Finished matches with date and place on the page; the first row of a link wins per page."""
     keep = [c for c in pages.columns if c != "html"]
     p = parsed_pages(pages)
-    rows = p.select(*keep, F.explode("_w.rows").alias("r"), F.col("_w.blocks").alias("_b"), "_d").filter("r.block >= 0")
-    label = F.get(F.col("_b"), F.col("r.block"))["label"]
-    rows = rows.select(*keep, label.alias("label"), F.get(F.col("_d"), F.col("r.block")).alias("day"), "r.*")
-    rows = rows.withColumns({
-        "native_match_id": F.regexp_extract(F.regexp_extract("e", _HREF, 1), r"^/match/(\d+)\.html$", 1),
-        "td": F.regexp_extract_all("e", F.lit(_CELLS), F.lit(1)),
-    })
+
+    def read(r: Column) -> Column:
+        block = F.get(F.col("_w.blocks"), r["block"])
+        ok = (r["block"] >= 0) & F.regexp_like(r["clock"], F.lit(r"^([01]\d|2[0-3]):[0-5]\d$"))
+        return F.struct(
+            r["block"].alias("block"), r["ord"].alias("ord"), F.when(ok, r["clock"]).alias("clock"), block["label"].alias("label"),
+            F.get(F.col("_d"), r["block"]).alias("day"),
+            F.regexp_extract(F.regexp_extract(r["e"], _HREF, 1), r"^/match/(\d+)\.html$", 1).alias("native_match_id"),
+            F.when(ok, _match(r["e"])).alias("m"))
+
+    # Everything textual is read inside the page row; what comes out of explode is plain data.
+    rows = p.select(*keep, F.explode(F.transform("_w.rows", read)).alias("r")).select(*keep, "r.*")
+    rows = rows.filter("clock IS NOT NULL AND day IS NOT NULL AND native_match_id <> ''").select(
+        *keep, "block", "ord", "clock", "label", "day", "native_match_id", "m.*").filter(_COMPLETE)
     minutes = F.substring("clock", 1, 2).try_cast("int") * 60 + F.substring("clock", 4, 2).try_cast("int")
-    usable = (F.col("native_match_id") != "") & F.col("day").isNotNull() & F.regexp_like("clock", F.lit(r"^([01]\d|2[0-3]):[0-5]\d$"))
-    rows = rows.filter(usable).select("*", *_cells("td"), minutes.alias("_min")).filter(_COMPLETE)
-    wall = F.timestamp_add("MINUTE", F.col("_min"), F.col("day").cast("timestamp_ntz"))
+    wall = F.timestamp_add("MINUTE", minutes, F.col("day").cast("timestamp_ntz"))
     detail = [F.regexp_extract("label", _DETAIL, i) for i in (1, 2, 3)]
     named = detail[1] != ""
     slug = F.regexp_replace(F.regexp_replace(F.lower("label"), r"(?U)[^\w]+", "-"), r"^-+|-+$", "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelbook.functions.binding import select_once
 from duelbook.functions.names import clean_name, name_key, perspective_id
 from duelbook.functions.results import home_result, mirrored
 from duelbook.functions.times import parse_kickoff
@@ -22,8 +23,8 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_fixtures(lines: DataFrame, column: str = "json") -> DataFrame:
     """The same from a text column holding one JSON object per row."""
-    return lines.withColumn("_f", F.from_json(F.col(column), FIXTURE_SCHEMA)).select(
-        *[c for c in lines.columns if c != column], "_f.*")
+    rest = [c for c in lines.columns if c != column]
+    return select_once(lines, *rest, F.from_json(F.col(column), FIXTURE_SCHEMA).alias("_f")).select(*rest, "_f.*")
 
 
 def _nickname(side: str) -> Column:
@@ -39,8 +40,8 @@ def _score(name: str) -> Column:
 def perspectives_from_fixtures(fixtures: DataFrame, source_file: str | None = None, order=("source_order",)) -> DataFrame:
     """Two perspectives per valid fixture; the first copy of a match id wins in ``order``."""
     native = F.trim(F.col("id"))
-    m = fixtures.select(
-        native.alias("native_match_id"), F.concat(F.lit(f"{LEAGUE.lower()}:"), native).alias("match_id"),
+    m = select_once(
+        fixtures, native.alias("native_match_id"), F.concat(F.lit(f"{LEAGUE.lower()}:"), native).alias("match_id"),
         _nickname("home").alias("_h"), _nickname("away").alias("_a"),
         _score("home_score").alias("home_score"), _score("away_score").alias("away_score"),
         parse_kickoff(F.col("kickoff")).alias("k"),
