@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from duelbook.functions.names import name_key
 from duelbook.functions.times import event_time
@@ -37,11 +38,11 @@ def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
     found = [p for p in paths if exists(spark, p)]
     if not found:
         return with_instant(spark.createDataFrame([], HISTORY_SCHEMA))
-    schema = HISTORY_SCHEMA.add(_CORRUPT, "string")
+    schema = StructType([*HISTORY_SCHEMA.fields, StructField(_CORRUPT, StringType())])
     raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT).json(found)
     message = F.concat(F.lit("invalid JSON record in "), F.col("_metadata.file_path"), F.lit(": "), F.substring(_CORRUPT, 1, 200))
-    guard = F.when(F.col(_CORRUPT).isNotNull(), F.raise_error(message)).otherwise(F.lit("ok"))
-    rows = raw.withColumn("_guard", guard).filter("_guard = 'ok'").drop("_guard", _CORRUPT)
+    guard = F.when(F.col(_CORRUPT).isNotNull(), F.raise_error(message)).otherwise(F.coalesce("perspective_id", F.lit("")))
+    rows = raw.withColumn("_guard", guard).filter("_guard IS NOT NULL").drop("_guard", _CORRUPT)
     return with_instant(rows)
 
 
