@@ -26,7 +26,14 @@ def from_micros(micros: Column) -> Column:
 
 
 def micros(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+    """Microseconds since 1970 of a UTC wall clock.
+
+    Built from calendar fields: differences of TIMESTAMP_NTZ values would go through the
+    session time zone and jump with its clock changes.
+    """
+    seconds = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    days = F.unix_date(ts.cast("date")).cast("long")
+    return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * F.lit(60_000_000) + seconds
 
 
 def parse_utc(text: Column, naive_zone: str = "UTC") -> Column:
@@ -66,7 +73,7 @@ def iso_z(ts: Column, precision: str | None = None) -> Column:
 
 
 def _fraction(ts: Column) -> Column:
-    part = micros(ts) % F.lit(1_000_000)
+    part = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long") % F.lit(1_000_000)
     return F.when(part != 0, F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))).otherwise(F.lit(""))
 
 
@@ -82,7 +89,7 @@ def local_offset(ts: Column, zone: str = LOCAL_ZONE) -> Column:
             F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"),
         )
 
-    return bind(F.timestamp_diff("MINUTE", ts, to_local(ts, zone)), shown)
+    return bind(F.floor((micros(to_local(ts, zone)) - micros(ts)) / 60_000_000), shown)
 
 
 def iso_local(ts: Column, zone: str = LOCAL_ZONE, precision: str | None = None) -> Column:

@@ -29,7 +29,7 @@ def relation_rows(df: DataFrame, league: str | None = None, player: str | None =
 
 
 def h2h_totals(df: DataFrame, league: str | None = None, player: str | None = None, rival: str | None = None, *,
-               slice_by: str = "month", keep_keys: bool = False) -> DataFrame:
+               slice_by: str = "day", keep_keys: bool = False) -> DataFrame:
     """Totals, result sequence and date range of every directed relation.
 
     ``sequence`` is whole: relations of more than PART_ROWS matches repeat their totals on

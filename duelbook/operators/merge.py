@@ -43,25 +43,27 @@ def quality_rank(col: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, QUALITY_ORDER)), col)
 
 
-def _payload(df: DataFrame) -> list[tuple[str, str]]:
-    return [(n, t) for n, t in df.dtypes if n not in ("perspective_id", "arrival")]
+def _payload(df: DataFrame, arrival: Sequence[str]) -> list[tuple[str, str]]:
+    return [(n, t) for n, t in df.dtypes if n != "perspective_id" and n != arrival[0]]
 
 
-def merge_history(df: DataFrame, arrival: str = "arrival") -> DataFrame:
+def merge_history(df: DataFrame, arrival: Sequence[str] = ("arrival",)) -> DataFrame:
     """One row per perspective_id: per field the first present value in arrival order.
 
-    ``arrival`` is a long, stored rows lowest.  Data quality only ever rises.  All
-    aggregates combine map-side, so many copies of one perspective shrink before the shuffle.
+    ``arrival`` names the ordering columns, the first of them an arrival class that is
+    dropped (stored rows lowest).  Data quality only ever rises.  Everything is an
+    aggregate that combines map-side, with no window over the copies, so very many copies
+    of one perspective shrink to one row per task before the shuffle.
     """
-    df = df.withColumnRenamed(arrival, "arrival") if arrival != "arrival" else df
     aggs = []
-    for name, dtype in _payload(df):
+    for name, dtype in _payload(df, arrival):
         c = F.col(name)
         if name == "data_quality":
             aggs.append(F.max_by(c, quality_rank(c)).alias(name))
         else:
-            aggs.append(F.min_by(c, F.when(present(c, dtype), F.col("arrival"))).alias(name))
-    return df.groupBy("perspective_id").agg(*aggs).select(*[n for n in df.columns if n != "arrival"])
+            first = F.min(F.when(present(c, dtype), F.struct(F.struct(*arrival).alias("at"), c.alias("value"))))
+            aggs.append(first["value"].alias(name))
+    return df.groupBy("perspective_id").agg(*aggs).select(*[n for n in df.columns if n != arrival[0]])
 
 
 def merge_conflicts(df: DataFrame, arrival: str = "arrival") -> DataFrame:
@@ -70,7 +72,7 @@ def merge_conflicts(df: DataFrame, arrival: str = "arrival") -> DataFrame:
     Two comparable sketches per field (lowest and highest present value) decide whether
     there is a conflict at all; only disagreeing perspectives are looked at value by value.
     """
-    fields = [(n, t) for n, t in _payload(df) if n not in PROVENANCE + ("data_quality",)]
+    fields = [(n, t) for n, t in _payload(df, [arrival]) if n not in PROVENANCE + ("data_quality",)]
     ranges = df.groupBy("perspective_id").agg(*[
         F.struct(
             F.min(F.when(present(F.col(n), t), F.col(n).cast("string"))).alias("lo"),
@@ -95,19 +97,13 @@ def merge_conflicts(df: DataFrame, arrival: str = "arrival") -> DataFrame:
     )
 
 
-def upsert(existing: DataFrame, candidates: DataFrame, candidate_order: Sequence = ("ts",)) -> DataFrame:
+def upsert(existing: DataFrame, candidates: DataFrame, candidate_order: Sequence[str] = ("ts",)) -> DataFrame:
     """Stored rows merged with candidates (SNK2): stored values win, gaps are filled.
 
-    ``candidate_order`` is mapped to a compact arrival number without a global sort: the
-    candidates' own ``arrival`` column if present, else all candidates arrive together and
-    ties go to the lowest value of the order columns.
+    Candidates fill gaps in ``candidate_order``; equal places go to the lowest value.
     """
-    old = existing.drop("arrival").withColumn("arrival", F.lit(0).cast("long"))
-    new = candidates
-    if "arrival" not in new.columns:
-        w = Window.partitionBy("perspective_id").orderBy(*candidate_order)
-        new = new.withColumn("arrival", F.row_number().over(w).cast("long"))
-    return merge_history(old.unionByName(new, allowMissingColumns=True))
+    both = existing.withColumn("_class", F.lit(0)).unionByName(candidates.withColumn("_class", F.lit(1)), allowMissingColumns=True)
+    return merge_history(both, ["_class", *candidate_order])
 
 
 def compatible(a: str, b: str) -> Column:

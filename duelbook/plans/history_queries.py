@@ -218,7 +218,7 @@ def _repair_sides(spark, sf):
                        "source_file": F.lit("first")})
     stored = p.filter("match_no % 7 <> 0").drop("match_no")
     n = F.col("match_no")
-    new = p.filter("match_no % 3 = 0").withColumns({
+    new = p.filter("match_no % 3 = 0 OR match_no % 7 = 0").withColumns({
         "source_file": F.lit("repair"),
         "round": F.when(n % 5 == 0, F.lit("R2")).otherwise(F.col("round")),
         "home_score": F.when(n % 11 == 0, F.col("home_score") + 9).otherwise(F.col("home_score")),
@@ -226,7 +226,7 @@ def _repair_sides(spark, sf):
     return stored, new
 
 
-_REPAIR = f"""with {P}, r as (select p.*, match_no % 7 <> 0 as old, match_no % 3 = 0 as new from p),
+_REPAIR = f"""with {P}, r as (select p.*, match_no % 7 <> 0 as old, match_no % 3 = 0 or match_no % 7 = 0 as new from p),
 a as (select *, case when not new then 'stored' when not old then 'added' when match_no % 11 = 0 then 'conflict'
   when match_no % 5 = 0 then 'updated' else 'unchanged' end as action from r where old or new)"""
 
@@ -244,13 +244,12 @@ def repaired_history(spark, sf):
     return merge.reconcile_repair(*_repair_sides(spark, sf)).select("perspective_id", "action", "source_file", "round", "home_score")
 
 
-@register(f"""with {P} select perspective_id, player, result, case when match_no % 4 = 0 then 'a' else 'b' end as round
-from p where match_no % 4 = 0 or match_no % 3 = 0""")
+@register(f"""with {P} select perspective_id, player, result, case when match_no % 4 = 0 then 'a' else 'b' end as round from p""")
 def upserted_history(spark, sf):
-    """Stored rows of some matches, candidates of others: stored values win, nothing doubles."""
+    """A part of the matches is stored already, all are candidates: stored values win, nothing doubles."""
     p = fx.perspectives(spark, sf).withColumn("match_no", F.split_part("match_id", F.lit(":"), F.lit(2)).cast("long"))
     old = p.filter("match_no % 4 = 0").withColumn("round", F.lit("a")).drop("match_no")
-    new = p.filter("match_no % 3 = 0").withColumn("round", F.lit("b")).drop("match_no")
+    new = p.withColumn("round", F.lit("b")).drop("match_no")
     return merge.upsert(merge.upsert(old, new), new).select("perspective_id", "player", "result", "round")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from duelbook.functions.times import micros
 from duelbook.operators.merge import conform, reconcile_repair, repair_candidates
 from duelbook.sources.history import update_history, write_history
 from duelbook.sources.paths import exists
@@ -16,8 +17,7 @@ REPAIR_DELAY = "2 days"
 
 def with_event_time(stream: DataFrame, delay: str = REPAIR_DELAY) -> DataFrame:
     """Watermark on ``event_ts``, an instant copy of the UTC wall clock ``ts``."""
-    instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")))
-    return stream.withColumn("event_ts", instant).withWatermark("event_ts", delay)
+    return stream.withColumn("event_ts", F.timestamp_micros(micros(F.col("ts")))).withWatermark("event_ts", delay)
 
 
 def unique_perspectives(stream: DataFrame, delay: str = REPAIR_DELAY) -> DataFrame:

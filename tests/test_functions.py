@@ -27,6 +27,10 @@ def test_parse_does_not_depend_on_session_zone(spark):
     try:
         assert one(spark, times.parse_utc, "2026-07-14T10:00:00+02:00") == datetime(2026, 7, 14, 8)
         assert one(spark, times.iso_z, datetime(2026, 7, 14, 8), "timestamp_ntz") == "2026-07-14T08:00:00Z"
+        # 02:30 does not exist in New York on this day.
+        gap = datetime(2026, 3, 8, 2, 30, 0, 5)
+        assert one(spark, times.iso_local, gap, "timestamp_ntz") == "2026-03-08T03:30:00.000005+01:00"
+        assert one(spark, lambda c: times.from_micros(times.micros(c)), gap, "timestamp_ntz") == gap
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -52,6 +56,10 @@ def test_local_days_across_clock_changes(spark):
     assert tuple(df.limit(1).select(start, end).first()) == ("2026-03-28T23:00:00.000Z", "2026-03-29T22:00:00.000Z")
 
 
+def test_instants_before_1970(spark):
+    assert one(spark, times.iso_z, datetime(1965, 1, 1, 0, 0, 0, 500000), "timestamp_ntz") == "1965-01-01T00:00:00.500000Z"
+
+
 def test_names_fold_unicode(spark):
     df = spark.createDataFrame([("  Álex ",), ("straße",), ("STRASSE",), ("ＡＢ",), ("  ",), (None,)], "x string")
     got = [tuple(r) for r in df.select(names.clean_name("x"), names.name_key("x")).collect()]
