@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duelbook import schemas
 from duelbook.functions.params import non_negative_number, positive_int
-from duelbook.functions.results import RESULTS, count_of, is_valid, sample_status, trend
+from duelbook.functions.results import sample_status, trend
 from duelbook.operators import filters
 from duelbook.operators.recent import recent_and_history, window_rows
 from duelbook.operators.runs import ORDER, sequence_parts
@@ -35,18 +35,13 @@ def h2h_totals(df: DataFrame, league: str | None = None, player: str | None = No
     ``sequence`` is whole: relations of more than PART_ROWS matches repeat their totals on
     numbered ``sequence_part`` rows (see ``sequence_parts``); all others have one row.
     """
-    rows = relation_rows(df, league, player, rival)
-    valid = is_valid(F.col("result"))
-    names = F.max_by(F.struct("player", "rival"), F.when(valid, F.struct(*ORDER)))
-    stats = rows.groupBy(*RELATION).agg(
-        *[count_of(v).alias(n) for n, v in zip(("wins", "draws", "losses"), RESULTS)], F.count_if(valid).alias("played"),
-        F.min(F.when(valid, F.col("ts"))).cast("date").cast("string").alias("first_match_date"),
-        F.max(F.when(valid, F.col("ts"))).cast("date").cast("string").alias("last_match_date"),
-        names.alias("n"),
-    ).filter("played > 0").transform(with_pcts)
-    parts = sequence_parts(filters.valid_results(rows), RELATION, slice_by=slice_by)
-    return stats.join(parts, RELATION).withColumns({
-        "player": F.trim("n.player"), "rival": F.trim("n.rival"),
+    rows = filters.valid_results(relation_rows(df, league, player, rival))
+    stats = sequence_parts(rows, RELATION, carry=["player", "rival"], slice_by=slice_by)
+    stats = stats.withColumn("played", F.col("wins") + F.col("draws") + F.col("losses")).transform(with_pcts)
+    return stats.withColumns({
+        "player": F.trim("last.player"), "rival": F.trim("last.rival"),
+        "first_match_date": F.col("first_ts").cast("date").cast("string"),
+        "last_match_date": F.col("last_ts").cast("date").cast("string"),
     }).select(*(RELATION[1:] if keep_keys else []), *schemas.H2H_TOTALS, "sequence_part", "sequence_parts")
 
 

@@ -102,4 +102,5 @@ def reason() -> Column:
 
 def player_sequences(df: DataFrame, excluded: DataFrame | None = None, **kwargs) -> DataFrame:
     """Operational result sequence per player, in numbered parts when very long (AGG20)."""
-    return sequence_parts(filters.operational_results(df, excluded).select(*KEYS, *ORDER, "result"), KEYS, **kwargs)
+    parts = sequence_parts(filters.operational_results(df, excluded).select(*KEYS, *ORDER, "result"), KEYS, **kwargs)
+    return parts.select(*KEYS, "sequence_part", "sequence_parts", "sequence")

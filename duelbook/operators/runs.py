@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelbook.functions.results import DRAW, LOSS, WIN, is_valid
+from duelbook.functions.results import DRAW, LOSS, RESULTS, WIN, count_of, is_valid
 from duelbook.functions.times import time_slice
 
 # Chronological order of one identity's perspectives (S1).
@@ -153,18 +153,24 @@ def ordered_sequence(result: str = "result", order: Sequence[str] = ORDER) -> Co
 
 # --- result sequences as text --------------------------------------------------
 
+COUNTS = ("wins", "draws", "losses")
 PIECE_ROWS = 50_000
 PART_ROWS = 100_000
 
 
-def sequence_pieces(df: DataFrame, keys: Sequence[str], *, slice_by: str = "day", tie_prefix: int = 0) -> DataFrame:
-    """(keys, slice, piece, n, first_ts, last_ts, seq): at most PIECE_ROWS results per row, whatever the skew."""
+def sequence_pieces(df: DataFrame, keys: Sequence[str], *, slice_by: str = "day", tie_prefix: int = 0,
+                    carry: Sequence[str] = ()) -> DataFrame:
+    """(keys, slice, piece, counts, first_ts, last_ts, seq): at most PIECE_ROWS results per row, whatever the skew.
+
+    With ``carry`` also ``last``: the carried columns of the piece's latest row.
+    """
     w = Window.partitionBy(*keys, "slice").orderBy(*ORDER)
-    rows = df.select(*keys, *ORDER, "result", time_slice(slice_by, tie_prefix).alias("slice"))
+    rows = df.select(*keys, *ORDER, *carry, "result", time_slice(slice_by, tie_prefix).alias("slice"))
     rows = rows.withColumn("piece", F.floor((F.row_number().over(w) - 1) / PIECE_ROWS))
+    last = [F.max(F.struct(*ORDER, *carry)).alias("last")] if carry else []
     return rows.groupBy(*keys, "slice", "piece").agg(
         F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        ordered_sequence().alias("seq"),
+        *[count_of(v).alias(n) for n, v in zip(COUNTS, RESULTS)], ordered_sequence().alias("seq"), *last,
     )
 
 
@@ -178,17 +184,22 @@ def whole_sequence(df: DataFrame, keys: Sequence[str], **kwargs) -> DataFrame:
     return sequence_pieces(df, keys, **kwargs).groupBy(*keys).agg(_joined_pieces().alias("sequence"))
 
 
-def sequence_parts(df: DataFrame, keys: Sequence[str], **kwargs) -> DataFrame:
-    """(keys, sequence_part, sequence_parts, sequence) for full histories.
+def sequence_parts(df: DataFrame, keys: Sequence[str], *, carry: Sequence[str] = (), **kwargs) -> DataFrame:
+    """(keys, totals, sequence_part, sequence_parts, sequence) for full histories, in one pass over the rows.
 
     A history of up to PART_ROWS results is one row holding the whole text.  Longer ones
     continue in further numbered rows, so no row and no task ever holds more than a part.
+    Totals (counts, first_ts, last_ts and, with ``carry``, last) are those of the whole history.
     """
-    pieces = sequence_pieces(df, keys, **kwargs)
+    pieces = sequence_pieces(df, keys, carry=carry, **kwargs)
     w = Window.partitionBy(*keys).orderBy("slice", "piece")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = {**{c: F.sum(c) for c in COUNTS}, "first_ts": F.min("first_ts"), "last_ts": F.max("last_ts")}
+    if carry:
+        totals["last"] = F.max("last")
     before = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    parts = pieces.withColumn("part", F.floor(before / PART_ROWS)).groupBy(*keys, "part").agg(
-        _joined_pieces().alias("sequence"))
-    whole = Window.partitionBy(*keys)
-    return parts.select(*keys, (F.col("part") + 1).cast("int").alias("sequence_part"),
-                        F.count("*").over(whole).cast("int").alias("sequence_parts"), "sequence")
+    pieces = pieces.select(*keys, "slice", "piece", "seq", F.floor(before / PART_ROWS).alias("part"),
+                           *[t.over(whole).alias(c) for c, t in totals.items()])
+    parts = pieces.groupBy(*keys, "part").agg(_joined_pieces().alias("sequence"), *[F.max(c).alias(c) for c in totals])
+    return parts.select(*keys, *totals, (F.col("part") + 1).cast("int").alias("sequence_part"),
+                        F.count("*").over(Window.partitionBy(*keys)).cast("int").alias("sequence_parts"), "sequence")
