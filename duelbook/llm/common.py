@@ -21,8 +21,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package, find the checkpoint folder and bound the Arrow batches (settings a user made stay)."""
     runtime.prepare(spark)
     for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS),
-                                ("spark.sql.execution.arrow.maxBytesPerBatch", "9223372036854775807", BATCH_BYTES)):
-        if spark.conf.get(key, default) in (default, "-1"):
+                                ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(key) == default:
             spark.conf.set(key, value)
     return spark
 
