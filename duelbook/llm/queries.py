@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import byte_bpe, packing
+from duelbook.llm import byte_bpe, chat, packing, sharding
 from duelbook.llm.common import prepare
 from duelbook.plans.registry import registry
 
@@ -26,6 +26,37 @@ def op2_packing(spark, sf):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+@register()
+def op4_sharding(spark, sf):
+    """All documents on a bounded-load ring of 16 shards; row counts are at most one apart."""
+    placed = sharding.shard_documents(table(spark, sf, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_CHAT = """with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+  coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss,
+  sum(length('<|turn|><|body|><|end|>' || chr(10) || role) + length(replace(replace(replace(text, '&', '&a;'), '<', '&l;'), '[', '&b;'))) as chars
+  from c group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(chars as bigint) as formatted_chars from f"""
+
+
+@register(_CHAT)
+def op5_chat(spark, sf):
+    """All conversations, and one that is made of control strings, formatted and read back."""
+    raw = table(spark, sf, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    both = raw.unionByName(control)
+    chats = chat.format_chats(both.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    turns = F.array_join(F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.learned_text(F.col("formatted"), F.col("turn_starts"), F.col("loss_spans"))
+    read = chats.select("conv_id", F.size(chat.pieces_of(F.col("formatted"))).cast("long").alias("n_turns"), turns.alias("turns"), loss.alias("loss"), "formatted")
+    return read.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+                       F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 @register()
 def op10_byte_bpe(spark, sf):
     """All documents encoded by the transducer and decoded again."""
