@@ -42,6 +42,15 @@ def bytes_of(text: str = "text"):
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words_of(text: bytes) -> list[bytes]:
     r"""Words ``[^\x20\x09-\x0D]+`` of UTF-8 bytes; exactly what ``bytes.split`` cuts at."""
     return text.split()

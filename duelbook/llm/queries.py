@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import byte_bpe, chat, packing, sharding
+from duelbook.llm import byte_bpe, chat, minhash, packing, sharding, superkmers
 from duelbook.llm.common import prepare
 from duelbook.plans.registry import registry
 
@@ -63,3 +63,16 @@ def op10_byte_bpe(spark, sf):
     coded = byte_bpe.encode_documents(table(spark, sf, "documents"))
     return coded.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register()
+def op8_minhash(spark, sf):
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@register()
+def op3_super_kmers(spark, sf):
+    """All documents without the words that windows of 13 words share with an earlier document."""
+    cleaned = superkmers.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "removal.n_words", "removal.n_removed", F.sha2("removal.kept", 256).alias("kept_sha256"))
