@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import byte_bpe, chat, minhash, packing, sharding, superkmers
+from duelbook.llm import byte_bpe, chat, minhash, packing, quality_knn, sharding, superkmers
 from duelbook.llm.common import prepare
 from duelbook.plans.registry import registry
 
@@ -76,3 +76,9 @@ def op3_super_kmers(spark, sf):
     """All documents without the words that windows of 13 words share with an earlier document."""
     cleaned = superkmers.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "removal.n_words", "removal.n_removed", F.sha2("removal.kept", 256).alias("kept_sha256"))
+
+
+@register()
+def op9_quality(spark, sf):
+    """Quality of all documents by the vote of their nearest labelled documents."""
+    return quality_knn.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
