@@ -262,19 +262,34 @@ class Utf8Stream:
         return out
 
 
-def decode_stream(ids: Iterable[int], token: dict[int, bytes], stream: Utf8Stream | None = None) -> Iterator[bytes]:
-    """Bytes of the ids, each piece ending between two characters. An id that isn't in the vocabulary raises KeyError."""
+def between(token: dict[int, bytes]) -> set[int]:
+    """Ids that lead the automaton from between two characters to between two characters: tokens of whole characters."""
+    stream = Utf8Stream()
+    return {i for i, piece in token.items() if stream.step(0, piece) == (0, 0) and piece.decode("utf-8", "ignore").encode() == piece}
+
+
+def decode_stream(ids: list[int], token: dict[int, bytes], stream: Utf8Stream | None = None, whole: set[int] = frozenset(), run: int = 4096) -> Iterator[bytes]:
+    """Bytes of the ids, each piece ending between two characters. An id that isn't in the vocabulary raises KeyError.
+
+    Runs of ids in ``whole`` (see ``between``) pass at once while the automaton stands between two characters.
+    """
     stream = stream or Utf8Stream()
-    for i in ids:
-        out = stream.feed(token[i])
-        if out:
-            yield out
+    for at in range(0, len(ids), run):
+        part = ids[at:at + run]
+        if stream.state == 0 and not stream.held and whole.issuperset(part):
+            yield b"".join(map(token.__getitem__, part))
+            continue
+        for i in part:
+            if i in whole and stream.state == 0:
+                yield token[i]
+            elif out := stream.feed(token[i]):
+                yield out
     if out := stream.end():
         yield out
 
 
 @lru_cache(4)
-def _coder(path: str, pattern: str) -> tuple[Transducer, ChunkMemo, Utf8Stream]:
+def _coder(path: str, pattern: str) -> tuple[Transducer, ChunkMemo, Utf8Stream, set[int]]:
     t, match, words = Transducer(read_ranks(path)), regex.compile(pattern), {}
 
     def word(m: str) -> bytes:
@@ -287,11 +302,11 @@ def _coder(path: str, pattern: str) -> tuple[Transducer, ChunkMemo, Utf8Stream]:
         return found
 
     def learn(chunks: list[str]) -> list[bytes]:
-        if len(words) > 700_000:
+        if len(words) > 500_000:
             words.clear()
         return [b"".join([word(m) for m in match.findall(c)]) for c in chunks]
 
-    return t, ChunkMemo(learn), Utf8Stream()
+    return t, ChunkMemo(learn), Utf8Stream(), between(t.token)
 
 
 def encode(text: Column, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> Column:
@@ -318,8 +333,8 @@ def decode(ids: Column, path: str | None = None, pattern: str = public_tokenizer
 
     @F.arrow_udf("binary")
     def text(v: pa.Array) -> pa.Array:
-        t, _, stream = _coder(path, pattern)
-        return pa.array([None if r is None else b"".join(decode_stream(np.frombuffer(r, "<u4").tolist(), t.token, stream)) for r in v.to_pylist()],
+        t, _, stream, whole = _coder(path, pattern)
+        return pa.array([None if r is None else b"".join(decode_stream(np.frombuffer(r, "<u4").tolist(), t.token, stream, whole)) for r in v.to_pylist()],
                         pa.binary())
 
     return text(ids)

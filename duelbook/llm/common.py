@@ -56,9 +56,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def whole_chunks(text: str) -> list[str]:
-    """Cut only at single spaces between two characters that aren't white space."""
-    return CUT.split(text)
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
+_ODD = tuple(pair for c in _WHITE for pair in (f" {c}", f"{c} "))
+_ODD_ASCII = tuple(p for p in _ODD if p.isascii())
+
+
+def chunks_of(text: str) -> list[str]:
+    """Cut at every single space between two characters that aren't white space; those spaces are left out."""
+    if text[:1] == " " or text[-1:] == " " or any(p in text for p in (_ODD_ASCII if text.isascii() else _ODD)):
+        return CUT.split(text)
+    return text.split(" ")
 
 
 class ChunkMemo:
@@ -66,30 +73,33 @@ class ChunkMemo:
 
     A single space between two characters that aren't white space always starts a new match of the byte-level
     pattern, so a text is the chunk before its first such space and then chunks led by one space, each tokenised
-    alone. ``learn`` gets new chunks (with their space) and returns what to keep for each; at most ``limit`` chunks
-    are kept, so the memory of a worker is bounded. ``ids`` of a chunk never depend on what is kept.
+    alone. ``learn`` gets new chunks, with their space, and returns what to keep for each. At most ``2 * limit`` chunks are
+    kept, those of the last use first, so the memory of a worker is bounded; what a text becomes never depends on what is kept.
     """
 
-    def __init__(self, learn: Callable[[list[str]], Iterable[Any]], limit: int = 400_000, longest: int = 200):
-        self.learn, self.limit, self.longest, self.known = learn, limit, longest, {}
-
-    def split(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace():
-                parts = whole_chunks(text)
-                break
-        return [parts[0], *(" " + p for p in parts[1:])]
+    def __init__(self, learn: Callable[[list[str]], Iterable[Any]], limit: int = 200_000, longest: int = 200):
+        self.learn, self.limit, self.longest = learn, limit, longest
+        self.known: dict[str, Any] = {}
+        self.before: dict[str, Any] = {}
 
     def batch(self, texts: list[str]) -> Iterator[list[Any]]:
         """For each text what ``learn`` made of its chunks, in order."""
         if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        split = [self.split(t) for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in known})
-        once = {}
-        for c, found in zip(new, self.learn(new), strict=True):
-            (known if len(c) <= self.longest else once)[c] = found
-        for chunks in split:
-            yield [known[c] if c in known else once[c] for c in chunks] if once else [known[c] for c in chunks]
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        split = [chunks_of(t) for t in texts]
+        found = [list(map(known.get, c[1:])) for c in split]
+        new, once = set(), {}
+        for chunks, have in zip(split, found, strict=True):
+            if None in have:
+                new.update([c for c, h in zip(chunks[1:], have, strict=True) if h is None])
+        for c in [c for c in new if c in before]:
+            known[c] = before[c]
+            new.discard(c)
+        ordered = list(new)
+        for c, made in zip(ordered, self.learn([" " + c for c in ordered]), strict=True):
+            (known if len(c) <= self.longest else once)[c] = made
+        heads = self.learn([c[0] for c in split])
+        for chunks, have, head in zip(split, found, heads, strict=True):
+            yield [head, *(h if h is not None else known[c] if c in known else once[c] for c, h in zip(chunks[1:], have, strict=True))] \
+                if None in have else [head, *have]

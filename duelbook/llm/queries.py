@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import byte_bpe, chat, minhash, packing, quality_knn, sharding, superkmers
+from duelbook.llm import byte_bpe, chat, language_id, minhash, packing, quality_knn, sharding, superkmers, transport_stream
 from duelbook.llm.common import prepare
 from duelbook.plans.registry import registry
 
@@ -82,3 +82,28 @@ def op3_super_kmers(spark, sf):
 def op9_quality(spark, sf):
     """Quality of all documents by the vote of their nearest labelled documents."""
     return quality_knn.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register()
+def op1_language_id(spark, sf):
+    """Language of all documents from text, declaration, and source prior."""
+    found = language_id.identify_documents(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", "language_id.*")
+
+
+@register()
+def language_id_of_pages(spark, sf):
+    """The same operator on all web pages: text, markup, address suffix, host and domain prior."""
+    found = language_id.identify_pages(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "language_id.*")
+
+
+@register()
+def op6_transport_stream(spark, sf):
+    """All documents stored as transport streams, and read back."""
+    stored = transport_stream.store_documents(table(spark, sf, "documents"))
+    back = F.col("parsed.payload")
+    return stored.select(
+        "doc_id", "n_bytes", F.octet_length(back).cast("long").alias("payload_bytes"), F.sha2(back, 256).alias("payload_sha256"),
+        F.crc32(F.substring(back, -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), transport_stream.feature(F.col("parsed")).alias("feature"))
