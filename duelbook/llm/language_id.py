@@ -138,16 +138,17 @@ def declared_of(html: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1))
 
 
-def identify(rows: DataFrame, text: Column, declared: Column, host: Column, languages: tuple[str, ...] = LANGUAGES, threshold: float = THRESHOLD) -> DataFrame:
-    """All rows and columns of ``rows`` with ``language_id``: struct<language, probability, text_language, declared, kept>.
+def identify(rows: DataFrame, text: Column, declared: Column, host: Column, languages: tuple[str, ...] = LANGUAGES, threshold: float = THRESHOLD,
+             into: str = "language_id") -> DataFrame:
+    """All rows and columns of ``rows`` with ``into``: struct<language, probability, text_language, declared, kept>.
 
     language: the likeliest of ``languages`` and ``und``, ties to the earlier one. text_language: by the text alone, null without three bytes
     of it. kept: a language, not noise, is at least as likely as ``threshold``. Null or empty text, declaration or host say
     nothing: what is left decides, in the end the corpus. Repeated rows count as often as they are there. An
-    empty table gives no rows. A column that is named ``language_id`` is replaced.
+    empty table gives no rows. A column that is named like ``into`` is replaced.
     """
     spark = prepare(rows.sparkSession)
-    names = [c for c in rows.columns if c != "language_id"]
+    names = [c for c in rows.columns if c != into]
     inner = rows.select(F.struct(*[rows[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), F.coalesce(text, F.lit("")).cast("binary").alias("text"),
                         F.lower(F.substring(F.coalesce(declared, F.lit("")), 1, 2)).alias("declared"), F.coalesce(host, F.lit("")).alias("host"))
     model = gram_model(inner, languages)
@@ -168,12 +169,13 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, lang
     language, sure = best(F.col("p")), F.array_max("p")
     out = F.struct(language.alias("language"), sure.alias("probability"), F.when(F.octet_length("text") >= 3, best(F.col("looks"))).alias("text_language"),
                    F.nullif("declared", F.lit("")).alias("declared"), ((language != UNKNOWN) & (sure >= threshold)).alias("kept"))
-    return fused.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], out.alias("language_id"))
+    return fused.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], out.alias(into))
 
 
-def identify_documents(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", source_col: str = "source") -> DataFrame:
+def identify_documents(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", source_col: str = "source",
+                       into: str = "language_id") -> DataFrame:
     """``identify`` for documents: ``lang`` is what they declare, ``source`` their host."""
-    return identify(docs, docs[text_col], docs[declared_col], docs[source_col])
+    return identify(docs, docs[text_col], docs[declared_col], docs[source_col], into=into)
 
 
 def identify_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import bytes_of, cut, words_of
+from duelbook.llm.common import bytes_of, cut, fresh, words_of
 from duelbook.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -97,31 +97,31 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def signatures(rows: DataFrame, bins: int = BINS, band_rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, node, n_shingles, bands of rows (doc_id, text as binary); an empty set has no node and no bands."""
+    """doc_id, text_key, node, n_shingles, bands of rows (doc_id, text_key, text as binary); an empty set has no node and no bands."""
     orders = _orders(bins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
             node, count, bands = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = shingle_set(t, known, shingle)
                 count.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 bands.append(band_keys(signature(s, orders), band_rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(count, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                                             ["doc_id", "node", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(count, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                                             ["doc_id", "text_key", "node", "n_shingles", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, node long, n_shingles long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n_shingles long, bands array<long>")
 
 
 def sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """node, hashes (binary) of rows (doc_id, text as binary)."""
+    """node, hashes (binary) of rows (doc_id, text_key, text as binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            found = [s for s in (shingle_set(t, known, shingle) for t in b.column(1).to_pylist()) if len(s)]
+            found = [s for s in (shingle_set(t, known, shingle) for t in b.column(2).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
                                              ["node", "hashes"])
 
@@ -167,15 +167,17 @@ def _edges(members: DataFrame, centres: int, percent: int) -> tuple[DataFrame, D
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bins: int = BINS, band_rows: int = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+    """doc_id, n_shingles, component_id, kept, text_key, component for every row.
 
     component_id: the smallest doc_id that links lead to, its own without any. A null or empty text, or one of white space, has
     no shingles, links with nothing and is kept. Repeated rows have equal sets, so all have the same component; rows with
     a null id share the component of their text, are its last choice, and are kept only where nothing else is.
-    Other columns are not read. An empty table gives no rows.
+    Other columns are not read. An empty table gives no rows. text_key tells texts apart, component numbers the components (null
+    without shingles).
     """
     last = F.lit(2**63 - 1)  # stands for a null id
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), last).alias("doc_id"), bytes_of(text_col).alias("text"))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), last).alias("doc_id"), F.xxhash64(bytes_of(text_col)).alias("text_key"),
+                       bytes_of(text_col).alias("text"))
     signed = cut(signatures(rows, bins, band_rows, shingle))
     classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
@@ -205,8 +207,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         "component", F.coalesce("component", "node"))
     nodes = cut(nodes)
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = cut(nodes.join(least, "component").select("node", "component_id"))
-    out = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left").withColumn(
+    by_node = cut(nodes.join(least, "component").select("node", "component", "component_id"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "node").join(by_node, "node", "left").withColumn(
         "component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select(F.nullif("doc_id", last).alias("doc_id"), "n_shingles", F.nullif("component_id", last).alias("component_id"),
-                      (F.col("doc_id") == F.col("component_id")).alias("kept"))
+                      (F.col("doc_id") == F.col("component_id")).alias("kept"),
+                      "text_key", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: of each component the one with the smallest id (repeated rows: once; a null id comes last), and every
+    row without shingles."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    doc, key = fresh(docs, "doc"), fresh(docs, "key")
+    last = F.lit(2**63 - 1)
+    stay = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", last).alias(doc), F.col("text_key").alias(key))).alias("m"))
+    has_words = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(has_words).withColumns({doc: F.coalesce(docs[id_col].cast("long"), last), key: F.xxhash64(bytes_of(text_col))})
+    first = keyed.join(stay.select("m.*"), [doc, key], "left_semi").dropDuplicates([doc, key]).select(*docs.columns)
+    return first.unionByName(docs.where(~has_words))

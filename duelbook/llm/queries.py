@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import byte_bpe, chat, language_id, minhash, packing, quality_knn, sharding, superkmers, transport_stream
+from duelbook.llm import byte_bpe, chat, language_id, minhash, packing, projection_knn, quality_knn, sharding, superkmers, transport_stream
 from duelbook.llm.common import prepare
 from duelbook.plans.registry import registry
 
@@ -68,7 +68,7 @@ def op10_byte_bpe(spark, sf):
 @register()
 def op8_minhash(spark, sf):
     """Near-duplicate components of all documents."""
-    return minhash.near_duplicates(table(spark, sf, "documents"))
+    return minhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @register()
@@ -107,3 +107,9 @@ def op6_transport_stream(spark, sf):
         "doc_id", "n_bytes", F.octet_length(back).cast("long").alias("payload_bytes"), F.sha2(back, 256).alias("payload_sha256"),
         F.crc32(F.substring(back, -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), transport_stream.feature(F.col("parsed")).alias("feature"))
+
+
+@register()
+def op7_projection_knn(spark, sf):
+    """The ten nearest vectors of every hundredth one."""
+    return projection_knn.nearest(table(spark, sf, "embeddings"))

@@ -188,13 +188,14 @@ def _removal(text: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["kept", "n_words", "n_removed"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``removal``: struct<kept: binary, n_words, n_removed>; kept are the kept words, joined by one space.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text",
+                   into: str = "removal") -> DataFrame:
+    """All rows and columns of ``docs`` with ``into``: struct<kept: binary, n_words, n_removed>; kept are the kept words, joined by one space.
 
     A word goes if a window covers it whose words also start somewhere in a row with a smaller id. A null text has no words;
     texts shorter than a window stay as they are. Rows of one id are one document and don't remove from each other; rows with a
     null id count as one document after all others: they lose what any other has and take from none. An empty table gives no
-    rows. A column that is named ``removal`` is replaced.
+    rows. A column that is named like ``into`` is replaced.
     """
     doc, key = fresh(docs, "doc"), fresh(docs, "key")
     last = F.lit(2**63 - 1)
@@ -205,5 +206,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
         F.collect_set(F.struct("start", "stop")).alias(starts))
     found = found.select(doc, key, F.col(f"{starts}.start").alias(starts), F.col(f"{starts}.stop").alias(stops))
     joined = keyed.join(found, [doc, key], "left")
-    return joined.withColumn("removal", F.arrow_udf(_removal, "kept binary, n_words long, n_removed long")(bytes_of(text_col), F.col(starts), F.col(stops))).select(
-        *[c for c in docs.columns if c != "removal"], "removal")
+    return joined.withColumn(into, F.arrow_udf(_removal, "kept binary, n_words long, n_removed long")(bytes_of(text_col), F.col(starts), F.col(stops))).select(
+        *[c for c in docs.columns if c != into], into)
