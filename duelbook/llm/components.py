@@ -23,13 +23,12 @@ def components(links: DataFrame) -> DataFrame:
     ab = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     ab = cut(ab)
     while True:
+        # done where every node hangs on one other, and that one on none
+        open_ = ab.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w"))
+        if open_.where("v < w").isEmpty() and ab.join(ab.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+            return ab.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                ab.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = ab.unionByName(ab.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hooked(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
+        large = cut(_hooked(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         small = _hooked(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        ab = cut(small)
-        inner = ab.join(ab.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        if inner.isEmpty():
-            return ab.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                ab.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        ab = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())

@@ -6,9 +6,11 @@ value of another one, tried in an order that is random but the same for every do
 buckets. Documents of equal sets are one class from the start, so copies cost nothing below.
 
 In a bucket of n classes not all pairs are looked at: one class is its centre and only its n - 1 edges are confirmed on the
-full sets. Where a bucket still holds classes of several components, further centres are elected, four times as
-many in each round, and compared with what isn't in their component, until every bucket is one component or all of its
-classes were centres. So no link between two members of any bucket can be lost.
+full sets. That leaves buckets whose other classes are still in several components; most hold documents that share one
+passage and little else. Their classes are dealt anew, into buckets of their rarest shingles: two sets that are similar
+enough share one of the first (1 - similarity) * size + 1 shingles in any common order, so no link between members of one
+bucket can be lost. There only classes of different components are compared, blockwise, by bitmaps of their shingles, which bound
+an intersection from above; the few pairs that the bound can't rule out are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ from duelbook.llm.components import components
 SHINGLE, PERCENT = 5, 75
 #: 32 bands of 4 of 128 bins: two sets of similarity 0.75 share no bucket with a chance of 0.000005.
 BINS, ROWS = 128, 4
+#: Counts that order shingles by rarity.
+CELL_BITS = 18
+#: Bits of a bitmap, classes that one task compares with each other.
+BITMAP_BITS, BLOCK = 12, 512
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,6 +145,110 @@ def common(a: bytes, b: bytes) -> tuple[int, int]:
     return n, len(x) + len(y) - n
 
 
+def rare_buckets(known: DataFrame, percent: int = PERCENT, cells: int = 1 << CELL_BITS) -> DataFrame:
+    """key, node, n: the first shingles of each set (node, hashes), the rarest first.
+
+    The order is by how often the shingle's cell of a table of ``cells`` counts is used over all sets, then by the hash. The table has a fixed
+    size and is broadcast; any order would do, this one keeps the shingles of common passages out.
+    """
+    bits = np.uint64(64 - cells.bit_length() + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(cells, np.int64)
+        for b in batches:
+            for h in b.column(0).to_pylist():
+                seen += np.bincount((np.frombuffer(h, np.uint64) * _MULT >> bits).astype(np.int64), minlength=cells)
+        at = np.flatnonzero(seen)
+        for i in range(0, len(at), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 20_000], pa.int64()), pa.array(seen[at[i:i + 20_000]], pa.int64())], ["cell", "n"])
+
+    got = known.select("hashes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # cells rows at most
+    table = np.zeros(cells, np.int64)
+    table[got["cell"].to_numpy()] = got["n"].to_numpy()
+    shared = known.sparkSession.sparkContext.broadcast(table)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for b in batches:
+            keys, sizes = [], []
+            for h in b.column(1).to_pylist():
+                h = np.frombuffer(h, np.uint64)
+                n = len(h)
+                order = np.lexsort((h, often[(h * _MULT >> bits).astype(np.int64)]))
+                keys.append(h[order[:n - -(-percent * n // 100) + 1]].view(np.int64))
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "keys"])
+
+    return known.select("node", "hashes").mapInArrow(first, "node long, n long, keys array<long>").select(F.explode("keys").alias("key"), "node", "n")
+
+
+def bitmaps(known: DataFrame, bits: int = 1 << BITMAP_BITS) -> DataFrame:
+    """node, bitmap (binary) of sets (node, hashes): a bit for each shingle, of ``bits``."""
+    shift = np.uint64(64 - bits.bit_length() + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h in b.column(1).to_pylist():
+                flags = np.zeros(bits, bool)
+                flags[(np.frombuffer(h, np.uint64) * _MULT >> shift).astype(np.int64)] = True
+                out.append(np.packbits(flags).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "bitmap"])
+
+    return known.select("node", "hashes").mapInArrow(run, "node long, bitmap binary")
+
+
+def possible(members: DataFrame, maps: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of one bucket and different components that the bitmaps don't rule out.
+
+    members: key, node, n, component. A bit of one set that the other lacks is a shingle that they don't share, so no pair that is
+    similar enough is lost. A bucket of more than ``block`` classes is dealt to tasks by pairs of blocks.
+    """
+    parts = cut(members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    rows = members.join(parts, "key").join(maps, "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "n", "component", "bitmap")
+    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def compare(group: list[tuple]) -> set[tuple[int, int]]:
+        out = set()
+        cross = group[0][1] != group[0][2]
+        mine, node, n, component = (np.array([g[i] for g in group], np.int64) for i in range(3, 7))
+        maps_ = np.stack([np.frombuffer(g[7], np.uint64) for g in group])
+        for i in range(len(group) - 1):
+            rest = slice(i + 1, None)
+            may = (component[rest] != component[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+            if cross:
+                may &= mine[rest] != mine[i]
+            at = np.flatnonzero(may) + i + 1
+            if not len(at):
+                continue
+            only_i = np.bitwise_count(maps_[i] & ~maps_[at]).sum(axis=1, dtype=np.int64)
+            only_at = np.bitwise_count(maps_[at] & ~maps_[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n[i] - only_i, n[at] - only_at)
+            for j in at[100 * most >= percent * (n[i] + n[at] - most)].tolist():
+                out.add((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        group: list[tuple] = []
+        for b in batches:
+            out: set[tuple[int, int]] = set()
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    out |= compare(group)
+                    group = []
+                group.append(row)
+            yield made(out)
+        if group:
+            yield made(compare(group))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def confirmed(edges: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) whose sets are similar enough, with ``inter`` and ``uni``."""
     x = known.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
@@ -165,6 +275,35 @@ def _edges(members: DataFrame, centres: int, percent: int) -> tuple[DataFrame, D
     return pairs, rest
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """The rows whose bucket holds more than one class."""
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    return cut(members.join(shared, "key", "left_semi"))
+
+
+def _mixed_buckets(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The rows whose bucket holds classes of several components, each with its present one."""
+    rows = members.select("key", "node", "n")
+    if found is None:
+        rows = rows.withColumn("component", F.col("node"))
+    else:
+        rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "node", "n", "component")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return cut(rows.join(mixed, "key", "left_semi"))
+
+
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, component of all linked nodes after further links, which meet the components that were there as wholes."""
+    if found is None:
+        return cut(components(links))
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").withColumn("component", F.col("node"))
+    known = cut(found.unionByName(nodes))
+    left = links.join(known.select(F.col("node").alias("a"), F.col("component").alias("c")), "a")
+    both = left.join(known.select(F.col("node").alias("b"), F.col("component").alias("d")), "b").select(F.col("c").alias("a"), F.col("d").alias("b"))
+    merged = components(both).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return cut(known.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bins: int = BINS, band_rows: int = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key, component for every row.
@@ -181,26 +320,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     signed = cut(signatures(rows, bins, band_rows, shingle))
     classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = cut(banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
-    members = cut(banded.join(shared, "key", "left_semi").withColumn("component", F.col("node")))
-    links = tested = texts = found = None
-    centres = 1
-    while not members.isEmpty():
-        edges, rest = _edges(members, centres, percent)
-        edges = cut(edges if tested is None else edges.join(tested, ["a", "b"], "left_anti"))
-        need = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        if texts is None:  # classes in a bucket; later rounds find theirs among the same
-            ids = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-            chosen = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-            texts = cut(sets(chosen, shingle).join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-        new = cut(confirmed(edges, texts.join(need, "node", "left_semi"), percent).select("a", "b"))
-        links = new if links is None else links.unionByName(new)
-        tested = edges if tested is None else tested.unionByName(edges)
-        found = cut(components(links))
-        at = rest.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = cut(at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-        members = cut(at.select("key", "node", "n", "component").join(mixed, "key", "left_semi"))
-        centres *= 4
+    members = _shared(banded.withColumn("component", F.col("node")))
+    ids = cut(signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    chosen = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = cut(sets(chosen, shingle).join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    found = None
+    for centres in (1, 4):
+        edges, members = _edges(members, centres, percent)
+        new = cut(confirmed(edges, texts, percent).select("a", "b"))
+        if not new.isEmpty():
+            found = _joined(found, new)
+        members = _mixed_buckets(members, found)
+    if not members.isEmpty():
+        left = cut(texts.join(members.select("node").distinct(), "node", "left_semi"))
+        members = _mixed_buckets(_shared(rare_buckets(left, percent)), found)
+        new = cut(confirmed(possible(members, bitmaps(left), percent), texts, percent).select("a", "b"))
+        if not new.isEmpty():
+            found = _joined(found, new)
     if found is None:
         found = signed.select("node", F.col("node").alias("component")).limit(0)
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn(
