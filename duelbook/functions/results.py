@@ -109,33 +109,34 @@ def tail(seq: Column, k: int) -> Column:
     return F.right(seq, F.lit(k))
 
 
-def _trailing(seq: Column, pattern: str) -> Column:
-    return F.length(F.regexp_extract(seq, pattern, 0))
+def _trailing(seq: Column, results) -> Column:
+    """Length of the run of ``results`` at the end; linear in the text, whatever stands in it."""
+    return F.length(seq) - F.length(F.rtrim(seq, results))
 
 
 def win_run(seq: Column) -> Column:
     """Trailing wins."""
-    return _trailing(seq, f"{WIN}*$")
+    return _trailing(seq, F.lit(WIN))
 
 
 def unbeaten_run(seq: Column) -> Column:
     """Trailing results without a loss."""
-    return _trailing(seq, f"[^{LOSS}]*$")
+    return _trailing(seq, F.lit(WIN + DRAW))
 
 
 def winless_run(seq: Column) -> Column:
     """Trailing results without a win."""
-    return _trailing(seq, f"[^{WIN}]*$")
+    return _trailing(seq, F.lit(DRAW + LOSS))
 
 
 def drawless_run(seq: Column) -> Column:
     """Trailing results without a draw."""
-    return _trailing(seq, f"[^{DRAW}]*$")
+    return _trailing(seq, F.lit(WIN + LOSS))
 
 
 def same_run(seq: Column) -> Column:
     """Length of the trailing run of equal results."""
-    return _trailing(seq, f"(?:{WIN}+|{DRAW}+|{LOSS}+)$")
+    return _trailing(seq, F.right(seq, F.lit(1)))
 
 
 def best_run(seq: Column, value: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelbook.functions.names import name_key
 from duelbook.functions.results import delta2, trend
 from duelbook.operators import filters
 from duelbook.operators.h2h import RELATION, relation_rows
@@ -21,10 +22,12 @@ def h2h_alerts(h2h: DataFrame, names: DataFrame, history: DataFrame, *, bettable
                excluded: DataFrame | None = None, min_win_pct: float = MIN_WIN_PCT, recent_window: int = RECENT_WINDOW) -> DataFrame:
     """Relations of ``h2h`` (group totals) at or above the win rate, each with its last-N history form.
 
-    ``names`` gives group_id and label per (league, group_no).
+    ``names`` gives group_id and label per (league, group_no). Relations meet the history by the folded keys that ``h2h`` carries;
+    names are folded here only where it has none.
     """
-    rows = h2h.filter(F.col("win_pct") >= min_win_pct).withColumns(
-        {"player_key": F.lower(F.trim("player")), "rival_key": F.lower(F.trim("rival"))})
+    rows = h2h.filter(F.col("win_pct") >= min_win_pct)
+    if "player_key" not in rows.columns:
+        rows = rows.withColumns({"player_key": name_key("player"), "rival_key": name_key("rival")})
     if bettable is not None:
         rows = filters.only_identities(rows, bettable)
     if excluded is not None:
@@ -52,7 +55,7 @@ def h2h_alerts(h2h: DataFrame, names: DataFrame, history: DataFrame, *, bettable
         "recent_window_complete": n >= recent_window,
     })
     return out.select(
-        "league", "group_id", F.col("label").alias("group"), "player", "rival", "wins", "draws", "losses", "matches",
+        "league", "group_id", F.col("label").alias("group"), "player_key", "rival_key", "player", "rival", "wins", "draws", "losses", "matches",
         "win_pct", "draw_pct", "loss_pct", "seq", "sequence_part", "last5", "last10", "win_run", "unbeaten_run",
         "signal", "confidence", "low_sample", "recent_window", "recent_available", "recent_sequence", "recent_wins",
         "recent_draws", "recent_losses", "recent_win_pct", "recent_draw_pct", "recent_loss_pct",

@@ -78,14 +78,14 @@ def on_local_day(df: DataFrame, day) -> DataFrame:
 
 
 def latest(df: DataFrame, limit: int, player: str | None = None, league: str | None = None) -> DataFrame:
-    """The latest N perspectives after filtering (WIN1); a top-N, never a full sort."""
+    """The latest N perspectives after filtering, in rising order (WIN1); a top-N, never a full sort."""
     non_negative_int(limit, "limit")
     if player is not None:
         df = by_player(df, player)
     if league is not None:
         df = by_league(df, league)
     order = [F.col("ts").desc(), F.col("match_id").desc(), F.col("player_key").desc(), F.col("perspective_id").desc()]
-    return df.orderBy(*order).limit(limit)
+    return df.orderBy(*order).limit(limit).orderBy("ts", "match_id", "player_key", "perspective_id")
 
 
 def valid_results(df: DataFrame) -> DataFrame:

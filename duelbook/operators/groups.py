@@ -57,13 +57,20 @@ def group_daily(targets: DataFrame, daily: DataFrame) -> DataFrame:
     return daily.join(a, ["league", "player"]).join(b, ["league", "group_no", "rival"])
 
 
+def among_targets(targets: DataFrame, df: DataFrame) -> DataFrame:
+    """Perspectives between two members of one target group: the few pairs are picked before anything is aggregated."""
+    a = targets.select("league", "group_no", "player")
+    pairs = a.join(a.select("league", "group_no", F.col("player").alias("rival")), ["league", "group_no"]).filter("player <> rival")
+    return df.join(pairs.select("league", "player", "rival").distinct(), ["league", "player", "rival"], "left_semi")
+
+
 def group_h2h(targets: DataFrame, daily: DataFrame) -> DataFrame:
     """Directed totals inside each target group, with the joined daily sequences (AGG7).
 
     ``seq`` comes in numbered parts of about PART_ROWS results when a relation is longer;
     last5/last10 and the trailing runs always describe the end of the whole sequence.
     """
-    keys = ["league", "group_no", "group_size", "player", "rival"]
+    keys = ["league", "group_no", "group_size", "player", "rival", *[c for c in ("player_key", "rival_key") if c in daily.columns]]
     rows = group_daily(targets, daily).groupBy(*keys, "date").agg(
         *[F.sum(c).alias(c) for c in COUNTS], F.max("seq").alias("seq"))
     w = Window.partitionBy(*keys).orderBy("date")

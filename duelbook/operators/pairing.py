@@ -40,25 +40,20 @@ _OUT = ("league_a string, key_a string, league_b string, key_b string, slice lon
         "b_at long, b_match_id string, b_perspective_id string, b_result string, b_rival string")
 
 
-def candidate_pairs(candidates: DataFrame, max_candidates: int | None = None) -> DataFrame:
+def candidate_pairs(candidates: DataFrame) -> DataFrame:
     """Unordered pairs of distinct candidates, oriented by league, name, key.
 
-    Candidates are a top-k result or a hand-written list; their number is checked at run
-    time, so the member array cannot grow with the data.
+    Candidates are a top-k result or a hand-written list of any length; all pairs of the list are the feature. Each candidate
+    meets the later ones of the list by an equi-join on their places.
     """
-    limit = MAX_CANDIDATES if max_candidates is None else max_candidates
     one = candidates.groupBy(*KEYS).agg(F.min_by(F.struct("player", "indicator"), F.col("player")).alias("c"))
-    member = F.struct("league", F.lower("c.player").alias("k"), "player_key", F.col("c.player").alias("player"),
-                      F.coalesce("c.indicator", F.lit("NONE")).alias("indicator"))
-    g = one.agg(F.array_sort(F.collect_list(member)).alias("m"))
-    g = g.withColumn("m", F.when(F.size("m") > limit, F.raise_error(F.lit("more candidates than the declared limit"))).otherwise(F.col("m")))
-    pairs = F.flatten(F.transform("m", lambda a, i: F.transform(
-        F.slice("m", i + 2, F.size("m")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return g.select(F.explode(pairs).alias("p")).select(
-        F.col("p.a.league").alias("league_a"), F.col("p.a.player_key").alias("key_a"), F.col("p.a.player").alias("player_a"),
-        F.col("p.a.indicator").alias("indicator_a"),
-        F.col("p.b.league").alias("league_b"), F.col("p.b.player_key").alias("key_b"), F.col("p.b.player").alias("player_b"),
-        F.col("p.b.indicator").alias("indicator_b"))
+    member = one.select("league", "player_key", F.col("c.player").alias("player"), F.coalesce("c.indicator", F.lit("NONE")).alias("indicator"))
+    order = Window.orderBy("league", F.lower("player"), "player_key", "player")  # the list is as long as its author made it
+    ranked = member.withColumns({"place": F.row_number().over(order), "size": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    names = ("league", "player_key", "player", "indicator")
+    a = ranked.filter("place < size").select(*[F.col(c).alias(f"{c}_a") for c in names], F.explode(F.sequence(F.col("place") + 1, F.col("size").cast("int"))).alias("place"))
+    b = ranked.select("place", *[F.col(c).alias(f"{c}_b") for c in names])
+    return a.join(b, "place").select(*[F.col(f"{c}_{s}").alias(f"{'key' if c == 'player_key' else c}_{s}") for s in "ab" for c in names])
 
 
 def pair_events(df: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -239,13 +234,12 @@ def selection_metadata(eligible: DataFrame, selected: DataFrame, mode: str = "au
 
 
 def coincident_analysis(df: DataFrame, selected: DataFrame, *, reference_time=None, window_hours: int = WINDOW_HOURS,
-                        max_gap_minutes: int = MAX_GAP_MINUTES, excluded: DataFrame | None = None,
-                        max_candidates: int | None = None) -> tuple[DataFrame, DataFrame]:
+                        max_gap_minutes: int = MAX_GAP_MINUTES, excluded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pair headers, matches) for the selected candidates over the window or, without a reference time, the whole history."""
     rows = filters.operational_results(df, excluded)
     if reference_time is not None:
         rows = filters.trailing_hours(rows, reference_time, window_hours)
-    pairs = candidate_pairs(selected, max_candidates)
+    pairs = candidate_pairs(selected)
     matched = coincident_matches(rows, pairs, max_gap_minutes=max_gap_minutes,
                                  window_hours=None if reference_time is None else window_hours)
     return pair_headers(pairs, matched, max_gap_minutes), matched

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duelbook import schemas
 from duelbook.functions.params import positive_int
+from duelbook.functions.names import name_key
 from duelbook.functions.results import RESULTS, balance, count_in, drawless_run, indicator, same_run, tail, unbeaten_run, winless_run
 from duelbook.operators import filters
 from duelbook.operators.runs import whole_sequence
@@ -125,7 +126,10 @@ def current_streak_panel(history: DataFrame, daily: DataFrame, tracked: DataFram
 
 
 def with_status(alerts: DataFrame, panel: DataFrame) -> DataFrame:
-    """Attach the panel's balance mark to rows by (league, lower-cased player) (JN10)."""
-    status = panel.groupBy("league", F.lower(F.trim("player")).alias("_k")).agg(F.max("balance").alias("status"))
-    out = alerts.withColumn("_k", F.lower(F.trim("player"))).join(status, ["league", "_k"], "left").drop("_k")
+    """Attach the panel's balance mark to rows by league and player key (JN10); names are folded where rows have no key."""
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_k", F.col("player_key") if "player_key" in df.columns else name_key("player"))
+
+    status = keyed(panel).groupBy("league", "_k").agg(F.max("balance").alias("status"))
+    out = keyed(alerts).join(status, ["league", "_k"], "left").drop("_k")
     return out.withColumn("player_with_status", F.trim(F.concat_ws(" ", F.when(F.col("status") != "", F.col("status")), F.col("player"))))

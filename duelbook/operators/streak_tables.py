@@ -1,6 +1,7 @@
 """No-draw streak tables over daily sequences (AGG15-AGG19, JN12, SRT8, WIN5, FLT13).
 
-Input rows are one player's day: date, player, wins, draws, losses, played, seq.
+Input rows are one player's day: league, date, player, wins, draws, losses, played, seq. Every table
+keeps the league apart; rows without the column (one league's reports) give tables without it.
 Everything is per row or a plain aggregation that combines map-side.
 """
 
@@ -26,6 +27,10 @@ def round2_ratio(n: Column, d: Column) -> Column:
     return pct2(n, d * 100)
 
 
+def _league(daily: DataFrame) -> list[str]:
+    return [c for c in ("league",) if c in daily.columns]
+
+
 def enough_played(daily: DataFrame, min_played: int = MIN_PLAYED) -> DataFrame:
     return daily.filter(F.col("played") >= positive_int(min_played, "min_played"))
 
@@ -38,7 +43,7 @@ def daily_streaks(daily: DataFrame, min_played: int = MIN_PLAYED) -> DataFrame:
     """Longest and trailing no-draw run of each player-day."""
     seq = F.col("seq")
     return enough_played(daily, min_played).select(
-        "date", "player", "played", "draws",
+        *_league(daily), "date", "player", "played", "draws",
         F.coalesce(F.array_max(_no_draw_lengths(seq)), F.lit(0)).alias("max_no_draw_streak"),
         drawless_run(seq).alias("ending_no_draw_streak"),
     )
@@ -47,16 +52,16 @@ def daily_streaks(daily: DataFrame, min_played: int = MIN_PLAYED) -> DataFrame:
 def no_draw_runs(daily: DataFrame, min_played: int = MIN_PLAYED, min_streak: int = MIN_STREAK) -> DataFrame:
     """(date, player, streak, ended): every no-draw run; ``ended`` when a draw followed that day."""
     rows = enough_played(daily, min_played).select(
-        "date", "player", drawless_run(F.col("seq")).alias("open"),
+        *_league(daily), "date", "player", drawless_run(F.col("seq")).alias("open"),
         F.posexplode(_no_draw_lengths(F.col("seq"))).alias("i", "streak"),
         F.size(_no_draw_lengths(F.col("seq"))).alias("n"),
     )
     ended = ~((F.col("i") == F.col("n") - 1) & (F.col("open") > 0))
-    return rows.filter(F.col("streak") >= min_streak).select("date", "player", "streak", ended.alias("ended"))
+    return rows.filter(F.col("streak") >= min_streak).select(*_league(daily), "date", "player", "streak", ended.alias("ended"))
 
 
 def player_summary(daily: DataFrame, min_played: int = MIN_PLAYED) -> DataFrame:
-    g = enough_played(daily, min_played).groupBy("player").agg(
+    g = enough_played(daily, min_played).groupBy(*_league(daily), "player").agg(
         F.count("*").alias("days"), F.sum("played").alias("matches"),
         F.sum("wins").alias("wins"), F.sum("draws").alias("draws"), F.sum("losses").alias("losses"),
     )
@@ -70,7 +75,7 @@ def player_risk(daily: DataFrame, min_played: int = MIN_PLAYED, max_bets: int =
     """Streak risk per player: one aggregation over player-days gives both the summary and the risk."""
     rows = enough_played(daily, min_played)
     rows = rows.withColumn("top", F.coalesce(F.array_max(_no_draw_lengths(F.col("seq"))), F.lit(0)))
-    g = rows.groupBy("player").agg(
+    g = rows.groupBy(*_league(daily), "player").agg(
         F.count("*").alias("days_analyzed"), F.sum("played").alias("matches_analyzed"), F.sum("draws").alias("_draws"),
         F.max("top").alias("max_streak"), F.sum("top").alias("_tops"),
         *[F.count_if(F.col("top") >= t).alias(f"streaks_{t}_plus") for t, _ in RISK_WEIGHTS],
@@ -88,36 +93,36 @@ def player_risk(daily: DataFrame, min_played: int = MIN_PLAYED, max_bets: int =
         "stability": F.when(score == 0, F.lit("VERY_HIGH")).when(score <= 2, F.lit("HIGH"))
                       .when(score <= 5, F.lit("MEDIUM")).otherwise(F.lit("LOW")),
     }).select(
-        "player", "days_analyzed", "matches_analyzed", "draw_pct", "max_streak", "avg_max_streak",
+        *_league(daily), "player", "days_analyzed", "matches_analyzed", "draw_pct", "max_streak", "avg_max_streak",
         "streaks_18_plus", "streaks_20_plus", "streaks_22_plus", "streaks_25_plus", "recommended_entry",
         "max_bets", "safe_for_strategy", "danger_days_pct", "stability",
     )
 
 
 def streak_distribution(daily: DataFrame, **kwargs) -> DataFrame:
-    return no_draw_runs(daily, **kwargs).groupBy("streak").agg(
+    return no_draw_runs(daily, **kwargs).groupBy(*_league(daily), "streak").agg(
         F.count("*").alias("total_occurrences"), F.count_if("ended").alias("ended_same_day"),
         F.count_if(~F.col("ended")).alias("finished_day_with_streak"),
     )
 
 
 def streak_distribution_by_day(daily: DataFrame, **kwargs) -> DataFrame:
-    return no_draw_runs(daily, **kwargs).groupBy("date", "streak").agg(F.count("*").alias("occurrences"))
+    return no_draw_runs(daily, **kwargs).groupBy(*_league(daily), "date", "streak").agg(F.count("*").alias("occurrences"))
 
 
 def daily_streak_summary(daily: DataFrame, lengths: tuple[int, int] = PIVOT_LENGTHS, **kwargs) -> DataFrame:
-    """One row per day, one column per length; the pivot values are given, so no extra pass finds them."""
-    values = list(range(lengths[0], lengths[1] + 1))
-    p = no_draw_runs(daily, **kwargs).groupBy("date").pivot("streak", values).count().na.fill(0)
-    return p.withColumnsRenamed({str(v): f"streak_{v}" for v in values})
+    """One row per league and day, one column per length, and ``streak_longer`` for all runs beyond the last length."""
+    over = lengths[1] + 1
+    each = [F.count_if(F.col("streak") == v).alias(f"streak_{v}") for v in range(lengths[0], over)]
+    return no_draw_runs(daily, **kwargs).groupBy(*_league(daily), "date").agg(*each, F.count_if(F.col("streak") >= over).alias("streak_longer"))
 
 
 def streak_records(daily: DataFrame, min_played: int = MIN_PLAYED) -> DataFrame:
     return daily_streaks(daily, min_played).drop("ending_no_draw_streak").orderBy(
-        F.desc("max_no_draw_streak"), "player", "date")
+        F.desc("max_no_draw_streak"), "player", "date", *_league(daily))
 
 
 def draw_records(daily: DataFrame, lowest: bool = True, min_played: int = MIN_PLAYED) -> DataFrame:
     first = F.asc("draws") if lowest else F.desc("draws")
-    return enough_played(daily, min_played).select("date", "player", "played", "draws").orderBy(
-        first, F.desc("played"), "player", "date")
+    return enough_played(daily, min_played).select(*_league(daily), "date", "player", "played", "draws").orderBy(
+        first, F.desc("played"), "player", "date", *_league(daily))

@@ -319,9 +319,9 @@ def _daily(spark, sf):
     return d.daily_players(fx.event_perspectives(spark, sf)).withColumn("date", F.date_format("date", "yyyyMMdd"))
 
 
-_D18 = f"""{EV}, {_DAILY}, d18 as (select strftime(date, '%Y%m%d') as date, player, wins, draws, losses, played, seq,
+_D18 = f"""{EV}, {_DAILY}, d18 as (select league, strftime(date, '%Y%m%d') as date, player, wins, draws, losses, played, seq,
   list_transform(list_filter(string_split(seq, 'E'), lambda x: x <> ''), lambda x: length(x)) as lens, {q.trailing('seq', '[^E]*$')} as ending from dly where played >= 18),
-runs as (select date, player, unnest(lens) as streak, generate_subscripts(lens, 1) = len(lens) and ending > 0 as open from d18), r9 as (from runs where streak >= 9)"""
+runs as (select league, date, player, unnest(lens) as streak, generate_subscripts(lens, 1) = len(lens) and ending > 0 as open from d18), r9 as (from runs where streak >= 9)"""
 _TOP = "coalesce(list_max(lens), 0)"
 
 
@@ -329,23 +329,23 @@ def _r2(n: str, d: str) -> str:
     return q.pct2(n, f"({d} * 100)")
 
 
-@register(f"with {_D18} select date, player, played, draws, {_TOP} as max_no_draw_streak, ending as ending_no_draw_streak from d18")
+@register(f"with {_D18} select league, date, player, played, draws, {_TOP} as max_no_draw_streak, ending as ending_no_draw_streak from d18")
 def daily_no_draw_streaks(spark, sf):
     return streak_tables.daily_streaks(_daily(spark, sf))
 
 
-@register(f"""with {_D18}, g as (select player, count(*) as days, cast(sum(played) as bigint) as matches, cast(sum(wins) as bigint) as wins,
-  cast(sum(draws) as bigint) as draws, cast(sum(losses) as bigint) as losses from d18 group by 1)
+@register(f"""with {_D18}, g as (select league, player, count(*) as days, cast(sum(played) as bigint) as matches, cast(sum(wins) as bigint) as wins,
+  cast(sum(draws) as bigint) as draws, cast(sum(losses) as bigint) as losses from d18 group by 1, 2)
 select *, {q.pcts('matches')}, {_r2('matches', 'days')} as avg_matches_day, {_r2('wins', 'days')} as avg_wins_day,
   {_r2('draws', 'days')} as avg_draws_day, {_r2('losses', 'days')} as avg_losses_day from g""")
 def player_day_summary(spark, sf):
     return streak_tables.player_summary(_daily(spark, sf))
 
 
-@register(f"""with {_D18}, t as (select *, {_TOP} as top from d18), g as (select player, count(*) as days_analyzed, cast(sum(played) as bigint) as matches_analyzed,
+@register(f"""with {_D18}, t as (select *, {_TOP} as top from d18), g as (select league, player, count(*) as days_analyzed, cast(sum(played) as bigint) as matches_analyzed,
   cast(sum(draws) as bigint) as dr, max(top) as max_streak, cast(sum(top) as bigint) as tops, {', '.join(f'count(*) filter (where top >= {x}) as streaks_{x}_plus' for x in (18, 20, 22, 25))}
-  from t group by 1), h as (select *, greatest(8, max_streak - 7) as recommended_entry, streaks_18_plus + 2 * streaks_20_plus + 3 * streaks_22_plus + 4 * streaks_25_plus as score from g)
-select player, days_analyzed, matches_analyzed, {q.pct2('dr', 'matches_analyzed')} as draw_pct, max_streak, {_r2('tops', 'days_analyzed')} as avg_max_streak,
+  from t group by 1, 2), h as (select *, greatest(8, max_streak - 7) as recommended_entry, streaks_18_plus + 2 * streaks_20_plus + 3 * streaks_22_plus + 4 * streaks_25_plus as score from g)
+select league, player, days_analyzed, matches_analyzed, {q.pct2('dr', 'matches_analyzed')} as draw_pct, max_streak, {_r2('tops', 'days_analyzed')} as avg_max_streak,
   streaks_18_plus, streaks_20_plus, streaks_22_plus, streaks_25_plus, recommended_entry, 8 as max_bets,
   case when max_streak <= recommended_entry + 7 then 'YES' else 'NO' end as safe_for_strategy, {q.pct2('streaks_18_plus', 'days_analyzed')} as danger_days_pct,
   case when score = 0 then 'VERY_HIGH' when score <= 2 then 'HIGH' when score <= 5 then 'MEDIUM' else 'LOW' end as stability from h""")
@@ -353,33 +353,33 @@ def player_streak_risk(spark, sf):
     return streak_tables.player_risk(_daily(spark, sf))
 
 
-@register(f"""with {_D18} select streak, count(*) as total_occurrences, count(*) filter (where not open) as ended_same_day,
-  count(*) filter (where open) as finished_day_with_streak from r9 group by 1""")
+@register(f"""with {_D18} select league, streak, count(*) as total_occurrences, count(*) filter (where not open) as ended_same_day,
+  count(*) filter (where open) as finished_day_with_streak from r9 group by 1, 2""")
 def streak_distribution(spark, sf):
     return streak_tables.streak_distribution(_daily(spark, sf))
 
 
-@register(f"with {_D18} select date, streak, count(*) as occurrences from r9 group by 1, 2")
+@register(f"with {_D18} select league, date, streak, count(*) as occurrences from r9 group by 1, 2, 3")
 def streak_distribution_by_day(spark, sf):
     return streak_tables.streak_distribution_by_day(_daily(spark, sf))
 
 
-@register(f"with {_D18} select date, {', '.join(f'count(*) filter (where streak = {n}) as streak_{n}' for n in range(9, 31))} from r9 group by 1")
+@register(f"with {_D18} select league, date, {', '.join(f'count(*) filter (where streak = {n}) as streak_{n}' for n in range(9, 31))}, count(*) filter (where streak > 30) as streak_longer from r9 group by 1, 2")
 def daily_streak_summary(spark, sf):
     return streak_tables.daily_streak_summary(_daily(spark, sf))
 
 
-@register(f"with {_D18} select date, player, played, draws, {_TOP} as max_no_draw_streak from d18")
+@register(f"with {_D18} select league, date, player, played, draws, {_TOP} as max_no_draw_streak from d18")
 def streak_records(spark, sf):
     return streak_tables.streak_records(_daily(spark, sf))
 
 
-@register(f"with {_D18} select date, player, played, draws from d18")
+@register(f"with {_D18} select league, date, player, played, draws from d18")
 def draw_records_lowest(spark, sf):
     return streak_tables.draw_records(_daily(spark, sf), lowest=True)
 
 
-@register(f"with {_D18} select date, player, played, draws from d18")
+@register(f"with {_D18} select league, date, player, played, draws from d18")
 def draw_records_highest(spark, sf):
     return streak_tables.draw_records(_daily(spark, sf), lowest=False)
 

@@ -27,7 +27,8 @@ def _targets(spark, size: int = 5):
 
 
 def _h2h(spark, sf):
-    return groups.group_h2h(_targets(spark), _daily(spark, sf))
+    t = _targets(spark)
+    return groups.group_h2h(t, d.daily_rivals(groups.among_targets(t, fx.perspectives(spark, sf)), _day()))
 
 
 def _tg(size: int) -> str:
@@ -47,7 +48,7 @@ _CELL = "wins, draws, losses, matches, win_pct, draw_pct, loss_pct, last5, last1
 
 @register(f"{_WITH} select *, 1 as sequence_part, 1 as sequence_parts from h")
 def group_h2h_totals(spark, sf):
-    return _h2h(spark, sf)
+    return _h2h(spark, sf).drop("player_key", "rival_key")
 
 
 @register(f"{_WITH} select league, group_no, player, rival, {_CELL} from h")
@@ -98,7 +99,7 @@ def group_back_and_lay(spark, sf):
 from pick p join h using (league, group_no, player) qualify place <= 3""")
 def group_matchups(spark, sf):
     h = _h2h(spark, sf)
-    return groups.matchups(groups.back_and_lay(groups.h2h_ranking(_targets(spark), h)), h)
+    return groups.matchups(groups.back_and_lay(groups.h2h_ranking(_targets(spark), h)), h).drop("player_key", "rival_key")
 
 
 @register(f"""with {q.PERSPECTIVES}, {q.TRACKED}, {_tg(5)}, n as (select league, group_no, group_size, list(player order by slot) as m from tg group by all)
@@ -203,7 +204,7 @@ def _alerts(spark, sf):
 
 @register(f"{_WITH}, {_ALERT} from al")
 def h2h_alerts(spark, sf):
-    return _alerts(spark, sf)
+    return _alerts(spark, sf).drop("player_key", "rival_key")
 
 
 @register(f"""{_WITH}, {_ALERT}, {q.EVENTS}, pan as (select player, {q.counts()} from ev where cast({q.madrid('ts')} as date) = date '2024-01-15' group by 1),

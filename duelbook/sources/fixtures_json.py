@@ -16,9 +16,14 @@ LEAGUE, SOURCE_TYPE = "GT", "gt_api"
 
 
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
-    """Landed fixture objects; ``source_file`` and ``source_order`` come from the file."""
-    return spark.read.schema(FIXTURE_SCHEMA).json(path).withColumns(
-        {"source_file": F.col("_metadata.file_name"), "source_order": F.col("_metadata.file_block_start")})
+    """Landed fixture objects; ``source_file`` and ``source_order`` come from the file.
+
+    The order is the file, the block of the file, and the row: a task reads a block from its start on, so row numbers rise
+    with the lines of a block, however the files are dealt to tasks.
+    """
+    return spark.read.schema(FIXTURE_SCHEMA).json(path).select("*", F.col("_metadata.file_name").alias("source_file"), F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")).alias("source_order"))
 
 
 def parse_fixtures(lines: DataFrame, column: str = "json") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from duelbook.functions.times import micros
-from duelbook.operators.merge import conform, reconcile_repair, repair_candidates
+from duelbook.operators.merge import conform, first_per_key, reconcile_repair, repair_candidates
 from duelbook.sources.history import update_history, write_history
 from duelbook.sources.paths import exists
 
@@ -45,7 +45,8 @@ def repair_from(stream: DataFrame, target_day, path: str, staging: str, checkpoi
     """
     def repair(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = repair_candidates(conform(batch.drop("event_ts")), target_day).dropDuplicates(["perspective_id"])
+        new = repair_candidates(conform(batch.drop("event_ts")), target_day)
+        new = first_per_key(new, ["perspective_id"], ["ts", *sorted(c for c in new.columns if c not in ("ts", "perspective_id"))])
         if not exists(spark, path):
             write_history(new, path)
             return

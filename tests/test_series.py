@@ -202,10 +202,21 @@ def test_direct_match_pairs_with_itself_unless_told_otherwise(spark, history):
     assert pairing.coincident_matches(history(rows), pair_of(spark), window_hours=8, exclude_same_match=True).count() == 0
 
 
-def test_too_many_candidates_fail(spark):
-    c = spark.createDataFrame([("GT", f"p{i}", f"P{i}", "NONE") for i in range(9)], "league string, player_key string, player string, indicator string")
-    with pytest.raises(Exception, match="more candidates"):
-        pairing.candidate_pairs(c).collect()
+def test_a_manual_list_has_no_limit(spark):
+    c = spark.createDataFrame([("GT", f"p{i}", f"P{i}", None) for i in range(12)] * 2, "league string, player_key string, player string, indicator string")
+    got = [(r.key_a, r.key_b) for r in pairing.candidate_pairs(c).collect()]
+    assert len(got) == len(set(got)) == 66 and all(a < b for a, b in got)
+    assert pairing.candidate_pairs(c.limit(0)).count() == 0
+
+
+def test_trailing_runs_of_a_long_text(spark):
+    from duelbook.functions import results
+
+    long = "E" + "V" * 100_000 + "D" * 100_000
+    df = spark.createDataFrame([(long,), ("",), ("VED",), ("DEV",), ("VVE",), ("EE",)], "s string")
+    f = (results.win_run, results.unbeaten_run, results.winless_run, results.drawless_run, results.same_run)
+    got = [tuple(r) for r in df.select(*[x(F.col("s")).alias(str(i)) for i, x in enumerate(f)]).collect()]
+    assert got == [(0, 0, 100_000, 200_000, 100_000), (0, 0, 0, 0, 0), (0, 0, 2, 1, 1), (1, 2, 0, 1, 1), (0, 3, 1, 0, 1), (0, 2, 2, 0, 2)]
 
 
 # --- opportunity ------------------------------------------------------------------
