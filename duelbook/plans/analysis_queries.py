@@ -127,12 +127,12 @@ def current_streak_panel(spark, sf):
 
 # --- coincident pairs ---------------------------------------------------------------------
 
-_CPAIRS = """pairs as (select a.league as league_a, a.player_key as key_a, a.player as player_a, a.indicator as indicator_a,
+CANDIDATE_PAIRS = """pairs as (select a.league as league_a, a.player_key as key_a, a.player as player_a, a.indicator as indicator_a,
     b.league as league_b, b.player_key as key_b, b.player as player_b, b.indicator as indicator_b
   from cand a join cand b on (a.league, lower(a.player), a.player_key) < (b.league, lower(b.player), b.player_key))"""
 
 
-def _walk_sql(window: str) -> str:
+def walk_sql(window: str) -> str:
     """Every pair's timeline walked one event at a time with two explicit stacks."""
     ev = "struct_pack(at := ts, m := match_id, p := perspective_id, res := result, riv := rival)"
     return f"""tl as (select *, row_number() over (partition by key_a, key_b order by ts, side, match_id, perspective_id) as i from (
@@ -174,19 +174,29 @@ def _analysis(spark, sf):
                                        excluded=filters.excluded_keys(fx.tracked(spark)))
 
 
-@register(f"with recursive {EV}, {T}, {OPS}, {_SNAP}, {_CAND}, {_CPAIRS}, {_walk_sql(_IN_WINDOW)} {_MATCHED_SQL}")
+@register(f"with recursive {EV}, {T}, {OPS}, {_SNAP}, {_CAND}, {CANDIDATE_PAIRS}, {walk_sql(_IN_WINDOW)} {_MATCHED_SQL}")
 def coincident_matches_in_window(spark, sf):
     return _analysis(spark, sf)[1]
 
 
-@register(f"with recursive {EV}, {T}, {OPS}, {_SNAP}, {_CAND}, {_CPAIRS}, {_walk_sql('')} {_MATCHED_SQL}")
+@register(f"with recursive {EV}, {T}, {OPS}, {_SNAP}, {_CAND}, {CANDIDATE_PAIRS}, {walk_sql('')} {_MATCHED_SQL}")
 def coincident_matches_full_history(spark, sf):
     """The same pairs over their whole histories, slice by slice with hand-over."""
     rows = filters.operational_results(fx.event_perspectives(spark, sf), filters.excluded_keys(fx.tracked(spark)))
     return pairing.coincident_matches(rows, pairing.candidate_pairs(_candidates(spark, sf)))
 
 
-@register(f"""with recursive {EV}, {T}, {OPS}, {_SNAP}, {_CAND}, {_CPAIRS}, {_walk_sql(_IN_WINDOW)}
+@register(f"""with recursive {EV}, {T}, {OPS}, cand as (select league, player_key, player, 'NONE' as indicator from tracked where bettable and league = 'GT'),
+{CANDIDATE_PAIRS}, {walk_sql(_IN_WINDOW)} {_MATCHED_SQL}""")
+def manual_coincident_matches(spark, sf):
+    """All pairs of a hand-written list, which has no limit."""
+    t = fx.tracked(spark)
+    chosen = snapshot.manual_candidates(t, t.filter("league = 'GT'").select("league", "player_key"))
+    return pairing.coincident_analysis(fx.event_perspectives(spark, sf), chosen, reference_time=fx.REFERENCE_TIME,
+                                       excluded=filters.excluded_keys(t))[1]
+
+
+@register(f"""with recursive {EV}, {T}, {OPS}, {_SNAP}, {_CAND}, {CANDIDATE_PAIRS}, {walk_sql(_IN_WINDOW)}
 select pairs.*, coalesce(n, 0) as matches, 30 as max_gap_minutes, 8 as operational_window_hours from pairs
 left join (select key_a, key_b, count(*) as n from hits group by 1, 2) using (key_a, key_b)""")
 def coincident_pair_headers(spark, sf):
@@ -218,7 +228,7 @@ fs as (select *, hp * 0.5::double + rp * 0.3::double + ip * 0.2::double as s fro
 rel as (select league_a, key_a, league_b, key_b, player_a, player_b, round(s, 2) as score,
   case when matches >= 8 and s >= 70 then 'HIGH' when matches >= 5 and s >= 65 then 'MEDIUM' else 'LOW' end as level,
   matches, confirmed, round(hp, 2) as historical_pct, recent_matches, recent_confirmed, round(rp, 2) as recent_pct, round(ip, 2) as indicator_strength from fs)"""
-_REL_WITH = f"with recursive {EV}, {T}, {OPS}, {_SNAP}, {_CAND}, {_CPAIRS}, {_walk_sql(_IN_WINDOW)}, {_REL}"
+_REL_WITH = f"with recursive {EV}, {T}, {OPS}, {_SNAP}, {_CAND}, {CANDIDATE_PAIRS}, {walk_sql(_IN_WINDOW)}, {_REL}"
 
 
 def _reliability(spark, sf):

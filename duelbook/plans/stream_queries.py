@@ -11,18 +11,29 @@ from duelbook.functions.times import from_micros, iso_z
 from duelbook.operators import pairing
 from duelbook.plans import fixture_map as fx
 from duelbook.plans import oracle as q
+from duelbook.plans.analysis_queries import CANDIDATE_PAIRS, walk_sql
 from duelbook.plans.registry import registry
 from duelbook.streaming import ingest, stateful, windows
 
 QUERIES, ORACLE, register = registry()
-_KEEP = "epoch_us(ts) // 1000 < (select max(epoch_us(ts)) // 1000 from ev) - 172800000"
 
 
-def event_stream(spark, sf) -> DataFrame:
-    """The events file as a one-file stream of perspectives."""
+def event_stream(spark, sf, closed: bool = True) -> DataFrame:
+    """The events file as a one-file stream of perspectives.
+
+    ``closed`` adds one row of a league of its own, far in the future: the watermark follows it past the last event, so
+    everything that waits for the watermark comes out. The row itself stays behind the watermark and never does.
+    """
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return fx.events_as_perspectives(raw)
+    rows = fx.events_as_perspectives(raw)
+    if not closed:
+        return rows
+    folder = f"{spark.sparkContext.getCheckpointDir()}/end-{uuid.uuid4().hex}"
+    end = spark.range(1).select(*[F.lit("~").alias(c) for c in rows.columns if c not in ("ts", "result")], F.lit("V").alias("result"),
+                                F.lit("2100-01-01").cast("timestamp_ntz").alias("ts")).select(*rows.columns)
+    end.write.parquet(folder)
+    return rows.unionByName(spark.readStream.schema(end.schema).parquet(folder))
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -37,7 +48,7 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
 @register(f"with {q.EVENTS} select perspective_id, result from ev")
 def stream_unique_perspectives(spark, sf):
     """Every event sent twice, each perspective kept once."""
-    s = event_stream(spark, sf)
+    s = event_stream(spark, sf, closed=False)
     twice = s.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     return drained(ingest.unique_perspectives(twice).select("perspective_id", "result"))
 
@@ -48,20 +59,18 @@ n as (select *, sum(fresh) over (partition by player_key order by {q.ORDER} rows
 se as (select league, player_key, count(*) as played, {q.counts()}, min(ts) as a, max(ts) as z from n group by league, player_key, s)"""
 
 
-@register(f"""with {q.EVENTS}, {_SESS} select league, player_key, played, wins, draws, losses, {q.zulu('a')} as start, {q.zulu('z')} as "end" from se
-where epoch_us(z) + 5400000000 <= ((select max(epoch_us(ts)) from ev) // 1000 - 172800000) * 1000""")
+@register(f"""with {q.EVENTS}, {_SESS} select league, player_key, played, wins, draws, losses, {q.zulu('a')} as start, {q.zulu('z')} as "end" from se""")
 def stream_closed_sessions(spark, sf):
-    """Sessions closed by the watermark two days behind the last event."""
+    """All sessions, each given out when the watermark closes it."""
     s = drained(windows.streaming_sessions(event_stream(spark, sf)).drop("s"))
     return s.withColumns({"start": iso_z(F.col("start")), "end": iso_z(F.col("end"))})
 
 
 @register(f"""with {q.EVENTS}, w as (select ev.*, make_timestamp((epoch_us(ts) // 900000000 - k) * 900000000) as start from ev, range(32) r(k)),
 g as (select league, player_key, start, count(*) as played, {q.counts()} from w group by 1, 2, 3)
-select league, player_key, {q.zulu('start')} as start, played, wins, draws, losses, {q.pcts('played')}, {q.INDICATOR} as indicator from g
-where epoch_us(start) + 28800000000 <= ((select max(epoch_us(ts)) from ev) // 1000 - 172800000) * 1000""")
+select league, player_key, {q.zulu('start')} as start, played, wins, draws, losses, {q.pcts('played')}, {q.INDICATOR} as indicator from g""")
 def stream_sliding_snapshot(spark, sf):
-    """Eight-hour windows every 15 minutes that the watermark has closed."""
+    """Eight-hour windows every 15 minutes, each given out when the watermark closes it."""
     s = windows.sliding_snapshot(event_stream(spark, sf))
     out = drained(s.select("league", "player_key", F.col("window.start").alias("start"), "played", "wins", "draws", "losses",
                            "win_pct", "draw_pct", "loss_pct", "indicator"))
@@ -78,25 +87,25 @@ def _with_rocksdb(spark, build):
         spark.conf.set(name, before)
 
 
-_SETTLED = "epoch_us(ts) <= ((select max(epoch_us(ts)) from ev) // 1000 - 172800000) * 1000"
-
-
 @register(f"""with {q.EVENTS}, o as (select *, row_number() over w as played, case when result = lag(result) over w then 0 else 1 end as fresh,
   count(*) filter (where result = 'V') over (w rows unbounded preceding) as wins, count(*) filter (where result = 'E') over (w rows unbounded preceding) as draws,
   count(*) filter (where result = 'D') over (w rows unbounded preceding) as losses,
   string_agg(result, '') over (w rows between 23 preceding and current row) as last_24
-  from ev where {_SETTLED} window w as (partition by player_key order by {q.ORDER})),
+  from ev window w as (partition by player_key order by {q.ORDER})),
 s as (select *, max(case when fresh = 1 then played end) over (partition by player_key order by {q.ORDER} rows unbounded preceding) as since from o)
 select league, player_key, match_id, epoch_us(ts) as at, played, wins, draws, losses, result as current_streak_result, played - since + 1 as current_streak, last_24 from s""")
 def stream_running_streaks(spark, sf):
-    """Totals and streak after every match the watermark has settled."""
+    """Totals and streak after every match."""
     return _with_rocksdb(spark, lambda: drained(stateful.running_streaks(event_stream(spark, sf))))
 
 
-@register(None)
+@register(f"""with recursive {q.EVENTS}, {q.TRACKED}, ops as (from ev),
+cand as (select league, player_key, player, 'NONE' as indicator from tracked where bettable and league = 'GT'), {CANDIDATE_PAIRS}, {walk_sql('')}
+select concat_ws('|', league_a, h.key_a, league_b, h.key_b) as pair_id, epoch_us(h.a.at) as a_at, h.a.m as a_match_id, h.a.res as a_result,
+  epoch_us(h.b.at) as b_at, h.b.m as b_match_id, h.b.res as b_result, abs(epoch_us(h.a.at) - epoch_us(h.b.at)) // 60000000 as gap_minutes
+from hits h join pairs p using (key_a, key_b)""")
 def stream_running_pairs(spark, sf):
-    """Coincident matches of the most active players, as a stream."""
-    ev = fx.event_perspectives(spark, sf)
-    active = ev.groupBy("league", "player_key", "player").count().orderBy(F.desc("count"), "player_key").limit(4)
-    pairs = pairing.candidate_pairs(active.withColumn("indicator", F.lit("NONE")))
+    """Coincident matches of all pairs of the list, as a stream."""
+    listed = fx.tracked(spark).filter("bettable and league = 'GT'")
+    pairs = pairing.candidate_pairs(listed.withColumn("indicator", F.lit("NONE")))
     return _with_rocksdb(spark, lambda: drained(stateful.running_pairs(event_stream(spark, sf), pairs)))
