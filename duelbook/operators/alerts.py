@@ -25,7 +25,7 @@ def h2h_alerts(h2h: DataFrame, names: DataFrame, history: DataFrame, *, bettable
     ``names`` gives group_id and label per (league, group_no). Relations meet the history by the folded keys that ``h2h`` carries;
     names are folded here only where it has none.
     """
-    rows = h2h.filter(F.col("win_pct") >= min_win_pct)
+    rows = h2h.filter((F.col("win_pct") >= min_win_pct) & (F.col("sequence_part") == 1))  # one alert per relation, however long
     if "player_key" not in rows.columns:
         rows = rows.withColumns({"player_key": name_key("player"), "rival_key": name_key("rival")})
     if bettable is not None:

@@ -26,7 +26,7 @@ OPTIONAL_FIELDS = [
 ]
 HISTORY_SCHEMA = T.StructType(HISTORY_FIELDS + OPTIONAL_FIELDS)
 
-# Raw JSON fixtures; scores stay text so that booleans and malformed numbers can be told apart.
+# Raw JSON fixtures as they are landed; scores stay text so that booleans and malformed numbers can be told apart.
 FIXTURE_SCHEMA = T.StructType([
     _f("id", _S), _f("kickoff", _S),
     _f("participants", T.ArrayType(T.StructType([
@@ -36,6 +36,7 @@ FIXTURE_SCHEMA = T.StructType([
     _f("result", T.StructType([_f("stats", T.StructType([_f("home_score", _S), _f("away_score", _S)]))])),
 ])
 
+# Column orders of the result tables that consumers read by position.
 PLAYER_TOTALS = [
     "league", "player", "played", "wins", "draws", "losses", "win_pct", "draw_pct", "loss_pct",
     "current_streak_result", "current_streak", "best_win_streak", "best_loss_streak",

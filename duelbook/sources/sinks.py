@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duelbook import schemas
 from duelbook.operators import streak_tables as st
 
+# Scope and version that readers of the payload check.
 ANALYSIS_SCOPE = "historical TXT; h2h_alerts are operational JSONL-filtered"
 PAYLOAD_VERSION = 2
 
