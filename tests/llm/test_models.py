@@ -35,7 +35,7 @@ def test_text_outweighs_a_wrong_declaration(llm):
 
 def test_priors_decide_where_the_text_is_silent(llm):
     rows = [("https://a.one.org/x", "de", "")] * 30 + [("https://b.one.org/y", None, "")] * 2 + [("https://c.two.org/z", None, "")] + [("https://d.two.org/z", "en", "")] * 80
-    rows += [("https://e.three.fr/", None, ""), (None, None, None)]
+    rows += [("https://f.four.org/", "fr", "")] * 40 + [("https://e.three.fr/", None, ""), (None, None, None)]
     df = llm.createDataFrame(rows, "url string, declared string, text string")
     out = {r["url"]: r["language_id"] for r in language_id.identify(df, F.col("text"), F.col("declared"), language_id.host_of(F.col("url"))).collect()}
     assert [out[u]["language"] for u in ("https://a.one.org/x", "https://b.one.org/y", "https://c.two.org/z", "https://e.three.fr/", None)] == ["de", "de", "en", "fr", "en"]
