@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelbook.plans import runtime
@@ -56,6 +58,29 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
+def deflate(text: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(text)
+
+
+def inflate(small: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(small)
+
+
+def deflated(text: Column) -> Column:
+    """A binary column compressed, for texts that have to be shuffled."""
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else deflate(t) for t in v.to_pylist()], pa.binary())
+
+    return F.arrow_udf(run, "binary")(text)
+
+
+def inflated(small: Column) -> Column:
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else inflate(t) for t in v.to_pylist()], pa.binary())
+
+    return F.arrow_udf(run, "binary")(small)
+
+
 _WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
 _ODD = tuple(pair for c in _WHITE for pair in (f" {c}", f"{c} "))
 _ODD_ASCII = tuple(p for p in _ODD if p.isascii())
@@ -77,7 +102,7 @@ class ChunkMemo:
     kept, those of the last use first, so the memory of a worker is bounded; what a text becomes never depends on what is kept.
     """
 
-    def __init__(self, learn: Callable[[list[str]], Iterable[Any]], limit: int = 200_000, longest: int = 200):
+    def __init__(self, learn: Callable[[list[str]], Iterable[Any]], limit: int = 100_000, longest: int = 200):
         self.learn, self.limit, self.longest = learn, limit, longest
         self.known: dict[str, Any] = {}
         self.before: dict[str, Any] = {}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import prepare
+from duelbook.llm.common import cut, prepare
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
@@ -149,7 +149,7 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, lang
     """
     spark = prepare(rows.sparkSession)
     names = [c for c in rows.columns if c != into]
-    inner = rows.select(F.struct(*[rows[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), F.coalesce(text, F.lit("")).cast("binary").alias("text"),
+    inner = rows.select(*[rows[c].alias(f"_c{i}") for i, c in enumerate(names)], F.coalesce(text, F.lit("")).cast("binary").alias("text"),
                         F.lower(F.substring(F.coalesce(declared, F.lit("")), 1, 2)).alias("declared"), F.coalesce(host, F.lit("")).alias("host"))
     model = gram_model(inner, languages)
     suffix = F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)).otherwise(F.lit(""))
@@ -159,17 +159,17 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, lang
         return df.withColumn("looks", text_evidence(df, model, F.col("text"))).withColumn("score", _sum(F.col("looks"), said))
 
     seen = evidence(inner.select("text", "declared", "host")).select("host", domain_of(F.col("host")).alias("domain"), posterior(F.col("score")).alias("belief"))
-    priors = host_priors(seen, languages)
-    fused = evidence(inner).join(priors, "host", "left").withColumn("p", posterior(_sum(F.col("score"), F.col("prior"))))
+    priors = cut(host_priors(seen, languages))  # a table of known size: broadcast if it is small, else texts don't travel twice
+    fused = evidence(inner).withColumn("enough", F.octet_length("text") >= 3).drop("text").join(priors, "host", "left").withColumn("p", posterior(_sum(F.col("score"), F.col("prior"))))
     codes = F.array(*[F.lit(c) for c in (*languages, UNKNOWN)])
 
     def best(of: Column) -> Column:
         return F.get(codes, (F.array_position(of, F.array_max(of)) - 1).cast("int"))
 
     language, sure = best(F.col("p")), F.array_max("p")
-    out = F.struct(language.alias("language"), sure.alias("probability"), F.when(F.octet_length("text") >= 3, best(F.col("looks"))).alias("text_language"),
+    out = F.struct(language.alias("language"), sure.alias("probability"), F.when(F.col("enough"), best(F.col("looks"))).alias("text_language"),
                    F.nullif("declared", F.lit("")).alias("declared"), ((language != UNKNOWN) & (sure >= threshold)).alias("kept"))
-    return fused.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], out.alias(into))
+    return fused.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], out.alias(into))
 
 
 def identify_documents(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", source_col: str = "source",
