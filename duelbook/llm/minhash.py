@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import bytes_of, cut, fresh, words_of
+from duelbook.llm.common import bytes_of, cut, deflated, fresh, inflate, words_of
 from duelbook.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -49,7 +49,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
@@ -122,16 +122,16 @@ def signatures(rows: DataFrame, bins: int = BINS, band_rows: int = ROWS, shingle
 
 
 def sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """node, hashes (binary) of rows (doc_id, text_key, text as binary)."""
+    """node, hashes (binary) of rows with ``small``, their compressed texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            found = [s for s in (shingle_set(t, known, shingle) for t in b.column(2).to_pylist()) if len(s)]
+            found = [s for s in (shingle_set(inflate(t), known, shingle) for t in b.column(0).to_pylist()) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
                                              ["node", "hashes"])
 
-    return rows.mapInArrow(run, "node long, hashes binary")
+    return rows.select("small").mapInArrow(run, "node long, hashes binary")
 
 
 def common(a: bytes, b: bytes) -> tuple[int, int]:
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
     members = _shared(banded.withColumn("component", F.col("node")))
     ids = cut(signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    chosen = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = rows.select("doc_id", deflated(F.col("text")).alias("small")).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = cut(sets(chosen, shingle).join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     found = None
     for centres in (1, 4):
