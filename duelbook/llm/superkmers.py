@@ -2,8 +2,8 @@
 
 Every window of ``window`` words has a minimiser, its least-hashed run of ``minimiser`` words. Consecutive windows
 with the same minimiser overlap, so they travel together as one packed string (the words they cover) to the
-minimiser's bucket. Equal windows have equal minimisers and meet there; sorting the windows of a bucket finds
-for each the least document it starts in. What is said about a packed string is kept per place in its document:
+minimiser's bucket, all that a map task has for one bucket as one compressed block. Equal windows have equal minimisers and meet
+there; sorting the windows of a bucket finds for each the least document it starts in. What is said about a packed string is kept per place in its document:
 spans of words to remove.
 
 Copies are combined before they travel: of equal packed strings in a map task only the one of the least document goes
@@ -17,19 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import bytes_of, fresh, words_of
+from duelbook.llm.common import bytes_of, deflated, fresh, inflate, inflated, words_of
 from duelbook.llm.minhash import WordHashes, _mixed
 
-WINDOW, MINIMISER = 13, 4
+WINDOW, MINIMISER = 13, 3
 #: Bytes of text that a map task combines together.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Windows of one bucket that are sorted at a time; a larger bucket is sorted in several passes, by a hash of the window.
 SORTED = 1_000_000
 _MULT = np.uint64(0xD6E8FEB86659FD93)
-SPANS = "bucket long, packed binary, doc_id long, text_key long, start int, stop int"
+#: Buckets of a shuffle partition: one bucket at a time is in memory.
+BUCKETS = 4
 
 
 def super_kmers(hashes: np.ndarray, window: int = WINDOW, minimiser: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,23 +49,50 @@ def super_kmers(hashes: np.ndarray, window: int = WINDOW, minimiser: int = MINIM
     return least[first].view(np.int64), first, last + window
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in SPANS.split(", ")])
+def pack_rows(packed: list[bytes], minimisers: np.ndarray, docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, settled: np.ndarray) -> bytes:
+    """Super-k-mers (packed string, minimiser, doc_id, text_key, first word) and settled spans (rows of doc_id, text_key, start, stop), compressed."""
+    text = b"\n".join(packed)
+    head = np.array([len(packed), len(settled)], "<i8").tobytes()
+    parts = (minimisers.astype("<u4"), docs.astype("<i8"), keys.astype("<u4"), starts.astype("<i4"), settled.astype("<i8"))
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(p.tobytes() for p in parts) + text)
 
 
-def travellers(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Packed strings on their way (bucket: the minimiser), and spans that are settled already (no packed string; bucket: the document)."""
+def unpack_rows(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, s = np.frombuffer(raw, "<i8", 2).tolist()
+    at, out = 16, []
+    for kind, many in (("<u4", n), ("<i8", n), ("<u4", n), ("<i4", n), ("<i8", 4 * s)):
+        out.append(np.frombuffer(raw, kind, many, at))
+        at += out[-1].nbytes
+    return raw[at:].split(b"\n") if n else [], out[0], out[1], out[2], out[3], out[4].reshape(-1, 4)
+
+
+def travellers(rows: DataFrame, buckets: int, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
+    """bucket, rows (binary, see ``pack_rows``): what a map task sends to each bucket, a chunk of texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, best, settled, held = WordHashes(), {}, [], 0
+        known, best, again, settled, held = WordHashes(), {}, [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            out = [(bucket, packed, d, k, a, z) for packed, (bucket, d, k, a, z) in best.items()] + settled
-            for i in range(0, len(out), 20_000):
-                yield _batch(out[i:i + 20_000])
+            strings = [*best, *(a[0] for a in again)]
+            sent = np.array([*best.values(), *(a[1:] for a in again)], np.int64).reshape(-1, 4)
+            done = np.array(settled, np.int64).reshape(-1, 4)
+            to, done_to = sent[:, 0].view(np.uint64) % np.uint64(buckets), done[:, 0].view(np.uint64) % np.uint64(buckets)
+            order, done_order = np.argsort(to, kind="stable"), np.argsort(done_to, kind="stable")
+            names = np.union1d(to, done_to)
+            cuts = np.searchsorted(to[order], names, "left"), np.searchsorted(to[order], names, "right")
+            done_cuts = np.searchsorted(done_to[done_order], names, "left"), np.searchsorted(done_to[done_order], names, "right")
+            out: tuple[list, list] = ([], [])
+            for i, name in enumerate(names.tolist()):
+                at = order[cuts[0][i]:cuts[1][i]]
+                mine = sent[at]
+                out[0].append(name)
+                out[1].append(pack_rows([strings[k] for k in at.tolist()], mine[:, 0].view(np.uint64) >> np.uint64(32), mine[:, 1], mine[:, 2], mine[:, 3],
+                                        done[done_order[done_cuts[0][i]:done_cuts[1][i]]]))
+            if len(names):
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "rows"])
             best.clear()
+            again.clear()
             settled.clear()
 
         for b in batches:
@@ -76,21 +105,21 @@ def travellers(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER
                     packed = b" ".join(words[a:z])
                     other = best.get(packed)
                     if other is None:
-                        best[packed] = (bucket, doc, key, a, z)
+                        best[packed] = (bucket, doc, key, a)
                     elif other[1] < doc:
-                        settled.append((doc, None, doc, key, a, z))
+                        settled.append((doc, key, a, z))
                     elif other[1] > doc:
-                        settled.append((other[1], None, *other[1:]))
-                        best[packed] = (bucket, doc, key, a, z)
-                    elif other[2:4] != (key, a):  # the same document again: both go on
-                        settled.append((bucket, packed, doc, key, a, z))
+                        settled.append((*other[1:], other[3] + z - a))
+                        best[packed] = (bucket, doc, key, a)
+                    elif other[2:] != (key, a):  # the same document again: both go on
+                        again.append((packed, bucket, doc, key, a))
                 held += len(text)
-                if held > chunk_bytes:
+                if held > CHUNK_BYTES:
                     yield from flush()
                     held = 0
         yield from flush()
 
-    return rows.mapInArrow(run, SPANS)
+    return rows.mapInArrow(run, "bucket long, rows binary")
 
 
 def windows_of(packed: bytes, window: int) -> list[bytes]:
@@ -101,14 +130,14 @@ def windows_of(packed: bytes, window: int) -> list[bytes]:
 
 
 def settle(group: list[tuple], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(doc_id, text_key, first word, end word) of what is to be removed, from one bucket: (packed, doc_id, text_key, start, stop)."""
+    """(doc_id, text_key, first word, end word) of what is to be removed, from what shares a minimiser: (packed, doc_id, text_key, start)."""
     if len({g[1] for g in group}) < 2:
         return []
     whole: dict[bytes, int] = {}
     for g in group:
         if whole.get(g[0], g[1]) >= g[1]:
             whole[g[0]] = g[1]
-    out = [g[1:] for g in group if whole[g[0]] < g[1]]
+    out = [(*g[1:], g[3] + g[0].count(b" ") + 1) for g in group if whole[g[0]] < g[1]]
     left = {g[0]: g for g in group if whole[g[0]] == g[1]}
     if len(left) < 2:
         own = []
@@ -141,23 +170,34 @@ def settle(group: list[tuple], window: int = WINDOW) -> list[tuple[int, int, int
 
 def spans(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """doc_id, text_key, start, stop: word spans to remove, of rows (doc_id, text_key, text as binary)."""
-    sent = travellers(rows, window, minimiser)
-    dealt = sent.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    buckets = BUCKETS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = travellers(rows, buckets, window, minimiser).repartition(F.col("bucket")).sortWithinPartitions("bucket")
+
+    def sort_bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack_rows(b) for b in blobs]
+        for p in parts:
+            yield _spans(p[5].tolist())
+        strings = [s for p in parts for s in p[0]]
+        minimisers, docs, keys, starts = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0) for i in range(1, 5))
+        order = np.argsort(minimisers, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(minimisers[order])) + 1, len(order))
+        out, first = [], 0
+        docs, keys, starts, order = docs.tolist(), keys.tolist(), starts.tolist(), order.tolist()
+        for end in ends.tolist():
+            if end - first > 1:
+                out += settle([(strings[i], docs[i], keys[i], starts[i]) for i in order[first:end]], window)
+            first = end
+        yield _spans(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, group = None, []
+        bucket, blobs = None, []
         for b in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[1] is None:
-                    out.append(row[2:])
-                    continue
-                if row[0] != bucket:
-                    out += settle(group, window)
-                    bucket, group = row[0], []
-                group.append(row[1:])
-            yield _spans(out)
-        yield _spans(settle(group, window))
+            for name, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if name != bucket:
+                    yield from sort_bucket(blobs)
+                    bucket, blobs = name, []
+                blobs.append(blob)
+        yield from sort_bucket(blobs)
 
     return dealt.mapInArrow(run, "doc_id long, text_key long, start int, stop int")
 
@@ -181,7 +221,7 @@ def kept_words(text: bytes, starts: list[int], stops: list[int]) -> tuple[list[b
 def _removal(text: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
     kept, n, removed = [], [], []
     for t, a, z in zip(text.to_pylist(), starts.to_pylist(), stops.to_pylist(), strict=True):
-        words, all_ = kept_words(t, a or [], z or [])
+        words, all_ = kept_words(inflate(t), a or [], z or [])
         kept.append(b" ".join(words))
         n.append(all_)
         removed.append(all_ - len(words))
@@ -199,12 +239,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     """
     doc, key = fresh(docs, "doc"), fresh(docs, "key")
     last = F.lit(2**63 - 1)
-    keyed = docs.withColumns({doc: F.coalesce(docs[id_col].cast("long"), last), key: F.xxhash64(bytes_of(text_col))})
+    keyed = docs.withColumns({doc: F.coalesce(docs[id_col].cast("long"), last), key: F.xxhash64(bytes_of(text_col)).bitwiseAND(F.lit(0xFFFFFFFF))})
     rows = keyed.select(F.col(doc).alias("doc_id"), F.col(key).alias("text_key"), bytes_of(text_col).alias("text"))
     starts, stops = fresh(docs, "starts"), fresh(docs, "stops")
     found = spans(rows, window, minimiser).groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(
         F.collect_set(F.struct("start", "stop")).alias(starts))
     found = found.select(doc, key, F.col(f"{starts}.start").alias(starts), F.col(f"{starts}.stop").alias(stops))
-    joined = keyed.join(found, [doc, key], "left")
-    return joined.withColumn(into, F.arrow_udf(_removal, "kept binary, n_words long, n_removed long")(bytes_of(text_col), F.col(starts), F.col(stops))).select(
-        *[c for c in docs.columns if c != into], into)
+    # Texts meet their spans compressed; whoever doesn't look at the text column doesn't pay for its return.
+    small, null = fresh(docs, "small"), fresh(docs, "null")
+    sent = keyed.withColumns({small: deflated(bytes_of(text_col)), null: F.col(text_col).isNull()}).drop(text_col)
+    joined = sent.join(found, [doc, key], "left")
+    back = F.when(~F.col(null), inflated(F.col(small)).cast("string"))
+    removal = F.arrow_udf(_removal, "kept binary, n_words long, n_removed long")(F.col(small), F.col(starts), F.col(stops))
+    return joined.withColumns({text_col: back, into: removal}).select(*[c for c in docs.columns if c != into], into)

@@ -50,7 +50,7 @@ def test_repeats_with_tiny_chunks(llm, monkeypatch):
 
 def test_settle_in_passes(monkeypatch):
     rng = random.Random(4)
-    group = [(words(rng, rng.randint(13, 20), 3).encode(), d, 0, 0, 20) for d in range(300)]
+    group = [(words(rng, rng.randint(13, 20), 3).encode(), d, 0, 0) for d in range(300)]
     once = sorted(superkmers.settle(group))
     monkeypatch.setattr(superkmers, "SORTED", 100)
     assert sorted(superkmers.settle(group)) == once
