@@ -7,7 +7,8 @@ transducer is determinised while it is used. A state stands for all open paths:
 of what was read (every open walk is a suffix of it) and, for each place where such a walk began, the token before it.
 An arc tells the one token that ends here on a path without a crossing merge. Which of them belong to the output is
 certain where all open paths agree, at the latest one longest token later; long matches give them out there.
-States are kept up to ``limit``.
+The first ``limit`` states get a name and keep their arcs, which covers
+the frequent ones; any other is held as it is.
 
 Decoding joins the tokens' bytes through an incremental UTF-8 automaton, which gives out whole characters only.
 """
@@ -43,8 +44,10 @@ class Transducer:
 
     #: Bytes of a match after which the certain tokens are given out.
     FLUSH = 1024
+    #: Bytes of a match whose states may get names.
+    KEEP = 40
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
         self.ranks, self.limit = ranks, limit
         self.token = {rank: token for token, rank in ranks.items()}
         self.size = max(self.token) + 2
@@ -67,9 +70,6 @@ class Transducer:
         self.ending: dict[int, tuple] = {0: ()}
         self.sides: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.forget()
-
-    def forget(self) -> None:
         start = (0, (NONE,))
         self.states, self.number, self.arcs = [start], {start: 0}, {}
 
@@ -175,31 +175,45 @@ class Transducer:
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        """Tokens of one match. A match that is a token as a whole is that token."""
+        """Tokens of one match. A match that is a token as a whole is that token.
+
+        Named states and their arcs are followed as far as they go. From there on, the state is only held, as the node and the
+        tokens that end at the bytes before.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.limit:
-            self.forget()
-        out, last, state, arcs = [], [], 0, self.arcs
-        for byte in piece:
-            found = arcs.get(state << 8 | byte) or self.arc(state, byte)
+        last, state, arcs, at = [], 0, self.arcs, 0
+        for at, byte in enumerate(piece):  # noqa: B007
+            found = arcs.get(state << 8 | byte)
+            if found is None:
+                if len(self.states) >= self.limit or at > self.KEEP:
+                    break
+                found = self.arc(state, byte)
             state = found[0]
             last.append(found[1])
-            if len(last) >= self.FLUSH:
-                n = len(last)
-                opened = [self.path(last, n - k) for k in range(len(self.states[state][1]))]
+        else:
+            return self.path(last, len(last))
+        out, edge, node, size = [], NONE, self.states[state][0], self.size
+        trie, ending, pairs = self.trie, self.ending, self.pairs
+        for byte in piece[at:]:
+            node = trie.get(node << 8 | byte) or self.goto(node, byte)
+            n = len(last)
+            for t, length in ending.get(node) or self.tokens_ending(node):
+                before = last[n - length] if length <= n else edge
+                fits = pairs.get(before * size + t)
+                if fits or fits is None and self.follows(before, t):
+                    break
+            last.append(t)
+            if n >= self.FLUSH:
+                opened = [self.path(last, n + 1 - k) for k in range(self.depth[node] + 1)]
                 same = 0
                 while all(len(p) > same and p[same] == opened[0][same] for p in opened):
                     same += 1
-                out += opened[0][:same]
-                last = last[sum(len(self.token[t]) for t in opened[0][:same]):]
-                if len(self.states) > 2 * self.limit:  # a very long match: only the present state stays
-                    here = self.states[state]
-                    self.forget()
-                    arcs, state = self.arcs, self.number.setdefault(here, len(self.states))
-                    if state == len(self.states):
-                        self.states.append(here)
+                if same:
+                    out += opened[0][:same]
+                    edge = out[-1]
+                    last = last[sum(len(self.token[t]) for t in opened[0][:same]):]
         return out + self.path(last, len(last))
 
 
@@ -290,23 +304,27 @@ def decode_stream(ids: list[int], token: dict[int, bytes], stream: Utf8Stream |
 
 @lru_cache(4)
 def _coder(path: str, pattern: str) -> tuple[Transducer, ChunkMemo, Utf8Stream, set[int]]:
-    t, match, words = Transducer(read_ranks(path)), regex.compile(pattern), {}
+    t, match, words, before = Transducer(read_ranks(path)), regex.compile(pattern), {}, {}
 
     def word(m: str) -> bytes:
         found = words.get(m)
         if found is None:
-            ids = t.encode(m.encode("utf-8", "replace"))
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = before.get(m)
+            if found is None:
+                ids = t.encode(m.encode("utf-8", "replace"))
+                found = struct.pack(f"<{len(ids)}I", *ids)
             if len(m) <= 100:
                 words[m] = found
         return found
 
     def learn(chunks: list[str]) -> list[bytes]:
-        if len(words) > 500_000:
+        if len(words) > 100_000:
+            before.clear()
+            before.update(words)
             words.clear()
         return [b"".join([word(m) for m in match.findall(c)]) for c in chunks]
 
-    return t, ChunkMemo(learn), Utf8Stream(), between(t.token)
+    return t, ChunkMemo(learn, 400_000), Utf8Stream(), between(t.token)
 
 
 def encode(text: Column, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> Column:
