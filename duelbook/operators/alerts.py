@@ -20,12 +20,12 @@ TREND_THRESHOLD = 5.0
 
 def h2h_alerts(h2h: DataFrame, names: DataFrame, history: DataFrame, *, bettable: DataFrame | None = None,
                excluded: DataFrame | None = None, min_win_pct: float = MIN_WIN_PCT, recent_window: int = RECENT_WINDOW) -> DataFrame:
-    """Relations of ``h2h`` (group totals) at or above the win rate, each with its last-N history form.
+    """Relations of ``h2h`` (group totals) at or above the win rate, each with its whole sequence and its last-N history form.
 
     ``names`` gives group_id and label per (league, group_no). Relations meet the history by the folded keys that ``h2h`` carries;
     names are folded here only where it has none.
     """
-    rows = h2h.filter((F.col("win_pct") >= min_win_pct) & (F.col("sequence_part") == 1))  # one alert per relation, however long
+    rows = h2h.filter(F.col("win_pct") >= min_win_pct)
     if "player_key" not in rows.columns:
         rows = rows.withColumns({"player_key": name_key("player"), "rival_key": name_key("rival")})
     if bettable is not None:

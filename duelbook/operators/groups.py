@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from duelbook.functions.names import group_label, group_slug
 from duelbook.functions.params import positive_int
 from duelbook.functions.results import count_in, pct_exact, tail, unbeaten_run, win_run
-from duelbook.operators.runs import PART_ROWS
 
 GROUP_SIZE = 5
 COUNTS = ("wins", "draws", "losses")
@@ -64,39 +63,36 @@ def among_targets(targets: DataFrame, df: DataFrame) -> DataFrame:
     return df.join(pairs.select("league", "player", "rival").distinct(), ["league", "player", "rival"], "left_semi")
 
 
+def relation_days(targets: DataFrame, daily: DataFrame) -> DataFrame:
+    """One row per directed relation of a target group and day: counts and the day's sequence, whatever the relation's size."""
+    keys = ["league", "group_no", "group_size", "player", "rival", *[c for c in ("player_key", "rival_key") if c in daily.columns]]
+    return group_daily(targets, daily).groupBy(*keys, "date").agg(
+        *[F.sum(c).alias(c) for c in COUNTS], F.coalesce(F.max("seq"), F.lit("")).alias("seq"))
+
+
 def group_h2h(targets: DataFrame, daily: DataFrame) -> DataFrame:
-    """Directed totals inside each target group, with the joined daily sequences (AGG7).
+    """Directed totals inside each target group, with the joined daily sequences (AGG7): one row per relation, of any size.
 
-    ``seq`` comes in numbered parts of about PART_ROWS results when a relation is longer;
-    last5/last10 and the trailing runs always describe the end of the whole sequence.
+    ``seq`` is whole, a byte per result; ``sequence_part`` and ``sequence_parts`` are 1 always. Who doesn't select it doesn't
+    build it. ``relation_days`` holds the same text in rows of a day.
     """
-    keys = ["league", "group_no", "group_size", "player", "rival", *[c for c in ("player_key", "rival_key") if c in daily.columns]]
-    rows = group_daily(targets, daily).groupBy(*keys, "date").agg(
-        *[F.sum(c).alias(c) for c in COUNTS], F.max("seq").alias("seq"))
-    w = Window.partitionBy(*keys).orderBy("date")
-    before = F.sum(F.length("seq")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.length("seq")
-    rows = rows.withColumn("part", F.floor(before / PART_ROWS))
+    days = relation_days(targets, daily)
+    keys = [c for c in days.columns if c not in (*COUNTS, "date", "seq")]
     text = F.array_sort(F.collect_list(F.struct("date", "seq")))
-    parts = rows.groupBy(*keys, "part").agg(
+    h = days.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in COUNTS], F.array_join(F.transform(text, lambda d: d["seq"]), "").alias("seq"))
-    whole = Window.partitionBy(*keys)
-    ordered = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = parts.select(
-        *keys, *[F.sum(c).over(whole).alias(c) for c in COUNTS], "seq",
-        (F.col("part") + 1).cast("int").alias("sequence_part"), F.count("*").over(whole).cast("int").alias("sequence_parts"),
-        F.last("seq").over(ordered).alias("_end"),
-    )
     total = F.col("wins") + F.col("draws") + F.col("losses")
-    return parts.withColumn("matches", total).filter("matches > 0").withColumns({
+    return h.withColumn("matches", total).filter("matches > 0").withColumns({
+        "sequence_part": F.lit(1), "sequence_parts": F.lit(1),
         "win_pct": pct_exact(F.col("wins"), F.col("matches")), "draw_pct": pct_exact(F.col("draws"), F.col("matches")),
-        "loss_pct": pct_exact(F.col("losses"), F.col("matches")), "last5": tail(F.col("_end"), 5),
-        "last10": tail(F.col("_end"), 10), "win_run": win_run(F.col("_end")), "unbeaten_run": unbeaten_run(F.col("_end")),
-    }).drop("_end")
+        "loss_pct": pct_exact(F.col("losses"), F.col("matches")), "last5": tail(F.col("seq"), 5),
+        "last10": tail(F.col("seq"), 10), "win_run": win_run(F.col("seq")), "unbeaten_run": unbeaten_run(F.col("seq")),
+    })
 
 
 def one_row(h2h: DataFrame) -> DataFrame:
-    """The relation rows without their sequence text: exactly one per relation."""
-    return h2h.filter("sequence_part = 1").drop("seq", "sequence_part", "sequence_parts")
+    """The relation rows without their sequence text."""
+    return h2h.drop("seq", "sequence_part", "sequence_parts")
 
 
 def _scores(targets: DataFrame, h2h: DataFrame) -> DataFrame:

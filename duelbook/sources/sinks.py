@@ -62,9 +62,9 @@ def groups_payload(names: DataFrame, h2h: DataFrame, power: DataFrame, dominance
         rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("r"))))
         return df.groupBy(*by).agg(F.transform(rows, lambda x: x["r"]).alias(name))
 
-    cell = ["rival", "wins", "draws", "losses", "matches", "win_pct", "draw_pct", "loss_pct", "seq", "sequence_part",
+    cell = ["rival", "wins", "draws", "losses", "matches", "win_pct", "draw_pct", "loss_pct", "seq",
             "last5", "last10", "win_run", "unbeaten_run"]
-    matrix = nested(nested(h2h, ["rival", "sequence_part"], cell, "rivals", ["player"]), ["player"], ["player", "rivals"], "h2h_matrix")
+    matrix = nested(nested(h2h, ["rival"], cell, "rivals", ["player"]), ["player"], ["player", "rivals"], "h2h_matrix")
     up = nested(matchups, ["place"], ["rival", "win_pct", "matches"], "matchups", ["side"])
     bets = nested(picks.join(up, key + ["side"], "left"), ["side"], ["side", "player", "score", "matches", "weighted_score", "matchups"], "betting")
     per_kind = nested(totals, ["player"], ["player", "wins", "draws", "losses", "win_pct", "loss_pct"], "totals", ["kind"])
