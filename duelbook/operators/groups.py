@@ -73,21 +73,39 @@ def relation_days(targets: DataFrame, daily: DataFrame) -> DataFrame:
 def group_h2h(targets: DataFrame, daily: DataFrame) -> DataFrame:
     """Directed totals inside each target group, with the joined daily sequences (AGG7): one row per relation, of any size.
 
-    ``seq`` is whole, a byte per result; ``sequence_part`` and ``sequence_parts`` are 1 always. Who doesn't select it doesn't
-    build it. ``relation_days`` holds the same text in rows of a day.
+    last5/last10 and the trailing runs are stitched from the days: the days that hold the last ten results, and the days since
+    a run was last broken. ``seq`` is whole, a byte per result; ``sequence_part`` and ``sequence_parts`` are 1 always. Who
+    doesn't select it doesn't build it. ``relation_days`` holds the same text in rows of a day.
     """
     days = relation_days(targets, daily)
     keys = [c for c in days.columns if c not in (*COUNTS, "date", "seq")]
-    text = F.array_sort(F.collect_list(F.struct("date", "seq")))
+    days = days.withColumns({
+        "_n": F.length("seq"), "_end": tail(F.col("seq"), 10), "_win": win_run(F.col("seq")), "_unbeaten": unbeaten_run(F.col("seq"))})
+    whole = Window.partitionBy(*keys)
+    later = F.coalesce(F.sum("_n").over(whole.orderBy("date").rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+
+    def broken(run: str) -> Column:
+        return F.max(F.when(F.col(run) < F.col("_n"), F.col("date"))).over(whole)
+
+    def trailing(run: str) -> Column:
+        since = F.col(f"{run}_broken")
+        return F.sum(F.when(since.isNull() | (F.col("date") >= since), F.col(run)).otherwise(0)).cast("int")
+
+    def joined(text: Column, when: Column | None = None) -> Column:
+        day = F.struct("date", text.alias("text"))
+        ordered = F.array_sort(F.collect_list(day if when is None else F.when(when, day)))
+        return F.array_join(F.transform(ordered, lambda d: d["text"]), "")
+
+    days = days.withColumns({"_later": later, "_win_broken": broken("_win"), "_unbeaten_broken": broken("_unbeaten")})
     h = days.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in COUNTS], F.array_join(F.transform(text, lambda d: d["seq"]), "").alias("seq"))
+        *[F.sum(c).alias(c) for c in COUNTS], joined(F.col("seq")).alias("seq"), joined(F.col("_end"), F.col("_later") < 10).alias("_end"),
+        trailing("_win").alias("win_run"), trailing("_unbeaten").alias("unbeaten_run"))
     total = F.col("wins") + F.col("draws") + F.col("losses")
     return h.withColumn("matches", total).filter("matches > 0").withColumns({
         "sequence_part": F.lit(1), "sequence_parts": F.lit(1),
         "win_pct": pct_exact(F.col("wins"), F.col("matches")), "draw_pct": pct_exact(F.col("draws"), F.col("matches")),
-        "loss_pct": pct_exact(F.col("losses"), F.col("matches")), "last5": tail(F.col("seq"), 5),
-        "last10": tail(F.col("seq"), 10), "win_run": win_run(F.col("seq")), "unbeaten_run": unbeaten_run(F.col("seq")),
-    })
+        "loss_pct": pct_exact(F.col("losses"), F.col("matches")), "last5": tail(F.col("_end"), 5), "last10": tail(F.col("_end"), 10),
+    }).drop("_end")
 
 
 def one_row(h2h: DataFrame) -> DataFrame:

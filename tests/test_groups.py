@@ -44,3 +44,15 @@ def test_an_alert_carries_the_whole_sequence(history, targets, small_parts):
     assert [(r.player, r.seq, r.sequence_part, r.matches) for r in got] == [("A", text, 1, 95)]
     totals = by(h2h_of(targets, df), "player")
     assert totals["A"].seq == text and totals["A"].sequence_parts == 1 and h2h_of(targets, df).count() == 2
+
+
+@pytest.mark.parametrize("text", [
+    "V" * 30 + "D" + "V" * 43,  # a run over several parts and days, broken within a day
+    "D" * 60 + "VEV",  # the last day holds three results
+    "VE" * 33 + "E",  # never beaten
+    "V" * 45 + "D" * 18,  # broken at the very end
+])
+def test_the_end_of_a_relation_is_that_of_the_whole_sequence(history, targets, small_parts, text):
+    a = [r for r in h2h_of(targets, history(results(text))).collect() if r.player == "A"]
+    want = (text[-5:], text[-10:], len(text) - len(text.rstrip("V")), len(text) - len(text.rstrip("VE")))
+    assert a and all((r.last5, r.last10, r.win_run, r.unbeaten_run) == want for r in a)
