@@ -132,14 +132,17 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE,
         latent: int = LATENT, folds: int = FOLDS) -> Model:
-    """Learn from documents whose label is 0 or 1 (several labels of one id: the least) and that aren't held out."""
+    """Learn from documents whose label is 0 or 1 (several labels of one id: the least; several texts: that of the least hash) and
+    that aren't held out."""
     n, seen = document_frequencies(docs.select(bytes_of(text_col)))
     idf = np.log((1 + n) / (1 + seen)) + 1
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(
         ~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.min("y").alias("y"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("y = 0").orderBy(*order).limit(sample).unionByName(known.where("y = 1").orderBy(*order).limit(sample))
-    rows = docs.select(docs[id_col].alias("doc_id"), bytes_of(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
+    rows = docs.select(docs[id_col].alias("doc_id"), bytes_of(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # Copies of an id are combined before they travel; 2 * sample rows at most are left.
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")).select("doc_id", "y", "least.text")
     schema = "doc_id long, y int, term array<long>, weight array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,6 +155,15 @@ def test_quality_awkward(awkward, nothing, llm):
     assert quality_knn.classify(nothing, labels).count() == 0
 
 
+def test_a_repeated_id_is_learnt_from_once(llm):
+    docs = [(1, "plain words of a text"), (2, "OTHER signs !!! ???"), (5, "more plain words here")]
+    labels = llm.createDataFrame([(1, 1), (2, 0), (5, 1)], "doc_id long, quality int")
+    held = [r["doc_id"] for r in labels.where(quality_knn.held_out(F.col("doc_id"))).collect()]
+    many = llm.createDataFrame(docs + [docs[1]] * 300 + [(2, f"OTHER {i} ??") for i in range(50)], "doc_id long, text string")
+    model = quality_knn.fit(many, labels)
+    assert 2 not in held and len(model.labels) == len(docs) - len(held) and len(model.vectors) == len(model.labels)
+
+
 def test_stages_take_effect(llm):
     """Every stage against its operator's own decision, on the documents that reach it."""
     docs = llm.read.parquet(f"{SF}/documents.parquet").withColumn("note", F.lit("n"))
