@@ -1,7 +1,8 @@
 """Quality classifier: similarity-weighted vote of the nearest labelled documents in a latent-semantic space.
 
-A text's terms are the trigrams of its character shapes (letters, capitals, digits, white space, each sign), and a few
-terms that tell how much it repeats itself and how long its words and lines are. Document frequencies come from all documents.
+A text's terms are the trigrams of its character shapes (letters, capitals, digits, white space, each sign), its words
+(hashed, of letters and digits only, in small letters), and a few terms that tell how much it repeats itself and how long its words and lines are.
+Document frequencies come from all documents.
 A bounded sample of labelled documents gives the latent-semantic basis (randomised SVD of their tf-idf rows) and
 the labelled vectors, both broadcast; every document is projected, multiplied with all labelled vectors block by block, and its
 nearest ones vote with their cosine. Votes count by class size, so the score is the chance of label 1 where both are
@@ -10,6 +11,8 @@ equally frequent.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +28,9 @@ SAMPLE = 2048
 SHAPES, LATENT, NEIGHBOURS, THRESHOLD, FOLDS = 2048, 48, 25, 0.3, 5
 #: Terms behind the shapes: a level of 16 for each measure.
 MEASURES, LEVELS = 6, 16
-TERMS = SHAPES + MEASURES * LEVELS
+#: Terms behind the measures: hashed words.
+WORDS = 4096
+TERMS = SHAPES + MEASURES * LEVELS + WORDS
 
 
 def _shape_table() -> bytes:
@@ -45,6 +50,8 @@ def _shape_table() -> bytes:
 
 
 _SHAPE = _shape_table()
+#: Letters (small), digits and all bytes >= 128; the rest parts words.
+_WORD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 
 def _level(share: float) -> int:
@@ -52,7 +59,7 @@ def _level(share: float) -> int:
 
 
 def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(term, weight) of a whole text: 1 + log of each shape trigram's count, and its level in each measure."""
+    """(term, weight) of a whole text: 1 + log of each shape trigram's count, and its level in each measure, and 1 + log of each word's count."""
     if not text:
         return np.empty(0, np.int64), np.empty(0)
     a = np.frombuffer(text.translate(_SHAPE), np.uint8).astype(np.int64)
@@ -71,7 +78,12 @@ def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
               min(1.0, len(text) / n / 16))
     extra = np.array([SHAPES + m * LEVELS + _level(s) for m, s in enumerate(shares)])
     heavy = max(1.0, float(np.sqrt((weight**2).sum() / MEASURES)))  # a measure weighs as much as the shapes together
-    return np.concatenate((at, extra)), np.concatenate((weight, np.full(MEASURES, heavy)))
+    counted = Counter(text.translate(_WORD).split())
+    sums = np.bincount([zlib.crc32(w) % WORDS for w in counted], list(counted.values()), WORDS) if counted else np.zeros(WORDS)
+    said = np.flatnonzero(sums)
+    spoken = 1 + np.log(sums[said])
+    spoken *= np.sqrt((weight**2).sum() / max(1.0, (spoken**2).sum()))  # and so do the words
+    return np.concatenate((at, extra, TERMS - WORDS + said)), np.concatenate((weight, np.full(MEASURES, heavy), spoken))
 
 
 @dataclass

@@ -164,6 +164,16 @@ def test_a_repeated_id_is_learnt_from_once(llm):
     assert 2 not in held and len(model.labels) == len(docs) - len(held) and len(model.vectors) == len(model.labels)
 
 
+def test_wording_alone_tells_quality(llm):
+    """Words of the same shapes, signs and lengths; only the vocabulary differs."""
+    rng = random.Random(8)
+    good, poor = ([f"{a}{b}{c}{d}" for a in x for b in "aeiou" for c in x for d in "aeiou"] for x in ("bcdfg", "mnprs"))
+    rows = [(i, " ".join(rng.choice(good if i % 2 else poor) for _ in range(80)) + ".", i % 2) for i in range(300)]
+    df = llm.createDataFrame(rows, "doc_id long, text string, quality int")
+    out = quality_knn.classify(df, df.select("doc_id", "quality"), threshold=0.5).where("held_out").collect()
+    assert len(out) > 30 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in out]) > 0.95
+
+
 def test_stages_take_effect(llm):
     """Every stage against its operator's own decision, on the documents that reach it."""
     docs = llm.read.parquet(f"{SF}/documents.parquet").withColumn("note", F.lit("n"))
