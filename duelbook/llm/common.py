@@ -36,7 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote, once what was made of them is itself written."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bytes_of(text: str = "text"):

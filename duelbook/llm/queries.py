@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import byte_bpe, chat, language_id, minhash, packing, projection_knn, quality_knn, sharding, superkmers, transport_stream
+from duelbook.llm import (
+    byte_bpe, centroids, chat, language_id, minhash, packing, projection_knn, quality_knn, sharding, simhash, spelling, superkmers, transport_stream,
+)
 from duelbook.llm.common import prepare
 from duelbook.plans.registry import registry
 
@@ -113,3 +115,38 @@ def op6_transport_stream(spark, sf):
 def op7_projection_knn(spark, sf):
     """The ten nearest vectors of every hundredth one."""
     return projection_knn.nearest(table(spark, sf, "embeddings"))
+
+
+@register()
+def op11_spelling_variants(spark, sf):
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@register()
+def op12_simhash(spark, sf):
+    """Fingerprints of all documents and the components of those that differ in at most two bits."""
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def _centroid_sql(clusters: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Every round as a pair of common table expressions: assignment, means."""
+    square = f"list_sum([(x.v[i] - k.v[i]) * (x.v[i] - k.v[i]) for i in range(1, {size + 1})])"
+    parts = [f"""x as materialized (select vec_id, [cast(floor(1024 * cast(c as double)) as bigint) for c in embedding] as v from embeddings
+  where len(embedding) = {size} and len([c for c in embedding if isfinite(c)]) = {size})""",
+             f"k0 as materialized (select row_number() over (order by sha256('3:' || vec_id)) - 1 as c, v from x order by sha256('3:' || vec_id) limit {clusters})"]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} as materialized (select vec_id, v, c, d from (select x.vec_id, x.v, k.c, {square} as d from x, k{r} k)
+  qualify row_number() over (partition by vec_id order by d, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""k{r + 1} as materialized (select k.c, coalesce(m.v, k.v) as v from k{r} k left join (select c, list((s - (s % n + n) % n) // n order by i) as v from
+  (select c, i, sum(e) as s, count(*) as n from (select c, unnest(v) as e, unnest(range({size})) as i from a{r}) group by c, i) group by c) m using (c))""")
+    return f"""with {", ".join(parts)}
+select vec_id, cast(c as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(k.v, ',')) as centroid_sha256 from a{rounds} join k{rounds} k using (c)"""
+
+
+@register(_centroid_sql())
+def op13_centroids(spark, sf):
+    """Eight clusters of all vectors after ten rounds."""
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf, "embeddings")))
