@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelbook.functions.binding import bind
+
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
 #: Escapes, in the order in which they are applied: no text keeps a character that a control string begins with.
 ESCAPES = (("&", "&a;"), ("<", "&l;"), ("[", "&b;"))
@@ -113,7 +115,9 @@ def read_back(formatted: Column) -> Column:
 
 
 def learned_text(formatted: Column, turn_starts: Column, loss_spans: Column) -> Column:
-    """The text under the loss mask, unescaped, in order; each span is read within its turn."""
-    pieces = pieces_of(formatted)
-    return F.array_join(F.transform(
-        loss_spans, lambda s: unescape(F.get(pieces, s["turn"]).substr((s["start"] - F.get(turn_starts, s["turn"]) + 1).cast("int"), s["length"].cast("int")))), "")
+    """The text under the loss mask, unescaped, in order; each span is read within its turn. The turns are split once, not for each span."""
+    def read(pieces: Column, starts: Column) -> Column:
+        return F.array_join(F.transform(loss_spans, lambda s: unescape(
+            F.get(pieces, s["turn"]).substr((s["start"] - F.get(starts, s["turn"]) + 1).cast("int"), s["length"].cast("int")))), "")
+
+    return bind(pieces_of(formatted), lambda pieces: bind(turn_starts, lambda starts: read(pieces, starts)))

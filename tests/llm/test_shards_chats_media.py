@@ -168,3 +168,18 @@ def test_media_awkward(awkward, nothing):
     point = out.where("doc_id = 7").select(transport_stream.seek(F.col("parsed.units"), F.lit(90_000 + 12 * 90_000)).alias("u")).first()["u"]
     assert point["random_access"] and point["start"] == 65_536
     assert transport_stream.store_documents(nothing).count() == 0
+
+
+def test_conversation_of_very_many_turns(llm):
+    """Work grows with the turns of a conversation, not with their square; one turn is very long."""
+    import time
+
+    n = 20_000
+    rows = [(1, t, "assistant" if t % 2 else "user", f"<{t}> &l; [x] " + ("long " * 300_000 if t == 7 else "")) for t in range(n)]
+    raw = llm.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(raw.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    began = time.perf_counter()
+    got = chats.select("n_turns", chat.learned_text(F.col("formatted"), F.col("turn_starts"), F.col("loss_spans")).alias("loss"), chat.read_back(F.col("formatted")).alias("t")).collect()[0]
+    assert time.perf_counter() - began < 60
+    assert got["n_turns"] == n and [x["text"] for x in got["t"]] == [r[3] for r in rows]
+    assert got["loss"] == "".join(r[3] for r in rows if r[2] == "assistant")
