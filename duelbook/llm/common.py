@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -65,6 +67,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A partition function that gives the memory it used back to the system: workers live on into later stages."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    """Unused memory of Python, of Arrow's pool and of the C library goes to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def words_of(text: bytes) -> list[bytes]:
     r"""Words ``[^\x20\x09-\x0D]+`` of UTF-8 bytes; exactly what ``bytes.split`` cuts at."""
     return text.split()

@@ -9,8 +9,9 @@ stay rather empty at the end of a chunk are cut into sequences whose lengths are
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from duelbook.llm.byte_bpe import read_ranks
-from duelbook.llm.common import CUT, bytes_of
+from duelbook.llm.common import CUT, bytes_of, tidy
 
 WINDOW, END_ID = 2048, 1
 #: Ids that a task packs together, and the share of a window that may stay empty before it is cut up.
@@ -117,19 +118,39 @@ def arrange(docs: list[int], window: int = WINDOW, slack: float = SLACK) -> list
     return sorted(out)
 
 
-@lru_cache(4)
-def _tokenizer(ranks: str, pattern: str):
-    import tiktoken
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer file: strings that are cut out of a text before anything else, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    odd = [t["content"] for t in found if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if odd:
+        raise ValueError(f"added tokens that look at their neighbours are not supported: {odd}")
+    return {t["content"]: t["id"] for t in found if t["content"]}
 
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
 
+class Encoder:
+    """Ids of a text as the tokenizer file gives them by default: added tokens first, what lies between by the rank file."""
 
-def token_bytes(texts: list[str], ranks: str, end_id: int | None = END_ID, pattern: str = public_tokenizers.PATTERN) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, closed by ``end_id``."""
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    encode = _tokenizer(ranks, pattern).encode_ordinary
-    for t in texts:
-        yield b"".join(np.array(encode(t[a:b]), "<u4").tobytes() for a, b in spans(t)) + end
+    def __init__(self, ranks: str, added: dict[str, int] | None = None, end_id: int | None = END_ID, pattern: str = public_tokenizers.PATTERN):
+        import tiktoken
+
+        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={}).encode_ordinary
+        self.added = {t: int(i).to_bytes(4, "little") for t, i in (added or {}).items()}
+        self.cut = re.compile("|".join(f"({re.escape(t)})" for t in self.added)) if self.added else None  # the first of the file wins
+        self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids, closed by the end id."""
+        if not self.added or not any(t in text for t in self.added):
+            return self._plain(text) + self.end
+        out, at = [], 0
+        for found in self.cut.finditer(text):
+            out += [self._plain(text[at:found.start()]), self.added[found[0]]]
+            at = found.end()
+        return b"".join(out) + self._plain(text[at:]) + self.end
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(np.array(self.encode(text[a:b]), "<u4").tobytes() for a, b in spans(text))
 
 
 def spans(text: str, longest: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -144,7 +165,7 @@ def spans(text: str, longest: int = 1_000_000) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
-def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, end_id: int = END_ID,
+def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, end_id: int = END_ID, tokenizer: str | None = None,
          chunk_ids: int = CHUNK_IDS, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``SCHEMA``; ``ids`` are the piece's ids, little-endian unsigned 32-bit.
 
@@ -152,10 +173,13 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, end_id
     the end id alone. Rows with a null id or repeated rows are documents like any other. An empty table gives no rows.
     A sequence longer than ``(1 - slack) * window`` is meant to be padded to the window; every shorter one has a
     length that is a power of two. ``sequence_id`` is unique over the result: the task, then the order within it.
-    ``ranks`` is the path of a rank file on the workers; the default holds the vocabulary of ``byte_bpe_50k.json``, whose ids the
-    tests hold it against. Strings of special tokens in a text are ordinary text.
+    ``ranks`` is the path of a rank file and ``tokenizer`` that of the tokenizer file with the same vocabulary, both on the workers; the
+    defaults are those of ``byte_bpe_50k``. A string of a text that is one of the tokenizer's added tokens (``<|endoftext|>``) has that
+    token's id, as ``tokenizers`` gives it by default; with ``ranks`` alone there are none. Texts of any length: beyond a million
+    characters one is encoded in spans that begin where a match begins anyway.
     """
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    file = tokenizer or (None if ranks else public_tokenizers.path("byte_bpe_50k.json"))
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), bytes_of(text_col).alias("text"))
 
     def flush(ids: list, raw: list[bytes], first: int) -> pa.RecordBatch:
@@ -170,13 +194,13 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         first = (task.partitionId() if task else 0) << 36
+        encode = Encoder(path, added_tokens(file) if file else None, end_id)  # goes with the task
         ids, raw, n = [], [], 0
         for b in batches:
-            texts = [t.decode("utf-8", "replace") for t in b.column(1).to_pylist()]
-            for i, r in zip(b.column(0).to_pylist(), token_bytes(texts, path, end_id), strict=True):
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
-                raw.append(r)
-                n += len(r) // 4
+                raw.append(encode(t.decode("utf-8", "replace")))
+                n += len(raw[-1]) // 4
                 if n >= chunk_ids:
                     out, used = flush(ids, raw, first)
                     yield out
@@ -184,11 +208,14 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW, end_id
         if ids:
             yield flush(ids, raw, first)[0]
 
-    return source.mapInArrow(run, SCHEMA)
+    return source.mapInArrow(tidy(run), SCHEMA)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """The packed sequences themselves: ``sequence_id``, ``ids`` (binary) and the document of each piece, in order."""
+    """The packed sequences themselves: ``sequence_id``, ``ids`` (binary) and the document of each piece, in order.
+
+    Pieces of a null doc_id and of repeated rows are pieces like any other; no pieces give no sequences.
+    """
     from pyspark.sql import functions as F
 
     parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids")))

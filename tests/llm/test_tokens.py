@@ -19,9 +19,7 @@ SF = "/root/testdata/sf0.001"
 def own_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check_packed(rows, texts, window):
@@ -53,7 +51,7 @@ def test_op2_query(llm):
 
 
 def test_pack_small_window_and_chunks(llm):
-    docs = llm.createDataFrame([(i, "word " * (i % 40)) for i in range(60)] + [(60, None), (61, ""), (62, "x <|endoftext|> y")], "doc_id long, text string")
+    docs = llm.createDataFrame([(i, "word " * (i % 40)) for i in range(60)] + [(60, None), (61, ""), (62, "x <|endoftext|> y"), (63, "<|endoftext|>" * 40), (64, " <|endoftext|>  <|endoftext"), (65, "a<|endoftext|>'s <|endof<|endoftext|>text|>")], "doc_id long, text string")
     out = packing.pack(docs, window=16, chunk_ids=100).withColumn("ids_crc32", F.crc32("ids"))
     check_packed(out.collect(), {r["doc_id"]: r["text"] for r in docs.collect()}, 16)
 
