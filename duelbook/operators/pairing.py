@@ -3,16 +3,19 @@
 Walking both players' matches as one timeline, each match takes the latest still unused
 match of the other side if it lies within the gap, and otherwise waits to be taken.
 What waits at a moment depends on the past, so no join expresses this; but a waiting match
-is dead once the gap has passed.  The timeline is therefore cut into slices at least as
-long as the gap; each (pair, slice) is walked on its own and hands the few matches still
-waiting at its end to the next slice.
+is dead once the gap has passed.  The timeline is therefore cut where it pauses for longer
+than the gap, and each stretch is walked on its own, as a stream that holds only what waits.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from duelbook import schemas
 from duelbook.functions.params import non_negative_int
@@ -34,10 +37,6 @@ MEDIUM = (5, 65.0)
 TOP_PAIRS = 5
 
 PAIR = ["league_a", "key_a", "league_b", "key_b"]
-_EVENT = "side int, at long, match_id string, perspective_id string, result string, rival string"
-_OUT = ("league_a string, key_a string, league_b string, key_b string, slice long, kind string, "
-        "a_at long, a_match_id string, a_perspective_id string, a_result string, a_rival string, "
-        "b_at long, b_match_id string, b_perspective_id string, b_result string, b_rival string")
 
 
 def candidate_pairs(candidates: DataFrame) -> DataFrame:
@@ -67,133 +66,76 @@ def pair_events(df: DataFrame, pairs: DataFrame) -> DataFrame:
         *PAIR, "side", micros(F.col("ts")).alias("at"), "match_id", "perspective_id", "result", "rival")
 
 
-def _walk(events: pd.DataFrame, gap: int, carried: pd.DataFrame | None = None):
-    """Index pairs (current, earlier) and the indices still waiting, over one sorted timeline."""
-    at, side = events["at"].tolist(), events["side"].tolist()
-    waiting = events["waiting"].tolist()
-    stacks: tuple[list[int], list[int]] = ([], [])
-    taken = []
-    for i, (t, s, old) in enumerate(zip(at, side, waiting)):
-        other = stacks[1 - s]
-        if not old and other and t - at[other[-1]] <= gap:
-            taken.append((i, other.pop()))
-        else:
-            stacks[s].append(i)
-    return taken, stacks[0] + stacks[1]
-
-
-def _solver(gap: int, slice_micros: int, exclude_same_match: bool):
-    fields = ["at", "match_id", "perspective_id", "result", "rival"]
-    names = [p + f for p in ("a_", "b_") for f in fields]
-
-    def solve(key: tuple, events: pd.DataFrame, incoming: pd.DataFrame) -> pd.DataFrame:
-        events = events.assign(waiting=False)
-        if len(incoming):
-            events = pd.concat([incoming.assign(waiting=True), events], ignore_index=True)
-        events = events.sort_values(["at", "side", "match_id", "perspective_id"], kind="stable", ignore_index=True)
-        taken, left = _walk(events, gap)
-        sides = events["side"].tolist()
-        first = [i if sides[i] == 0 else j for i, j in taken]
-        second = [j if sides[i] == 0 else i for i, j in taken]
-        a, b = events.iloc[first][fields].reset_index(drop=True), events.iloc[second][fields].reset_index(drop=True)
-        pairs = pd.concat([a, b], axis=1)
-        pairs.columns = names
-        if exclude_same_match:
-            pairs = pairs[pairs["a_match_id"] != pairs["b_match_id"]]
-        border = (key[4] + 1) * slice_micros
-        rest = events.iloc[[i for i in left if border - events["at"].iat[i] <= gap]]
-        waiting = {c: [None] * len(rest) for c in names}
-        for prefix, s in (("a_", 0), ("b_", 1)):
-            for f in fields:
-                waiting[prefix + f] = rest[f].where(rest["side"] == s, None).tolist()
-        out = pd.concat([pairs.assign(kind="pair"), pd.DataFrame(waiting).assign(kind="waiting")], ignore_index=True)
-        for name, value in zip(PAIR + ["slice"], key):
-            out[name] = value
-        for c in ("a_at", "b_at"):
-            out[c] = pd.array(out[c], dtype="Int64")
-        return out[[*PAIR, "slice", "kind", *names]]
-
-    return solve
-
-
-def _handed_over(solved: DataFrame) -> DataFrame:
-    """Waiting matches of a slice as the next slice's incoming ones."""
-    side = F.when(F.col("a_at").isNotNull(), 0).otherwise(1)
-    cols = [F.coalesce(f"a_{f}", f"b_{f}").alias(f) for f in ("at", "match_id", "perspective_id", "result", "rival")]
-    return solved.filter("kind = 'waiting'").select(*PAIR, (F.col("slice") + 1).alias("slice"), side.alias("side"), *cols)
-
-
-def _fingerprint(incoming: DataFrame) -> DataFrame:
-    ids = F.array_sort(F.collect_set(F.concat_ws("|", F.col("side").cast("string"), "perspective_id")))
-    return incoming.groupBy(*PAIR, "slice").agg(ids.alias("ids"))
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
-        raise ValueError("pairing over a long history needs spark.checkpoint.dir (or a checkpoint directory set on the context)")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
-
-
-def match_pairs(events: DataFrame, max_gap_minutes: int = MAX_GAP_MINUTES, *, window_hours: int | None = None,
-                exclude_same_match: bool = False) -> DataFrame:
-    """Matched event pairs (a_*, b_*) of every pair.
-
-    With ``window_hours`` the events are known to lie in one window of that length: one
-    lazy pass, one group per pair.  Otherwise all slices are walked side by side as if
-    nothing came in; only slices that do receive waiting matches are walked again, until
-    no hand-over changes.  A hand-over reaches at most the gap into the next slice, so two
-    or three rounds are usual; the result does not depend on how the timeline is cut.
+def components(events: DataFrame, gap: int) -> DataFrame:
+    """Events with ``component``: the start of the stretch of a pair's timeline they lie in.
+
+    Between two neighbours of a timeline that lie more than the gap apart nothing can pair, so a stretch without such a pause is on its
+    own. Pauses are looked for inside (pair, day), so a pair with very many matches spreads over its days; a row per pair and day carries
+    what crosses midnight.
+    """
+    rows = events.withColumn("day", F.floor(F.col("at") / DAY_MICROS))
+    w = Window.partitionBy(*PAIR, "day").orderBy("at")
+    begins = F.when(F.col("at") - F.lag("at").over(w) > gap, F.col("at"))
+    rows = rows.withColumn("begins", begins).withColumn("begun", F.max("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    days = rows.groupBy(*PAIR, "day").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("begins").alias("within"))
+    by_day = Window.partitionBy(*PAIR).orderBy("day")
+    before = F.lag("last").over(by_day)
+    opened = F.when(before.isNull() | (F.col("first") - before > gap), F.col("first"))
+    days = days.withColumn("opened", opened)
+    open_at_end = F.last(F.coalesce("within", "opened"), ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(*PAIR, "day", F.coalesce("opened", open_at_end).alias("at_first"))
+    return rows.join(days, [*PAIR, "day"]).withColumn("component", F.coalesce("begun", "at_first")).drop("day", "begins", "begun", "at_first")
+
+
+_MATCH = ["at", "match_id", "perspective_id", "result", "rival"]
+_OUT = pa.schema([*((c, pa.string()) for c in PAIR), *((p + f, pa.int64() if f == "at" else pa.string()) for p in ("a_", "b_") for f in _MATCH)])
+
+
+def _walker(gap: int, exclude_same_match: bool):
+    """A walk over timelines that arrive sorted, one after the other; only matches that still wait and aren't dead are held."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        timeline, waiting = None, (deque(), deque())
+        for b in batches:
+            columns = {c: b.column(c).to_pylist() for c in b.schema.names}
+            own, side, found = list(zip(*(columns[c] for c in [*PAIR, "component"]), strict=True)), columns["side"], []
+            for i, match in enumerate(zip(*(columns[c] for c in _MATCH), strict=True)):
+                if own[i] != timeline:
+                    timeline, waiting = own[i], (deque(), deque())
+                mine, other = waiting[side[i]], waiting[1 - side[i]]
+                dead = match[0] - gap
+                if other and other[-1][0] >= dead:
+                    taken = other.pop()
+                    if not exclude_same_match or taken[1] != match[1]:
+                        found.append((*timeline[:4], *((*match, *taken) if side[i] == 0 else (*taken, *match))))
+                else:
+                    other.clear()  # its latest is dead, so all are
+                    while mine and mine[0][0] < dead:
+                        mine.popleft()
+                    mine.append(match)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [[]] * len(_OUT), _OUT, strict=True)], schema=_OUT)
+
+    return walk
+
+
+def match_pairs(events: DataFrame, max_gap_minutes: int = MAX_GAP_MINUTES, *, exclude_same_match: bool = False) -> DataFrame:
+    """Matched event pairs (a_*, b_*) of every pair, over a window or a whole history alike.
+
+    Timelines are cut where a pause exceeds the gap; each stretch is walked once, in order, as a stream: a task holds the matches of the
+    last ``max_gap_minutes`` that still wait, however long the stretch is.
     """
-    non_negative_int(max_gap_minutes, "max_gap_minutes")
-    gap = max_gap_minutes * 60_000_000
-    keys = [*PAIR, "slice"]
-    if window_hours is not None:
-        one = events.withColumn("slice", F.lit(0).cast("long"))
-        solve = _solver(gap, 1 << 62, exclude_same_match)
-        solved = one.groupBy(*keys).applyInPandas(_alone(solve), _OUT)
-        return solved.filter("kind = 'pair'").drop("kind", "slice")
-
-    size = max(DAY_MICROS, gap)
-    solve = _solver(gap, size, exclude_same_match)
-    sliced = events.withColumn("slice", F.floor(F.col("at") / size))
-    solved = _checkpoint(sliced.groupBy(*keys).applyInPandas(_alone(solve), _OUT))
-    assumed = None
-    while True:
-        # A slice without events has nothing to hand over and nothing to take.
-        incoming = _handed_over(solved).join(solved.select(*keys).distinct(), keys, "left_semi") if assumed is None else \
-            _handed_over(solved)
-        ids = _checkpoint(_fingerprint(incoming).join(sliced.select(*keys).distinct(), keys, "left_semi"))
-        if assumed is None:
-            changed = ids.select(*keys)
-        else:
-            both = ids.join(assumed.withColumnRenamed("ids", "was"), keys, "full_outer")
-            changed = both.filter(~F.col("ids").eqNullSafe(F.col("was"))).select(*keys)
-        if changed.isEmpty():
-            return solved.filter("kind = 'pair'").drop("kind", "slice")
-        again = sliced.join(changed, keys, "left_semi")
-        fed = incoming.join(changed, keys, "left_semi")
-        redone = again.groupBy(*keys).cogroup(fed.groupBy(*keys)).applyInPandas(solve, _OUT)
-        solved = _checkpoint(solved.join(changed, keys, "left_anti").select(redone.columns).unionByName(redone))
-        assumed = ids
-
-
-def _alone(solve):
-    def run(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
-        return solve(key, events, events.iloc[:0])
-
-    return run
-
-
-def coincident_matches(df: DataFrame, pairs: DataFrame, *, max_gap_minutes: int = MAX_GAP_MINUTES,
-                       window_hours: int | None = None, exclude_same_match: bool = False) -> DataFrame:
+    gap = non_negative_int(max_gap_minutes, "max_gap_minutes") * 60_000_000
+    keys = [*PAIR, "component"]
+    rows = components(events, gap).select(*keys, "side", *_MATCH)
+    dealt = rows.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, "at", "side", "match_id", "perspective_id")
+    return dealt.mapInArrow(_walker(gap, exclude_same_match), from_arrow_schema(_OUT))
+
+
+def coincident_matches(df: DataFrame, pairs: DataFrame, *, max_gap_minutes: int = MAX_GAP_MINUTES, exclude_same_match: bool = False) -> DataFrame:
     """Coincident matches of every pair, numbered in time order, with their confirmation.
 
     A direct match of the two players pairs with itself unless ``exclude_same_match``.
     """
-    solved = match_pairs(pair_events(df, pairs), max_gap_minutes, window_hours=window_hours, exclude_same_match=exclude_same_match)
+    solved = match_pairs(pair_events(df, pairs), max_gap_minutes, exclude_same_match=exclude_same_match)
     rows = solved.withColumn("latest", F.greatest("a_at", "b_at"))
     # Two-level numbering: rank inside a day, plus the counts of the days before.
     rows = rows.withColumn("day", F.floor(F.col("latest") / DAY_MICROS))
@@ -240,8 +182,7 @@ def coincident_analysis(df: DataFrame, selected: DataFrame, *, reference_time=No
     if reference_time is not None:
         rows = filters.trailing_hours(rows, reference_time, window_hours)
     pairs = candidate_pairs(selected)
-    matched = coincident_matches(rows, pairs, max_gap_minutes=max_gap_minutes,
-                                 window_hours=None if reference_time is None else window_hours)
+    matched = coincident_matches(rows, pairs, max_gap_minutes=max_gap_minutes)
     return pair_headers(pairs, matched, max_gap_minutes), matched
 
 

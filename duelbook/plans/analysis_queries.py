@@ -181,7 +181,7 @@ def coincident_matches_in_window(spark, sf):
 
 @register(f"with recursive {EV}, {T}, {OPS}, {_SNAP}, {_CAND}, {CANDIDATE_PAIRS}, {walk_sql('')} {_MATCHED_SQL}")
 def coincident_matches_full_history(spark, sf):
-    """The same pairs over their whole histories, slice by slice with hand-over."""
+    """The same pairs over their whole histories, stretch by stretch."""
     rows = filters.operational_results(fx.event_perspectives(spark, sf), filters.excluded_keys(fx.tracked(spark)))
     return pairing.coincident_matches(rows, pairing.candidate_pairs(_candidates(spark, sf)))
 

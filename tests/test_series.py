@@ -179,27 +179,45 @@ def pair_of(spark):
 def test_pairing_against_a_walk(spark, history, seed, n, spread, gap):
     rows = two_players(seed, n, spread)
     want = walk([r for r in rows if r[4] == "a"], [r for r in rows if r[4] == "b"], gap)
-    for hours in (None, 8):
-        m = pairing.coincident_matches(history(rows), pair_of(spark), max_gap_minutes=gap, window_hours=hours).collect()
-        assert sorted((r.player_a_match_id, r.player_b_match_id) for r in m) == want
-        assert sorted(r.pair_order for r in m) == list(range(1, len(want) + 1))
-        used = [r.player_a_match_id for r in m] + [r.player_b_match_id for r in m]
-        assert len(used) == len(set(used)) and all(0 <= r.gap_minutes <= gap for r in m)
+    m = pairing.coincident_matches(history(rows), pair_of(spark), max_gap_minutes=gap).collect()
+    assert sorted((r.player_a_match_id, r.player_b_match_id) for r in m) == want
+    assert sorted(r.pair_order for r in m) == list(range(1, len(want) + 1))
+    used = [r.player_a_match_id for r in m] + [r.player_b_match_id for r in m]
+    assert len(used) == len(set(used)) and all(0 <= r.gap_minutes <= gap for r in m)
+
+
+def test_stretches_are_cut_at_pauses(spark, history):
+    """A timeline of many days is dealt by its pauses, across midnight too; stretches of several batches are walked as one."""
+    rows = two_players(6, 400, 20_000)
+    gap = 30
+    events = pairing.components(pairing.pair_events(history(rows), pair_of(spark)), gap * 60_000_000).collect()
+    at = sorted(e.at for e in events)
+    start, want = None, {}
+    for i, t in enumerate(at):
+        start = t if i == 0 or t - at[i - 1] > gap * 60_000_000 else start
+        want[t] = start
+    assert len(events) == 400 and len(set(want.values())) > 20 and all(e.component == want[e.at] for e in events)
+    dense = two_players(7, 500, 900)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = pairing.coincident_matches(history(dense), pair_of(spark)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.player_a_match_id, r.player_b_match_id) for r in got) == walk([r for r in dense if r[4] == "a"], [r for r in dense if r[4] == "b"], gap)
 
 
 def test_pairing_gap_is_inclusive(spark, history):
     for minutes, expected in ((30, 1), (31, 0)):
         rows = [row(1, "A", "Z", "V", 0), row(2, "B", "Z", "D", minutes)]
-        m = pairing.coincident_matches(history(rows), pair_of(spark), window_hours=8).collect()
+        m = pairing.coincident_matches(history(rows), pair_of(spark)).collect()
         assert len(m) == expected
-    assert pairing.coincident_matches(history([row(1, "A", "Z", "V", 0), row(2, "B", "Z", "D", 5)]), pair_of(spark),
-                                      window_hours=8).first().confirmation == "MIXED"
+    assert pairing.coincident_matches(history([row(1, "A", "Z", "V", 0), row(2, "B", "Z", "D", 5)]), pair_of(spark)).first().confirmation == "MIXED"
 
 
 def test_direct_match_pairs_with_itself_unless_told_otherwise(spark, history):
     rows = [row(1, "A", "B", "V", 0), row(1, "B", "A", "D", 0)]
-    assert pairing.coincident_matches(history(rows), pair_of(spark), window_hours=8).count() == 1
-    assert pairing.coincident_matches(history(rows), pair_of(spark), window_hours=8, exclude_same_match=True).count() == 0
+    assert pairing.coincident_matches(history(rows), pair_of(spark)).count() == 1
+    assert pairing.coincident_matches(history(rows), pair_of(spark), exclude_same_match=True).count() == 0
 
 
 def test_a_manual_list_has_no_limit(spark):
