@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import cut, release
+from duelbook.llm.common import cut, release, tidy
 
 CLUSTERS, ROUNDS, SIZE, SCALE, SEED = 8, 10, 64, 1024, 3
 #: Components are below this in size, so that squared distances fit 63 bits.
@@ -93,7 +93,7 @@ def _start(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
             distances = np.stack([_squared(v, c) for c in centroids], axis=1) if len(v) else np.empty((0, k), np.int64)
             yield _batch(b.column(0), b.column(1), distances.argmin(axis=1), np.full(len(v), -1), distances, np.zeros((len(v), k), np.int32), np.full(len(v), k))
 
-    return vectors.mapInArrow(run, _STATE)
+    return vectors.mapInArrow(tidy(run), _STATE)
 
 
 def _batch(vec_id, v, cluster, before, distances, rounds, evaluated) -> pa.RecordBatch:
@@ -116,7 +116,7 @@ def _again(state: DataFrame, history: np.ndarray) -> DataFrame:
             cluster, evaluated = reassign(v, before, distances, rounds, history, moved)
             yield _batch(b.column("vec_id"), b.column("v"), cluster, before, distances, rounds, evaluated)
 
-    return state.mapInArrow(run, _STATE)
+    return state.mapInArrow(tidy(run), _STATE)
 
 
 def _changes(state: DataFrame, clusters: int, size: int) -> np.ndarray:
@@ -132,7 +132,7 @@ def _changes(state: DataFrame, clusters: int, size: int) -> np.ndarray:
         at, place = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(place, pa.int32()), pa.array(sums[at, place])], ["cluster", "place", "sum"])
 
-    partial = state.where("cluster <> before").select("v", "cluster", "before").mapInArrow(run, "cluster int, place int, sum long")
+    partial = state.where("cluster <> before").select("v", "cluster", "before").mapInArrow(tidy(run), "cluster int, place int, sum long")
     change = np.zeros((clusters, size + 1), object)
     for r in partial.groupBy("cluster", "place").agg(F.sum("sum").alias("sum")).collect():  # clusters times components
         change[r["cluster"], r["place"]] = r["sum"]
@@ -173,7 +173,7 @@ def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS,
             distance = _squared(_grid(b.column("v"), size).astype(np.int64), final[c])
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("cluster"), pa.array(distance), b.column("evaluated")], ["vec_id", "cluster", "distance", "evaluated"])
 
-    assigned = cut(state.select("vec_id", "v", "cluster", "evaluated").mapInArrow(run, "vec_id long, cluster int, distance long, evaluated int"))
+    assigned = cut(state.select("vec_id", "v", "cluster", "evaluated").mapInArrow(tidy(run), "vec_id long, cluster int, distance long, evaluated int"))
     release(state)
     return assigned, final
 

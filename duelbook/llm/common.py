@@ -7,6 +7,8 @@ import gc
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import pyarrow as pa
@@ -40,9 +42,32 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
+    for made in _MADE.get():
+        made.append(table)
     return table
 
 
+_MADE: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("tables made", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``cut`` writes inside are removed at the end, except those given to the function that this returns."""
+    made: list[DataFrame] = []
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table._written_to)
+        return table
+
+    token = _MADE.set((*_MADE.get(), made))
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        release(*[t for t in made if t._written_to not in kept])
+
+
 def release(*tables: DataFrame) -> None:
     """Remove tables that ``cut`` wrote, once what was made of them is itself written."""
     for table in tables:
@@ -81,6 +106,11 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 def give_back() -> None:
     """Unused memory of Python, of Arrow's pool and of the C library goes to the system."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The part of ``give_back`` that is cheap enough for every batch of a column function, which isn't told when its task ends."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -104,14 +134,18 @@ def inflate(small: bytes) -> bytes:
 def deflated(text: Column) -> Column:
     """A binary column compressed, for texts that have to be shuffled."""
     def run(v: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else deflate(t) for t in v.to_pylist()], pa.binary())
+        out = pa.array([None if t is None else deflate(t) for t in v.to_pylist()], pa.binary())
+        trim()
+        return out
 
     return F.arrow_udf(run, "binary")(text)
 
 
 def inflated(small: Column) -> Column:
     def run(v: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else inflate(t) for t in v.to_pylist()], pa.binary())
+        out = pa.array([None if t is None else inflate(t) for t in v.to_pylist()], pa.binary())
+        trim()
+        return out
 
     return F.arrow_udf(run, "binary")(small)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import cut, prepare
+from duelbook.llm.common import cut, prepare, tidy, trim
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
@@ -60,7 +60,7 @@ def gram_model(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.nd
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen.ravel()[at], pa.int64())], ["cell", "n"])
 
     counts = np.full(len(languages) * GRAMS, 0.5)
-    got = rows.select("text", "declared").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("text", "declared").mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts[got["cell"].to_numpy()] += got["n"].to_numpy()
     counts = counts.reshape(len(languages), GRAMS)
     table = np.log((1 - EVEN) * counts / counts.sum(axis=1, keepdims=True) + EVEN / GRAMS)
@@ -81,6 +81,7 @@ def text_evidence(rows: DataFrame, model: np.ndarray, text: Column) -> Column:
             if n:
                 total *= (n if n <= FULL else FULL + np.sqrt(n - FULL)) / n
             out.append(total)
+        trim()
         return pa.array(out, pa.list_(pa.float64()))
 
     return F.arrow_udf(run, "array<double>")(text)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import bytes_of, cut, deflated, fresh, inflate, words_of
+from duelbook.llm.common import bytes_of, cut, deflated, fresh, inflate, scratch, tidy, words_of
 from duelbook.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -118,7 +118,7 @@ def signatures(rows: DataFrame, bins: int = BINS, band_rows: int = ROWS, shingle
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(count, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                                              ["doc_id", "text_key", "node", "n_shingles", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n_shingles long, bands array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_key long, node long, n_shingles long, bands array<long>")
 
 
 def sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -131,7 +131,7 @@ def sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
                                              ["node", "hashes"])
 
-    return rows.select("small").mapInArrow(run, "node long, hashes binary")
+    return rows.select("small").mapInArrow(tidy(run), "node long, hashes binary")
 
 
 def common(a: bytes, b: bytes) -> tuple[int, int]:
@@ -162,7 +162,7 @@ def rare_buckets(known: DataFrame, percent: int = PERCENT, cells: int = 1 << CEL
         for i in range(0, len(at), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 20_000], pa.int64()), pa.array(seen[at[i:i + 20_000]], pa.int64())], ["cell", "n"])
 
-    got = known.select("hashes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # cells rows at most
+    got = known.select("hashes").mapInArrow(tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # cells rows at most
     table = np.zeros(cells, np.int64)
     table[got["cell"].to_numpy()] = got["n"].to_numpy()
     shared = known.sparkSession.sparkContext.broadcast(table)
@@ -179,7 +179,7 @@ def rare_buckets(known: DataFrame, percent: int = PERCENT, cells: int = 1 << CEL
                 sizes.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "keys"])
 
-    return known.select("node", "hashes").mapInArrow(first, "node long, n long, keys array<long>").select(F.explode("keys").alias("key"), "node", "n")
+    return known.select("node", "hashes").mapInArrow(tidy(first), "node long, n long, keys array<long>").select(F.explode("keys").alias("key"), "node", "n")
 
 
 def bitmaps(known: DataFrame, bits: int = 1 << BITMAP_BITS) -> DataFrame:
@@ -195,7 +195,7 @@ def bitmaps(known: DataFrame, bits: int = 1 << BITMAP_BITS) -> DataFrame:
                 out.append(np.packbits(flags).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "bitmap"])
 
-    return known.select("node", "hashes").mapInArrow(run, "node long, bitmap binary")
+    return known.select("node", "hashes").mapInArrow(tidy(run), "node long, bitmap binary")
 
 
 def possible(members: DataFrame, maps: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -246,7 +246,7 @@ def possible(members: DataFrame, maps: DataFrame, percent: int = PERCENT, block:
         if group:
             yield made(compare(group))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def confirmed(edges: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -261,7 +261,7 @@ def confirmed(edges: DataFrame, known: DataFrame, percent: int = PERCENT) -> Dat
                                              ["a", "b", "inter", "uni"])
             yield out.filter(pa.array([100 * n >= percent * u for n, u in size], pa.bool_()))
 
-    return edges.join(x, "b").join(c, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, inter long, uni long")
+    return edges.join(x, "b").join(c, "a").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, inter long, uni long")
 
 
 def _edges(members: DataFrame, centres: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -317,33 +317,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     last = F.lit(2**63 - 1)  # stands for a null id
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), last).alias("doc_id"), F.xxhash64(bytes_of(text_col)).alias("text_key"),
                        bytes_of(text_col).alias("text"))
-    signed = cut(signatures(rows, bins, band_rows, shingle))
-    classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    banded = classes.select("node", "n", F.explode("bands").alias("key"))
-    members = _shared(banded.withColumn("component", F.col("node")))
-    ids = cut(signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    chosen = rows.select("doc_id", deflated(F.col("text")).alias("small")).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = cut(sets(chosen, shingle).join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    found = None
-    for centres in (1, 4):
-        edges, members = _edges(members, centres, percent)
-        new = cut(confirmed(edges, texts, percent).select("a", "b"))
-        if not new.isEmpty():
-            found = _joined(found, new)
-        members = _mixed_buckets(members, found)
-    if not members.isEmpty():
-        left = cut(texts.join(members.select("node").distinct(), "node", "left_semi"))
-        members = _mixed_buckets(_shared(rare_buckets(left, percent)), found)
-        new = cut(confirmed(possible(members, bitmaps(left), percent), texts, percent).select("a", "b"))
-        if not new.isEmpty():
-            found = _joined(found, new)
-    if found is None:
-        found = signed.select("node", F.col("node").alias("component")).limit(0)
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    nodes = cut(nodes)
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = cut(nodes.join(least, "component").select("node", "component", "component_id"))
+    with scratch() as keep:
+        signed = keep(cut(signatures(rows, bins, band_rows, shingle)))
+        classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        banded = classes.select("node", "n", F.explode("bands").alias("key"))
+        members = _shared(banded.withColumn("component", F.col("node")))
+        ids = cut(signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+        # A merge join puts the shuffle between the two Python steps: a task never holds two workers.
+        chosen = rows.select("doc_id", deflated(F.col("text")).alias("small")).join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+        texts = cut(sets(chosen, shingle).join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+        found = None
+        for centres in (1, 4):
+            edges, members = _edges(members, centres, percent)
+            new = cut(confirmed(edges, texts, percent).select("a", "b"))
+            if not new.isEmpty():
+                found = _joined(found, new)
+            members = _mixed_buckets(members, found)
+        if not members.isEmpty():
+            left = cut(texts.join(members.select("node").distinct(), "node", "left_semi"))
+            members = _mixed_buckets(_shared(rare_buckets(left, percent)), found)
+            new = cut(confirmed(possible(members, bitmaps(left), percent), texts, percent).select("a", "b"))
+            if not new.isEmpty():
+                found = _joined(found, new)
+        if found is None:
+            found = signed.select("node", F.col("node").alias("component")).limit(0)
+        nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn(
+            "component", F.coalesce("component", "node"))
+        nodes = cut(nodes)
+        least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+        by_node = keep(cut(nodes.join(least, "component").select("node", "component", "component_id")))
     out = signed.select("doc_id", "text_key", "n_shingles", "node").join(by_node, "node", "left").withColumn(
         "component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select(F.nullif("doc_id", last).alias("doc_id"), "n_shingles", F.nullif("component_id", last).alias("component_id"),

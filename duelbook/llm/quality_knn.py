@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import bytes_of, prepare
+from duelbook.llm.common import bytes_of, prepare, tidy, trim
 
 #: Bound of the sample: labelled documents of each class that are learnt from (the least by a hash of their id).
 SAMPLE = 2048
@@ -132,7 +132,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["term", "n"])
 
     out = np.zeros(TERMS + 1, np.int64)
-    for r in texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS + 1 rows at most
+    for r in texts.mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS + 1 rows at most
         out[r["term"]] = r["n"]
     return int(out[TERMS]), out[:TERMS]
 
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in found], pa.list_(pa.int64())),
                                               pa.array([w for _, w in found], pa.list_(pa.float64()))], ["doc_id", "y", "term", "weight"])
 
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(run, schema).toArrow().sort_by("doc_id")
+    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(tidy(run), schema).toArrow().sort_by("doc_id")
     x = np.zeros((got.num_rows, TERMS), np.float32)
     found = [(np.array(t, np.int64), np.array(w)) for t, w in zip(got["term"].to_pylist(), got["weight"].to_pylist(), strict=True)]
     for i, (t, w) in enumerate(found):
@@ -192,7 +192,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
     def run(v: pa.Array) -> pa.Array:
         raw = v.to_pylist()
-        return pa.array(np.concatenate([shared.value.score(raw[i:i + 256]) for i in range(0, len(raw), 256)] or [np.empty(0)]), pa.float64())
+        out = pa.array(np.concatenate([shared.value.score(raw[i:i + 256]) for i in range(0, len(raw), 256)] or [np.empty(0)]), pa.float64())
+        del raw
+        trim()
+        return out
 
     return F.arrow_udf(run, "double")(bytes_of(text_col))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import bytes_of, cut, release
+from duelbook.llm.common import bytes_of, cut, release, tidy
 from duelbook.llm.components import components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), bytes_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 class Piece:
@@ -158,7 +158,7 @@ def placed(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(point.view(np.int64)[keep]), pa.array(some.view(np.int64)[row[keep]]), pa.array(home[keep])],
                                                  ["anchor", "fp", "home"])
 
-    return fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
+    return fps.select("fp").mapInArrow(tidy(run), "anchor long, fp long, home boolean")
 
 
 def _midpoints(fp: str, distance: int):

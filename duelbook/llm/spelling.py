@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import bytes_of, cut, release
+from duelbook.llm.common import bytes_of, cut, release, tidy
 
 #: Words: their least length and number of occurrences; how many times as frequent as a word its form must be.
 LENGTH, OCCURRENCES, RATIO = 6, 5, 5
@@ -96,7 +96,7 @@ def occurrences(docs: DataFrame, length: int = LENGTH, loss: int = LOSS, id_col:
             yield _counted(count)
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), bytes_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _counted(count: Counter) -> pa.RecordBatch:
@@ -146,7 +146,7 @@ def near_pairs(words: DataFrame, largest: int = GROUP) -> DataFrame:
                     out = []
             yield _pairs(out)
 
-    return groups(words, largest).select("members").mapInArrow(run, "a string, a_n long, b string, b_n long").distinct()
+    return groups(words, largest).select("members").mapInArrow(tidy(run), "a string, a_n long, b string, b_n long").distinct()
 
 
 def _pairs(rows: list[tuple]) -> pa.RecordBatch:

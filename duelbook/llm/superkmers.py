@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.llm.common import bytes_of, deflated, fresh, inflate, inflated, words_of
+from duelbook.llm.common import bytes_of, deflated, fresh, inflate, inflated, tidy, trim, words_of
 from duelbook.llm.minhash import WordHashes, _mixed
 
 WINDOW, MINIMISER = 13, 3
@@ -119,7 +119,7 @@ def travellers(rows: DataFrame, buckets: int, window: int = WINDOW, minimiser: i
                     held = 0
         yield from flush()
 
-    return rows.mapInArrow(run, "bucket long, rows binary")
+    return rows.mapInArrow(tidy(run), "bucket long, rows binary")
 
 
 def windows_of(packed: bytes, window: int) -> list[bytes]:
@@ -199,7 +199,7 @@ def spans(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) ->
                 blobs.append(blob)
         yield from sort_bucket(blobs)
 
-    return dealt.mapInArrow(run, "doc_id long, text_key long, start int, stop int")
+    return dealt.mapInArrow(tidy(run), "doc_id long, text_key long, start int, stop int")
 
 
 def _spans(out: list[tuple]) -> pa.RecordBatch:
@@ -225,6 +225,7 @@ def _removal(text: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
         kept.append(b" ".join(words))
         n.append(all_)
         removed.append(all_ - len(words))
+    trim()
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["kept", "n_words", "n_removed"])
 
 
@@ -248,7 +249,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     # Texts meet their spans compressed; whoever doesn't look at the text column doesn't pay for its return.
     small, null = fresh(docs, "small"), fresh(docs, "null")
     sent = keyed.withColumns({small: deflated(bytes_of(text_col)), null: F.col(text_col).isNull()}).drop(text_col)
-    joined = sent.join(found, [doc, key], "left")
+    joined = sent.join(found.hint("merge"), [doc, key], "left")  # between the two Python steps: a task never holds two workers
     back = F.when(~F.col(null), inflated(F.col(small)).cast("string"))
     removal = F.arrow_udf(_removal, "kept binary, n_words long, n_removed long")(F.col(small), F.col(starts), F.col(stops))
     return joined.withColumns({text_col: back, into: removal}).select(*[c for c in docs.columns if c != into], into)
