@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelbook.llm import language_id, minhash, packing, quality_knn, superkmers
-from duelbook.llm.common import cut, fresh, prepare
+from duelbook.llm.common import cut, fresh, prepare, release, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder, each stage's result written and read again."""
+    """All stages over the documents of a folder, each stage's result written and read again; what a stage read and wrote
+    before its result goes when the result is there."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before = docs
+        with scratch() as keep:
+            docs = keep(cut(stage(spark, before, sf_dir)))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
