@@ -6,7 +6,7 @@ filters prune files.  JSON lines are read for exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -18,6 +18,7 @@ from duelbook.operators.merge import conform, upsert
 from duelbook.operators.recent import player_windows, recent_forms
 from duelbook.operators.totals import player_totals
 from duelbook.schemas import HISTORY_SCHEMA
+from duelbook.sources import store_index
 from duelbook.sources.paths import exists
 
 _CORRUPT = "_corrupt"
@@ -32,22 +33,53 @@ def with_instant(df: DataFrame) -> DataFrame:
     return out
 
 
+def _parsed_lines(spark: SparkSession, found: list[str]) -> DataFrame:
+    """Lines of JSON files with what they hold: path, block (of the file), line, record; blank lines have none."""
+    schema = StructType([*HISTORY_SCHEMA.fields, StructField(_CORRUPT, StringType())])
+    lines = spark.read.text(found).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    record = F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    return lines.withColumn("record", F.when(F.trim("line") != "", record))
+
+
+def _bad() -> Column:
+    return F.col("record").isNotNull() & F.col(f"record.{_CORRUPT}").isNotNull()
+
+
+def invalid_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, line_no, line) of every malformed line of the existing paths, folders included, in one pass.
+
+    A task reads a block of a file in order, so a line's number is its distance from the block's first line plus the lines of the
+    blocks before, which are counted along the way: a row per block.
+    """
+    found = [p for p in paths if exists(spark, p)]
+    if not found:
+        return spark.createDataFrame([], "path string, line_no long, line string")
+    rows = _parsed_lines(spark, found).withColumn("at", F.monotonically_increasing_id())
+    blocks = rows.groupBy("path", "block").agg(
+        F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.collect_list(F.when(_bad(), F.struct("at", "line"))).alias("bad"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bad = blocks.withColumn("before", before).select("path", "before", "first", F.explode("bad").alias("x"))
+    return bad.select("path", (F.col("before") + F.col("x.at") - F.col("first") + 1).alias("line_no"), "x.line")
+
+
 def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
     """History lines of the existing paths.  Blank lines are skipped; a malformed line fails
-    the query, naming its file."""
+    the query, naming its file; ``invalid_lines`` has the line numbers."""
     found = [p for p in paths if exists(spark, p)]
     if not found:
         return with_instant(spark.createDataFrame([], HISTORY_SCHEMA))
-    schema = StructType([*HISTORY_SCHEMA.fields, StructField(_CORRUPT, StringType())])
-    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT).json(found)
-    message = F.concat(F.lit("invalid JSON record in "), F.col("_metadata.file_path"), F.lit(": "), F.substring(_CORRUPT, 1, 200))
-    guard = F.when(F.col(_CORRUPT).isNotNull(), F.raise_error(message)).otherwise(F.coalesce("perspective_id", F.lit("")))
-    rows = raw.withColumn("_guard", guard).filter("_guard IS NOT NULL").drop("_guard", _CORRUPT)
-    return with_instant(rows)
+    message = F.concat(F.lit("invalid JSON record in "), F.col("path"), F.lit(": "), F.substring("line", 1, 200))
+    rows = _parsed_lines(spark, found).filter("record IS NOT NULL")
+    guarded = rows.select(F.when(_bad(), F.raise_error(message)).otherwise(F.lit(True)).alias("_sound"), "record.*")
+    return with_instant(guarded.filter("_sound").drop("_sound", _CORRUPT))
 
 
 def read_validated_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
-    """The same, failing also on any record that breaks a validation rule."""
+    """The same, failing at once with path and line number of a malformed line, and later on any record that breaks a validation rule."""
+    first = invalid_lines(spark, *paths).orderBy("path", "line_no").limit(1).collect()
+    if first:
+        raise ValueError(f"invalid JSON record in {first[0]['path']} line {first[0]['line_no']}: {first[0]['line'][:200]}")
     return quality.require_valid(read_jsonl(spark, *paths))
 
 
@@ -74,21 +106,26 @@ def write_history(df: DataFrame, path: str, *, rows_per_file: int = 5_000_000) -
 def update_history(spark: SparkSession, path: str, new: DataFrame, staging: str) -> None:
     """Merge candidates into the stored history; running it twice changes nothing.
 
-    Only the days that candidates or their stored copies lie on are read and rewritten.
-    The merged rows go to ``staging`` (a folder all executors see) first, because a Parquet
+    The index beside the store says on which days the candidates' stored copies lie; only those days and the candidates' own are
+    read and rewritten. The merged rows go to ``staging`` (a folder all executors see) first, because a Parquet
     table cannot be overwritten while it is being read.
     """
     new = conform(new)
     if not exists(spark, path):
         write_history(upsert(conform(read_history(spark, path)), new), path)
+        store_index.rebuild(spark, path)
         return
-    stored = spark.read.parquet(path)
-    ids = new.select("perspective_id").distinct()
-    days = stored.join(ids, "perspective_id", "left_semi").select("league", "match_date").union(
-        new.select("league", F.col("ts").cast("date"))).distinct()
-    touched = stored.join(days, ["league", "match_date"], "left_semi").drop("match_date")
-    upsert(conform(touched), new).write.mode("overwrite").parquet(staging)
-    write_history(spark.read.parquet(staging), path)
+    touched = touched_rows(spark, path, new)
+    upsert(conform(touched), new).write.mode("overwrite").parquet(f"{staging}/rows")
+    ready = spark.read.parquet(f"{staging}/rows")
+    write_history(ready, path)
+    store_index.refresh(spark, path, ready.join(new.select("perspective_id").distinct(), "perspective_id", "left_semi"), f"{staging}/index")
+
+
+def touched_rows(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """All stored rows of the days on which rows of ``new`` lie or their stored copies do."""
+    days = store_index.days(spark, path, new).unionByName(new.select("league", F.col("ts").cast("date").alias("match_date")))
+    return store_index.on_days(spark.read.parquet(path), days).drop("match_date")
 
 
 def export_jsonl(df: DataFrame, path: str) -> None:

@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from duelbook.functions.times import micros
 from duelbook.operators.merge import conform, first_per_key, reconcile_repair, repair_candidates
-from duelbook.sources.history import update_history, write_history
+from duelbook.sources import store_index
+from duelbook.sources.history import touched_rows, update_history, write_history
 from duelbook.sources.paths import exists
 
 # A re-collected day may correct rows of that day and the next.
@@ -40,8 +41,8 @@ def merge_into(stream: DataFrame, path: str, staging: str, checkpoint: str, **tr
 def repair_from(stream: DataFrame, target_day, path: str, staging: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Reconcile re-collected perspectives of a day (and the one after) with the stored rows.
 
-    Stored rows are matched by perspective_id over the whole history, because a repair may
-    move a row to another day; only days that change are rewritten.
+    Stored rows are found by perspective_id through the store's index, because a repair may move a row to another day; only
+    days that change are read and rewritten.
     """
     def repair(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -49,19 +50,19 @@ def repair_from(stream: DataFrame, target_day, path: str, staging: str, checkpoi
         new = first_per_key(new, ["perspective_id"], ["ts", *sorted(c for c in new.columns if c not in ("ts", "perspective_id"))])
         if not exists(spark, path):
             write_history(new, path)
+            store_index.rebuild(spark, path)
             return
-        stored = spark.read.parquet(path)
-        hits = stored.join(new.select("perspective_id"), "perspective_id", "left_semi").select("league", "match_date")
-        days = hits.union(new.select("league", F.col("ts").cast("date"))).distinct()
-        touched = stored.join(days, ["league", "match_date"], "left_semi").drop("match_date")
-        fixed = reconcile_repair(conform(touched), new).drop("action")
+        touched = touched_rows(spark, path, new)
+        before = touched.select("league", F.col("ts").cast("date").alias("match_date")).distinct()
         folder = f"{staging}/batch={batch_id}"
-        fixed.write.mode("overwrite").parquet(folder)
-        ready = spark.read.parquet(folder)
-        emptied = days.join(ready.select("league", F.col("ts").cast("date").alias("match_date")).distinct(),
-                            ["league", "match_date"], "left_anti")
+        before.write.mode("overwrite").parquet(f"{folder}/days")
+        reconcile_repair(conform(touched), new).drop("action").write.mode("overwrite").parquet(f"{folder}/rows")
+        ready = spark.read.parquet(f"{folder}/rows")
+        emptied = spark.read.parquet(f"{folder}/days").join(ready.select("league", F.col("ts").cast("date").alias("match_date")).distinct(),
+                                                           ["league", "match_date"], "left_anti")
         write_history(ready, path)
         drop_partitions(spark, path, emptied)
+        store_index.refresh(spark, path, ready.join(new.select("perspective_id").distinct(), "perspective_id", "left_semi"), f"{folder}/index")
 
     return (stream.writeStream.foreachBatch(repair).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

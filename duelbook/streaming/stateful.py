@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TAIL = 24
+#: Microseconds of a slice of waiting rows.
+SLICE = 60_000_000
 STREAK_SCHEMA = ("league string, player_key string, match_id string, at long, played long, wins long, draws long, "
                  "losses long, current_streak_result string, current_streak long, last_24 string")
 PAIR_SCHEMA = ("pair_id string, a_at long, a_match_id string, a_result string, b_at long, b_match_id string, "
@@ -38,36 +40,41 @@ def _replace(state, rows: list) -> None:
 
 
 class _Ordered(StatefulProcessor):
-    """Keeps rows until the watermark passes them, then hands them on in order."""
+    """Keeps rows until the watermark passes them, then hands them on in order.
+
+    Rows wait by slice of time, one entry of a map state each, with one timer at the slice's end. A timer reads and removes its own
+    slice and nothing else, and a new row touches its own slice only, so the cost of a row doesn't depend on how many wait. Timers
+    of a key come in the order of time.
+    """
 
     buffer_schema = ""
     order: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", self.buffer_schema)
+        self.names = [c.split()[0] for c in self.buffer_schema.split(", ")]
+        fields = ", ".join(c.replace(" ", ": ", 1) for c in self.buffer_schema.split(", "))
+        self.buffer = handle.getMapState("slices", "slice long", f"rows array<struct<{fields}>>")
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in self.buffer_schema.split(", ")]
-        earliest = None
         for batch in rows:
-            self.buffer.appendList([tuple(r) for r in batch[names].itertuples(index=False)])
-            low = int(batch["at"].min())
-            earliest = low if earliest is None else min(earliest, low)
-        if earliest is not None:
-            self.handle.registerTimer(earliest // 1000 + 1)
+            for slice_, part in batch.groupby(batch["at"] // SLICE):
+                at = (int(slice_),)
+                more = [tuple(r) for r in part[self.names].itertuples(index=False)]
+                if self.buffer.containsKey(at):
+                    more = [tuple(r) for r in self.buffer.getValue(at)[0]] + more
+                else:
+                    self.handle.registerTimer((at[0] + 1) * SLICE // 1000)
+                self.buffer.updateValue(at, (more,))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = timerValues.getCurrentWatermarkInMs() * 1000
-        names = [c.split()[0] for c in self.buffer_schema.split(", ")]
-        waiting = [dict(zip(names, r)) for r in self.buffer.get()]
-        due = sorted((r for r in waiting if r["at"] <= upto), key=lambda r: tuple(r[c] for c in self.order))
-        later = [r for r in waiting if r["at"] > upto]
-        _replace(self.buffer, [tuple(r[c] for c in names) for r in later])
-        if later:
-            self.handle.registerTimer(min(r["at"] for r in later) // 1000 + 1)
+        at = (expiredTimerInfo.getExpiryTimeInMs() * 1000 // SLICE - 1,)
+        if not self.buffer.containsKey(at):
+            return iter(())
+        due = sorted((dict(zip(self.names, r)) for r in self.buffer.getValue(at)[0]), key=lambda r: tuple(r[c] for c in self.order))
+        self.buffer.removeKey(at)
         out = self.advance(key, due)
         return iter((out,)) if len(out) else iter(())
 
@@ -108,10 +115,9 @@ class RunningPairs(_Ordered):
         self.waiting = handle.getListState("waiting", self.buffer_schema)
 
     def advance(self, key, due: list[dict]) -> pd.DataFrame:
-        names = [c.split()[0] for c in self.buffer_schema.split(", ")]
         stacks: tuple[list, list] = ([], [])
         for r in self.waiting.get():
-            row = dict(zip(names, r))
+            row = dict(zip(self.names, r))
             stacks[row["side"]].append(row)
         rows = []
         for r in due:
@@ -125,7 +131,7 @@ class RunningPairs(_Ordered):
                 stacks[r["side"]].append(r)
         if due:
             alive = [r for s in stacks for r in s if r["at"] >= due[-1]["at"] - self.gap]
-            _replace(self.waiting, [tuple(r[c] for c in names) for r in alive])
+            _replace(self.waiting, [tuple(r[c] for c in self.names) for r in alive])
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR_SCHEMA.split(", ")])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +13,21 @@ from duelbook.operators import filters
 from duelbook.operators.totals import KEYS, with_pcts
 from duelbook.streaming.ingest import REPAIR_DELAY, with_event_time
 
+COUNTS = ("wins", "draws", "losses")
+
 
 def sliding_snapshot(stream: DataFrame, hours: int = 8, slide_minutes: int = 15, delay: str = REPAIR_DELAY) -> DataFrame:
     """Totals and indicator per player for every window of ``hours`` on a ``slide`` grid.
 
-    Windows are aligned to the slide; the exact ``[reference - hours, reference]`` snapshot
-    is the batch operator, run per trigger with ``foreachBatch`` over the recent rows.
+    Matches are counted once, in the pane of the grid they lie in; a pane goes on as one row per player when the watermark closes
+    it, and only these rows are dealt to the windows that hold the pane. Windows are aligned to the slide; the exact
+    ``[reference - hours, reference]`` snapshot is the batch operator, run per trigger with ``foreachBatch`` over the recent rows.
     """
-    positive_int(hours, "hours")
+    whole, slide = positive_int(hours, "hours") * 60, positive_int(slide_minutes, "slide_minutes")
     rows = with_event_time(filters.valid_results(stream), delay)
-    w = F.window("event_ts", f"{hours} hours", f"{positive_int(slide_minutes, 'slide_minutes')} minutes")
-    g = rows.groupBy(w, *KEYS).agg(
-        F.count("*").alias("played"), *[count_of(v).alias(n) for n, v in zip(("wins", "draws", "losses"), RESULTS)])
+    panes = rows.groupBy(F.window("event_ts", f"{gcd(whole, slide)} minutes").alias("pane"), *KEYS).agg(
+        F.count("*").alias("played"), *[count_of(v).alias(n) for n, v in zip(COUNTS, RESULTS)])
+    g = panes.groupBy(F.window("pane", f"{whole} minutes", f"{slide} minutes").alias("window"), *KEYS).agg(*[F.sum(c).alias(c) for c in ("played", *COUNTS)])
     return with_pcts(g).withColumn("indicator", indicator(F.col("wins"), F.col("draws"), F.col("losses")))
 
 
@@ -35,4 +40,4 @@ def streaming_sessions(stream: DataFrame, gap_minutes: int = 90, delay: str = RE
     rows = with_event_time(filters.valid_results(stream), delay)
     return rows.groupBy(F.session_window("event_ts", gap).alias("s"), *KEYS).agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("played"),
-        *[count_of(v).alias(n) for n, v in zip(("wins", "draws", "losses"), RESULTS)])
+        *[count_of(v).alias(n) for n, v in zip(COUNTS, RESULTS)])

@@ -60,3 +60,119 @@ def test_stream_repair_moves_a_row_to_the_right_day(spark, history, scratch):
     ingest.repair_from(read(path + "2"), "2026-07-14", out, f"{scratch}/s2", f"{scratch}/r2").awaitTermination()
     got = read_history(spark, out).collect()
     assert [(r.perspective_id, r.ts) for r in got] == [("gt:1:a", START + timedelta(days=1))]
+
+
+class FakeState:
+    """A processor's handle and states in memory, counting the rows that are read."""
+
+    def __init__(self):
+        self.slices, self.value, self.timers, self.read = {}, None, set(), 0
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def getValueState(self, name, schema):
+        return self
+
+    def containsKey(self, key):
+        return key in self.slices
+
+    def getValue(self, key):
+        self.read += len(self.slices[key][0])
+        return self.slices[key]
+
+    def updateValue(self, key, value):
+        self.slices[key] = value
+
+    def removeKey(self, key):
+        del self.slices[key]
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class FakeTimer:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_a_timer_reads_its_own_slice_only():
+    """A hundred thousand waiting rows of one player: every row is read about once, whatever waits beside it."""
+    import random
+
+    import pandas as pd
+
+    from duelbook.streaming import stateful
+
+    rng = random.Random(3)
+    n = 100_000
+    rows = [(i * 1_700_000, f"m{i:06d}", f"p{i}", rng.choice("VED")) for i in range(n)]
+    state, p = FakeState(), stateful.RunningStreak()
+    p.init(state)
+    mixed = rows[:]
+    rng.shuffle(mixed)
+    columns = ["at", "match_id", "perspective_id", "result"]
+    for part in (mixed[:n // 2], mixed[n // 2:]):
+        assert not list(p.handleInputRows(("GT", "a"), iter([pd.DataFrame(part, columns=columns)]), None))
+    assert len(state.timers) == len(state.slices) > 2000
+    out = [r for at in sorted(state.timers) for f in p.handleExpiredTimer(("GT", "a"), None, FakeTimer(at)) for r in f.itertuples(index=False)]
+    assert [r.match_id for r in out] == [r[1] for r in rows] and out[-1].played == n and not state.slices
+    assert state.read < 2 * n
+    text = "".join(r[3] for r in rows)
+    assert all(out[i].last_24 == text[max(0, i - 23):i + 1] for i in range(0, n, 997))
+
+
+def test_the_store_is_read_by_index(spark, history, scratch):
+    """An update by few ids reads their buckets and the days they lie on, and no others."""
+    from duelbook.operators.merge import conform
+    from duelbook.sources import store_index
+    from duelbook.sources.history import touched_rows, update_history, write_history
+
+    path = f"{scratch}/indexed"
+    rows = [row(i, "A", "B", "V", START + timedelta(days=i % 30)) for i in range(300)]
+    write_history(conform(history(rows)), path)
+    store_index.rebuild(spark, path)
+    new = conform(history([row(7, "A", "B", "V", START + timedelta(days=3))]))  # stored on another day
+    found = store_index.read(spark, path, new)
+    def pruned_by(df, column):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return column in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+    assert found.select("bucket").distinct().count() == 1 and pruned_by(found, "bucket")
+    days = store_index.days(spark, path, new).unionByName(new.select("league", F.col("ts").cast("date").alias("match_date")))
+    touched = store_index.on_days(spark.read.parquet(path), days)
+    assert {r.match_date for r in touched.collect()} == {(START + timedelta(days=d)).date() for d in (3, 7)} and pruned_by(touched, "match_date")
+    assert touched_rows(spark, path, new).count() == 20
+    update_history(spark, path, new, f"{scratch}/indexed-staging")
+    assert sorted(r.perspective_id for r in read_history(spark, path).collect()) == sorted(r[2] for r in rows)
+    index = spark.read.parquet(store_index.folder(path))
+    assert index.count() == 300 and index.where("perspective_id = 'gt:7:a'").first().match_date == (START + timedelta(days=7)).date()
+    moved = conform(history([row(999, "C", "D", "D", START + timedelta(days=40))]))
+    update_history(spark, path, moved, f"{scratch}/indexed-staging2")
+    assert spark.read.parquet(store_index.folder(path)).count() == 301
+
+
+def test_panes_give_every_window(spark, history, scratch):
+    path = f"{scratch}/panes"
+    rows = [row(i, "AB"[i % 2], "C", "VED"[i % 3], i * 37) for i in range(60)]
+    flush = row(999, "Z", "Y", "V", START + timedelta(days=30))
+    folder(history, [*rows, flush], path)
+    got = drain(windows.sliding_snapshot(stream(spark, path), 2, 30).select("player_key", F.col("window.start").alias("s"), "played", "wins", "draws", "losses"), scratch, "panes-out")
+    want = {}
+    for r in rows:
+        at = r[8] - timedelta(minutes=r[8].minute % 30)
+        for k in range(4):
+            key = (r[4], at - timedelta(minutes=30 * k))
+            n = want.setdefault(key, [0, 0, 0, 0])
+            n[0] += 1
+            n[1 + "VED".index(r[7])] += 1
+    assert {(r.player_key, r.s): [r.played, r.wins, r.draws, r.losses] for r in got.collect()} == want
