@@ -1,8 +1,8 @@
 """Result pages to perspectives (SRC12, SRC13, WIN14, SC9-SC11).
 
 Input is a table of pages (page_id, html).  Only the fixed page layout is understood:
-heading spans, clock spans and match rows.  A page is one row's content, so its elements
-and blocks are handled as arrays inside the row: no shuffle, whatever a page's share.
+heading spans, clock spans and match rows.  A page is cut at its headings and these at their clocks
+inside its row, and then exploded: no shuffle, and work in proportion to the page.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.functions.binding import bind
+from duelbook.functions.binding import bind, select_once
 from duelbook.functions.names import player_in_parentheses
 from duelbook.functions.times import LOCAL_ZONE, iso_local, iso_z
 from duelbook.sources.fixtures_json import two_sides
@@ -18,7 +18,10 @@ from duelbook.sources.fixtures_json import two_sides
 LEAGUE, SOURCE_TYPE = "EADRIATIC", "eadriatic_html"
 ROLLOVER_HOURS = 8
 # Shapes of the page elements and of their texts.
-_ELEMENTS = r"(?is)(<span\b[^>]*\bclass\s*=\s*[\"'][^\"']*\b(?:fg|time)-heading\b[^>]*>.*?</span>|<tr\b[^>]*\bdata-match-href\s*=.*?</tr>)"
+_HEADING_START = r"(?is)(?=<span\b[^>]*\bclass\s*=\s*[\"'][^\"']*\bfg-heading\b)"
+_CLOCK_START = r"(?is)(?=<span\b[^>]*\bclass\s*=\s*[\"'][^\"']*\btime-heading\b)"
+_SPAN = r"(?is)^(<span\b[^>]*>.*?</span>)"
+_ROW = r"(?is)<tr\b[^>]*\bdata-match-href\s*=.*?</tr>"
 _HREF = r"(?is)\bdata-match-href\s*=\s*[\"']([^\"']*)[\"']"
 _CELLS = r"(?is)<td\b[^>]*>(.*?)</td>"
 _SCORE = r"(\d+)\s*-\s*(\d+)"
@@ -36,26 +39,38 @@ def _text(markup: Column, joiner: str = "") -> Column:
     return F.regexp_replace(t, r"^[\s ]+|[\s ]+$", "")
 
 
-def _elements(html: Column) -> Column:
-    """Headings (b), clocks (c), linked rows (r) and other rows (x) with what they say, in page order."""
-    def read(e: Column) -> Column:
-        kind = (
-            F.when(F.lower(F.substring(e, 1, 3)) == "<tr", F.when(F.regexp_extract(e, _HREF, 1) != "", F.lit("r")).otherwise(F.lit("x")))
-            .when(F.regexp_like(e, F.lit(r"(?is)^<span\b[^>]*\bfg-heading\b")), F.lit("b")).otherwise(F.lit("c"))
-        )
-        text = F.when(F.lower(F.substring(e, 1, 3)) == "<tr", e).otherwise(_text(e))
-        return F.struct(kind.alias("kind"), text.alias("text"))
+def _linked_rows(markup: Column) -> Column:
+    """Match rows of a stretch of a page that have a link, in order."""
+    return F.filter(F.regexp_extract_all(markup, F.lit(_ROW), F.lit(0)), lambda r: F.regexp_extract(r, _HREF, 1) != "")
+
+
+def _blocks(html: Column) -> Column:
+    """The blocks of a page: label, raw date, day, clocks and rows (clock, e), cut at the headings and within them at the clocks.
+
+    What stands before the first heading belongs to no block. The clock of a row is the last one before it in its block.
+    """
+    def read(block: Column) -> Column:
+        heading = _text(F.regexp_extract(block, _SPAN, 1))
+        label, raw = F.regexp_extract(heading, _HEADING, 1), F.regexp_extract(heading, _HEADING, 2)
+
+        def timed(parts: Column) -> Column:
+            clocks = F.transform(parts, lambda p, i: F.when(i > 0, _text(F.regexp_extract(p, _SPAN, 1))))
+            rows = F.flatten(F.transform(parts, lambda p, i: F.transform(_linked_rows(p), lambda r: F.struct(
+                F.when(i > 0, _text(F.regexp_extract(p, _SPAN, 1))).alias("clock"), r.alias("e")))))
+            return F.struct(
+                F.when(raw != "", F.trim(label)).alias("label"), F.when(raw != "", raw).alias("raw"),
+                F.when(F.length(raw) == 10, F.try_to_date(raw, "dd.MM.yyyy")).alias("day"),
+                F.filter(clocks, lambda c: F.coalesce(F.regexp_like(c, F.lit(r"^\d{2}:\d{2}$")), F.lit(False))).alias("times"), rows.alias("rows"))
+
+        return bind(F.split(block, _CLOCK_START), timed)
 
-    return F.transform(F.regexp_extract_all(html, F.lit(_ELEMENTS), F.lit(1)), read)
+    return F.transform(F.filter(F.split(html, _HEADING_START), lambda x, i: (i > 0) | F.regexp_like(x, F.lit(f"^{_HEADING_START}"))), read)
 
 
 def match_rows(pages: DataFrame) -> DataFrame:
     """(page_id, pos, home, home_score, away_score, away): finished rows without dates, one per link (SRC13)."""
-    linked = F.filter(F.transform(_elements(F.col("html")), lambda e, i: F.struct(i.alias("pos"), e["kind"].alias("kind"), e["text"].alias("e"))),
-                      lambda x: x["kind"] == "r")
-    rows = F.transform(linked, lambda x: F.struct(x["pos"].alias("pos"), F.regexp_extract(x["e"], _HREF, 1).alias("href"), _match(x["e"]).alias("m")))
-    r = pages.select("page_id", F.explode(rows).alias("x")).select(
-        "page_id", "x.pos", "x.href", "x.m")
+    r = pages.select("page_id", F.posexplode(_linked_rows(F.col("html"))).alias("pos", "e"))
+    r = select_once(r, "page_id", "pos", F.regexp_extract("e", _HREF, 1).alias("href"), _match(F.col("e")).alias("m"))
     # The first row of a link decides, finished or not.
     first = r.groupBy("page_id", "href").agg(F.min_by(F.struct("pos", "m"), "pos").alias("f"))
     return first.select("page_id", "f.pos", "f.m.*").filter(_COMPLETE)
@@ -79,39 +94,6 @@ def _match(row: Column) -> Column:
     return bind(F.regexp_extract_all(row, F.lit(_CELLS), F.lit(1)), read)
 
 
-def _walk_elements(elements: Column) -> Column:
-    """Fold the elements in page order into (blocks, rows): carry block, clock and row order forward."""
-    block = "array<struct<label:string,raw:string,day:date,times:array<string>>>"
-    row = "array<struct<block:int,clock:string,ord:int,e:string>>"
-    zero = F.struct(F.array().cast(block).alias("blocks"), F.array().cast(row).alias("rows"),
-                    F.lit(None).cast("string").alias("clock"), F.lit(0).alias("ord"))
-
-    def step(acc: Column, e: Column) -> Column:
-        text = e["text"]
-        heading = F.regexp_extract(text, _HEADING, 1), F.regexp_extract(text, _HEADING, 2)
-        dated = heading[1] != ""
-        new_block = F.struct(
-            F.when(dated, F.trim(heading[0])).alias("label"), F.when(dated, heading[1]).alias("raw"),
-            F.when(F.length(heading[1]) == 10, F.try_to_date(heading[1], "dd.MM.yyyy")).alias("day"),
-            F.array().cast("array<string>").alias("times"))
-        n = F.size(acc["blocks"])
-        last = F.get(acc["blocks"], n - 1)
-        timed = F.struct(last["label"].alias("label"), last["raw"].alias("raw"), last["day"].alias("day"),
-                         F.array_append(last["times"], text).alias("times"))
-        grown = F.when((n > 0) & F.regexp_like(text, F.lit(r"^\d{2}:\d{2}$")),
-                       F.array_append(F.slice(acc["blocks"], F.lit(1), n - 1), timed)).otherwise(acc["blocks"])
-        is_block, is_clock, is_row = e["kind"] == "b", e["kind"] == "c", e["kind"] == "r"
-        one_row = F.struct((n - 1).alias("block"), acc["clock"].alias("clock"), acc["ord"].alias("ord"), text.alias("e"))
-        return F.struct(
-            F.when(is_block, F.array_append(acc["blocks"], new_block)).when(is_clock, grown).otherwise(acc["blocks"]).alias("blocks"),
-            F.when(is_row, F.array_append(acc["rows"], one_row)).otherwise(acc["rows"]).alias("rows"),
-            F.when(is_block, F.lit(None).cast("string")).when(is_clock, text).otherwise(acc["clock"]).alias("clock"),
-            F.when(is_block, F.lit(0)).when(is_row, acc["ord"] + 1).otherwise(acc["ord"]).alias("ord"),
-        )
-
-    return F.aggregate(elements, zero, step)
-
-
 def _full_years(blocks: Column) -> Column:
     """Left to right: complete a three-digit year from neighbours that agree on one date.
 
@@ -163,30 +145,23 @@ def _rolled_over(blocks: Column, days: Column) -> Column:
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """One row per page: its blocks with recovered dates and its match rows."""
-    p = pages.withColumn("_w", _walk_elements(_elements(F.col("html"))))
-    p = p.withColumn("_d", _full_years(F.col("_w.blocks")))
-    return p.withColumn("_d", _rolled_over(F.col("_w.blocks"), F.col("_d")))
+    """One row per page: its blocks with their rows, and the blocks' recovered dates."""
+    p = select_once(pages, *[c for c in pages.columns if c != "html"], _blocks(F.col("html")).alias("_b"))
+    # Only what the dates depend on is folded: a few values a block.
+    short = F.transform("_b", lambda b: F.struct(b["label"].alias("label"), b["raw"].alias("raw"), b["day"].alias("day"), b["times"].alias("times")))
+    return p.withColumn("_d", bind(short, lambda blocks: _rolled_over(blocks, _full_years(blocks))))
 
 
 def page_matches(pages: DataFrame) -> DataFrame:
     """Finished matches with date and place on the page; the first row of a link wins per page."""
     keep = [c for c in pages.columns if c != "html"]
-    p = parsed_pages(pages)
-
-    def read(r: Column) -> Column:
-        block = F.get(F.col("_w.blocks"), r["block"])
-        ok = (r["block"] >= 0) & F.regexp_like(r["clock"], F.lit(r"^([01]\d|2[0-3]):[0-5]\d$"))
-        return F.struct(
-            r["block"].alias("block"), r["ord"].alias("ord"), F.when(ok, r["clock"]).alias("clock"), block["label"].alias("label"),
-            F.get(F.col("_d"), r["block"]).alias("day"),
-            F.regexp_extract(F.regexp_extract(r["e"], _HREF, 1), r"^/match/(\d+)\.html$", 1).alias("native_match_id"),
-            F.when(ok, _match(r["e"])).alias("m"))
-
-    # Everything textual is read inside the page row; what comes out of explode is plain data.
-    rows = p.select(*keep, F.explode(F.transform("_w.rows", read)).alias("r")).select(*keep, "r.*")
-    rows = rows.filter("clock IS NOT NULL AND day IS NOT NULL AND native_match_id <> ''").select(
-        *keep, "block", "ord", "clock", "label", "day", "native_match_id", "m.*").filter(_COMPLETE)
+    blocks = parsed_pages(pages).select(*keep, F.posexplode(F.arrays_zip("_b", "_d")).alias("block", "x"))
+    rows = blocks.select(*keep, "block", F.col("x._b.label").alias("label"), F.col("x._d").alias("day"), F.posexplode("x._b.rows").alias("ord", "r"))
+    rows = rows.filter("day IS NOT NULL").filter(F.regexp_like("r.clock", F.lit(r"^([01]\d|2[0-3]):[0-5]\d$")))
+    # Each row's text is read once; what comes out is plain data.
+    rows = select_once(rows, *keep, "block", "ord", F.col("r.clock").alias("clock"), "label", "day",
+                       F.regexp_extract(F.regexp_extract("r.e", _HREF, 1), r"^/match/(\d+)\.html$", 1).alias("native_match_id"), _match(F.col("r.e")).alias("m"))
+    rows = rows.filter("native_match_id <> ''").select(*keep, "block", "ord", "clock", "label", "day", "native_match_id", "m.*").filter(_COMPLETE)
     minutes = F.substring("clock", 1, 2).try_cast("int") * 60 + F.substring("clock", 4, 2).try_cast("int")
     wall = F.timestamp_add("MINUTE", minutes, F.col("day").cast("timestamp_ntz"))
     detail = [F.regexp_extract("label", _DETAIL, i) for i in (1, 2, 3)]

@@ -18,6 +18,7 @@ _ROW_STK = r"^\s*(.+?)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)(?:\s+([VED]+))?\s
 _ROW_PLAIN = r"^\s*(.+?)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)(?:\s+([VED]+))?\s*$"
 _RIVAL = r"^(.*?):\s+(\d+)\s+\(([\d.]+)%/([\d.]+)%/([\d.]+)%\)(?:\s+\[([VED]*)\])?$"
 _STAMP = r"^(\d{8})"
+_TITLE_START = r"(?md)^(?=[^:\n]*[^\s:][^:\n]*$)"
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -70,17 +71,11 @@ def daily_rival_table(reports: DataFrame) -> DataFrame:
     """
     keep = [c for c in reports.columns if c != "text"]
     body = F.split_part(F.col("text"), F.lit(f"\n{RIVALS}"), F.lit(2))
-    zero = F.struct(F.lit(None).cast("string").alias("player"),
-                    F.array().cast("array<struct<player:string,line:string>>").alias("rows"))
-
-    def step(acc: Column, line: Column) -> Column:
-        title = ~F.contains(line, F.lit(":")) & (F.trim(line) != "")
-        entry = F.contains(line, F.lit(":")) & acc["player"].isNotNull()
-        return F.struct(
-            F.when(title, F.trim(line)).otherwise(acc["player"]).alias("player"),
-            F.when(entry, F.array_append(acc["rows"], F.struct(acc["player"].alias("player"), line.alias("line")))).otherwise(acc["rows"]).alias("rows"))
-
-    rows = reports.select(*keep, F.explode(F.aggregate(_lines(body), zero, step)["rows"]).alias("x"))
+    # Cut at the titles, the lines without a colon; what stands before the first one has no player.
+    parts = reports.select(*keep, F.explode(F.split(body, _TITLE_START)).alias("part"))
+    player = F.trim(F.regexp_extract("part", r"^([^:\r\n]*)(?:\r?\n|$)", 1))
+    rows = parts.select(*keep, player.alias("player"), F.explode(_lines(F.col("part"))).alias("line")).filter("player <> ''").filter(F.contains("line", F.lit(":")))
+    rows = rows.select(*keep, F.struct("player", "line").alias("x"))
     part = [F.regexp_extract("x.line", _RIVAL, i) for i in range(7)]
     rows = rows.filter(part[0] != "").select(
         *keep, report_date(F.col("file_name")).alias("date"), F.col("x.player").alias("player"), F.trim(part[1]).alias("rival"),
