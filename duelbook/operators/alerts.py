@@ -20,7 +20,7 @@ TREND_THRESHOLD = 5.0
 
 def h2h_alerts(h2h: DataFrame, names: DataFrame, history: DataFrame, *, bettable: DataFrame | None = None,
                excluded: DataFrame | None = None, min_win_pct: float = MIN_WIN_PCT, recent_window: int = RECENT_WINDOW) -> DataFrame:
-    """Relations of ``h2h`` (group totals) at or above the win rate, each with its whole sequence and its last-N history form.
+    """Relations of ``h2h`` (group totals) at or above the win rate, each with its last results and its last-N history form.
 
     ``names`` gives group_id and label per (league, group_no). Relations meet the history by the folded keys that ``h2h`` carries;
     names are folded here only where it has none.
@@ -56,7 +56,7 @@ def h2h_alerts(h2h: DataFrame, names: DataFrame, history: DataFrame, *, bettable
     })
     return out.select(
         "league", "group_id", F.col("label").alias("group"), "player_key", "rival_key", "player", "rival", "wins", "draws", "losses", "matches",
-        "win_pct", "draw_pct", "loss_pct", "seq", "sequence_part", "last5", "last10", "win_run", "unbeaten_run",
+        "win_pct", "draw_pct", "loss_pct", "last5", "last10", "win_run", "unbeaten_run",
         "signal", "confidence", "low_sample", "recent_window", "recent_available", "recent_sequence", "recent_wins",
         "recent_draws", "recent_losses", "recent_win_pct", "recent_draw_pct", "recent_loss_pct",
         "recent_win_pct_delta", "recent_trend", "recent_sample_status", "recent_window_complete")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.functions.results import RESULTS, count_in, drawless_run
+from duelbook.functions.results import DRAW
 from duelbook.functions.times import local_date
-from duelbook.operators import filters
-from duelbook.operators.runs import whole_sequence
+from duelbook.operators import filters, segments
+from duelbook.operators.runs import runs
 
 
 def _with_day(df: DataFrame, day: Column | None) -> DataFrame:
@@ -16,22 +16,40 @@ def _with_day(df: DataFrame, day: Column | None) -> DataFrame:
     return rows.withColumn("date", local_date(F.col("ts")) if day is None else day)
 
 
-def _counts(seq: str = "seq") -> dict[str, Column]:
-    return {n: count_in(F.col(seq), v) for n, v in zip(("wins", "draws", "losses"), RESULTS)}
+PLAYER_DAY = ["league", "date", "player_key", "player"]
+RIVAL_DAY = [*PLAYER_DAY, "rival_key", "rival"]
 
 
-def daily_players(df: DataFrame, day: Column | None = None) -> DataFrame:
-    """(league, date, player_key, player): counts, played, sequence and trailing no-draw run of the local day."""
-    keys = ["league", "date", "player_key", "player"]
-    s = whole_sequence(_with_day(df, day), keys, slice_by="hour").withColumnRenamed("sequence", "seq")
-    return s.withColumns(_counts()).withColumns({"played": F.length("seq"), "current_streak": drawless_run(F.col("seq"))})
+def daily_players(df: DataFrame, day: Column | None = None, text: bool = False) -> DataFrame:
+    """(league, date, player_key, player) with the summary of the local day (see ``segments``) and ``current_streak``, its trailing no-draw run.
 
+    With ``text`` also ``seq``, the whole day in one value, for a day's report and whatever else prints it; ``daily_sequences`` has it by hour.
+    """
+    return _days(df, PLAYER_DAY, day, text).withColumn("current_streak", segments.drawless_run())
 
-def daily_rivals(df: DataFrame, day: Column | None = None) -> DataFrame:
+
+def daily_rivals(df: DataFrame, day: Column | None = None, text: bool = False) -> DataFrame:
     """The same per rival: (league, date, player_key, player, rival_key, rival)."""
-    keys = ["league", "date", "player_key", "player", "rival_key", "rival"]
-    s = whole_sequence(_with_day(df, day), keys, slice_by="hour").withColumnRenamed("sequence", "seq")
-    return s.withColumns(_counts()).withColumn("played", F.length("seq"))
+    return _days(df, RIVAL_DAY, day, text)
+
+
+def _days(df: DataFrame, keys: list[str], day: Column | None, text: bool) -> DataFrame:
+    rows = _with_day(df, day)
+    days = segments.summary(rows, keys)
+    if not text:
+        return days
+    return days.join(segments.joined_text(segments.sequences(rows, keys, "hour"), keys).withColumnRenamed("sequence", "seq"), keys)
+
+
+def daily_sequences(df: DataFrame, day: Column | None = None, rivals: bool = False) -> DataFrame:
+    """(league, date, player_key, player[, rival_key, rival], slice, n, seq): the results of a day as text, a row per hour."""
+    return segments.sequences(_with_day(df, day), RIVAL_DAY if rivals else PLAYER_DAY, "hour")
+
+
+def daily_no_draw_runs(df: DataFrame, day: Column | None = None) -> DataFrame:
+    """(league, date, player_key, player, streak, ended): every no-draw run of every day, from the rows; ``ended`` when a draw followed that day."""
+    r = runs(_with_day(df, day), PLAYER_DAY, F.col("result") != DRAW, slice_by="hour").filter("value")
+    return r.select(*PLAYER_DAY, F.col("length").cast("int").alias("streak"), (~F.col("is_last")).alias("ended"))
 
 
 def pct1(n: Column, d: Column) -> Column:

@@ -5,7 +5,7 @@ All filters are plain predicates on stored columns, so they reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelbook.functions.names import fold_name, league_name
@@ -22,6 +22,19 @@ def chronological(df: DataFrame) -> DataFrame:
     return df.orderBy("ts", "match_id", "player_key", "perspective_id")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Rows with ``position``, their place in presentation order (from 1), without sorting everything in one task.
+
+    Rows are ranked inside their hour; a row per hour carries how many come before.
+    """
+    rows = df.withColumn("_hour", F.date_trunc("hour", "ts"))
+    rank = F.row_number().over(Window.partitionBy("_hour").orderBy("ts", "match_id", "player_key", "perspective_id"))
+    hours = rows.groupBy("_hour").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_hour").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    hours = hours.select("_hour", before.alias("_before"))
+    return rows.withColumn("_rank", rank).join(hours, "_hour").withColumn("position", F.col("_before") + F.col("_rank")).drop("_hour", "_rank", "_before")
+
+
 def by_league(df: DataFrame, league: str) -> DataFrame:
     return df.filter(F.lower(F.trim("league")) == non_blank(league, "league").lower())
 

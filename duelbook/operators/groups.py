@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from duelbook.functions.names import group_label, group_slug
 from duelbook.functions.params import positive_int
-from duelbook.functions.results import count_in, pct_exact, tail, unbeaten_run, win_run
+from duelbook.functions.results import RESULTS, pct_exact, tail
+from duelbook.operators import filters, segments
 
 GROUP_SIZE = 5
 COUNTS = ("wins", "draws", "losses")
+RELATION = ["league", "group_no", "group_size", "player", "rival"]
+SUMMARY = ["played", "last_24", *[f"{name}_{v}" for v in RESULTS for name in ("first", "last")]]
 
 
 def target_groups(tracked: DataFrame, group_size: int = GROUP_SIZE) -> DataFrame:
@@ -64,58 +67,37 @@ def among_targets(targets: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def relation_days(targets: DataFrame, daily: DataFrame) -> DataFrame:
-    """One row per directed relation of a target group and day: counts and the day's sequence, whatever the relation's size."""
-    keys = ["league", "group_no", "group_size", "player", "rival", *[c for c in ("player_key", "rival_key") if c in daily.columns]]
-    return group_daily(targets, daily).groupBy(*keys, "date").agg(
-        *[F.sum(c).alias(c) for c in COUNTS], F.coalesce(F.max("seq"), F.lit("")).alias("seq"))
+    """The daily rows of each directed relation of a target group as summaries, whatever the relation's size.
+
+    ``daily``: the rows of ``daily_rivals``, or a report's with their text in ``seq``.
+    """
+    days = group_daily(targets, daily if "last_E" in daily.columns else segments.of_text(daily))
+    return days.select(*RELATION, *[c for c in ("player_key", "rival_key") if c in daily.columns], "date", *COUNTS, *SUMMARY)
 
 
 def group_h2h(targets: DataFrame, daily: DataFrame) -> DataFrame:
-    """Directed totals inside each target group, with the joined daily sequences (AGG7): one row per relation, of any size.
+    """Directed totals inside each target group (AGG7), one row per relation: counts, shares, last results and trailing runs.
 
-    last5/last10 and the trailing runs are stitched from the days: the days that hold the last ten results, and the days since
-    a run was last broken. ``seq`` is whole, a byte per result; ``sequence_part`` and ``sequence_parts`` are 1 always. Who
-    doesn't select it doesn't build it. ``relation_days`` holds the same text in rows of a day.
+    All of it is merged from the days' summaries; the results as text are those of ``group_sequences``.
     """
     days = relation_days(targets, daily)
-    keys = [c for c in days.columns if c not in (*COUNTS, "date", "seq")]
-    days = days.withColumns({
-        "_n": F.length("seq"), "_end": tail(F.col("seq"), 10), "_win": win_run(F.col("seq")), "_unbeaten": unbeaten_run(F.col("seq"))})
-    whole = Window.partitionBy(*keys)
-    later = F.coalesce(F.sum("_n").over(whole.orderBy("date").rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-
-    def broken(run: str) -> Column:
-        return F.max(F.when(F.col(run) < F.col("_n"), F.col("date"))).over(whole)
-
-    def trailing(run: str) -> Column:
-        since = F.col(f"{run}_broken")
-        return F.sum(F.when(since.isNull() | (F.col("date") >= since), F.col(run)).otherwise(0)).cast("int")
-
-    def joined(text: Column, when: Column | None = None) -> Column:
-        day = F.struct("date", text.alias("text"))
-        ordered = F.array_sort(F.collect_list(day if when is None else F.when(when, day)))
-        return F.array_join(F.transform(ordered, lambda d: d["text"]), "")
-
-    days = days.withColumns({"_later": later, "_win_broken": broken("_win"), "_unbeaten_broken": broken("_unbeaten")})
-    h = days.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in COUNTS], joined(F.col("seq")).alias("seq"), joined(F.col("_end"), F.col("_later") < 10).alias("_end"),
-        trailing("_win").alias("win_run"), trailing("_unbeaten").alias("unbeaten_run"))
+    h = segments.merged(days, [c for c in days.columns if c not in (*COUNTS, *SUMMARY, "date")], ["date", "played", "last_24"])
     total = F.col("wins") + F.col("draws") + F.col("losses")
-    return h.withColumn("matches", total).filter("matches > 0").withColumns({
-        "sequence_part": F.lit(1), "sequence_parts": F.lit(1),
-        "win_pct": pct_exact(F.col("wins"), F.col("matches")), "draw_pct": pct_exact(F.col("draws"), F.col("matches")),
-        "loss_pct": pct_exact(F.col("losses"), F.col("matches")), "last5": tail(F.col("_end"), 5), "last10": tail(F.col("_end"), 10),
-    }).drop("_end")
+    h = h.withColumns({"win_run": segments.win_run(), "unbeaten_run": segments.unbeaten_run(), "last5": tail(F.col("last_24"), 5),
+                       "last10": tail(F.col("last_24"), 10), "matches": total}).drop(*SUMMARY)
+    return h.filter("matches > 0").withColumns({
+        f"{n}_pct": pct_exact(F.col(c), F.col("matches")) for n, c in (("win", "wins"), ("draw", "draws"), ("loss", "losses"))})
 
 
-def one_row(h2h: DataFrame) -> DataFrame:
-    """The relation rows without their sequence text."""
-    return h2h.drop("seq", "sequence_part", "sequence_parts")
+def group_sequences(targets: DataFrame, df: DataFrame) -> DataFrame:
+    """(league, player_key, player, rival_key, rival, slice, n, seq): the results between members of one group as text, a row per relation and month."""
+    rows = filters.valid_results(among_targets(targets, df))
+    return segments.sequences(rows, ["league", "player_key", "player", "rival_key", "rival"], "month")
 
 
 def _scores(targets: DataFrame, h2h: DataFrame) -> DataFrame:
     """Per member: ordered list of (rival, win_pct, wins, matches) inside the group (at most group size - 1)."""
-    rivals = one_row(h2h).groupBy("league", "group_no", "player").agg(
+    rivals = h2h.groupBy("league", "group_no", "player").agg(
         F.array_sort(F.collect_list(F.struct("rival", "win_pct", "wins", "matches"))).alias("r"))
     return targets.select("league", "group_no", "player").join(rivals, ["league", "group_no", "player"], "left").withColumn(
         "r", F.coalesce("r", F.array().cast("array<struct<rival:string,win_pct:double,wins:bigint,matches:bigint>>")))
@@ -161,7 +143,7 @@ def back_and_lay(ranking: DataFrame) -> DataFrame:
 
 def matchups(picks: DataFrame, h2h: DataFrame, top: int = 3) -> DataFrame:
     """Best three rivals of the back pick, worst three of the lay pick, with the full record."""
-    rows = picks.select("league", "group_no", "side", "player").join(one_row(h2h), ["league", "group_no", "player"])
+    rows = picks.select("league", "group_no", "side", "player").join(h2h, ["league", "group_no", "player"])
     signed = F.when(F.col("side") == "back", -F.col("win_pct")).otherwise(F.col("win_pct"))
     w = Window.partitionBy("league", "group_no", "side").orderBy(signed, "rival")
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= positive_int(top, "top"))
@@ -255,4 +237,4 @@ def nested_matrix(h2h: DataFrame) -> DataFrame:
     """Directed matrix as one nested row per member, empty cells left out (AGG8)."""
     cell = F.struct("rival", "wins", "draws", "losses", "matches", "win_pct", "draw_pct", "loss_pct",
                     "last5", "last10", "win_run", "unbeaten_run")
-    return one_row(h2h).groupBy("league", "group_no", "player").agg(F.array_sort(F.collect_list(cell)).alias("rivals"))
+    return h2h.groupBy("league", "group_no", "player").agg(F.array_sort(F.collect_list(cell)).alias("rivals"))

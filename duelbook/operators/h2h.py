@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from duelbook import schemas
 from duelbook.functions.params import non_negative_number, positive_int
-from duelbook.functions.results import sample_status, trend
-from duelbook.operators import filters
+from duelbook.functions.results import RESULTS, count_of, sample_status, trend
+from duelbook.operators import filters, segments
 from duelbook.operators.recent import recent_and_history, window_rows
-from duelbook.operators.runs import ORDER, sequence_parts
+from duelbook.operators.runs import ORDER
 from duelbook.operators.totals import with_pcts
 
 RELATION = ["league", "player_key", "rival_key"]
@@ -29,20 +29,26 @@ def relation_rows(df: DataFrame, league: str | None = None, player: str | None =
 
 
 def h2h_totals(df: DataFrame, league: str | None = None, player: str | None = None, rival: str | None = None, *,
-               slice_by: str = "day", keep_keys: bool = False) -> DataFrame:
-    """Totals, result sequence and date range of every directed relation.
+               keep_keys: bool = False) -> DataFrame:
+    """Totals and date range of every directed relation, one row each; its results as text are those of ``h2h_sequences``.
 
-    ``sequence`` is whole: relations of more than PART_ROWS matches repeat their totals on
-    numbered ``sequence_part`` rows (see ``sequence_parts``); all others have one row.
+    A plain aggregation that combines before the shuffle, so a relation of any size travels as a row per task.
     """
     rows = filters.valid_results(relation_rows(df, league, player, rival))
-    stats = sequence_parts(rows, RELATION, carry=["player", "rival"], slice_by=slice_by)
+    stats = rows.groupBy(*RELATION).agg(
+        *[count_of(v).alias(c) for c, v in zip(("wins", "draws", "losses"), RESULTS)], F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.max(F.struct(*ORDER, "player", "rival")).alias("last"))
     stats = stats.withColumn("played", F.col("wins") + F.col("draws") + F.col("losses")).transform(with_pcts)
     return stats.withColumns({
         "player": F.trim("last.player"), "rival": F.trim("last.rival"),
         "first_match_date": F.col("first_ts").cast("date").cast("string"),
         "last_match_date": F.col("last_ts").cast("date").cast("string"),
-    }).select(*(RELATION[1:] if keep_keys else []), *schemas.H2H_TOTALS, "sequence_part", "sequence_parts")
+    }).select(*(RELATION[1:] if keep_keys else []), *schemas.H2H_TOTALS)
+
+
+def h2h_sequences(df: DataFrame, league: str | None = None, player: str | None = None, rival: str | None = None) -> DataFrame:
+    """(league, player_key, rival_key, slice, n, seq): the results of every directed relation as text, a row per relation and month."""
+    return segments.sequences(filters.valid_results(relation_rows(df, league, player, rival)), RELATION, "month")
 
 
 def h2h_recent(df: DataFrame, window: int = DEFAULT_WINDOW, league: str | None = None, player: str | None = None,
@@ -79,6 +85,6 @@ def h2h_for(df: DataFrame, wanted: DataFrame) -> DataFrame:
     asked = wanted.select(*RELATION, F.trim("player").alias("a_player"), F.trim("rival").alias("a_rival"))
     j = asked.join(known.withColumnsRenamed({"player": "k_player", "rival": "k_rival"}), RELATION, "left")
     zeros = {c: 0 for c in ("played", "wins", "draws", "losses")} | {c: 0.0 for c in ("win_pct", "draw_pct", "loss_pct")}
-    return j.fillna({**zeros, "sequence": "", "sequence_part": 1, "sequence_parts": 1}).withColumns({
+    return j.fillna(zeros).withColumns({
         "player": F.coalesce("k_player", "a_player"), "rival": F.coalesce("k_rival", "a_rival"),
-    }).select(*schemas.H2H_TOTALS, "sequence_part", "sequence_parts")
+    }).select(*schemas.H2H_TOTALS)

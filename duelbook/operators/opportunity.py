@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from duelbook.functions.params import non_negative_int
 from duelbook.functions.results import pct2
-from duelbook.operators import filters
-from duelbook.operators.runs import ORDER, runs, sequence_parts
+from duelbook.operators import filters, segments
+from duelbook.operators.runs import runs
 from duelbook.operators.streak_tables import round2_ratio
 from duelbook.operators.totals import KEYS
 
@@ -100,7 +100,6 @@ def reason() -> Column:
     )
 
 
-def player_sequences(df: DataFrame, excluded: DataFrame | None = None, **kwargs) -> DataFrame:
-    """Operational result sequence per player, in numbered parts when very long (AGG20)."""
-    parts = sequence_parts(filters.operational_results(df, excluded).select(*KEYS, *ORDER, "result"), KEYS, **kwargs)
-    return parts.select(*KEYS, "sequence_part", "sequence_parts", "sequence")
+def player_sequences(df: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """(league, player_key, slice, n, seq): operational results as text, a row per player and month (AGG20)."""
+    return segments.sequences(filters.operational_results(df, excluded), KEYS, "month")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelbook import schemas
 from duelbook.functions.params import number_between
 from duelbook.functions.results import LOSS, WIN, count_of, pct2, shrunk
 from duelbook.operators import filters
-from duelbook.operators.runs import last_n
+from duelbook.operators.runs import ORDER, last_n, latest_first
 from duelbook.operators.totals import KEYS
 
 FORM_WINDOW = 24
@@ -39,10 +39,24 @@ def group_pairs(tracked: DataFrame) -> DataFrame:
         F.col("p.b.player").alias("player_b"), F.col("p.b.player_key").alias("key_b"))
 
 
-def _record(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    g = df.groupBy(*keys).agg(F.count("*").alias("n"), count_of(WIN).alias("w"), count_of(LOSS).alias("l"))
-    return g.select(*keys, F.col("n").alias(f"{prefix}_n"), pct2(F.col("w"), F.col("n")).alias(f"{prefix}_win"),
-                    pct2(F.col("l"), F.col("n")).alias(f"{prefix}_loss"))
+def evidence(rows: DataFrame) -> DataFrame:
+    """(league, player_key, whole, other) with wins and losses of all matches and of the late ones, in two passes over the rows.
+
+    ``whole`` rows are a player's: overall, and the form of the last FORM_WINDOW matches; the others are a relation's to ``other``: all, and the
+    last H2H_WINDOW. Relation sums give the players' sums. A player's late matches are among the late ones of their relations,
+    which Spark limits per map task, so ranking a player sees few rows however long the history is.
+    """
+    c = F.col
+    sums = [F.count("*").alias("n"), count_of(WIN).alias("w"), count_of(LOSS).alias("l")]
+    levels = F.explode(F.array(F.struct(F.lit(True).alias("whole"), F.lit("").alias("other")), F.struct(F.lit(False).alias("whole"), c("rival_key").alias("other"))))
+    every = rows.groupBy(*RELATION).agg(*sums).select(*KEYS, levels.alias("x"), "n", "w", "l").select(
+        *KEYS, "x.*", *[c(m).alias(f"all_{m}") for m in "nwl"], *[F.lit(0).cast("long").alias(f"late_{m}") for m in "nwl"])
+    late = last_n(rows.select(*RELATION, *ORDER, "result"), RELATION, max(FORM_WINDOW, H2H_WINDOW)).withColumn(
+        "form", F.row_number().over(Window.partitionBy(*KEYS).orderBy(*latest_first())))
+    late = late.select(*KEYS, "result", "rn", "form", levels.alias("x")).where(F.when(c("x.whole"), c("form") <= FORM_WINDOW).otherwise(c("rn") <= H2H_WINDOW))
+    late = late.select(*KEYS, "x.*", *[F.lit(0).cast("long").alias(f"all_{m}") for m in "nwl"], F.lit(1).cast("long").alias("late_n"),
+                       *[(c("result") == v).cast("long").alias(f"late_{m}") for m, v in (("w", WIN), ("l", LOSS))])
+    return every.unionByName(late).groupBy(*KEYS, "whole", "other").agg(*[F.sum(f"{p}_{m}").alias(f"{p}_{m}") for p in ("all", "late") for m in "nwl"])
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -58,20 +72,21 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 def side_estimates(df: DataFrame, pairs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Both directed estimates of every pair, with their evidence.
 
-    The history is cut to the wanted players (and relations) by semi-joins before it is
-    counted; what is joined afterwards has one row per player or relation.
+    The history is cut to the wanted players by a semi-join before it is counted; each side then looks up three rows of the
+    evidence: its player, its rival, and their relation.
     """
     sides = _both_ways(pairs)
-    rows = filters.operational_results(df, excluded)
-    own = filters.only_identities(rows, sides.select(*KEYS).distinct())
-    duel = rows.join(sides.select(*RELATION).distinct(), RELATION, "left_semi")
-    overall, form = _record(own, KEYS, "all"), _record(last_n(own, KEYS, FORM_WINDOW), KEYS, "form")
-    player = overall.join(form, KEYS, "left")
-    rival = player.select("league", F.col("player_key").alias("rival_key"),
-                          *[F.col(c).alias(f"rival_{c}") for c in player.columns if c not in KEYS])
-    h2h = _record(duel, RELATION, "h2h").join(_record(last_n(duel, RELATION, H2H_WINDOW), RELATION, "rh2h"), RELATION, "left")
-    j = sides.join(player, KEYS, "left").join(rival, ["league", "rival_key"], "left").join(h2h, RELATION, "left")
-    j = j.fillna(0).fillna(0.0)
+    rows = filters.only_identities(filters.operational_results(df, excluded), sides.select(*KEYS).distinct())
+    side = ["league", "group_index", "player_a", "player_b", "side", "player_key", "rival_key", "player", "rival"]
+    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(k).alias("who"), F.lit(r != "d").alias("whole"), (F.col("rival_key") if r == "d" else F.lit("")).alias("other"))
+                                for r, k in (("p", "player_key"), ("r", "rival_key"), ("d", "player_key"))]))
+    found = evidence(rows).withColumnRenamed("player_key", "who")
+    looked = sides.select(*side, roles.alias("x")).select(*side, "x.*").join(found, ["league", "who", "whole", "other"], "left")
+    names = {"p": ("all", "form"), "r": ("rival_all", "rival_form"), "d": ("h2h", "rh2h")}
+    sums = [F.coalesce(F.max(F.when(F.col("role") == r, F.col(f"{p}_{m}"))), F.lit(0)).alias(f"{name}_{m}")
+            for r, pair in names.items() for p, name in zip(("all", "late"), pair) for m in "nwl"]
+    j = looked.groupBy(*side).agg(*sums)
+    j = j.withColumns({f"{name}_{full}": pct2(F.col(f"{name}_{m}"), F.col(f"{name}_n")) for pair in names.values() for name in pair for m, full in (("w", "win"), ("l", "loss"))})
     c = F.col
 
     def mean(name: str, key: str) -> Column:
@@ -118,3 +133,8 @@ def prediction_order() -> list[Column]:
     rank = F.array_position(F.array(*map(F.lit, CONFIDENCE_ORDER)), F.col("confidence"))
     return [F.desc("estimated_win_pct"), rank, F.col("league"), F.col("group_index"),
             F.lower("predicted_player"), F.lower("opponent")]
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """Predictions with ``position`` in presentation order; at most a row per pair of a list block."""
+    return found.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*prediction_order())))

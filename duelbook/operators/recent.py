@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelbook import schemas
 from duelbook.functions.params import non_negative_number, positive_int, window_sizes
 from duelbook.functions.results import LOSS, RESULTS, WIN, best_run, count_in, count_of, delta2, is_valid, same_run, tail, trend
 from duelbook.operators import filters
-from duelbook.operators.runs import latest_first
+from duelbook.operators.runs import last_n
 from duelbook.operators.totals import KEYS, with_pcts
 
 DEFAULT_WINDOWS = (5, 10, 20)
@@ -21,8 +21,7 @@ TREND_THRESHOLD = 5.0
 def latest_valid(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Per key the n latest rows, rows without a valid result last (so identities never vanish)."""
     valid = F.coalesce(is_valid(F.col("result")), F.lit(False))
-    w = Window.partitionBy(*keys).orderBy(F.col("valid").desc(), *latest_first())
-    return df.withColumn("valid", valid).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    return last_n(df.withColumn("valid", valid), keys, n, lead="valid")
 
 
 def window_rows(df: DataFrame, keys: Sequence[str], windows: Sequence[int], names: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelbook.functions.results import DRAW, LOSS, RESULTS, WIN, count_of, is_valid
+from duelbook.functions.results import DRAW, LOSS, WIN, is_valid
 from duelbook.functions.times import time_slice
 
 # Chronological order of one identity's perspectives (S1).
@@ -135,71 +135,20 @@ def streaks(df: DataFrame, keys: Sequence[str], *, slice_by: str = "day", tie_pr
     )
 
 
-def last_n(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """The latest n rows per key with their recency rank ``rn`` (1 = latest).
+def last_n(df: DataFrame, keys: Sequence[str], n: int, lead: str | None = None) -> DataFrame:
+    """The latest n rows per key with their recency rank ``rn`` (1 = latest); rows of a higher ``lead`` come first.
 
-    Spark turns the rank filter into a limit per map task and key before the shuffle
-    (up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows, 1000 by default).
+    Spark turns the rank filter into a limit per map task and key before the shuffle, up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` rows. Longer windows go by days: counts per (key, day) say which days hold the
+    n rows and how many rows lie after each, only rows of these days travel, and each is ranked within its day.
     """
-    w = Window.partitionBy(*keys).orderBy(*latest_first())
-    return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
-
-
-def ordered_sequence(result: str = "result", order: Sequence[str] = ORDER) -> Column:
-    """Results of one bounded group (a day, a window, a session) as text in time order."""
-    pairs = F.array_sort(F.collect_list(F.struct(*order, result)))
-    return F.array_join(F.transform(pairs, lambda p: p[result]), "")
-
-
-# --- result sequences as text --------------------------------------------------
-
-COUNTS = ("wins", "draws", "losses")
-PIECE_ROWS = 50_000
-PART_ROWS = 100_000
-
-
-def sequence_pieces(df: DataFrame, keys: Sequence[str], *, slice_by: str = "day", tie_prefix: int = 0,
-                    carry: Sequence[str] = ()) -> DataFrame:
-    """(keys, slice, piece, counts, first_ts, last_ts, seq): at most PIECE_ROWS results per row, whatever the skew.
-
-    With ``carry`` also ``last``: the carried columns of the piece's latest row.
-    """
-    w = Window.partitionBy(*keys, "slice").orderBy(*ORDER)
-    rows = df.select(*keys, *ORDER, *carry, "result", time_slice(slice_by, tie_prefix).alias("slice"))
-    rows = rows.withColumn("piece", F.floor((F.row_number().over(w) - 1) / PIECE_ROWS))
-    last = [F.max(F.struct(*ORDER, *carry)).alias("last")] if carry else []
-    return rows.groupBy(*keys, "slice", "piece").agg(
-        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        *[count_of(v).alias(n) for n, v in zip(COUNTS, RESULTS)], ordered_sequence().alias("seq"), *last,
-    )
-
-
-def _joined_pieces() -> Column:
-    pieces = F.array_sort(F.collect_list(F.struct("slice", "piece", "seq")))
-    return F.array_join(F.transform(pieces, lambda p: p["seq"]), "")
-
-
-def whole_sequence(df: DataFrame, keys: Sequence[str], **kwargs) -> DataFrame:
-    """(keys, sequence) for groups limited in time (a day, a session, a few hours)."""
-    return sequence_pieces(df, keys, **kwargs).groupBy(*keys).agg(_joined_pieces().alias("sequence"))
-
-
-def sequence_parts(df: DataFrame, keys: Sequence[str], *, carry: Sequence[str] = (), **kwargs) -> DataFrame:
-    """(keys, totals, sequence_part, sequence_parts, sequence) for full histories, in one pass over the rows.
-
-    A history of up to PART_ROWS results is one row holding the whole text.  Longer ones
-    continue in further numbered rows, so no row and no task ever holds more than a part.
-    Totals (counts, first_ts, last_ts and, with ``carry``, last) are those of the whole history.
-    """
-    pieces = sequence_pieces(df, keys, carry=carry, **kwargs)
-    w = Window.partitionBy(*keys).orderBy("slice", "piece")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = {**{c: F.sum(c) for c in COUNTS}, "first_ts": F.min("first_ts"), "last_ts": F.max("last_ts")}
-    if carry:
-        totals["last"] = F.max("last")
-    before = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    pieces = pieces.select(*keys, "slice", "piece", "seq", F.floor(before / PART_ROWS).alias("part"),
-                           *[t.over(whole).alias(c) for c, t in totals.items()])
-    parts = pieces.groupBy(*keys, "part").agg(_joined_pieces().alias("sequence"), *[F.max(c).alias(c) for c in totals])
-    return parts.select(*keys, *totals, (F.col("part") + 1).cast("int").alias("sequence_part"),
-                        F.count("*").over(Window.partitionBy(*keys)).cast("int").alias("sequence_parts"), "sequence")
+    first = [F.col(lead).desc()] if lead else []
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        w = Window.partitionBy(*keys).orderBy(*first, *latest_first())
+        return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    day = [*keys, *([lead] if lead else []), "_day"]
+    rows = df.withColumn("_day", F.coalesce(F.col("ts").cast("date"), F.lit("0001-01-01").cast("date")))
+    later = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in day[len(keys):]]).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*day).agg(F.count("*").alias("_n")).withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))).filter(F.col("_later") < n)
+    local = F.row_number().over(Window.partitionBy(*day).orderBy(*first, *latest_first()))
+    return rows.join(days.drop("_n"), day).withColumn("rn", (F.col("_later") + local).cast("int")).filter(F.col("rn") <= n).drop("_day", "_later")

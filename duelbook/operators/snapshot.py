@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from duelbook import schemas
 from duelbook.functions.params import positive_int
 from duelbook.functions.names import name_key
-from duelbook.functions.results import RESULTS, balance, count_in, drawless_run, indicator, same_run, tail, unbeaten_run, winless_run
-from duelbook.operators import filters
-from duelbook.operators.runs import whole_sequence
+from duelbook.functions.results import balance, indicator
+from duelbook.operators import filters, segments
 from duelbook.operators.sessions import SESSION_GAP_MINUTES, session_counts
 from duelbook.operators.totals import KEYS, with_pcts
 
@@ -19,25 +18,32 @@ MAX_CANDIDATES = 8
 MIN_PLAYED = 5
 
 
-def snapshot(df: DataFrame, tracked: DataFrame, *, reference_time, window_hours: int = WINDOW_HOURS,
-             excluded: DataFrame | None = None) -> DataFrame:
-    """One row per bettable tracked player with matches in ``[reference - hours, reference]``.
+def snapshot_rows(df: DataFrame, tracked: DataFrame, *, reference_time, window_hours: int = WINDOW_HOURS, excluded: DataFrame | None = None) -> DataFrame:
+    """The matches of bettable tracked players in the window.
 
     The time bound is applied first and reaches the scan; the tracked list is a semi-join.
     """
     recent = filters.trailing_hours(df, reference_time, window_hours)
     excluded = filters.excluded_keys(tracked) if excluded is None else excluded
-    rows = filters.only_identities(filters.operational_results(recent, excluded), filters.bettable_keys(tracked))
-    seq = F.col("sequence")
-    s = whole_sequence(rows, KEYS, slice_by="hour").withColumns(
-        {n: count_in(seq, v) for n, v in zip(("wins", "draws", "losses"), RESULTS)})
-    s = s.withColumn("played", F.length("sequence")).transform(with_pcts)
+    return filters.only_identities(filters.operational_results(recent, excluded), filters.bettable_keys(tracked))
+
+
+def snapshot_sequences(df: DataFrame, tracked: DataFrame, **how) -> DataFrame:
+    """(league, player_key, slice, n, seq): the results behind a snapshot as text, a row per player and hour."""
+    return segments.sequences(snapshot_rows(df, tracked, **how), KEYS, "hour")
+
+
+def snapshot(df: DataFrame, tracked: DataFrame, *, reference_time, window_hours: int = WINDOW_HOURS,
+             excluded: DataFrame | None = None) -> DataFrame:
+    """One row per bettable tracked player with matches in ``[reference - hours, reference]``; texts are those of ``snapshot_sequences``."""
+    rows = snapshot_rows(df, tracked, reference_time=reference_time, window_hours=window_hours, excluded=excluded)
+    s = segments.summary(rows, KEYS).transform(with_pcts)
     names = tracked.filter(F.col("tracked") & F.coalesce("bettable", F.lit(True))).groupBy(*KEYS).agg(
         F.min_by(F.struct("player", "group_index"), "pos").alias("t"))
     mark = indicator(F.col("wins"), F.col("draws"), F.col("losses"))
     return s.join(names, KEYS).withColumns({
-        "player": F.col("t.player"), "group_index": F.col("t.group_index"), "last_24": tail(seq, 24),
-        "current_streak_result": tail(seq, 1), "current_streak": same_run(seq),
+        "player": F.col("t.player"), "group_index": F.col("t.group_index"),
+        "current_streak_result": segments.last_result(), "current_streak": segments.same_run(),
         "indicator": mark, "balance": balance(mark, F.lit(True)), "tracked": F.lit(True),
     }).select(*schemas.SNAPSHOT)
 
@@ -101,28 +107,25 @@ def flagged_candidates(tracked: DataFrame) -> DataFrame:
 def current_streak_panel(history: DataFrame, daily: DataFrame, tracked: DataFrame, day=None) -> DataFrame:
     """Streak panel of one local day: tracked players rebuilt from the history, others from the daily report.
 
-    ``daily`` has league, player, player_key, wins, draws, losses, played, seq of that day's report.
+    ``daily``: the day's rows of ``daily_players``, or league, player, player_key, wins, draws, losses, seq of a report's text.
     With ``day=None`` (undated report) the report rows of tracked players are kept instead.
     """
     bettable, excluded = filters.bettable_keys(tracked), filters.excluded_keys(tracked)
-    report = daily.join(excluded, KEYS, "left_anti")
-    cols = [*KEYS, "player", "wins", "draws", "losses", "played", "sequence", "tracked"]
-    report = report.withColumnRenamed("seq", "sequence").join(
-        bettable.withColumn("tracked", F.lit(True)), KEYS, "left").fillna({"tracked": False}).select(*cols)
-    if day is None:
-        rows = report
-    else:
+    if "last_E" not in daily.columns:
+        daily = segments.of_text(daily)
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return rows.select(*KEYS, "player", "wins", "draws", "losses", "played", "last_24", "tracked", segments.winless_run().alias("winless_run"),
+                           segments.unbeaten_run().alias("unbeaten_run"), segments.drawless_run().alias("drawless_run"))
+
+    report = daily.join(excluded, KEYS, "left_anti").join(bettable.withColumn("tracked", F.lit(True)), KEYS, "left").fillna({"tracked": False})
+    rows = marked(report)
+    if day is not None:
         own = filters.only_identities(filters.operational_results(filters.on_local_day(history, day), excluded), bettable)
         names = tracked.filter("tracked").groupBy(*KEYS).agg(F.min_by("player", "pos").alias("player"))
-        rebuilt = whole_sequence(own, KEYS, slice_by="hour").join(names, KEYS).withColumns(
-            {n: count_in(F.col("sequence"), v) for n, v in zip(("wins", "draws", "losses"), RESULTS)}
-        ).withColumns({"played": F.length("sequence"), "tracked": F.lit(True)}).select(*cols)
-        rows = report.filter(~F.col("tracked")).unionByName(rebuilt)
-    seq = F.col("sequence")
-    return rows.withColumns({
-        "winless_run": winless_run(seq), "unbeaten_run": unbeaten_run(seq), "drawless_run": drawless_run(seq),
-        "balance": balance(indicator(F.col("wins"), F.col("draws"), F.col("losses")), F.col("tracked")),
-    })
+        rebuilt = segments.summary(own, KEYS).join(names, KEYS).withColumn("tracked", F.lit(True))
+        rows = rows.filter(~F.col("tracked")).unionByName(marked(rebuilt))
+    return rows.withColumn("balance", balance(indicator(F.col("wins"), F.col("draws"), F.col("losses")), F.col("tracked")))
 
 
 def with_status(alerts: DataFrame, panel: DataFrame) -> DataFrame:

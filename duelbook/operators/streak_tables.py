@@ -1,8 +1,9 @@
 """No-draw streak tables over daily sequences (AGG15-AGG19, JN12, SRT8, WIN5, FLT13).
 
-Input rows are one player's day: league, date, player, wins, draws, losses, played, seq. Every table
-keeps the league apart; rows without the column (one league's reports) give tables without it.
-Everything is per row or a plain aggregation that combines map-side.
+Input rows are one player's day: either the summaries of ``daily_players`` or, from reports, league, date, player, wins, draws, losses,
+played, seq. Tables of single runs take them from ``daily_no_draw_runs`` (``runs``), or from the reports' text. Every table keeps the
+league apart; rows without the column (one league's reports) give tables without it. Everything is per row or a plain
+aggregation that combines map-side.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from duelbook.functions.params import positive_int
 from duelbook.functions.results import drawless_run, pct2
+from duelbook.operators import segments
+from duelbook.operators.daily import PLAYER_DAY
 
 MIN_PLAYED = 18
 MIN_STREAK = 9
@@ -35,23 +38,32 @@ def enough_played(daily: DataFrame, min_played: int = MIN_PLAYED) -> DataFrame:
     return daily.filter(F.col("played") >= positive_int(min_played, "min_played"))
 
 
+def _summarised(daily: DataFrame) -> DataFrame:
+    """Days with their longest and trailing no-draw runs; a report's number of matches stays what it says."""
+    if "calm" in daily.columns:
+        return daily
+    read = segments.of_text(daily.withColumn("_played", F.col("played"))).withColumn("current_streak", segments.drawless_run())
+    return read.withColumn("played", F.col("_played")).drop("_played")
+
+
 def _no_draw_lengths(seq: Column) -> Column:
     return F.transform(F.regexp_extract_all(seq, F.lit("[^E]+"), F.lit(0)), F.length)
 
 
 def daily_streaks(daily: DataFrame, min_played: int = MIN_PLAYED) -> DataFrame:
     """Longest and trailing no-draw run of each player-day."""
-    seq = F.col("seq")
-    return enough_played(daily, min_played).select(
-        *_league(daily), "date", "player", "played", "draws",
-        F.coalesce(F.array_max(_no_draw_lengths(seq)), F.lit(0)).alias("max_no_draw_streak"),
-        drawless_run(seq).alias("ending_no_draw_streak"),
-    )
+    return enough_played(_summarised(daily), min_played).select(
+        *_league(daily), "date", "player", "played", "draws", F.col("calm").cast("int").alias("max_no_draw_streak"),
+        F.col("current_streak").alias("ending_no_draw_streak"))
 
 
-def no_draw_runs(daily: DataFrame, min_played: int = MIN_PLAYED, min_streak: int = MIN_STREAK) -> DataFrame:
+def no_draw_runs(daily: DataFrame, min_played: int = MIN_PLAYED, min_streak: int = MIN_STREAK, runs: DataFrame | None = None) -> DataFrame:
     """(date, player, streak, ended): every no-draw run; ``ended`` when a draw followed that day."""
-    rows = enough_played(daily, min_played).select(
+    days = enough_played(daily, min_played)
+    if runs is not None:
+        key = [c for c in PLAYER_DAY if c in daily.columns and c in runs.columns]
+        return runs.filter(F.col("streak") >= min_streak).join(days.select(*key), key, "left_semi").select(*_league(daily), "date", "player", "streak", "ended")
+    rows = days.select(
         *_league(daily), "date", "player", drawless_run(F.col("seq")).alias("open"),
         F.posexplode(_no_draw_lengths(F.col("seq"))).alias("i", "streak"),
         F.size(_no_draw_lengths(F.col("seq"))).alias("n"),
@@ -73,8 +85,7 @@ def player_summary(daily: DataFrame, min_played: int = MIN_PLAYED) -> DataFrame:
 
 def player_risk(daily: DataFrame, min_played: int = MIN_PLAYED, max_bets: int = MAX_BETS) -> DataFrame:
     """Streak risk per player: one aggregation over player-days gives both the summary and the risk."""
-    rows = enough_played(daily, min_played)
-    rows = rows.withColumn("top", F.coalesce(F.array_max(_no_draw_lengths(F.col("seq"))), F.lit(0)))
+    rows = enough_played(_summarised(daily), min_played).withColumn("top", F.col("calm").cast("int"))
     g = rows.groupBy(*_league(daily), "player").agg(
         F.count("*").alias("days_analyzed"), F.sum("played").alias("matches_analyzed"), F.sum("draws").alias("_draws"),
         F.max("top").alias("max_streak"), F.sum("top").alias("_tops"),

@@ -31,7 +31,7 @@ sp as (select *, {q.pcts('played')}, exists (select 1 from tracked t where t.bet
 @register(f"""with {EV}, {T}, {OPS}, {_SESS}
 select lower(league) || ':' || player_key || ':' || strftime(a, '%Y%m%dT%H%M%SZ') as session_id, league, player, player_key, session_number,
   {q.zulu('a')} as start_timestamp, {q.zulu('z')} as end_timestamp, {q.madrid_iso('a')} as start_local, {q.madrid_iso('z')} as end_local,
-  (epoch_us(z) - epoch_us(a)) // 60000000 as duration_minutes, played, wins, draws, losses, win_pct, draw_pct, loss_pct, sequence,
+  (epoch_us(z) - epoch_us(a)) // 60000000 as duration_minutes, played, wins, draws, losses, win_pct, draw_pct, loss_pct,
   right(sequence, 24) as last_24, right(sequence, 1) as current_streak_result, {q.trailing('sequence', '(V+|E+|D+)$')} as current_streak, tracked,
   case when tracked and wins >= draws + losses then '🟢' when tracked and losses >= wins + draws then '🔴' else '' end as balance,
   epoch_us({REF}) - epoch_us(z) between 0 and 10800000000 as active from sp""")
@@ -40,6 +40,14 @@ def player_sessions(spark, sf):
     return sessions.player_sessions(fx.event_perspectives(spark, sf), t, reference_time=fx.REFERENCE_TIME, excluded=filters.excluded_keys(t))
 
 
+@register(f"""with {EV}, {T}, {OPS}, {_SESS} select {K}, cast(session_number as int) as session_number, min(ts) as start, count(*) as played, {q.seq()} as seq
+from n group by {K}, session_number, date_trunc('hour', ts)""")
+def player_session_sequences(spark, sf):
+    """The results of every session as text, by hour."""
+    rows = filters.operational_results(fx.event_perspectives(spark, sf), filters.excluded_keys(fx.tracked(spark)))
+    return sessions.session_sequences(rows)
+
+
 @register(f"with {EV}, {T}, {OPS}, {_SESS} select {K}, max(session_number) as session_number from s group by 1, 2")
 def session_counts(spark, sf):
     rows = filters.operational_results(fx.event_perspectives(spark, sf), filters.excluded_keys(fx.tracked(spark)))
@@ -52,7 +60,7 @@ _SNAP = f"""w as (select ops.{K.replace(', ', ', ops.')}, count(*) as played, {q
   semi join (from tracked where bettable) t using (league, player_key)
   where ts between {REF} - interval 8 hours and {REF} group by 1, 2),
 snap as (select w.*, t.player, t.group_index, {q.pcts('played', 'w.')}, {q.INDICATOR} as indicator from w join tracked t using (league, player_key))"""
-_SNAP_COLS = f"""league, player, player_key, wins, draws, losses, played, win_pct, draw_pct, loss_pct, sequence, right(sequence, 24) as last_24,
+_SNAP_COLS = f"""league, player, player_key, wins, draws, losses, played, win_pct, draw_pct, loss_pct, right(sequence, 24) as last_24,
   right(sequence, 1) as current_streak_result, {q.trailing('sequence', '(V+|E+|D+)$')} as current_streak,
   case indicator when 'GREEN' then '🟢' when 'RED' then '🔴' else '' end as balance, indicator, true as tracked, group_index"""
 
@@ -66,6 +74,13 @@ def operational_snapshot(spark, sf):
     return _snapshot(spark, sf)
 
 
+@register(f"""with {EV}, {T}, {OPS} select {K}, epoch_us(ts) // 3600000000 as slice, count(*) as n, {q.seq()} as seq from ops
+  semi join (from tracked where bettable) t using (league, player_key) where ts between {REF} - interval 8 hours and {REF} group by all""")
+def operational_snapshot_sequences(spark, sf):
+    """The results behind the snapshot as text, by hour."""
+    return snapshot.snapshot_sequences(fx.event_perspectives(spark, sf), fx.tracked(spark), reference_time=fx.REFERENCE_TIME)
+
+
 @register(f"""with {EV}, {T}, {OPS}, {_SNAP}, {_SESS} select {_SNAP_COLS}, c.session_number from snap
 join (select {K}, max(session_number) as session_number from s group by 1, 2) c using (league, player_key)""")
 def operational_snapshot_with_sessions(spark, sf):
@@ -116,7 +131,7 @@ own as (select league, player_key, any_value(player) as player, count(*) as play
   where cast({q.madrid('ts')} as date) = date '2024-01-15' group by 1, 2),
 a as (select league, player_key, player, wins, draws, losses, played, seq, tracked from r where not tracked
   union all select league, player_key, player, wins, draws, losses, played, seq, true from own)
-select league, player_key, player, wins, draws, losses, played, seq as sequence, tracked, {q.trailing('seq', '[^V]*$')} as winless_run,
+select league, player_key, player, wins, draws, losses, played, right(seq, 24) as last_24, tracked, {q.trailing('seq', '[^V]*$')} as winless_run,
   {q.trailing('seq', '[^D]*$')} as unbeaten_run, {q.trailing('seq', '[^E]*$')} as drawless_run,
   case when tracked and wins >= draws + losses then '🟢' when tracked and losses >= wins + draws then '🔴' else '' end as balance from a""")
 def current_streak_panel(spark, sf):
@@ -282,16 +297,16 @@ e as (select league, group_index, player_a, player_b, side, predicted_player, op
   gn as recent_opponent_matches, gl as recent_opponent_loss_pct, an as overall_player_matches, aw as overall_player_win_pct,
   bn as overall_opponent_matches, bl as overall_opponent_loss_pct from j)"""
 _OPS_P = q.OPERATIONAL.replace("ops as", "ops_p as").replace("from ev", "from p").replace("ev.", "p.")
-_PRED_WITH = f"with {q.PERSPECTIVES}, {T}, {_OPS_P}, {_PRED}"
+PREDICTION_WITH = f"with {q.PERSPECTIVES}, {T}, {_OPS_P}, {_PRED}"
 
 
-@register(f"{_PRED_WITH} from e")
+@register(f"{PREDICTION_WITH} from e")
 def matchup_side_estimates(spark, sf):
     t = fx.tracked(spark)
     return predictions.side_estimates(fx.perspectives(spark, sf), predictions.group_pairs(t), filters.excluded_keys(t))
 
 
-@register(f"""{_PRED_WITH} select * exclude (side) from (select *, row_number() over (partition by league, group_index, player_a, player_b
+@register(f"""{PREDICTION_WITH} select * exclude (side) from (select *, row_number() over (partition by league, group_index, player_a, player_b
   order by estimated_win_pct desc, side) as r from e qualify r = 1) x where estimated_win_pct >= 50 and confidence in ('HIGH', 'MEDIUM')""".replace("exclude (side)", "exclude (side, r)"))
 def upcoming_predictions(spark, sf):
     return predictions.predictions(fx.perspectives(spark, sf), fx.tracked(spark), min_estimated_win_pct=50)
@@ -299,18 +314,26 @@ def upcoming_predictions(spark, sf):
 
 # --- daily results and streak tables -------------------------------------------------------------
 
-@register(f"with {EV}, {_DAILY} select *, {q.trailing('seq', '[^E]*$')} as current_streak from dly")
+@register(f"""with {EV}, {_DAILY} select * exclude (seq), right(seq, 24) as last_24, {q.trailing('seq', '[^E]*$')} as current_streak,
+  coalesce(list_max(list_transform(string_split(seq, 'E'), lambda x: length(x))), 0) as calm from dly""")
 def daily_player_results(spark, sf):
-    return d.daily_players(fx.event_perspectives(spark, sf))
+    return d.daily_players(fx.event_perspectives(spark, sf)).select(*d.PLAYER_DAY, "played", "wins", "draws", "losses", "last_24", "current_streak", "calm")
+
+
+@register(f"""with {EV} select league, cast({q.madrid('ts')} as date) as date, player_key, player, epoch_us(ts) // 3600000000 as slice, count(*) as n, {q.seq()} as seq
+from ev group by all""")
+def daily_player_sequences(spark, sf):
+    """The results of every day as text, by hour."""
+    return d.daily_sequences(fx.event_perspectives(spark, sf))
 
 
 _RIVALS = f"""riv as (select league, cast({q.madrid('ts')} as date) as date, player_key, player, rival_key, rival, count(*) as played, {q.counts()}, {q.seq()} as seq
   from ev group by all)"""
 
 
-@register(f"with {EV}, {_RIVALS} select * from riv")
+@register(f"with {EV}, {_RIVALS} select * exclude (seq), right(seq, 24) as last_24 from riv")
 def daily_rival_results(spark, sf):
-    return d.daily_rivals(fx.event_perspectives(spark, sf))
+    return d.daily_rivals(fx.event_perspectives(spark, sf)).select(*d.RIVAL_DAY, "played", "wins", "draws", "losses", "last_24")
 
 
 def _p1(c: str) -> str:
@@ -321,7 +344,7 @@ def _p1(c: str) -> str:
 @register(f"""with {EV}, {_RIVALS} select league, date, player, rival || ': ' || played || ' (' || {_p1('wins')} || '/' || {_p1('draws')} || '/' || {_p1('losses')}
   || ') [' || seq || ']' as line from riv""")
 def daily_rival_lines(spark, sf):
-    r = d.daily_rivals(fx.event_perspectives(spark, sf))
+    r = d.daily_rivals(fx.event_perspectives(spark, sf), text=True)
     return r.select("league", "date", "player", d.rival_line().alias("line"))
 
 
@@ -329,6 +352,10 @@ def _daily(spark, sf):
     return d.daily_players(fx.event_perspectives(spark, sf)).withColumn("date", F.date_format("date", "yyyyMMdd"))
 
 
+def _runs(spark, sf):
+    return d.daily_no_draw_runs(fx.event_perspectives(spark, sf)).withColumn("date", F.date_format("date", "yyyyMMdd"))
+
+
 _D18 = f"""{EV}, {_DAILY}, d18 as (select league, strftime(date, '%Y%m%d') as date, player, wins, draws, losses, played, seq,
   list_transform(list_filter(string_split(seq, 'E'), lambda x: x <> ''), lambda x: length(x)) as lens, {q.trailing('seq', '[^E]*$')} as ending from dly where played >= 18),
 runs as (select league, date, player, unnest(lens) as streak, generate_subscripts(lens, 1) = len(lens) and ending > 0 as open from d18), r9 as (from runs where streak >= 9)"""
@@ -366,17 +393,17 @@ def player_streak_risk(spark, sf):
 @register(f"""with {_D18} select league, streak, count(*) as total_occurrences, count(*) filter (where not open) as ended_same_day,
   count(*) filter (where open) as finished_day_with_streak from r9 group by 1, 2""")
 def streak_distribution(spark, sf):
-    return streak_tables.streak_distribution(_daily(spark, sf))
+    return streak_tables.streak_distribution(_daily(spark, sf), runs=_runs(spark, sf))
 
 
 @register(f"with {_D18} select league, date, streak, count(*) as occurrences from r9 group by 1, 2, 3")
 def streak_distribution_by_day(spark, sf):
-    return streak_tables.streak_distribution_by_day(_daily(spark, sf))
+    return streak_tables.streak_distribution_by_day(_daily(spark, sf), runs=_runs(spark, sf))
 
 
 @register(f"with {_D18} select league, date, {', '.join(f'count(*) filter (where streak = {n}) as streak_{n}' for n in range(9, 31))}, count(*) filter (where streak > 30) as streak_longer from r9 group by 1, 2")
 def daily_streak_summary(spark, sf):
-    return streak_tables.daily_streak_summary(_daily(spark, sf))
+    return streak_tables.daily_streak_summary(_daily(spark, sf), runs=_runs(spark, sf))
 
 
 @register(f"with {_D18} select league, date, player, played, draws, {_TOP} as max_no_draw_streak from d18")
@@ -431,6 +458,6 @@ def betting_opportunities(spark, sf):
     return opportunity.opportunities(fx.perspectives(spark, sf), filters.bettable_keys(t), filters.excluded_keys(t))
 
 
-@register(f"""with {q.PERSPECTIVES}, {T}, {_OPS_P} select {K}, {q.seq()} as sequence, 1 as sequence_part, 1 as sequence_parts from ops_p group by 1, 2""")
+@register(f"with {q.PERSPECTIVES}, {T}, {_OPS_P} select {K}, date_trunc('month', ts)::date as slice, count(*) as n, {q.seq()} as seq from ops_p group by all")
 def operational_sequences(spark, sf):
     return opportunity.player_sequences(fx.perspectives(spark, sf), filters.excluded_keys(fx.tracked(spark)))

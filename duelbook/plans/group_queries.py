@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from duelbook.operators import alerts, filters, groups, snapshot
@@ -46,11 +48,18 @@ _WITH = f"with {q.PERSPECTIVES}, {q.TRACKED}, {_tg(5)}, {_DLY}, {_GH}"
 _CELL = "wins, draws, losses, matches, win_pct, draw_pct, loss_pct, last5, last10, win_run, unbeaten_run"
 
 
-@register(f"{_WITH} select *, 1 as sequence_part, 1 as sequence_parts from h")
+@register(f"{_WITH} select * exclude (seq) from h")
 def group_h2h_totals(spark, sf):
     return _h2h(spark, sf).drop("player_key", "rival_key")
 
 
+@register(f"""with {q.PERSPECTIVES}, {q.TRACKED}, {_tg(5)} select p.league, p.player_key, p.player, p.rival_key, p.rival, date_trunc('month', p.ts)::date as slice, count(*) as n,
+  {q.seq()} as seq from p join tg t on (t.league, t.player) = (p.league, p.player) join tg u on (u.league, u.group_no, u.player) = (t.league, t.group_no, p.rival) group by all""")
+def group_h2h_sequences(spark, sf):
+    """The results behind the group totals as text, by relation and month."""
+    return groups.group_sequences(_targets(spark), fx.perspectives(spark, sf))
+
+
 @register(f"{_WITH} select league, group_no, player, rival, {_CELL} from h")
 def group_h2h_matrix(spark, sf):
     """The nested matrix, one line per cell."""
@@ -188,7 +197,7 @@ j as (select ah.*, group_id, label, coalesce(recent_available, 0) as recent_avai
   coalesce(wp.draws, 0) as recent_draws, coalesce(wp.losses, 0) as recent_losses, coalesce(wp.win_pct, 0) as recent_win_pct, coalesce(wp.draw_pct, 0) as recent_draw_pct,
   coalesce(wp.loss_pct, 0) as recent_loss_pct, case when coalesce(recent_available, 0) > 0 then round(wp.win_pct - ah.win_pct, 2) else 0 end as recent_win_pct_delta
   from ah left join wp on (wp.league, wp.player, wp.rival) = (ah.league, ah.player, ah.rival) join nm on (nm.league, nm.group_no) = (ah.league, ah.group_no)),
-al as (select league, group_id, label as "group", player, rival, {_CELL}, seq, 1 as sequence_part, case when win_pct >= 50 then 'STRONG' else 'WATCH' end as signal,
+al as (select league, group_id, label as "group", player, rival, {_CELL}, case when win_pct >= 50 then 'STRONG' else 'WATCH' end as signal,
   case when matches >= 20 then 'HIGH' else 'LOW SAMPLE' end as confidence, matches < 20 as low_sample, 20 as recent_window, recent_available, recent_sequence, recent_wins,
   recent_draws, recent_losses, recent_win_pct, recent_draw_pct, recent_loss_pct, recent_win_pct_delta, {q.trend('recent_win_pct_delta', 'recent_available')} as recent_trend,
   case when recent_available = 0 then 'EMPTY' when recent_available < 20 then 'LOW_SAMPLE' else 'COMPLETE' end as recent_sample_status,
@@ -219,17 +228,50 @@ def h2h_alerts_with_status(spark, sf):
     return snapshot.with_status(_alerts(spark, sf), panel).select("league", "player", "rival", "status", "player_with_status")
 
 
-@register(None)
-def group_analysis_payload(spark, sf):
-    """The nested JSON document of each league."""
+# --- payload tables, written and read back ------------------------------------------------------
+
+def _written(spark, sf, name: str):
+    """One table of the payload after a round through its files."""
     t, h, daily = _targets(spark), _h2h(spark, sf), _daily(spark, sf)
     ranking = groups.h2h_ranking(t, h)
     picks = groups.back_and_lay(ranking)
     g = _day_groups(spark, sf)
     overlap = groups.group_overlap(t, g)
-    nested = sinks.groups_payload(
-        groups.group_names(t), h, groups.power_ranking(t, h), groups.dominance(t, h), ranking, picks, groups.matchups(picks, h),
-        groups.overlap_counts(t, overlap), groups.overlap_totals(t, g, overlap, daily))
     meta = daily.groupBy("league").agg(F.count_distinct("date").alias("files_count"), F.min("date").cast("string").alias("data_from"),
                                        F.max("date").cast("string").alias("data_to"))
-    return sinks.league_payload(nested, _alerts(spark, sf), meta)
+    table = sinks.payload_tables(
+        groups.group_names(t), h, groups.power_ranking(t, h), groups.dominance(t, h), ranking, picks, groups.matchups(picks, h),
+        groups.overlap_counts(t, overlap), groups.overlap_totals(t, g, overlap, daily), _alerts(spark, sf), meta)[name]
+    path = f"{spark.sparkContext.getCheckpointDir()}/payload-{uuid.uuid4().hex}"
+    sinks.write_payload({name: table}, path)
+    return sinks.read_payload(spark, path, name, table.schema)
+
+
+@register(f"""with recursive {q.PERSPECTIVES}, {q.TRACKED}, {_tg(5)}, {_DLY}, {_DAYGROUPS}, {_OV},
+c as (select league, group_no, count(*) filter (where kind = 'exact') as e, count(*) filter (where kind = 'near') as n from ovk group by 1, 2)
+select league, group_no, array_to_string(list(lower(player) order by slot), '-') as group_id, array_to_string(list(player order by slot), ' / ') as label,
+  coalesce(any_value(e), 0) as exact_matches, coalesce(any_value(n), 0) as near_matches from tg left join c using (league, group_no) group by 1, 2""")
+def group_analysis_payload(spark, sf):
+    """The groups of the payload."""
+    return _written(spark, sf, "groups").select("league", "group_no", "group_id", "label", "exact_matches", "near_matches")
+
+
+@register(f"{_WITH} select league, group_no, player, rival, {_CELL} from h")
+def group_payload_cells(spark, sf):
+    """The matrix cells of the payload."""
+    return _written(spark, sf, "cells")
+
+
+@register(f"""{_WITH}, {_ALERT} select league, row_number() over (partition by league order by confidence <> 'HIGH', win_pct desc, matches desc, player, rival) as position,
+  group_id, player, rival, win_pct, matches, last10, signal, confidence, recent_sequence, recent_trend from al""")
+def group_payload_alerts(spark, sf):
+    """The alerts of the payload in presentation order (SRT5)."""
+    return _written(spark, sf, "alerts").select("league", "position", "group_id", "player", "rival", "win_pct", "matches", "last10", "signal", "confidence",
+                                                "recent_sequence", "recent_trend")
+
+
+@register(f"""with {q.PERSPECTIVES}, {_DLY} select league, count(distinct date) as files_count, strftime(min(date), '%Y-%m-%d') as data_from,
+  strftime(max(date), '%Y-%m-%d') as data_to, {sinks.PAYLOAD_VERSION} as schema_version, '{sinks.ANALYSIS_SCOPE}' as analysis_scope,
+  48 as h2h_alert_threshold, 20 as min_h2h_alert_matches from dly group by league""")
+def group_payload_metadata(spark, sf):
+    return _written(spark, sf, "metadata")

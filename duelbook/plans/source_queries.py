@@ -18,7 +18,7 @@ QUERIES, ORACLE, register = registry()
 
 def _reports(spark, sf):
     ev = fx.event_perspectives(spark, sf)
-    return reports.render_reports(d.daily_players(ev), d.daily_rivals(ev))
+    return reports.render_reports(d.daily_players(ev, text=True), d.daily_rivals(ev, text=True))
 
 
 _DLY = f"""dly as (select strftime(cast({q.madrid('ts')} as date), '%Y%m%d') as date, player, count(*) as played, {q.counts()}, {q.seq()} as seq from ev group by 1, 2)"""

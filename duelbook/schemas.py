@@ -58,7 +58,7 @@ RECENT_FORM = PLAYER_TOTALS + [
 ]
 H2H_TOTALS = [
     "league", "player", "rival", "played", "wins", "draws", "losses", "win_pct", "draw_pct", "loss_pct",
-    "sequence", "first_match_date", "last_match_date",
+    "first_match_date", "last_match_date",
 ]
 H2H_RECENT = [
     "league", "player", "rival", "window", "available", "window_complete", "wins", "draws", "losses",
@@ -74,12 +74,12 @@ H2H_COMPARISON = [
 SESSION = [
     "session_id", "league", "player", "player_key", "session_number", "start_timestamp", "end_timestamp",
     "start_local", "end_local", "duration_minutes", "played", "wins", "draws", "losses", "win_pct",
-    "draw_pct", "loss_pct", "sequence", "last_24", "current_streak_result", "current_streak",
+    "draw_pct", "loss_pct", "last_24", "current_streak_result", "current_streak",
     "tracked", "balance", "active",
 ]
 SNAPSHOT = [
     "league", "player", "player_key", "wins", "draws", "losses", "played", "win_pct", "draw_pct", "loss_pct",
-    "sequence", "last_24", "current_streak_result", "current_streak", "balance", "indicator", "tracked",
+    "last_24", "current_streak_result", "current_streak", "balance", "indicator", "tracked",
     "group_index",
 ]
 PREDICTION = [

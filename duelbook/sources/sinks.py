@@ -1,11 +1,12 @@
-"""CSV tables and nested JSON payloads (SNK3, SNK5, SNK6, SRC17)."""
+"""CSV tables, payload tables and nested JSON (SNK3, SNK5, SNK6, SRC17)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelbook import schemas
+from duelbook.operators.alerts import alert_order
 from duelbook.operators import streak_tables as st
 
 # Scope and version that readers of the payload check.
@@ -37,6 +38,11 @@ def write_streak_reports(daily: DataFrame, path: str) -> None:
         write_csv(table, f"{path}/{name}")
 
 
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A written table with its types; a value that doesn't fit its type fails the query."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
 def snapshot_payload(snap: DataFrame, leagues: tuple[str, ...] = ("GT", "EADRIATIC")) -> DataFrame:
     """(league, rows): snapshot rows as one sorted array per league, empty leagues included.
 
@@ -62,7 +68,7 @@ def groups_payload(names: DataFrame, h2h: DataFrame, power: DataFrame, dominance
         rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("r"))))
         return df.groupBy(*by).agg(F.transform(rows, lambda x: x["r"]).alias(name))
 
-    cell = ["rival", "wins", "draws", "losses", "matches", "win_pct", "draw_pct", "loss_pct", "seq",
+    cell = ["rival", "wins", "draws", "losses", "matches", "win_pct", "draw_pct", "loss_pct",
             "last5", "last10", "win_run", "unbeaten_run"]
     matrix = nested(nested(h2h, ["rival"], cell, "rivals", ["player"]), ["player"], ["player", "rivals"], "h2h_matrix")
     up = nested(matchups, ["place"], ["rival", "win_pct", "matches"], "matchups", ["side"])
@@ -81,27 +87,32 @@ def groups_payload(names: DataFrame, h2h: DataFrame, power: DataFrame, dominance
     return out
 
 
-def league_payload(groups: DataFrame, alerts: DataFrame, metadata: DataFrame) -> DataFrame:
-    """(league, json): groups, alerts and report metadata of a league as one document.
+def payload_tables(names: DataFrame, h2h: DataFrame, power: DataFrame, dominance: DataFrame, ranking: DataFrame, picks: DataFrame, matchups: DataFrame,
+                   counts: DataFrame, totals: DataFrame, alerts: DataFrame, metadata: DataFrame) -> dict[str, DataFrame]:
+    """The payload as flat tables with their league: what the nested document holds, a row per item and none that grows with a league.
 
-    ``metadata``: league, files_count, data_from, data_to.
+    ``metadata``: league, files_count, data_from, data_to. Alerts and rankings carry their place in presentation order.
     """
-    g = groups.groupBy("league").agg(F.array_sort(F.collect_list(F.struct(
-        "group_no", F.struct(*[c for c in groups.columns if c not in ("league", "group_no")]).alias("g")))).alias("g"))
-    a_cols = [c for c in alerts.columns if c != "league"]
-    order = F.struct((F.col("confidence") != "HIGH").alias("c"), (-F.col("win_pct")).alias("w"), (-F.col("matches")).alias("m"), "player", "rival")
-    a = alerts.groupBy("league").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*a_cols).alias("a")))).alias("a"))
-    doc = F.struct(
-        F.lit(PAYLOAD_VERSION).alias("schema_version"), F.lit(ANALYSIS_SCOPE).alias("analysis_scope"), "league",
-        "files_count", "data_from", "data_to", F.lit(48).alias("h2h_alert_threshold"), F.lit(20).alias("min_h2h_alert_matches"),
-        F.transform("a", lambda x: x["a"]).alias("h2h_alerts"), F.transform("g", lambda x: x["g"]).alias("groups"))
-    j = metadata.join(g, "league", "left").join(a, "league", "left")
-    return j.select("league", F.to_json(doc).alias("json"))
+    key = ["league", "group_no"]
+    order = Window.partitionBy("league").orderBy(*alert_order(), "group_id")
+    about = [F.lit(PAYLOAD_VERSION).alias("schema_version"), F.lit(ANALYSIS_SCOPE).alias("analysis_scope"),
+             F.lit(48).alias("h2h_alert_threshold"), F.lit(20).alias("min_h2h_alert_matches")]
+    return {
+        "metadata": metadata.select("*", *about),
+        "groups": names.join(counts.select(*key, "exact_matches", "near_matches"), key, "left"),
+        "cells": h2h.select(*key, "player", "rival", "wins", "draws", "losses", "matches", "win_pct", "draw_pct", "loss_pct", "last5", "last10", "win_run", "unbeaten_run"),
+        "power_ranking": power, "dominance": dominance, "h2h_ranking": ranking, "betting": picks, "matchups": matchups, "overlap_totals": totals,
+        "alerts": alerts.withColumn("position", F.row_number().over(order)),
+    }
 
 
-def write_payload(payload: DataFrame, path: str) -> None:
-    payload.write.mode("overwrite").partitionBy("league").text(path)
+def write_payload(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as JSON lines below ``<table>/league=...``; a large league is written by several tasks."""
+    for name, table in tables.items():
+        table.hint("rebalance", "league").write.mode("overwrite").partitionBy("league").json(f"{path}/{name}")
 
 
-def read_payload(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path)
+def read_payload(spark: SparkSession, path: str, table: str, schema=None) -> DataFrame:
+    """A table of a written payload; with the schema it was written with, types are not guessed."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(f"{path}/{table}")

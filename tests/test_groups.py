@@ -1,4 +1,4 @@
-"""Relations of target groups whose results exceed what one part of a sequence held."""
+"""Relations of target groups of any number of results."""
 
 import random
 from datetime import timedelta
@@ -30,20 +30,15 @@ def h2h_of(targets, df):
     return groups.group_h2h(targets, daily.daily_rivals(groups.among_targets(targets, df), F.col("ts").cast("date")))
 
 
-@pytest.fixture()
-def small_parts(monkeypatch):
-    """Parts of 20 results where a sequence is cut by size."""
-    monkeypatch.setattr(groups, "PART_ROWS", 20, raising=False)
-
-
-def test_an_alert_carries_the_whole_sequence(history, targets, small_parts):
+def test_alerts_and_totals_carry_no_text(history, targets):
     rng = random.Random(3)
-    text = "".join(rng.choice("VVVED") for _ in range(95))
+    text = "".join(rng.choice("VVVED") for _ in range(395))
     df = history(results(text))
-    got = alerts.h2h_alerts(h2h_of(targets, df), groups.group_names(targets), df).collect()
-    assert [(r.player, r.seq, r.sequence_part, r.matches) for r in got] == [("A", text, 1, 95)]
-    totals = by(h2h_of(targets, df), "player")
-    assert totals["A"].seq == text and totals["A"].sequence_parts == 1 and h2h_of(targets, df).count() == 2
+    got = alerts.h2h_alerts(h2h_of(targets, df), groups.group_names(targets), df)
+    assert [(r.player, r.last10, r.matches) for r in got.collect()] == [("A", text[-10:], 395)]
+    assert not {"seq", "sequence_part"} & {*got.columns, *h2h_of(targets, df).columns} and h2h_of(targets, df).count() == 2
+    months = sorted((r for r in groups.group_sequences(targets, df).collect() if r.player == "A"), key=lambda r: r.slice)
+    assert "".join(r.seq for r in months) == text and len(months) == 2
 
 
 @pytest.mark.parametrize("text", [
@@ -52,7 +47,7 @@ def test_an_alert_carries_the_whole_sequence(history, targets, small_parts):
     "VE" * 33 + "E",  # never beaten
     "V" * 45 + "D" * 18,  # broken at the very end
 ])
-def test_the_end_of_a_relation_is_that_of_the_whole_sequence(history, targets, small_parts, text):
+def test_the_end_of_a_relation_is_that_of_the_whole_sequence(history, targets, text):
     a = [r for r in h2h_of(targets, history(results(text))).collect() if r.player == "A"]
     want = (text[-5:], text[-10:], len(text) - len(text.rstrip("V")), len(text) - len(text.rstrip("VE")))
     assert a and all((r.last5, r.last10, r.win_run, r.unbeaten_run) == want for r in a)

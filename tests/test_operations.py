@@ -24,7 +24,7 @@ def test_snapshot_indicator_prefers_green_and_excludes(history, tracked):
     s = by(snapshot.snapshot(history(rows), tracked, reference_time=REF), "player")
     assert set(s) == {"P0", "P1", "P2"}  # P3 is not bettable, P4 only met P3, X is not tracked
     assert [s[p].indicator for p in ("P0", "P1", "P2")] == ["GREEN", "RED", "NONE"]
-    assert (s["P1"].sequence, s["P1"].current_streak_result, s["P1"].current_streak, s["P1"].balance) == ("DDE", "E", 1, "🔴")
+    assert (s["P1"].last_24, s["P1"].current_streak_result, s["P1"].current_streak, s["P1"].balance) == ("DDE", "E", 1, "🔴")
     p = by(snapshot_payload(snapshot.snapshot(history(rows), tracked, reference_time=REF)), "league")
     assert p["EADRIATIC"].rows is None and [r.player for r in p["GT"].rows] == ["P0", "P2", "P1"]
 

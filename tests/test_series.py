@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import defaultdict
 from datetime import timedelta
 
 import pytest
@@ -9,7 +10,7 @@ from conftest import START, by, row
 from pyspark.sql import functions as F
 
 from duelbook.functions.times import time_slice
-from duelbook.operators import filters, h2h, opportunity, pairing, recent, runs, sessions, totals
+from duelbook.operators import filters, h2h, opportunity, pairing, recent, runs, segments, sessions, totals
 
 
 def random_history(seed, players=3, n=120, spread=6000, invalid=0.05):
@@ -94,6 +95,27 @@ def test_windows_drop_invalid_rows_before_the_cut(history):
     assert (w[10].sequence, w[10].available, w[10].current_streak_result, w[10].current_streak) == ("VVDEV", 5, "V", 1)
 
 
+def test_long_windows_go_by_days(spark, history):
+    """Beyond Spark's limit of ranks, the latest rows come from the days that hold them: the same rows, and no window over a whole player."""
+    rows = random_history(11, n=400, spread=12000)
+    df = history(rows)
+    want = sorted((r.perspective_id, r.rn) for r in runs.last_n(df, ["player_key"], 90).collect())
+    forms = sorted(map(tuple, recent.player_windows(df, [7, 90]).collect()))
+    assert "_day" in runs.last_n(df, ["player_key"], 5000)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5")
+    try:
+        assert sorted((r.perspective_id, r.rn) for r in runs.last_n(df, ["player_key"], 90).collect()) == want
+        assert sorted(map(tuple, recent.player_windows(df, [7, 90]).collect())) == forms
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
+def test_positions_are_those_of_a_global_sort(history):
+    rows = random_history(12, n=150, spread=3000)
+    got = {r.perspective_id: r.position for r in filters.numbered(history(rows)).collect()}
+    assert [got[r[2]] for r in sorted(rows, key=lambda r: (r[8], r[1], r[4], r[2]))] == list(range(1, 151))
+
+
 def test_recent_forms_keep_request_order_and_repeats(history):
     rows = [row(i, "A", "B", r) for i, r in enumerate("DDDDVVVV")]
     got = sorted(recent.recent_forms(history(rows), [4, 2, 4]).collect(), key=lambda r: r.ord)
@@ -101,16 +123,49 @@ def test_recent_forms_keep_request_order_and_repeats(history):
     assert got[0].trend == "UP" and got[0].win_pct_delta == 50.0 and got[0].best_win_streak == 4 and got[0].window_complete
 
 
-def test_sequence_parts_hold_the_whole_text(history, monkeypatch):
-    monkeypatch.setattr(runs, "PIECE_ROWS", 7)
-    monkeypatch.setattr(runs, "PART_ROWS", 20)
-    rows = random_history(5, players=2, n=150, spread=3000, invalid=0)
-    parts = runs.sequence_parts(history(rows), ["player_key"], slice_by="day").collect()
+@pytest.mark.parametrize("cut,tie", CUTS)
+def test_summaries_are_those_of_the_whole_series(history, cut, tie):
+    """However a series is sliced, the merged summary says what the text would; texts of a calendar slice put together are the whole."""
+    rows = random_history(5, players=3, n=150, spread=3000, invalid=0) + [row(900 + i, "Q", "Z", "VED"[i % 3 if i < 4 else 0], i * 500) for i in range(40)]
+    s = by(segments.summary(history(rows), ["player_key"], cut, tie).select(
+        "*", segments.win_run().alias("v"), segments.unbeaten_run().alias("nd"), segments.winless_run().alias("nv"), segments.drawless_run().alias("ne"),
+        segments.same_run().alias("same"), segments.last_result().alias("at_end")), "player_key")
+    whole = by(segments.joined_text(segments.sequences(history(rows), ["player_key"], "month"), ["player_key"]), "player_key")
+    for p in ("p0", "p1", "p2", "q"):
+        text = "".join(r[7] for r in ordered(rows, p))
+        r = s[p]
+        assert whole[p].sequence == text
+        assert (r.played, r.wins, r.draws, r.losses, r.last_24, r.at_end) == (len(text), text.count("V"), text.count("E"), text.count("D"), text[-24:], text[-1])
+        assert (r.v, r.nd, r.nv, r.ne, r.same) == tuple(len(text) - len(text.rstrip(x)) for x in ("V", "VE", "ED", "VD", text[-1]))
+        assert r.calm == max(map(len, text.split("E"))) and [r[f"first_{v}"] or 0 for v in "VED"] == [text.find(v) + 1 for v in "VED"]
+
+
+def test_summary_of_a_text_is_that_of_its_rows(spark, history):
+    rows = random_history(7, players=2, n=90, spread=900, invalid=0)
+    texts = {p: "".join(r[7] for r in ordered(rows, p)) for p in ("p0", "p1")} | {"x": None, "y": "VV"}
+    t = by(segments.of_text(spark.createDataFrame(list(texts.items()), "player_key string, seq string")), "player_key")
+    s = by(segments.summary(history(rows), ["player_key"]), "player_key")
     for p in ("p0", "p1"):
-        mine = sorted((r for r in parts if r.player_key == p), key=lambda r: r.sequence_part)
-        assert "".join(r.sequence for r in mine) == "".join(r[7] for r in ordered(rows, p))
-        assert [r.sequence_part for r in mine] == list(range(1, len(mine) + 1)) and mine[0].sequence_parts == len(mine)
-        assert max(len(r.sequence) for r in mine) <= 27
+        for c in ("played", "wins", "draws", "losses", "last_24", "calm", *(f"{n}_{v}" for n in ("first", "last") for v in "VED")):
+            assert t[p][c] == s[p][c], c
+    assert (t["x"].played, t["x"].last_V, t["x"].calm, t["y"].last_V, t["y"].first_E, t["y"].calm) == (0, None, 0, 2, None, 2)
+
+
+def test_a_day_of_very_many_results(spark):
+    """A hundred thousand results in one day and one session: no value of the plan holds them all."""
+    from duelbook.operators import daily
+
+    n = 100_000
+    df = spark.range(n, numPartitions=4).select(
+        F.lit("GT").alias("league"), F.format_string("gt:%07d", "id").alias("match_id"), F.col("id").cast("string").alias("perspective_id"),
+        F.lit("A").alias("player"), F.lit("a").alias("player_key"), F.lit("B").alias("rival"), F.lit("b").alias("rival_key"),
+        F.when(F.col("id") % 1000 == 7, "E").when(F.col("id") % 3 == 0, "V").otherwise("D").alias("result"),
+        F.timestamp_add("MILLISECOND", F.col("id") * 500, F.lit("2026-07-14 00:00:00").cast("timestamp_ntz")).alias("ts"))
+    day = daily.daily_players(df, F.col("ts").cast("date")).first()
+    assert (day.played, day.draws, day.calm, day.current_streak) == (n, 100, 999, 992)
+    one = sessions.player_sessions(df, reference_time="2026-07-15T00:00:00Z").collect()
+    assert [(r.played, r.draws, len(r.last_24)) for r in one] == [(n, 100, 24)]
+    assert max(r.n for r in daily.daily_sequences(df, F.col("ts").cast("date")).collect()) == 7200
 
 
 def test_h2h_is_directed_and_mirrored(history):
@@ -118,8 +173,9 @@ def test_h2h_is_directed_and_mirrored(history):
     for i, r in enumerate("VEDVV"):
         rows += [row(i, "A", "B", r), row(i, "B", "A", {"V": "D", "D": "V", "E": "E"}[r])]
     t = by(h2h.h2h_totals(history(rows)), "player")
-    assert (t["A"].wins, t["A"].losses, t["A"].sequence) == (3, 1, "VEDVV")
-    assert (t["B"].wins, t["B"].losses, t["B"].sequence) == (1, 3, "DEVDD")
+    assert (t["A"].wins, t["A"].losses) == (3, 1) and (t["B"].wins, t["B"].losses) == (1, 3)
+    texts = by(h2h.h2h_sequences(history(rows)), "player_key")
+    assert (texts["a"].seq, texts["b"].seq, texts["a"].n) == ("VEDVV", "DEVDD", 5)
     c = by(h2h.h2h_comparison(history(rows), 2, min_historical_matches=5), "player")
     assert (c["A"].recent_win_pct, c["A"].historical_win_pct, c["A"].trend, c["A"].sample_status) == (100.0, 60.0, "UP", "COMPLETE")
     assert h2h.h2h_comparison(history(rows), 2, min_historical_matches=6).count() == 0
@@ -137,6 +193,7 @@ def test_session_gap_is_exclusive(history):
 def test_sessions_against_a_walk(history, cut):
     rows = random_history(6, spread=20000, invalid=0)
     got = sessions.numbered_sessions(history(rows), 90, slice_by=cut).collect()
+    texts = sessions.session_sequences(history(rows), 90, slice_by=cut).collect()
     for p in ("p0", "p1", "p2"):
         want, last = [], None
         for r in ordered(rows, p):
@@ -145,7 +202,10 @@ def test_sessions_against_a_walk(history, cut):
             want[-1] += r[7]
             last = r[8]
         mine = sorted((r for r in got if r.player_key == p), key=lambda r: r.session_number)
-        assert [r.sequence for r in mine] == want
+        whole = defaultdict(str)
+        for t in sorted((t for t in texts if t.player_key == p), key=lambda t: t.start):
+            whole[t.session_number] += t.seq
+        assert [whole[r.session_number] for r in mine] == want and [(r.played, r.last_24) for r in mine] == [(len(w), w[-24:]) for w in want]
         assert [r.session_number for r in mine] == list(range(1, len(want) + 1))
 
 
