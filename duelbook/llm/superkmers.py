@@ -6,6 +6,9 @@ minimiser's bucket, all that a map task has for one bucket as one compressed blo
 there; sorting the windows of a bucket finds for each the least document it starts in. What is said about a packed string is kept per place in its document:
 spans of words to remove.
 
+A minimiser that very many different texts share would make one bucket hot. Bytes per cell of minimisers are counted over all texts first;
+what belongs to a crowded cell travels window by window instead, as 128-bit hashes dealt by that hash, so any number of tasks share it.
+
 Copies are combined before they travel: of equal packed strings in a map task only the one of the least document goes
 on, as all windows of the others start in that document, too. So a text that a third of all rows share reaches a
 bucket once per task.
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +34,9 @@ CHUNK_BYTES = 4_000_000
 #: Windows of one bucket that are sorted at a time; a larger bucket is sorted in several passes, by a hash of the window.
 SORTED = 1_000_000
 _MULT = np.uint64(0xD6E8FEB86659FD93)
-#: Buckets of a shuffle partition: one bucket at a time is in memory.
-BUCKETS = 4
+#: Bytes of text behind a bucket; one bucket at a time is in memory. Cells of minimisers that are counted, and the bytes of packed strings
+#: beyond which a cell goes by windows.
+BUCKET_BYTES, CELLS, CROWDED = 8_000_000, 1 << 14, 32_000_000
 
 
 def super_kmers(hashes: np.ndarray, window: int = WINDOW, minimiser: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,8 +72,68 @@ def unpack_rows(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.nd
     return raw[at:].split(b"\n") if n else [], out[0], out[1], out[2], out[3], out[4].reshape(-1, 4)
 
 
-def travellers(rows: DataFrame, buckets: int, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
-    """bucket, rows (binary, see ``pack_rows``): what a map task sends to each bucket, a chunk of texts at a time."""
+def cells_of(minimisers: np.ndarray) -> np.ndarray:
+    return (minimisers.view(np.uint64) * _MULT >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def crowded_cells(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, crowded: int = CROWDED) -> tuple[np.ndarray, int, int]:
+    """(cells of minimisers whose packed strings are longer than ``crowded`` in all, number of their windows, bytes of all texts); copies of
+    a packed string in a task's chunk count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = WordHashes(), set()
+        size, many, text_bytes, held = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64), 0, 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words = words_of(text)
+                text_bytes += len(text)
+                if len(words) < window:
+                    continue
+                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                m, first, end = super_kmers(h, window, minimiser)
+                # a packed string by its length and a sum of its words' hashes
+                total = np.concatenate(([np.uint64(0)], np.cumsum(h * _MULT)))
+                name = _mixed((total[end] - total[first]) ^ m.view(np.uint64) ^ (end - first).astype(np.uint64)).tolist()
+                fresh_ = np.fromiter((n not in seen for n in name), bool, len(name))
+                seen.update(name)
+                cell = cells_of(m)[fresh_]
+                words_in = (end - first)[fresh_]
+                size += np.bincount(cell, words_in * (len(text) / len(words)), CELLS).astype(np.int64)
+                many += np.bincount(cell, words_in - window + 1, CELLS).astype(np.int64)
+                held += len(text)
+                if held > CHUNK_BYTES:
+                    seen.clear()
+                    held = 0
+        at = np.flatnonzero(size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(size[at], text_bytes)), pa.array(np.append(many[at], 0))], ["cell", "size", "many"])
+
+    counted = rows.select("text").mapInArrow(tidy(run), "cell long, size long, many long")
+    got = counted.groupBy("cell").agg(F.sum("size").alias("size"), F.sum("many").alias("many")).toArrow()  # CELLS + 1 rows at most
+    cell, size, many = (got[c].to_numpy() for c in ("cell", "size", "many"))
+    hot = (cell >= 0) & (size > crowded)
+    return np.sort(cell[hot]), int(many[hot].sum()), int(size[cell < 0].sum())
+
+
+def pack_windows(hashes: np.ndarray, docs: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> bytes:
+    """Windows by their 128-bit hashes (two columns), compressed."""
+    parts = (hashes.astype("<u8"), docs.astype("<i8"), keys.astype("<u4"), starts.astype("<i4"))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+
+
+def unpack_windows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = len(raw) // 32
+    return (np.frombuffer(raw, "<u8", 2 * n).reshape(n, 2), np.frombuffer(raw, "<i8", n, 16 * n), np.frombuffer(raw, "<u4", n, 24 * n), np.frombuffer(raw, "<i4", n, 28 * n))
+
+
+def travellers(rows: DataFrame, buckets: int, window: int = WINDOW, minimiser: int = MINIMISER, hot: np.ndarray | None = None, hot_buckets: int = 1) -> DataFrame:
+    """bucket, rows (binary): what a map task sends to each bucket, a chunk of texts at a time.
+
+    Buckets from 0 hold super-k-mers (``pack_rows``), negative ones the windows of crowded cells (``pack_windows``).
+    """
+    crowded = np.zeros(CELLS, bool)
+    if hot is not None:
+        crowded[hot] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, best, again, settled, held = WordHashes(), {}, [], [], 0
@@ -77,7 +142,12 @@ def travellers(rows: DataFrame, buckets: int, window: int = WINDOW, minimiser: i
             strings = [*best, *(a[0] for a in again)]
             sent = np.array([*best.values(), *(a[1:] for a in again)], np.int64).reshape(-1, 4)
             done = np.array(settled, np.int64).reshape(-1, 4)
-            to, done_to = sent[:, 0].view(np.uint64) % np.uint64(buckets), done[:, 0].view(np.uint64) % np.uint64(buckets)
+            by_window = crowded[cells_of(np.ascontiguousarray(sent[:, 0]))]
+            if by_window.any():
+                yield from _windows([strings[i] for i in np.flatnonzero(by_window).tolist()], sent[by_window], window, hot_buckets)
+                strings, sent = [strings[i] for i in np.flatnonzero(~by_window).tolist()], sent[~by_window]
+            to = sent[:, 0].view(np.uint64) % np.uint64(buckets) if len(sent) else np.empty(0, np.uint64)
+            done_to = _mixed(done[:, 0].astype(np.uint64)) % np.uint64(buckets)  # they are settled wherever they go
             order, done_order = np.argsort(to, kind="stable"), np.argsort(done_to, kind="stable")
             names = np.union1d(to, done_to)
             cuts = np.searchsorted(to[order], names, "left"), np.searchsorted(to[order], names, "right")
@@ -122,6 +192,45 @@ def travellers(rows: DataFrame, buckets: int, window: int = WINDOW, minimiser: i
     return rows.mapInArrow(tidy(run), "bucket long, rows binary")
 
 
+def _windows(strings: list[bytes], sent: np.ndarray, window: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The windows of packed strings (rows of minimiser, doc_id, text_key, start) by their hashes, a block for each bucket."""
+    hashes, row, place = [], [], []
+    for i, packed in enumerate(strings):
+        for k, w in enumerate(windows_of(packed, window)):
+            hashes.append(xxhash.xxh3_128_digest(w))
+            row.append(i)
+            place.append(k)
+    h = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
+    row = np.array(row, np.int64)
+    docs, keys, starts = sent[row, 1], sent[row, 2], sent[row, 3] + np.array(place, np.int64)
+    to = (_mixed(h[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(to[order], prepend=-1)), len(order))
+    out = [(int(-1 - to[order[a]]), pack_windows(h[order[a:z]], docs[order[a:z]], keys[order[a:z]], starts[order[a:z]])) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["bucket", "rows"])
+
+
+def settle_windows(blobs: list[bytes], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """(doc_id, text_key, first word, end word) of windows that also start in a lesser document of the same bucket."""
+    parts = [unpack_windows(b) for b in blobs]
+    if not parts:
+        return []
+    h, docs, keys, starts = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.lexsort((docs, h[:, 1], h[:, 0]))
+    h, docs, keys, starts = h[order], docs[order], keys[order], starts[order]
+    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]).any(axis=1))))
+    least = np.repeat(docs[first], np.diff(np.append(first, len(docs))))
+    gone = docs > least
+    # neighbouring windows of one text as one span
+    d, k, a = docs[gone], keys[gone].astype(np.int64), starts[gone].astype(np.int64)
+    order = np.lexsort((a, k, d))
+    d, k, a = d[order], k[order], a[order]
+    new = np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (a[1:] > a[:-1] + 1))) if len(d) else np.empty(0, bool)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(d)) - 1
+    return list(zip(d[begin].tolist(), k[begin].tolist(), a[begin].tolist(), (a[end] + window).tolist(), strict=True)) if len(d) else []
+
+
 def windows_of(packed: bytes, window: int) -> list[bytes]:
     """Every window of a packed string, as bytes."""
     raw = np.frombuffer(packed, np.uint8)
@@ -170,8 +279,10 @@ def settle(group: list[tuple], window: int = WINDOW) -> list[tuple[int, int, int
 
 def spans(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """doc_id, text_key, start, stop: word spans to remove, of rows (doc_id, text_key, text as binary)."""
-    buckets = BUCKETS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = travellers(rows, buckets, window, minimiser).repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    hot, many, size = crowded_cells(rows, window, minimiser, CROWDED)
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
+    hot_buckets = many * 32 // BUCKET_BYTES + 1
+    dealt = travellers(rows, buckets, window, minimiser, hot, hot_buckets).repartition(F.col("bucket")).sortWithinPartitions("bucket")
 
     def sort_bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [unpack_rows(b) for b in blobs]
@@ -194,10 +305,16 @@ def spans(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) ->
         for b in batches:
             for name, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if name != bucket:
-                    yield from sort_bucket(blobs)
+                    yield from done(bucket, blobs)
                     bucket, blobs = name, []
                 blobs.append(blob)
-        yield from sort_bucket(blobs)
+        yield from done(bucket, blobs)
+
+    def done(bucket: int | None, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if bucket is not None and bucket < 0:
+            yield _spans(settle_windows(blobs, window))
+        else:
+            yield from sort_bucket(blobs)
 
     return dealt.mapInArrow(tidy(run), "doc_id long, text_key long, start int, stop int")
 
@@ -236,7 +353,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     A word goes if a window covers it whose words also start somewhere in a row with a smaller id. A null text has no words;
     texts shorter than a window stay as they are. Rows of one id are one document and don't remove from each other; rows with a
     null id count as one document after all others: they lose what any other has and take from none. An empty table gives no
-    rows. A column that is named like ``into`` is replaced.
+    rows. Very long texts are windows like any other, one text at a time in memory. A column that is named like ``into`` is replaced.
     """
     doc, key = fresh(docs, "doc"), fresh(docs, "key")
     last = F.lit(2**63 - 1)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from duelbook.llm import minhash, superkmers
 from duelbook.llm import queries as q
@@ -150,3 +151,26 @@ def test_components(llm):
     got = {r["node"]: r["component"] for r in components(llm.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(llm.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_minimiser_in_a_third_of_all_documents(llm, monkeypatch):
+    """Crowded minimisers go window by window; the result is that of brute force, wherever the bound lies."""
+    rng = random.Random(12)
+    core = words(rng, 3, 9)
+    docs = []
+    for i in range(240):
+        own = [words(rng, rng.randint(8, 20), 200) for _ in range(3)]
+        if i % 3 == 0:
+            own.insert(rng.randrange(4), f"{words(rng, 6, 4)} {core} {words(rng, 6, 4)} {core} {words(rng, 12, 3)}")
+        docs.append((i // 2 if i % 7 == 0 else i, " ".join(own)))
+    docs += [(1000 + i, docs[3 * i][1]) for i in range(40)]
+    want = brute_repeats(docs)
+    df = llm.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(superkmers, "CHUNK_BYTES", 3000)
+    rows = df.select("doc_id", F.lit(0).alias("text_key"), F.col("text").cast("binary").alias("text"))
+    for bound in (10**9, 2000, 0):
+        monkeypatch.setattr(superkmers, "CROWDED", bound)
+        hot, many, size = superkmers.crowded_cells(rows, crowded=bound)
+        assert (len(hot) > 0) == (bound < 10**9) and (many > 0) == (len(hot) > 0) and size == sum(len(t) for _, t in docs)
+        got = superkmers.remove_repeats(df).collect()
+        assert all((bytes(r["removal"]["kept"]), r["removal"]["n_words"]) in [(b" ".join(k), n) for k, n in want[r["doc_id"]]] for r in got) and len(got) == len(docs)
