@@ -11,6 +11,7 @@ meet every block in groups of about ``QUERY_ROWS``. Equal vectors of a block are
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECTIONS, NEAREST, SURE = 8, 10, 0.95
+DIRECTIONS, NEAREST, SURE = 16, 10, 0.9
 BLOCK_ROWS, QUERY_ROWS, LEAF = 8192, 4096, 64
 
 
@@ -39,30 +40,54 @@ def chi_square(x: float, m: int) -> float:
 
 
 class Tree:
-    """kd-tree over projected points: leaves of at most ``leaf`` points by median splits on the widest side, with their boxes."""
+    """kd-tree over projected points: median splits on the widest side down to ``leaf`` points, every node with its box."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaves = points, []
-        stack = [np.arange(len(points))]
-        while stack:
-            rows = stack.pop()
-            here = points[rows]
-            if len(rows) <= leaf:
-                self.leaves.append(rows)
-                continue
-            side = int(np.argmax(here.max(axis=0) - here.min(axis=0)))
+        self.points = points
+        self.low, self.high, self.below = [], [], []  # of each node: box, then (left, right) or the rows of a leaf
+        self._grow(np.arange(len(points)), leaf)
+
+    def _grow(self, rows: np.ndarray, leaf: int) -> int:
+        here = self.points[rows]
+        node = len(self.below)
+        self.low.append(here.min(axis=0))
+        self.high.append(here.max(axis=0))
+        self.below.append(rows)
+        if len(rows) > leaf:
+            side = int(np.argmax(self.high[node] - self.low[node]))
             middle = len(rows) // 2
             order = np.argpartition(here[:, side], middle)
-            stack += [rows[order[:middle]], rows[order[middle:]]]
-        self.low = np.array([points[r].min(axis=0) for r in self.leaves])
-        self.high = np.array([points[r].max(axis=0) for r in self.leaves])
-
-    def incremental(self, q: np.ndarray):
-        """(least squared projected distance of what comes from here on, points) of every leaf, nearest box first."""
-        apart = np.maximum(np.maximum(self.low - q, q - self.high), 0)
-        bound = (apart**2).sum(axis=1)
-        for at in np.argsort(bound, kind="stable"):
-            yield float(bound[at]), self.leaves[at]
+            self.below[node] = (self._grow(rows[order[:middle]], leaf), self._grow(rows[order[middle:]], leaf))
+        return node
+
+    def bound(self, node: int, q: np.ndarray) -> float:
+        apart = np.maximum(np.maximum(self.low[node] - q, q - self.high[node]), 0)
+        return float(apart @ apart)
+
+    def incremental(self, q: np.ndarray, together: int = LEAF):
+        """Points in the order of their squared projected distances, as (distances, rows) of at most ``together``.
+
+        Best first: the nearest unopened box is opened until it is farther than points that wait; these are then as near as any to come.
+        """
+        boxes = [(self.bound(0, q), 0)]
+        away, waiting = np.empty(0), np.empty(0, np.int64)
+        while boxes or len(waiting):
+            reach = boxes[0][0] if boxes else math.inf
+            ready = int(np.searchsorted(away, reach, side="right"))
+            if ready:
+                for at in range(0, ready, together):
+                    yield away[at:min(ready, at + together)], waiting[at:min(ready, at + together)]
+                away, waiting = away[ready:], waiting[ready:]
+                continue
+            below = self.below[heapq.heappop(boxes)[1]]
+            if isinstance(below, tuple):
+                for node in below:
+                    heapq.heappush(boxes, (self.bound(node, q), node))
+            else:
+                apart = ((self.points[below] - q) ** 2).sum(axis=1)
+                away, waiting = np.concatenate((away, apart)), np.concatenate((waiting, below))
+                order = np.argsort(away, kind="stable")
+                away, waiting = away[order], waiting[order]
 
 
 class Index:
@@ -78,17 +103,20 @@ class Index:
         self.groups = np.split(by, np.cumsum(np.bincount(same.ravel()))[:-1])
         self.m, self.directions = m, directions(vectors.shape[1], m)
         self.tree = Tree(self.vectors @ self.directions)
+        self.verified = 0
 
     def search(self, query_id: int, q: np.ndarray, k: int = NEAREST, sure: float = SURE) -> list[tuple[float, int]]:
         """(distance, id) of the k nearest found, ties to the smaller id; the query's own id takes no part."""
         best = np.empty(0)
         points = np.empty(0, np.int64)
         held = np.empty(0, np.int64)
-        for bound, rows in self.tree.incremental(q @ self.directions):
+        for distances, rows in self.tree.incremental(q @ self.directions):
             if held.sum() >= k:
                 last = best[np.searchsorted(np.cumsum(held), k)]
+                bound = float(distances[0])
                 if bound > 0 and (last == 0 or chi_square(bound / last**2, self.m) >= sure):
                     break
+            self.verified += len(rows)
             away = np.sqrt(((self.vectors[rows] - q) ** 2).sum(axis=1))
             best, points = np.concatenate((best, away)), np.concatenate((points, rows))
             order = np.argsort(best, kind="stable")[:k + 1]
