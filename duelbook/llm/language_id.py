@@ -146,7 +146,7 @@ def identify(rows: DataFrame, text: Column, declared: Column, host: Column, lang
     language: the likeliest of ``languages`` and ``und``, ties to the earlier one. text_language: by the text alone, null without three bytes
     of it. kept: a language, not noise, is at least as likely as ``threshold``. Null or empty text, declaration or host say
     nothing: what is left decides, in the end the corpus. Repeated rows count as often as they are there. An
-    empty table gives no rows. A column that is named like ``into`` is replaced.
+    empty table gives no rows. Very long texts count whole, in parts. A column that is named like ``into`` is replaced.
     """
     spark = prepare(rows.sparkSession)
     names = [c for c in rows.columns if c != into]

@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     component_id: the smallest doc_id that links lead to, its own without any. A null or empty text, or one of white space, has
     no shingles, links with nothing and is kept. Repeated rows have equal sets, so all have the same component; rows with
     a null id share the component of their text, are its last choice, and are kept only where nothing else is.
-    Other columns are not read. An empty table gives no rows. text_key tells texts apart, component numbers the components (null
+    Very long texts are read whole, one at a time; a set takes 8 bytes a shingle. Other columns are not read. An empty table gives no rows. text_key tells texts apart, component numbers the components (null
     without shingles).
     """
     last = F.lit(2**63 - 1)  # stands for a null id

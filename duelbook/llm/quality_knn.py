@@ -202,7 +202,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row. Only the id and text of ``docs`` are read; repeated rows score alike, a
-    null id is never held out, an empty table gives no rows, and without any label every score is 0.5."""
+    null id is never held out, an empty table gives no rows, and without any label every score is 0.5. A very long text is read
+    whole, one at a time. Of labelled documents that are equally near at the last place of the vote, any may have it."""
     prepare(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     scored = rows.withColumn("score", score(rows, fit(rows, labels.select(F.col("doc_id"), F.col("quality")))))

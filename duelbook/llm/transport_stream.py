@@ -225,7 +225,10 @@ def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def feature(parsed: Column) -> Column:
-    """A line of text that tells the streams of a parsed row: tables, packets, errors, times, random-access points."""
+    """A line of text that tells the streams of a parsed row: tables, packets, errors, times, random-access points.
+
+    A null row gives null; parts that a stream doesn't have (of a broken or empty one) are left out of the line.
+    """
     points = F.filter(parsed["units"], lambda u: u["random_access"])
     return F.to_json(F.struct(
         parsed["program"].alias("program"), parsed["stream_pid"].alias("pid"), parsed["stream_type"].alias("type"), parsed["packets"].alias("packets"),

@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -208,3 +209,84 @@ def test_stages_awkward(llm, awkward, nothing):
         assert out.count() <= awkward.count()
         assert stage(llm, nothing, SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](llm, nothing, SF).count() == 0
+
+
+def test_op1_by_brute_force(llm):
+    """The fused result of every document, evidence by evidence, in plain loops."""
+    docs = llm.read.parquet(f"{SF}/documents.parquet").collect()
+    names = language_id.LANGUAGES
+    counts = {c: Counter() for c in names}
+    cut = {}
+    for r in docs:
+        t = "".join(c for c in r["text"].lower() if not ("0" <= c <= "9")).encode()
+        cut[r["doc_id"]] = [(t[i] * 65536 + t[i + 1] * 256 + t[i + 2]) * 2654435761 % 2**32 >> 18 for i in range(len(t) - 2)]
+        if r["lang"] in counts:
+            counts[r["lang"]].update(cut[r["doc_id"]])
+    n = 1 << 14
+    size = {c: sum(k.values()) + 0.5 * n for c, k in counts.items()}
+
+    def log_p(c, g):
+        return math.log(0.9 * (counts[c][g] + 0.5) / size[c] + 0.1 / n)
+
+    def softmax(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    score, belief = {}, defaultdict(lambda: [0.0] * 4)
+    for r in docs:
+        g = cut[r["doc_id"]]
+        damp = (len(g) if len(g) <= 50 else 50 + math.sqrt(len(g) - 50)) / len(g) if g else 0
+        s = [damp * sum(log_p(c, x) for x in g) for c in names] + [damp * len(g) * -math.log(n)]
+        if r["lang"] in names:
+            s = [v + math.log(0.9 if c == r["lang"] else 0.1 / 3) for v, c in zip(s, names, strict=False)] + [s[4] + math.log(1 / 4)]
+        score[r["doc_id"]] = s
+        for i, b in enumerate(softmax(s)[:4]):
+            belief[r["source"]][i] += b
+    world = [sum(b[i] for b in belief.values()) + 1 for i in range(4)]
+    world = [w / sum(world) for w in world]
+    assert not any("." in h for h in belief)  # a source is its own domain, and has no suffix
+    got = {r["doc_id"]: r for r in q.op1_language_id(llm, SF).collect()}
+    for r in docs:
+        b = belief[r["source"]]
+        domain = [(x + 20 * w) / (sum(b) + 20) for x, w in zip(b, world, strict=True)]
+        host = [(x + 10 * d) / (sum(b) + 10) for x, d in zip(b, domain, strict=True)]
+        p = softmax([s + x for s, x in zip(score[r["doc_id"]], [*(math.log(0.99 * h) for h in host), math.log(0.01)], strict=True)])
+        best = max(range(5), key=lambda i: p[i])  # noqa: B023
+        mine = got[r["doc_id"]]
+        assert mine["language"] == (*names, "und")[best] and math.isclose(mine["probability"], p[best], rel_tol=1e-3)
+        assert mine["kept"] == (best < 4 and p[best] >= 0.5)
+
+
+def test_op9_by_brute_force(llm):
+    """Every score from the model's parts in plain loops: projection, all cosines, the nearest 25, their weighted vote; and the parts themselves."""
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in llm.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in llm.read.parquet(f"{SF}/labels.parquet").collect()}
+    model = quality_knn.fit(llm.read.parquet(f"{SF}/documents.parquet"), llm.read.parquet(f"{SF}/labels.parquet"))
+    found = {d: quality_knn.terms(t) for d, t in docs.items()}
+    seen = Counter(t for terms, _ in found.values() for t in terms.tolist())
+    assert np.allclose(model.idf, [math.log((1 + len(docs)) / (1 + seen[t])) + 1 for t in range(quality_knn.TERMS)])
+    known = [d for d in sorted(labels) if zlib.crc32(str(d).encode()) % 5]
+    assert sorted(model.labels.tolist()) == sorted(labels[d] for d in known)
+
+    def weighted(d):
+        terms, w = found[d]
+        x = np.zeros(quality_knn.TERMS)
+        x[terms] = w * model.idf[terms]
+        return x / max(1e-300, np.sqrt((x * x).sum()))
+
+    matrix = np.stack([weighted(d) for d in known])
+    _, s, v = np.linalg.svd(matrix, full_matrices=False)
+    k = model.basis.shape[1]
+    assert np.linalg.norm(matrix @ model.basis) > 0.995 * np.linalg.norm(s[:k])  # as much of the matrix as the best basis of its size holds
+    latent = {d: weighted(d) @ model.basis.astype(float) for d in docs}
+    unit = {d: x / max(1e-300, np.sqrt((x * x).sum())) for d, x in latent.items()}
+    zeros, ones = sum(labels[d] == 0 for d in known), sum(labels[d] == 1 for d in known)
+    got = {r["doc_id"]: r for r in q.op9_quality(llm, SF).collect()}
+    assert set(got) == set(docs)
+    for d in docs:
+        near = sorted(((float(unit[d] @ unit[e]), e) for e in known), reverse=True)[:25]
+        one = sum(max(0, c) ** 8 for c, e in near if labels[e] == 1) / ones
+        zero = sum(max(0, c) ** 8 for c, e in near if labels[e] == 0) / zeros
+        want = one / (one + zero) if one + zero > 0 else 0.5
+        assert abs(got[d]["score"] - want) < 2e-3, (d, got[d]["score"], want)
+        assert got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) and got[d]["predicted"] == int(got[d]["score"] >= 0.3)

@@ -1,6 +1,7 @@
 """Sharding (4), chat formatting (5) and transport streams (6)."""
 
 import hashlib
+import json
 import os
 import zlib
 from collections import Counter, defaultdict
@@ -183,3 +184,71 @@ def test_conversation_of_very_many_turns(llm):
     assert time.perf_counter() - began < 60
     assert got["n_turns"] == n and [x["text"] for x in got["t"]] == [r[3] for r in rows]
     assert got["loss"] == "".join(r[3] for r in rows if r[2] == "assistant")
+
+
+def crc_bits(data):
+    """CRC-32/MPEG-2 a bit at a time."""
+    c = 0xFFFFFFFF
+    for byte in data:
+        for bit in range(7, -1, -1):
+            top = (c >> 31) ^ (byte >> bit & 1)
+            c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
+    return c
+
+
+def walked(media):
+    """A plain reading of a transport stream by the standard, that shares nothing with the operator: (payload, what ``feature`` says)."""
+    assert len(media) % 188 == 0
+    packets = [media[i:i + 188] for i in range(0, len(media), 188)]
+    seen, pmt, program, pid, kind, pes, current = {}, None, None, None, None, [], None
+    for n, p in enumerate(packets):
+        bits = int.from_bytes(p[:4], "big")
+        assert bits >> 24 == 0x47 and not bits >> 23 & 1
+        this, start, fields, counter = bits >> 8 & 0x1FFF, bits >> 22 & 1, bits >> 4 & 3, bits & 15
+        assert counter == (seen.get(this, counter - 1) + 1) % 16
+        seen[this] = counter
+        at, random, clock = 4, False, None
+        if fields & 2:
+            at, random = 5 + p[4], bool(p[4] and p[5] & 0x40)
+            if p[4] and p[5] & 0x10:
+                clock = int.from_bytes(p[6:12], "big") >> 15
+        body = p[at:]
+        if this in (0, pmt):
+            section = body[1 + body[0]:]
+            section = section[:3 + (int.from_bytes(section[1:3], "big") & 0xFFF)]
+            assert crc_bits(section) == 0
+            if this == 0:
+                program, pmt = int.from_bytes(section[8:10], "big"), int.from_bytes(section[10:12], "big") & 0x1FFF
+            else:
+                kind, pid = section[12], int.from_bytes(section[13:15], "big") & 0x1FFF
+        elif this == pid:
+            if start:
+                pes.append({"packet": n, "random": random, "clock": clock, "bytes": b""})
+            pes[-1]["bytes"] += body
+    payload, times = b"", []
+    for u in pes:
+        b = u["bytes"]
+        assert b[:3] == b"\x00\x00\x01" and b[7] >> 7
+        data = b[9 + b[8]:6 + int.from_bytes(b[4:6], "big")]
+        raw = int.from_bytes(b[9:14], "big")
+        pts = (raw >> 33 & 7) << 30 | (raw >> 17 & 0x7FFF) << 15 | raw >> 1 & 0x7FFF
+        assert raw & 1 and raw >> 16 & 1 and raw >> 32 & 1 and (u["clock"] is None or u["clock"] == pts)
+        times.append(pts)
+        payload += data
+    points = [u["packet"] for u in pes if u["random"]]
+    said = {"program": program, "pid": pid, "type": kind, "packets": len(packets), "gaps": 0, "broken": 0, "units": len(pes), "first_pts": times[0], "last_pts": times[-1],
+            "points": len(points), "last_point": points[-1]}
+    assert times == sorted(times) and points[0] == pes[0]["packet"]
+    return payload, said
+
+
+def test_op6_by_an_independent_reader(llm):
+    """The stored bytes of every document, and the feature, hold what a reader written from the standard finds in them."""
+    docs = llm.read.parquet(f"{SF}/documents.parquet")
+    media = {r["doc_id"]: (bytes(r["media"]), r["n_bytes"]) for r in transport_stream.store_documents(docs).select("doc_id", "media", "n_bytes").collect()}
+    said = {r["doc_id"]: r for r in q.op6_transport_stream(llm, SF).collect()}
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    for d, (stream, n) in media.items():
+        payload, feature = walked(stream)
+        assert payload[:n] == texts[d] and not payload[n:].strip(b"\0") and len(payload) == said[d]["payload_bytes"]
+        assert json.loads(said[d]["feature"]) == feature and hashlib.sha256(stream).hexdigest() == said[d]["media_sha256"]
