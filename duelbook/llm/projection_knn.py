@@ -45,6 +45,7 @@ class Tree:
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points = points
         self.low, self.high, self.below = [], [], []  # of each node: box, then (left, right) or the rows of a leaf
+        self.boxes: tuple[np.ndarray, np.ndarray] | None = None
         self._grow(np.arange(len(points)), leaf)
 
     def _grow(self, rows: np.ndarray, leaf: int) -> int:
@@ -60,34 +61,41 @@ class Tree:
             self.below[node] = (self._grow(rows[order[:middle]], leaf), self._grow(rows[order[middle:]], leaf))
         return node
 
-    def bound(self, node: int, q: np.ndarray) -> float:
-        apart = np.maximum(np.maximum(self.low[node] - q, q - self.high[node]), 0)
-        return float(apart @ apart)
-
-    def incremental(self, q: np.ndarray, together: int = LEAF):
+    def incremental(self, q: np.ndarray, together: int = 4 * LEAF):
         """Points in the order of their squared projected distances, as (distances, rows) of at most ``together``.
 
         Best first: the nearest unopened box is opened until it is farther than points that wait; these are then as near as any to come.
         """
-        boxes = [(self.bound(0, q), 0)]
+        if self.boxes is None:
+            self.boxes = np.array(self.low), np.array(self.high)
+        apart = np.maximum(np.maximum(self.boxes[0] - q, q - self.boxes[1]), 0)
+        bound = (apart**2).sum(axis=1).tolist()
+        boxes = [(bound[0], 0)]
         away, waiting = np.empty(0), np.empty(0, np.int64)
-        while boxes or len(waiting):
+        opened: list[tuple[np.ndarray, np.ndarray]] = []  # leaves whose points aren't sorted in yet
+        least = math.inf
+        while boxes or least < math.inf:
             reach = boxes[0][0] if boxes else math.inf
-            ready = int(np.searchsorted(away, reach, side="right"))
-            if ready:
-                for at in range(0, ready, together):
-                    yield away[at:min(ready, at + together)], waiting[at:min(ready, at + together)]
-                away, waiting = away[ready:], waiting[ready:]
+            if least > reach:
+                below = self.below[heapq.heappop(boxes)[1]]
+                if isinstance(below, tuple):
+                    for node in below:
+                        heapq.heappush(boxes, (bound[node], node))
+                else:
+                    d = ((self.points[below] - q) ** 2).sum(axis=1)
+                    opened.append((d, below))
+                    least = min(least, float(d.min()))
                 continue
-            below = self.below[heapq.heappop(boxes)[1]]
-            if isinstance(below, tuple):
-                for node in below:
-                    heapq.heappush(boxes, (self.bound(node, q), node))
-            else:
-                apart = ((self.points[below] - q) ** 2).sum(axis=1)
-                away, waiting = np.concatenate((away, apart)), np.concatenate((waiting, below))
+            if opened:
+                away, waiting = np.concatenate((away, *(d for d, _ in opened))), np.concatenate((waiting, *(rows for _, rows in opened)))
                 order = np.argsort(away, kind="stable")
                 away, waiting = away[order], waiting[order]
+                opened.clear()
+            ready = int(np.searchsorted(away, reach, side="right"))
+            for at in range(0, ready, together):
+                yield away[at:min(ready, at + together)], waiting[at:min(ready, at + together)]
+            away, waiting = away[ready:], waiting[ready:]
+            least = float(away[0]) if len(away) else math.inf
 
 
 class Index:
