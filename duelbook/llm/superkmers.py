@@ -77,35 +77,40 @@ def cells_of(minimisers: np.ndarray) -> np.ndarray:
 
 
 def crowded_cells(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, crowded: int = CROWDED) -> tuple[np.ndarray, int, int]:
-    """(cells of minimisers whose packed strings are longer than ``crowded`` in all, number of their windows, bytes of all texts); copies of
-    a packed string in a task's chunk count once."""
+    """(cells of minimisers whose packed strings are longer than ``crowded`` in all, number of their windows, bytes of all texts).
+
+    Copies count, so a cell may be crowded by them alone; that costs it nothing but the form in which its windows travel.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
-        size, many, text_bytes, held = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64), 0, 0
+        known = WordHashes()
+        size, many, text_bytes, held = np.zeros(CELLS), np.zeros(CELLS), 0, 0
+        parts: list[tuple[np.ndarray, np.ndarray, float]] = []
+
+        def add() -> None:
+            if parts:
+                cell = cells_of(np.concatenate([p[0] for p in parts]))
+                words_in = np.concatenate([p[1] for p in parts])
+                width = np.repeat([p[2] for p in parts], [len(p[0]) for p in parts])
+                size[:] += np.bincount(cell, words_in * width, CELLS)
+                many[:] += np.bincount(cell, words_in - window + 1, CELLS)
+                parts.clear()
+
         for b in batches:
             for text in b.column(0).to_pylist():
-                words = words_of(text)
                 text_bytes += len(text)
-                if len(words) < window:
-                    continue
-                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                m, first, end = super_kmers(h, window, minimiser)
-                # a packed string by its length and a sum of its words' hashes
-                total = np.concatenate(([np.uint64(0)], np.cumsum(h * _MULT)))
-                name = _mixed((total[end] - total[first]) ^ m.view(np.uint64) ^ (end - first).astype(np.uint64)).tolist()
-                fresh_ = np.fromiter((n not in seen for n in name), bool, len(name))
-                seen.update(name)
-                cell = cells_of(m)[fresh_]
-                words_in = (end - first)[fresh_]
-                size += np.bincount(cell, words_in * (len(text) / len(words)), CELLS).astype(np.int64)
-                many += np.bincount(cell, words_in - window + 1, CELLS).astype(np.int64)
+                words = words_of(text)
+                if len(words) >= window:
+                    m, first, end = super_kmers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), window, minimiser)
+                    parts.append((m, end - first, len(text) / len(words)))
                 held += len(text)
                 if held > CHUNK_BYTES:
-                    seen.clear()
+                    add()
                     held = 0
+        add()
         at = np.flatnonzero(size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(size[at], text_bytes)), pa.array(np.append(many[at], 0))], ["cell", "size", "many"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(size[at], text_bytes).astype(np.int64)),
+                                          pa.array(np.append(many[at], 0).astype(np.int64))], ["cell", "size", "many"])
 
     counted = rows.select("text").mapInArrow(tidy(run), "cell long, size long, many long")
     got = counted.groupBy("cell").agg(F.sum("size").alias("size"), F.sum("many").alias("many")).toArrow()  # CELLS + 1 rows at most
