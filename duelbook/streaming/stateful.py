@@ -24,8 +24,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TAIL = 24
-#: Microseconds of a slice of waiting rows.
+#: Microseconds of a slice of waiting rows, as a processor has it by itself, and as the streams below choose it: a slice costs a
+#: timer and a handful of calls to the state store, so slices of an hour cost the same whether they hold one row or thousands.
 SLICE = 60_000_000
+HOUR = 3_600_000_000
+#: Rows of one key and micro-batch that are sorted into slices at once.
+GATHERED = 500_000
 STREAK_SCHEMA = ("league string, player_key string, match_id string, at long, played long, wins long, draws long, "
                  "losses long, current_streak_result string, current_streak long, last_24 string")
 PAIR_SCHEMA = ("pair_id string, a_at long, a_match_id string, a_result string, b_at long, b_match_id string, "
@@ -44,11 +48,13 @@ class _Ordered(StatefulProcessor):
 
     Rows wait by slice of time, one entry of a map state each, with one timer at the slice's end. A timer reads and removes its own
     slice and nothing else, and a new row touches its own slice only, so the cost of a row doesn't depend on how many wait. Timers
-    of a key come in the order of time.
+    of a key come in the order of time. The rows of a key and micro-batch are put together first, so each slice is written once for them.
     """
 
     buffer_schema = ""
     order: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()
+    slice = SLICE
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -58,25 +64,36 @@ class _Ordered(StatefulProcessor):
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        gathered, n = [], 0
         for batch in rows:
-            for slice_, part in batch.groupby(batch["at"] // SLICE):
-                at = (int(slice_),)
-                more = [tuple(r) for r in part[self.names].itertuples(index=False)]
-                if self.buffer.containsKey(at):
-                    more = [tuple(r) for r in self.buffer.getValue(at)[0]] + more
-                else:
-                    self.handle.registerTimer((at[0] + 1) * SLICE // 1000)
-                self.buffer.updateValue(at, (more,))
+            gathered.append(batch[self.names])
+            n += len(batch)
+            if n >= GATHERED:
+                self._keep(pd.concat(gathered))
+                gathered, n = [], 0
+        if n:
+            self._keep(pd.concat(gathered))
         return iter(())
 
+    def _keep(self, rows: pd.DataFrame) -> None:
+        for slice_, part in rows.groupby(rows["at"] // self.slice):
+            at = (int(slice_),)
+            more = list(zip(*(part[c].tolist() for c in self.names)))
+            if self.buffer.containsKey(at):
+                more = [tuple(r) for r in self.buffer.getValue(at)[0]] + more
+            else:
+                self.handle.registerTimer((at[0] + 1) * self.slice // 1000)
+            self.buffer.updateValue(at, (more,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = (expiredTimerInfo.getExpiryTimeInMs() * 1000 // SLICE - 1,)
-        if not self.buffer.containsKey(at):
+        at = (expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.slice - 1,)
+        waiting = self.buffer.getValue(at)
+        if waiting is None:
             return iter(())
-        due = sorted((dict(zip(self.names, r)) for r in self.buffer.getValue(at)[0]), key=lambda r: tuple(r[c] for c in self.order))
+        due = sorted((dict(zip(self.names, r)) for r in waiting[0]), key=lambda r: tuple(r[c] for c in self.order))
         self.buffer.removeKey(at)
-        out = self.advance(key, due)
-        return iter((out,)) if len(out) else iter(())
+        rows = self.advance(key, due)
+        return iter((pd.DataFrame(rows, columns=self.columns),)) if rows else iter(())
 
     def close(self) -> None:
         pass
@@ -85,11 +102,15 @@ class _Ordered(StatefulProcessor):
 class RunningStreak(_Ordered):
     buffer_schema = "at long, match_id string, perspective_id string, result string"
     order = ("at", "match_id", "perspective_id")
+    columns = tuple(c.split()[0] for c in STREAK_SCHEMA.split(", "))
+
+    def __init__(self, slice_micros: int = SLICE):
+        self.slice = slice_micros
 
     def open(self, handle) -> None:
         self.totals = handle.getValueState("totals", "wins long, draws long, losses long, streak long, tail string")
 
-    def advance(self, key, due: list[dict]) -> pd.DataFrame:
+    def advance(self, key, due: list[dict]) -> list[tuple]:
         state = self.totals.get()
         wins, draws, losses, streak, tail = state if state is not None else (0, 0, 0, 0, "")
         rows = []
@@ -101,22 +122,25 @@ class RunningStreak(_Ordered):
             rows.append((key[0], key[1], r["match_id"], r["at"], wins + draws + losses, wins, draws, losses, res, streak, tail))
         if due:
             self.totals.update((wins, draws, losses, streak, tail))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in STREAK_SCHEMA.split(", ")])
+        return rows
 
 
 class RunningPairs(_Ordered):
     buffer_schema = "at long, side int, match_id string, perspective_id string, result string"
     order = ("at", "side", "match_id", "perspective_id")
+    columns = tuple(c.split()[0] for c in PAIR_SCHEMA.split(", "))
 
-    def __init__(self, gap_minutes: int):
+    def __init__(self, gap_minutes: int, slice_micros: int = SLICE):
         self.gap = gap_minutes * 60_000_000
+        self.slice = slice_micros
 
     def open(self, handle) -> None:
         self.waiting = handle.getListState("waiting", self.buffer_schema)
 
-    def advance(self, key, due: list[dict]) -> pd.DataFrame:
+    def advance(self, key, due: list[dict]) -> list[tuple]:
         stacks: tuple[list, list] = ([], [])
-        for r in self.waiting.get():
+        before = list(self.waiting.get())
+        for r in before:
             row = dict(zip(self.names, r))
             stacks[row["side"]].append(row)
         rows = []
@@ -131,8 +155,9 @@ class RunningPairs(_Ordered):
                 stacks[r["side"]].append(r)
         if due:
             alive = [r for s in stacks for r in s if r["at"] >= due[-1]["at"] - self.gap]
-            _replace(self.waiting, [tuple(r[c] for c in self.names) for r in alive])
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR_SCHEMA.split(", ")])
+            if before or alive:
+                _replace(self.waiting, [tuple(r[c] for c in self.names) for r in alive])
+        return rows
 
 
 def _micros(df: DataFrame) -> DataFrame:
@@ -142,7 +167,7 @@ def _micros(df: DataFrame) -> DataFrame:
 def running_streaks(stream: DataFrame, delay: str = REPAIR_DELAY) -> DataFrame:
     """After every match of a player: totals so far, current streak and the last 24 results."""
     rows = _micros(with_event_time(stream, delay)).select(*KEYS, "event_ts", "at", "match_id", "perspective_id", "result")
-    return rows.groupBy(*KEYS).transformWithStateInPandas(RunningStreak(), STREAK_SCHEMA, "append", "eventTime")
+    return rows.groupBy(*KEYS).transformWithStateInPandas(RunningStreak(HOUR), STREAK_SCHEMA, "append", "eventTime")
 
 
 def running_pairs(stream: DataFrame, pairs: DataFrame, gap_minutes: int = 30, delay: str = REPAIR_DELAY) -> DataFrame:
@@ -157,4 +182,4 @@ def running_pairs(stream: DataFrame, pairs: DataFrame, gap_minutes: int = 30, de
     ).select("pair_id", "s.*")
     rows = _micros(with_event_time(stream, delay)).join(sides, KEYS)
     rows = rows.select("pair_id", "event_ts", "at", "side", "match_id", "perspective_id", "result")
-    return rows.groupBy("pair_id").transformWithStateInPandas(RunningPairs(gap_minutes), PAIR_SCHEMA, "append", "eventTime")
+    return rows.groupBy("pair_id").transformWithStateInPandas(RunningPairs(gap_minutes, HOUR), PAIR_SCHEMA, "append", "eventTime")

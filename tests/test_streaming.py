@@ -176,3 +176,19 @@ def test_panes_give_every_window(spark, history, scratch):
             n[0] += 1
             n[1 + "VED".index(r[7])] += 1
     assert {(r.player_key, r.s): [r.played, r.wins, r.draws, r.losses] for r in got.collect()} == want
+
+
+def test_slices_of_the_streams_are_hours():
+    """The streams' processors wait by the hour, and the batches of a key are put together: a timer an hour, a write a slice."""
+    import pandas as pd
+
+    from duelbook.streaming import stateful
+
+    n = 20_000
+    rows = pd.DataFrame([(i * 7_000_000, f"m{i:06d}", f"p{i}", "VED"[i % 3]) for i in range(n)], columns=["at", "match_id", "perspective_id", "result"])
+    state, p = FakeState(), stateful.RunningStreak(stateful.HOUR)
+    p.init(state)
+    assert not list(p.handleInputRows(("GT", "a"), iter([rows.iloc[i::10] for i in range(10)]), None))
+    assert len(state.timers) == len(state.slices) == 39 and not state.read
+    out = [r for at in sorted(state.timers) for f in p.handleExpiredTimer(("GT", "a"), None, FakeTimer(at)) for r in f.itertuples(index=False)]
+    assert [r.match_id for r in out] == rows["match_id"].tolist() and out[-1].played == n and state.read == n
