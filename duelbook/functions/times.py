@@ -49,13 +49,23 @@ def parse_utc(text: Column, naive_zone: str = "UTC") -> Column:
     def parsed(s: Column) -> Column:
         naive = s.try_cast("timestamp_ntz")
         if naive_zone != "UTC":
-            naive = F.convert_timezone(F.lit(naive_zone), F.lit("UTC"), naive)
+            naive = bind(naive, lambda wall: _instant(wall, naive_zone))
         zoned = F.regexp_like(s, F.lit(_ZONE_SUFFIX))
         return F.when(zoned, from_micros(F.unix_micros(s.try_cast("timestamp")))).otherwise(naive)
 
     return bind(bind(F.trim(text), completed), parsed)
 
 
+def _instant(wall: Column, zone: str) -> Column:
+    """The instant of a wall clock in ``zone``: of an hour that comes twice the second one; in an hour left out, the clock goes on as before."""
+    def settled(first: Column) -> Column:
+        day_on = F.timestamp_add("DAY", F.lit(1), first)
+        second = from_micros(micros(wall) - (micros(to_local(day_on, zone)) - micros(day_on)))
+        return F.when(to_local(second, zone) == wall, second).otherwise(first)
+
+    return bind(F.convert_timezone(F.lit(zone), F.lit("UTC"), wall), settled)
+
+
 def event_time(utc_text: Column, local_text: Column) -> Column:
     """First non-blank of the two stamps, parsed (sessions, pairing, snapshots)."""
     first = F.when(F.trim(utc_text) != "", utc_text).otherwise(local_text)
@@ -139,7 +149,8 @@ def utc_datetime(value: datetime | date | str) -> datetime:
 def parse_kickoff(text: Column) -> Column:
     """Struct(ts, timestamp, timestamp_utc, precision, zone, inferred) of a fixture kickoff.
 
-    A kickoff without an offset is local time (the feed's day boundaries are local).
+    A kickoff without an offset is local time (the feed's day boundaries are local); its ``timestamp`` shows the instant's own local
+    clock, so that an hour the clock leaves out is never shown.
     """
     def with_instant(raw: Column) -> Column:
         seconds = F.regexp_like(raw, F.lit(r"[T ]\d{2}:\d{2}:\d{2}"))
@@ -154,9 +165,11 @@ def parse_kickoff(text: Column) -> Column:
         ts, keep = k["ts"], k["keep"]
         zoned = k["z"] | (k["offset"] != "")
         colon = F.concat(F.substring(k["offset"], 1, 3), F.lit(":"), F.substring(k["offset"], -2, 2))
-        shown = F.when(k["z"], F.lit("+00:00")).when(zoned, colon).otherwise(local_offset(ts))
+        shown = F.when(k["z"], F.lit("+00:00")).otherwise(colon)
+        local = iso_local(ts, precision="second")
         return F.struct(
-            ts.alias("ts"), F.concat(F.substring(k["wall"], F.lit(1), keep), shown).alias("timestamp"),
+            ts.alias("ts"), F.when(zoned, F.concat(F.substring(k["wall"], F.lit(1), keep), shown)).otherwise(
+                F.concat(F.substring(local, F.lit(1), keep), F.substring(local, 20, 6))).alias("timestamp"),
             F.concat(F.substring(iso_z(ts, "second"), F.lit(1), keep), F.lit("Z")).alias("timestamp_utc"),
             F.when(keep == 19, F.lit("second")).otherwise(F.lit("minute")).alias("precision"),
             F.when(k["z"], F.lit("UTC")).when(zoned, F.concat(F.lit("UTC"), colon)).otherwise(F.lit(LOCAL_ZONE)).alias("zone"),

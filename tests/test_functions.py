@@ -104,3 +104,14 @@ def test_bad_parameters(call):
 
 def test_window_sizes_are_distinct_and_sorted():
     assert params.window_sizes([20, 5, 5, 10]) == [5, 10, 20]
+
+
+@pytest.mark.parametrize("text,shown,utc", [
+    ("1999-10-31 02:47", "1999-10-31T02:47+01:00", "1999-10-31T01:47Z"),  # comes twice: the second one
+    ("1995-03-26 02:11", "1995-03-26T03:11+02:00", "1995-03-26T01:11Z"),  # left out
+    ("1999-10-31 01:47", "1999-10-31T01:47+02:00", "1999-10-30T23:47Z"),
+    ("1999-10-31 03:00", "1999-10-31T03:00+01:00", "1999-10-31T02:00Z"),
+    ("1999-10-30 02:47:05", "1999-10-30T02:47:05+02:00", "1999-10-30T00:47:05Z")])
+def test_kickoffs_on_days_of_clock_changes(spark, text, shown, utc):
+    k = one(spark, times.parse_kickoff, text)
+    assert (k.timestamp, k.timestamp_utc, k.inferred) == (shown, utc, True)
