@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelbook.functions.results import DRAW, WIN, count_in
 from duelbook.operators.daily import rival_line
 
 TITLE = "ESTADÍSTICAS"
@@ -67,7 +68,8 @@ def daily_table(reports: DataFrame) -> DataFrame:
 def daily_rival_table(reports: DataFrame) -> DataFrame:
     """(file_name, date, player, rival, wins, draws, losses, seq) of the rivals section (SRC8).
 
-    Counts are recovered from the printed percentages; losses are the remainder.
+    Counts are those of the printed sequence; a line without one (older layouts) gives them by its percentages, losses as the
+    remainder, which is exact up to 500 matches only, as one decimal can't tell more apart.
     """
     keep = [c for c in reports.columns if c != "text"]
     body = F.split_part(F.col("text"), F.lit(f"\n{RIVALS}"), F.lit(2))
@@ -80,7 +82,9 @@ def daily_rival_table(reports: DataFrame) -> DataFrame:
     rows = rows.filter(part[0] != "").select(
         *keep, report_date(F.col("file_name")).alias("date"), F.col("x.player").alias("player"), F.trim(part[1]).alias("rival"),
         part[2].cast("int").alias("n"), part[3].cast("double").alias("w"), part[4].cast("double").alias("d"), part[6].alias("seq"))
-    wins, draws = (F.bround(F.col("n") * F.col(c) / 100.0).cast("int") for c in ("w", "d"))
+    printed = F.length("seq") == F.col("n")
+    wins, draws = (F.when(printed, count_in(F.col("seq"), v).cast("int")).otherwise(F.bround(F.col("n") * F.col(c) / 100.0).cast("int"))
+                   for c, v in (("w", WIN), ("d", DRAW)))
     return rows.select(*keep, "date", "player", "rival", wins.alias("wins"), draws.alias("draws"),
                        (F.col("n") - wins - draws).alias("losses"), "seq")
 

@@ -268,3 +268,13 @@ def test_day_groups_are_closed_and_greedy(spark):
         got.setdefault(r.group_seed, set()).add(r.member)
     # D's neighbourhood {C, D} is closed as well, D is not used by the first group.
     assert got == {"A": {"A", "B", "C"}, "D": {"C", "D"}, "E": {"E", "F"}, "S": {"S"}}
+
+
+def test_counts_of_a_rival_line_are_those_of_its_sequence(spark):
+    """One decimal of a percentage can't tell 1,388 wins of 2,777 from 1,389; the sequence can. A line without one has its percentages only."""
+    from duelbook.sources import reports
+
+    seq = "V" * 1388 + "E" * 700 + "D" * 689
+    text = f"T\n\nVS RIVALES\n\nP1\nP2: 2777 (50.0%/25.2%/24.8%) [{seq}]\nP3: 7 (57.1%/0.0%/42.9%)\n"
+    got = by(reports.daily_rival_table(spark.createDataFrame([("20260714_player_stats.txt", text)], "file_name string, text string")), "rival")
+    assert [(got[r].wins, got[r].draws, got[r].losses) for r in ("P2", "P3")] == [(1388, 700, 689), (4, 0, 3)]
