@@ -56,7 +56,7 @@ def h2h_alerts(h2h: DataFrame, names: DataFrame, history: DataFrame, *, bettable
     })
     return out.select(
         "league", "group_id", F.col("label").alias("group"), "player_key", "rival_key", "player", "rival", "wins", "draws", "losses", "matches",
-        "win_pct", "draw_pct", "loss_pct", "last5", "last10", "win_run", "unbeaten_run",
+        "win_pct", "draw_pct", "loss_pct", "last5", "last10", "win_run", "unbeaten_run", *[c for c in ("seq",) if c in h2h.columns],
         "signal", "confidence", "low_sample", "recent_window", "recent_available", "recent_sequence", "recent_wins",
         "recent_draws", "recent_losses", "recent_win_pct", "recent_draw_pct", "recent_loss_pct",
         "recent_win_pct_delta", "recent_trend", "recent_sample_status", "recent_window_complete")

@@ -34,11 +34,7 @@ def daily_rivals(df: DataFrame, day: Column | None = None, text: bool = False) -
 
 
 def _days(df: DataFrame, keys: list[str], day: Column | None, text: bool) -> DataFrame:
-    rows = _with_day(df, day)
-    days = segments.summary(rows, keys)
-    if not text:
-        return days
-    return days.join(segments.joined_text(segments.sequences(rows, keys, "hour"), keys).withColumnRenamed("sequence", "seq"), keys)
+    return segments.summary(_with_day(df, day), keys, text=text)
 
 
 def daily_sequences(df: DataFrame, day: Column | None = None, rivals: bool = False) -> DataFrame:

@@ -66,22 +66,22 @@ def among_targets(targets: DataFrame, df: DataFrame) -> DataFrame:
     return df.join(pairs.select("league", "player", "rival").distinct(), ["league", "player", "rival"], "left_semi")
 
 
-def relation_days(targets: DataFrame, daily: DataFrame) -> DataFrame:
+def relation_days(targets: DataFrame, daily: DataFrame, text: bool = False) -> DataFrame:
     """The daily rows of each directed relation of a target group as summaries, whatever the relation's size.
 
     ``daily``: the rows of ``daily_rivals``, or a report's with their text in ``seq``.
     """
     days = group_daily(targets, daily if "last_E" in daily.columns else segments.of_text(daily))
-    return days.select(*RELATION, *[c for c in ("player_key", "rival_key") if c in daily.columns], "date", *COUNTS, *SUMMARY)
+    return days.select(*RELATION, *[c for c in ("player_key", "rival_key") if c in daily.columns], "date", *COUNTS, *SUMMARY, *(["seq"] if text else []))
 
 
-def group_h2h(targets: DataFrame, daily: DataFrame) -> DataFrame:
+def group_h2h(targets: DataFrame, daily: DataFrame, text: bool = False) -> DataFrame:
     """Directed totals inside each target group (AGG7), one row per relation: counts, shares, last results and trailing runs.
 
-    All of it is merged from the days' summaries; the results as text are those of ``group_sequences``.
+    All of it is merged from the days' summaries; with ``text`` also ``seq``, all results, where ``daily`` has its text in ``seq``.
     """
-    days = relation_days(targets, daily)
-    h = segments.merged(days, [c for c in days.columns if c not in (*COUNTS, *SUMMARY, "date")], ["date", "played", "last_24"])
+    days = relation_days(targets, daily, text)
+    h = segments.merged(days, [c for c in days.columns if c not in (*COUNTS, *SUMMARY, "date", "seq")], ["date", "played", "last_24"])
     total = F.col("wins") + F.col("draws") + F.col("losses")
     h = h.withColumns({"win_run": segments.win_run(), "unbeaten_run": segments.unbeaten_run(), "last5": tail(F.col("last_24"), 5),
                        "last10": tail(F.col("last_24"), 10), "matches": total}).drop(*SUMMARY)

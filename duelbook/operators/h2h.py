@@ -29,21 +29,24 @@ def relation_rows(df: DataFrame, league: str | None = None, player: str | None =
 
 
 def h2h_totals(df: DataFrame, league: str | None = None, player: str | None = None, rival: str | None = None, *,
-               keep_keys: bool = False) -> DataFrame:
-    """Totals and date range of every directed relation, one row each; its results as text are those of ``h2h_sequences``.
+               keep_keys: bool = False, text: bool = False) -> DataFrame:
+    """Totals and date range of every directed relation, one row each; with ``text`` also ``sequence``, all its results.
 
-    A plain aggregation that combines before the shuffle, so a relation of any size travels as a row per task.
+    A plain aggregation that combines before the shuffle, so a relation of any size travels as a row per task. The text, a byte per
+    result, is made by month and put together from the months.
     """
     rows = filters.valid_results(relation_rows(df, league, player, rival))
     stats = rows.groupBy(*RELATION).agg(
         *[count_of(v).alias(c) for c, v in zip(("wins", "draws", "losses"), RESULTS)], F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         F.max(F.struct(*ORDER, "player", "rival")).alias("last"))
     stats = stats.withColumn("played", F.col("wins") + F.col("draws") + F.col("losses")).transform(with_pcts)
+    if text:
+        stats = stats.join(segments.joined_text(segments.sequences(rows, RELATION, "month"), RELATION), RELATION)
     return stats.withColumns({
         "player": F.trim("last.player"), "rival": F.trim("last.rival"),
         "first_match_date": F.col("first_ts").cast("date").cast("string"),
         "last_match_date": F.col("last_ts").cast("date").cast("string"),
-    }).select(*(RELATION[1:] if keep_keys else []), *schemas.H2H_TOTALS)
+    }).select(*(RELATION[1:] if keep_keys else []), *schemas.H2H_TOTALS, *(["sequence"] if text else []))
 
 
 def h2h_sequences(df: DataFrame, league: str | None = None, player: str | None = None, rival: str | None = None) -> DataFrame:
@@ -78,13 +81,13 @@ def h2h_comparison(df: DataFrame, window: int = DEFAULT_WINDOW, league: str | No
     }).select(*schemas.H2H_COMPARISON)
 
 
-def h2h_for(df: DataFrame, wanted: DataFrame) -> DataFrame:
+def h2h_for(df: DataFrame, wanted: DataFrame, text: bool = False) -> DataFrame:
     """H2H totals of the wanted relations (league, player, player_key, rival, rival_key); zero rows where unknown."""
     keys = wanted.select(*RELATION).distinct()
-    known = h2h_totals(filters.identified(df, *RELATION).join(keys, RELATION, "left_semi"), keep_keys=True)
+    known = h2h_totals(filters.identified(df, *RELATION).join(keys, RELATION, "left_semi"), keep_keys=True, text=text)
     asked = wanted.select(*RELATION, F.trim("player").alias("a_player"), F.trim("rival").alias("a_rival"))
     j = asked.join(known.withColumnsRenamed({"player": "k_player", "rival": "k_rival"}), RELATION, "left")
-    zeros = {c: 0 for c in ("played", "wins", "draws", "losses")} | {c: 0.0 for c in ("win_pct", "draw_pct", "loss_pct")}
+    zeros = {c: 0 for c in ("played", "wins", "draws", "losses")} | {c: 0.0 for c in ("win_pct", "draw_pct", "loss_pct")} | ({"sequence": ""} if text else {})
     return j.fillna(zeros).withColumns({
         "player": F.coalesce("k_player", "a_player"), "rival": F.coalesce("k_rival", "a_rival"),
-    }).select(*schemas.H2H_TOTALS)
+    }).select(*schemas.H2H_TOTALS, *(["sequence"] if text else []))

@@ -100,6 +100,11 @@ def reason() -> Column:
     )
 
 
+def player_texts(df: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """(league, player_key, sequence): all operational results of a player as text, put together from the months (AGG20)."""
+    return segments.joined_text(player_sequences(df, excluded), KEYS)
+
+
 def player_sequences(df: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(league, player_key, slice, n, seq): operational results as text, a row per player and month (AGG20)."""
     return segments.sequences(filters.operational_results(df, excluded), KEYS, "month")

@@ -22,12 +22,12 @@ COUNTS = ("wins", "draws", "losses")
 END = 24
 
 
-def summarised(rows: DataFrame, keys: Sequence[str], inside: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+def summarised(rows: DataFrame, keys: Sequence[str], inside: Sequence[str] = (), carry: Sequence[str] = (), text: bool = False) -> DataFrame:
     """A summary per (keys, slice, inside) of rows with ``slice``; ``inside`` numbers the stretches of a slice in time order.
 
     ``played`` results, counts, ``start``, ``end``, ``first_`` and ``last_`` place of each result (null where it doesn't occur),
     ``last_24`` as text, without ``inside`` also ``calm``, the longest stretch without a draw, and with ``carry`` ``latest``: these columns of the
-    latest row.
+    latest row, and with ``text`` ``seq``, the slice's results, a byte each.
     """
     w = Window.partitionBy(*keys, "slice").orderBy(*ORDER)
     rows = rows.select(*keys, "slice", *inside, *ORDER, "result", *[c for c in carry if c not in (*keys, *ORDER)],
@@ -44,6 +44,9 @@ def summarised(rows: DataFrame, keys: Sequence[str], inside: Sequence[str] = (),
         extra.append(F.max("_calm").cast("long").alias("calm"))
     if carry:
         extra.append(F.max(F.struct(*ORDER, *carry)).alias("latest"))
+    if text:
+        whole = F.array_sort(F.collect_list(F.struct("_at", "result")))
+        extra.append(F.array_join(F.transform(whole, lambda r: r["result"]), "").alias("seq"))
     before = F.min("_at") - 1
     places = [(f(F.when(F.col("result") == v, F.col("_at"))) - before).cast("long").alias(f"{name}_{v}")
               for v in RESULTS for name, f in (("first", F.min), ("last", F.max))]
@@ -70,12 +73,15 @@ def of_text(df: DataFrame, seq: str = "seq") -> DataFrame:
 def merged(parts: DataFrame, keys: Sequence[str], order: Sequence[str] = ("slice",)) -> DataFrame:
     """One summary per key out of those of its parts in ``order``.
 
-    The window over a key sees a row per part, which the calendar bounds.
+    The window over a key sees a row per part, which the calendar bounds. Where the parts have ``seq``, it is put together as well.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     ahead, behind = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumns({"_before": F.coalesce(F.sum("played").over(behind), F.lit(0)), "_after": F.coalesce(F.sum("played").over(ahead), F.lit(0))})
     extra = [f(c).alias(c) for c, f in (("start", F.min), ("end", F.max), ("latest", F.max)) if c in parts.columns]
+    if "seq" in parts.columns:
+        texts = F.array_sort(F.collect_list(F.struct("_before", "played", "seq")))
+        extra.append(F.array_join(F.transform(texts, lambda t: t["seq"]), "").alias("seq"))
     if "calm" in parts.columns:  # what reaches over a border: from the latest draw before it to the first one behind it
         drawn = F.max(F.col("_before") + F.col(f"last_{DRAW}")).over(behind)
         until = F.col("_before") + F.coalesce(F.col(f"first_{DRAW}") - 1, F.col("played"))
@@ -88,10 +94,10 @@ def merged(parts: DataFrame, keys: Sequence[str], order: Sequence[str] = ("slice
         F.right(F.array_join(F.transform(ending, lambda t: t["last_24"]), ""), F.lit(END)).alias("last_24"), *extra)
 
 
-def summary(df: DataFrame, keys: Sequence[str], slice_by: str = "hour", tie_prefix: int = 0, carry: Sequence[str] = ()) -> DataFrame:
-    """The merged summary of each key's rows: ``played``, counts, ``start``, ``end``, places, ``last_24``, ``calm`` (and ``latest``)."""
+def summary(df: DataFrame, keys: Sequence[str], slice_by: str = "hour", tie_prefix: int = 0, carry: Sequence[str] = (), text: bool = False) -> DataFrame:
+    """The merged summary of each key's rows: ``played``, counts, ``start``, ``end``, places, ``last_24``, ``calm`` (and ``latest``, ``seq``)."""
     rows = df.withColumn("slice", time_slice(slice_by, tie_prefix))
-    return merged(summarised(rows, keys, carry=carry), keys)
+    return merged(summarised(rows, keys, carry=carry, text=text), keys)
 
 
 def trailing(*broken_by: str) -> Column:

@@ -38,13 +38,13 @@ def _numbered(parts: DataFrame, gap_minutes: int) -> DataFrame:
         "session_number", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
-def numbered_sessions(df: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES, **kwargs) -> DataFrame:
+def numbered_sessions(df: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES, text: bool = False, **kwargs) -> DataFrame:
     """One row per session: keys, session_number, and the summary of its results (see ``segments``), with the latest player name.
 
-    A session starts when the gap is longer than ``gap_minutes``; an equal gap continues it.
+    A session starts when the gap is longer than ``gap_minutes``; an equal gap continues it. With ``text`` also ``seq``, its results.
     """
     positive_int(gap_minutes, "session_gap_minutes")
-    parts = segments.summarised(session_parts(df, gap_minutes, **kwargs), KEYS, ["local"], ["player"])
+    parts = segments.summarised(session_parts(df, gap_minutes, **kwargs), KEYS, ["local"], ["player"], text)
     sessions = segments.merged(_numbered(parts, gap_minutes), [*KEYS, "session_number"], ["slice", "local"])
     return sessions.withColumn("player", F.col("latest.player")).drop("latest")
 
@@ -68,11 +68,11 @@ def session_counts(df: DataFrame, gap_minutes: int = SESSION_GAP_MINUTES, **kwar
 
 def player_sessions(df: DataFrame, tracked: DataFrame | None = None, *, reference_time,
                     gap_minutes: int = SESSION_GAP_MINUTES, active_window_minutes: int = ACTIVE_WINDOW_MINUTES,
-                    excluded: DataFrame | None = None, **kwargs) -> DataFrame:
-    """Every session of every player with its statistics; the balance mark only for tracked players. Texts are those of ``session_sequences``."""
+                    excluded: DataFrame | None = None, text: bool = False, **kwargs) -> DataFrame:
+    """Every session of every player with its statistics; the balance mark only for tracked players. With ``text`` also ``sequence``, all its results."""
     positive_int(active_window_minutes, "active_window_minutes")
     rows = filters.operational_results(df, excluded)
-    s = numbered_sessions(rows, gap_minutes, **kwargs).transform(with_pcts)
+    s = numbered_sessions(rows, gap_minutes, text, **kwargs).transform(with_pcts)
     if tracked is None:
         s = s.withColumn("tracked", F.lit(False))
     else:
@@ -89,4 +89,4 @@ def player_sessions(df: DataFrame, tracked: DataFrame | None = None, *, referenc
         "current_streak_result": segments.last_result(), "current_streak": segments.same_run(),
         "balance": balance(indicator(F.col("wins"), F.col("draws"), F.col("losses")), F.col("tracked")),
         "active": (idle >= 0) & (idle <= active_window_minutes * 60_000_000),
-    }).select(*schemas.SESSION)
+    }).select(*schemas.SESSION, *([F.col("seq").alias("sequence")] if text else []))

@@ -34,10 +34,10 @@ def snapshot_sequences(df: DataFrame, tracked: DataFrame, **how) -> DataFrame:
 
 
 def snapshot(df: DataFrame, tracked: DataFrame, *, reference_time, window_hours: int = WINDOW_HOURS,
-             excluded: DataFrame | None = None) -> DataFrame:
-    """One row per bettable tracked player with matches in ``[reference - hours, reference]``; texts are those of ``snapshot_sequences``."""
+             excluded: DataFrame | None = None, text: bool = False) -> DataFrame:
+    """One row per bettable tracked player with matches in ``[reference - hours, reference]``; with ``text`` also ``sequence``, all its results."""
     rows = snapshot_rows(df, tracked, reference_time=reference_time, window_hours=window_hours, excluded=excluded)
-    s = segments.summary(rows, KEYS).transform(with_pcts)
+    s = segments.summary(rows, KEYS, text=text).transform(with_pcts)
     names = tracked.filter(F.col("tracked") & F.coalesce("bettable", F.lit(True))).groupBy(*KEYS).agg(
         F.min_by(F.struct("player", "group_index"), "pos").alias("t"))
     mark = indicator(F.col("wins"), F.col("draws"), F.col("losses"))
@@ -45,7 +45,7 @@ def snapshot(df: DataFrame, tracked: DataFrame, *, reference_time, window_hours:
         "player": F.col("t.player"), "group_index": F.col("t.group_index"),
         "current_streak_result": segments.last_result(), "current_streak": segments.same_run(),
         "indicator": mark, "balance": balance(mark, F.lit(True)), "tracked": F.lit(True),
-    }).select(*schemas.SNAPSHOT)
+    }).select(*schemas.SNAPSHOT, *([F.col("seq").alias("sequence")] if text else []))
 
 
 def snapshot_order() -> list[Column]:
@@ -54,12 +54,12 @@ def snapshot_order() -> list[Column]:
 
 
 def snapshot_with_sessions(df: DataFrame, tracked: DataFrame, *, reference_time, window_hours: int = WINDOW_HOURS,
-                           session_gap_minutes: int = SESSION_GAP_MINUTES, excluded: DataFrame | None = None) -> DataFrame:
+                           session_gap_minutes: int = SESSION_GAP_MINUTES, excluded: DataFrame | None = None, text: bool = False) -> DataFrame:
     """Snapshot plus ``session_number``: the count of sessions in the full history (AGG24)."""
     excluded = filters.excluded_keys(tracked) if excluded is None else excluded
-    s = snapshot(df, tracked, reference_time=reference_time, window_hours=window_hours, excluded=excluded)
+    s = snapshot(df, tracked, reference_time=reference_time, window_hours=window_hours, excluded=excluded, text=text)
     rows = filters.only_identities(filters.operational_results(df, excluded), filters.bettable_keys(tracked))
-    return s.join(session_counts(rows, session_gap_minutes), KEYS, "left").select(*schemas.SNAPSHOT, "session_number")
+    return s.join(session_counts(rows, session_gap_minutes), KEYS, "left").select(*s.columns, "session_number")
 
 
 def candidates(snap: DataFrame, excluded: DataFrame | None = None, limit: int | None = MAX_CANDIDATES,
@@ -104,18 +104,19 @@ def flagged_candidates(tracked: DataFrame) -> DataFrame:
                              filters.selected_keys(tracked))
 
 
-def current_streak_panel(history: DataFrame, daily: DataFrame, tracked: DataFrame, day=None) -> DataFrame:
+def current_streak_panel(history: DataFrame, daily: DataFrame, tracked: DataFrame, day=None, text: bool = False) -> DataFrame:
     """Streak panel of one local day: tracked players rebuilt from the history, others from the daily report.
 
     ``daily``: the day's rows of ``daily_players``, or league, player, player_key, wins, draws, losses, seq of a report's text.
-    With ``day=None`` (undated report) the report rows of tracked players are kept instead.
+    With ``day=None`` (undated report) the report rows of tracked players are kept instead. ``text`` adds ``sequence``, the
+    day's results; ``daily`` then holds them as ``seq``.
     """
     bettable, excluded = filters.bettable_keys(tracked), filters.excluded_keys(tracked)
     if "last_E" not in daily.columns:
         daily = segments.of_text(daily)
 
     def marked(rows: DataFrame) -> DataFrame:
-        return rows.select(*KEYS, "player", "wins", "draws", "losses", "played", "last_24", "tracked", segments.winless_run().alias("winless_run"),
+        return rows.select(*KEYS, "player", "wins", "draws", "losses", "played", "last_24", *([F.col("seq").alias("sequence")] if text else []), "tracked", segments.winless_run().alias("winless_run"),
                            segments.unbeaten_run().alias("unbeaten_run"), segments.drawless_run().alias("drawless_run"))
 
     report = daily.join(excluded, KEYS, "left_anti").join(bettable.withColumn("tracked", F.lit(True)), KEYS, "left").fillna({"tracked": False})
@@ -123,7 +124,7 @@ def current_streak_panel(history: DataFrame, daily: DataFrame, tracked: DataFram
     if day is not None:
         own = filters.only_identities(filters.operational_results(filters.on_local_day(history, day), excluded), bettable)
         names = tracked.filter("tracked").groupBy(*KEYS).agg(F.min_by("player", "pos").alias("player"))
-        rebuilt = segments.summary(own, KEYS).join(names, KEYS).withColumn("tracked", F.lit(True))
+        rebuilt = segments.summary(own, KEYS, text=text).join(names, KEYS).withColumn("tracked", F.lit(True))
         rows = rows.filter(~F.col("tracked")).unionByName(marked(rebuilt))
     return rows.withColumn("balance", balance(indicator(F.col("wins"), F.col("draws"), F.col("losses")), F.col("tracked")))
 

@@ -31,13 +31,13 @@ sp as (select *, {q.pcts('played')}, exists (select 1 from tracked t where t.bet
 @register(f"""with {EV}, {T}, {OPS}, {_SESS}
 select lower(league) || ':' || player_key || ':' || strftime(a, '%Y%m%dT%H%M%SZ') as session_id, league, player, player_key, session_number,
   {q.zulu('a')} as start_timestamp, {q.zulu('z')} as end_timestamp, {q.madrid_iso('a')} as start_local, {q.madrid_iso('z')} as end_local,
-  (epoch_us(z) - epoch_us(a)) // 60000000 as duration_minutes, played, wins, draws, losses, win_pct, draw_pct, loss_pct,
+  (epoch_us(z) - epoch_us(a)) // 60000000 as duration_minutes, played, wins, draws, losses, win_pct, draw_pct, loss_pct, sequence,
   right(sequence, 24) as last_24, right(sequence, 1) as current_streak_result, {q.trailing('sequence', '(V+|E+|D+)$')} as current_streak, tracked,
   case when tracked and wins >= draws + losses then '🟢' when tracked and losses >= wins + draws then '🔴' else '' end as balance,
   epoch_us({REF}) - epoch_us(z) between 0 and 10800000000 as active from sp""")
 def player_sessions(spark, sf):
     t = fx.tracked(spark)
-    return sessions.player_sessions(fx.event_perspectives(spark, sf), t, reference_time=fx.REFERENCE_TIME, excluded=filters.excluded_keys(t))
+    return sessions.player_sessions(fx.event_perspectives(spark, sf), t, reference_time=fx.REFERENCE_TIME, excluded=filters.excluded_keys(t), text=True)
 
 
 @register(f"""with {EV}, {T}, {OPS}, {_SESS} select {K}, cast(session_number as int) as session_number, min(ts) as start, count(*) as played, {q.seq()} as seq
@@ -60,18 +60,18 @@ _SNAP = f"""w as (select ops.{K.replace(', ', ', ops.')}, count(*) as played, {q
   semi join (from tracked where bettable) t using (league, player_key)
   where ts between {REF} - interval 8 hours and {REF} group by 1, 2),
 snap as (select w.*, t.player, t.group_index, {q.pcts('played', 'w.')}, {q.INDICATOR} as indicator from w join tracked t using (league, player_key))"""
-_SNAP_COLS = f"""league, player, player_key, wins, draws, losses, played, win_pct, draw_pct, loss_pct, right(sequence, 24) as last_24,
+_SNAP_COLS = f"""league, player, player_key, wins, draws, losses, played, win_pct, draw_pct, loss_pct, sequence, right(sequence, 24) as last_24,
   right(sequence, 1) as current_streak_result, {q.trailing('sequence', '(V+|E+|D+)$')} as current_streak,
   case indicator when 'GREEN' then '🟢' when 'RED' then '🔴' else '' end as balance, indicator, true as tracked, group_index"""
 
 
-def _snapshot(spark, sf, hours: int = 8):
-    return snapshot.snapshot(fx.event_perspectives(spark, sf), fx.tracked(spark), reference_time=fx.REFERENCE_TIME, window_hours=hours)
+def _snapshot(spark, sf, hours: int = 8, text: bool = False):
+    return snapshot.snapshot(fx.event_perspectives(spark, sf), fx.tracked(spark), reference_time=fx.REFERENCE_TIME, window_hours=hours, text=text)
 
 
 @register(f"with {EV}, {T}, {OPS}, {_SNAP} select {_SNAP_COLS} from snap")
 def operational_snapshot(spark, sf):
-    return _snapshot(spark, sf)
+    return _snapshot(spark, sf, text=True)
 
 
 @register(f"""with {EV}, {T}, {OPS} select {K}, epoch_us(ts) // 3600000000 as slice, count(*) as n, {q.seq()} as seq from ops
@@ -84,7 +84,7 @@ def operational_snapshot_sequences(spark, sf):
 @register(f"""with {EV}, {T}, {OPS}, {_SNAP}, {_SESS} select {_SNAP_COLS}, c.session_number from snap
 join (select {K}, max(session_number) as session_number from s group by 1, 2) c using (league, player_key)""")
 def operational_snapshot_with_sessions(spark, sf):
-    return snapshot.snapshot_with_sessions(fx.event_perspectives(spark, sf), fx.tracked(spark), reference_time=fx.REFERENCE_TIME)
+    return snapshot.snapshot_with_sessions(fx.event_perspectives(spark, sf), fx.tracked(spark), reference_time=fx.REFERENCE_TIME, text=True)
 
 
 @register(f"""with {EV}, {T}, {OPS}, {_SNAP}, o as (select league, row_number() over (partition by league
@@ -131,13 +131,13 @@ own as (select league, player_key, any_value(player) as player, count(*) as play
   where cast({q.madrid('ts')} as date) = date '2024-01-15' group by 1, 2),
 a as (select league, player_key, player, wins, draws, losses, played, seq, tracked from r where not tracked
   union all select league, player_key, player, wins, draws, losses, played, seq, true from own)
-select league, player_key, player, wins, draws, losses, played, right(seq, 24) as last_24, tracked, {q.trailing('seq', '[^V]*$')} as winless_run,
+select league, player_key, player, wins, draws, losses, played, seq as sequence, right(seq, 24) as last_24, tracked, {q.trailing('seq', '[^V]*$')} as winless_run,
   {q.trailing('seq', '[^D]*$')} as unbeaten_run, {q.trailing('seq', '[^E]*$')} as drawless_run,
   case when tracked and wins >= draws + losses then '🟢' when tracked and losses >= wins + draws then '🔴' else '' end as balance from a""")
 def current_streak_panel(spark, sf):
     ev = fx.event_perspectives(spark, sf)
-    day = d.daily_players(filters.on_local_day(ev, "2024-01-15")).filter("date = date'2024-01-15'")
-    return snapshot.current_streak_panel(ev, day, fx.tracked(spark), "2024-01-15")
+    day = d.daily_players(filters.on_local_day(ev, "2024-01-15"), text=True).filter("date = date'2024-01-15'")
+    return snapshot.current_streak_panel(ev, day, fx.tracked(spark), "2024-01-15", text=True)
 
 
 # --- coincident pairs ---------------------------------------------------------------------
@@ -314,10 +314,10 @@ def upcoming_predictions(spark, sf):
 
 # --- daily results and streak tables -------------------------------------------------------------
 
-@register(f"""with {EV}, {_DAILY} select * exclude (seq), right(seq, 24) as last_24, {q.trailing('seq', '[^E]*$')} as current_streak,
+@register(f"""with {EV}, {_DAILY} select *, right(seq, 24) as last_24, {q.trailing('seq', '[^E]*$')} as current_streak,
   coalesce(list_max(list_transform(string_split(seq, 'E'), lambda x: length(x))), 0) as calm from dly""")
 def daily_player_results(spark, sf):
-    return d.daily_players(fx.event_perspectives(spark, sf)).select(*d.PLAYER_DAY, "played", "wins", "draws", "losses", "last_24", "current_streak", "calm")
+    return d.daily_players(fx.event_perspectives(spark, sf), text=True).select(*d.PLAYER_DAY, "played", "wins", "draws", "losses", "seq", "last_24", "current_streak", "calm")
 
 
 @register(f"""with {EV} select league, cast({q.madrid('ts')} as date) as date, player_key, player, epoch_us(ts) // 3600000000 as slice, count(*) as n, {q.seq()} as seq
@@ -331,9 +331,9 @@ _RIVALS = f"""riv as (select league, cast({q.madrid('ts')} as date) as date, pla
   from ev group by all)"""
 
 
-@register(f"with {EV}, {_RIVALS} select * exclude (seq), right(seq, 24) as last_24 from riv")
+@register(f"with {EV}, {_RIVALS} select *, right(seq, 24) as last_24 from riv")
 def daily_rival_results(spark, sf):
-    return d.daily_rivals(fx.event_perspectives(spark, sf)).select(*d.RIVAL_DAY, "played", "wins", "draws", "losses", "last_24")
+    return d.daily_rivals(fx.event_perspectives(spark, sf), text=True).select(*d.RIVAL_DAY, "played", "wins", "draws", "losses", "seq", "last_24")
 
 
 def _p1(c: str) -> str:
@@ -458,6 +458,13 @@ def betting_opportunities(spark, sf):
     return opportunity.opportunities(fx.perspectives(spark, sf), filters.bettable_keys(t), filters.excluded_keys(t))
 
 
-@register(f"with {q.PERSPECTIVES}, {T}, {_OPS_P} select {K}, date_trunc('month', ts)::date as slice, count(*) as n, {q.seq()} as seq from ops_p group by all")
+@register(f"with {q.PERSPECTIVES}, {T}, {_OPS_P} select {K}, {q.seq()} as sequence from ops_p group by 1, 2")
 def operational_sequences(spark, sf):
+    """All operational results of every player as text."""
+    return opportunity.player_texts(fx.perspectives(spark, sf), filters.excluded_keys(fx.tracked(spark)))
+
+
+@register(f"with {q.PERSPECTIVES}, {T}, {_OPS_P} select {K}, date_trunc('month', ts)::date as slice, count(*) as n, {q.seq()} as seq from ops_p group by all")
+def operational_month_sequences(spark, sf):
+    """The same by month."""
     return opportunity.player_sequences(fx.perspectives(spark, sf), filters.excluded_keys(fx.tracked(spark)))

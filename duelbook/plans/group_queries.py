@@ -28,9 +28,9 @@ def _targets(spark, size: int = 5):
     return groups.target_groups(fx.tracked(spark), size)
 
 
-def _h2h(spark, sf):
+def _h2h(spark, sf, text: bool = False):
     t = _targets(spark)
-    return groups.group_h2h(t, d.daily_rivals(groups.among_targets(t, fx.perspectives(spark, sf)), _day()))
+    return groups.group_h2h(t, d.daily_rivals(groups.among_targets(t, fx.perspectives(spark, sf)), _day(), text), text)
 
 
 def _tg(size: int) -> str:
@@ -48,9 +48,9 @@ _WITH = f"with {q.PERSPECTIVES}, {q.TRACKED}, {_tg(5)}, {_DLY}, {_GH}"
 _CELL = "wins, draws, losses, matches, win_pct, draw_pct, loss_pct, last5, last10, win_run, unbeaten_run"
 
 
-@register(f"{_WITH} select * exclude (seq) from h")
+@register(f"{_WITH} select * from h")
 def group_h2h_totals(spark, sf):
-    return _h2h(spark, sf).drop("player_key", "rival_key")
+    return _h2h(spark, sf, text=True).drop("player_key", "rival_key")
 
 
 @register(f"""with {q.PERSPECTIVES}, {q.TRACKED}, {_tg(5)} select p.league, p.player_key, p.player, p.rival_key, p.rival, date_trunc('month', p.ts)::date as slice, count(*) as n,
@@ -204,16 +204,16 @@ al as (select league, group_id, label as "group", player, rival, {_CELL}, case w
   recent_available >= 20 as recent_window_complete from j)"""
 
 
-def _alerts(spark, sf):
+def _alerts(spark, sf, text: bool = False):
     t = fx.tracked(spark)
     g = _targets(spark)
-    return alerts.h2h_alerts(_h2h(spark, sf), groups.group_names(g), fx.perspectives(spark, sf),
+    return alerts.h2h_alerts(_h2h(spark, sf, text), groups.group_names(g), fx.perspectives(spark, sf),
                              bettable=filters.bettable_keys(t), excluded=filters.excluded_keys(t))
 
 
-@register(f"{_WITH}, {_ALERT} from al")
+@register(f"{_WITH}, {_ALERT} select al.*, h.seq from al join h using (league, player, rival)")
 def h2h_alerts(spark, sf):
-    return _alerts(spark, sf).drop("player_key", "rival_key")
+    return _alerts(spark, sf, text=True).drop("player_key", "rival_key")
 
 
 @register(f"""{_WITH}, {_ALERT}, {q.EVENTS}, pan as (select player, {q.counts()} from ev where cast({q.madrid('ts')} as date) = date '2024-01-15' group by 1),

@@ -356,12 +356,12 @@ _H2H_RECENT = f"""l as (select *, row_number() over (partition by {_REL} order b
 w as (select {_REL}, any_value(player) as player, any_value(rival) as rival, count(*) as available, {q.counts()}, {q.seq()} as sequence,
   {q.day('min(ts)')} as first_match_date, {q.day('max(ts)')} as last_match_date from l where rn <= 20 group by 1, 2, 3),
 wp as (select *, {q.pcts('available')}, right(sequence, 1) as current_streak_result, {q.trailing('sequence', '(V+|E+|D+)$')} as current_streak from w)"""
-_TOTAL_COLS = "league, player, rival, played, wins, draws, losses, win_pct, draw_pct, loss_pct, first_match_date, last_match_date"
+_TOTAL_COLS = "league, player, rival, played, wins, draws, losses, win_pct, draw_pct, loss_pct, sequence, first_match_date, last_match_date"
 
 
 @register(f"with {P}, {_H2H} select {_TOTAL_COLS} from hp")
 def h2h_history_totals(spark, sf):
-    return h2h_totals(fx.perspectives(spark, sf))
+    return h2h_totals(fx.perspectives(spark, sf), text=True)
 
 
 @register(f"with {P} select {_REL}, date_trunc('month', ts)::date as slice, count(*) as n, {q.seq()} as seq from p group by all")
@@ -372,11 +372,11 @@ def h2h_history_sequences(spark, sf):
 
 @register(f"""with {P}, {_H2H} select {_TOTAL_COLS} from hp
 where league = 'GT' and player_key = 'p1' and rival_key = 'p2'
-union all select 'GT', 'P1', 'Nobody', 0, 0, 0, 0, 0, 0, 0, null, null""")
+union all select 'GT', 'P1', 'Nobody', 0, 0, 0, 0, 0, 0, 0, '', null, null""")
 def h2h_totals_with_unknown(spark, sf):
     wanted = spark.createDataFrame([("GT", "P1", "p1", "P2", "p2"), ("GT", "P1", "p1", "Nobody", "nobody")],
                                    "league string, player string, player_key string, rival string, rival_key string")
-    return h2h_for(fx.perspectives(spark, sf), wanted)
+    return h2h_for(fx.perspectives(spark, sf), wanted, text=True)
 
 
 @register(f"""with {P}, {_H2H_RECENT} select league, player, rival, 20 as "window", available, available >= 20 as window_complete, wins, draws, losses,

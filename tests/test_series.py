@@ -345,3 +345,25 @@ def test_exclusion_hits_player_and_rival(spark, history):
     rows = [row(1, "A", "B", "V"), row(2, "B", "A", "D"), row(3, "A", "C", "V"), row(4, "A", "B", "V", league="EADRIATIC")]
     ex = spark.createDataFrame([("GT", "b")], "league string, player_key string")
     assert {r.match_id for r in filters.operational(history(rows), ex).collect()} == {"gt:3", "eadriatic:4"}
+
+
+def test_whole_texts_beside_the_totals(history):
+    """Totals, days, sessions and groups give all their results as text, beyond what a summary holds."""
+    from duelbook.operators import daily, groups
+
+    text = "".join("VED"[(i * i + i // 7) % 3] for i in range(120))
+    rows = [row(i, "A", "B", v, START + timedelta(minutes=20 * i + (7 * 24 * 60 if i >= 70 else 0))) for i, v in enumerate(text)]
+    df = history(rows)
+    assert [r.sequence for r in h2h.h2h_totals(df, text=True).collect()] == [text]
+    wanted = df.select("league", "player", "player_key", "rival", "rival_key").distinct().union(
+        df.limit(1).selectExpr("league", "player", "player_key", "'Nobody'", "'nobody'"))
+    assert sorted(r.sequence for r in h2h.h2h_for(df, wanted, text=True).collect()) == ["", text]
+    assert [r.sequence for r in opportunity.player_texts(df).collect()] == [text]
+    for slice_by in ("hour", "day"):
+        s = sessions.player_sessions(df, reference_time=START, text=True, slice_by=slice_by).orderBy("session_number").collect()
+        assert [r.sequence for r in s] == [text[:70], text[70:]]
+    day = F.col("ts").cast("date")
+    days = [r.seq for r in daily.daily_players(df, day, text=True).orderBy("date").collect()]
+    assert len(days) > 2 and "".join(days) == text
+    targets = df.sparkSession.createDataFrame([("GT", 0, 2, "A", 1), ("GT", 0, 2, "B", 2)], "league string, group_no int, group_size long, player string, slot int")
+    assert [r.seq for r in groups.group_h2h(targets, daily.daily_rivals(df, day, text=True), text=True).collect()] == [text]
