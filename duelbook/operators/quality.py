@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelbook.functions.binding import select_once
 from duelbook.functions.names import clean_name, name_key
 from duelbook.functions.results import RESULTS, home_result, mirrored
 from duelbook.functions.times import parse_utc
@@ -30,12 +31,16 @@ def _ok(cond: Column) -> Column:
 
 
 def record_errors(df: DataFrame) -> DataFrame:
-    """Add ``errors``: the name of every rule the row breaks (empty when valid)."""
+    """Add ``errors``: the name of every rule the row breaks (empty when valid).
+
+    Stamps are parsed once a row and rules checked once, however often later filters mention them.
+    """
     c = F.col
     expected = home_result(c("home_score"), c("away_score"))
     expected = F.when(c("home_away") == "away", mirrored(expected)).otherwise(expected)
-    keyed = df.withColumns({"_pc": clean_name("player"), "_rc": clean_name("rival"),
-                            "_pk": name_key("player"), "_rk": name_key("rival")})
+    folded = df.withColumns({"_pc": clean_name("player"), "_rc": clean_name("rival"),
+                             "_pk": name_key("player"), "_rk": name_key("rival")})
+    keyed = select_once(folded, *folded.columns, parse_utc(c("timestamp")).alias("_t"), parse_utc(c("timestamp_utc")).alias("_u"))
     rules = {
         **{f"missing {f.name}": c(f.name).isNotNull() for f in HISTORY_FIELDS},
         "schema_version": c("schema_version") == SCHEMA_VERSION,
@@ -51,13 +56,13 @@ def record_errors(df: DataFrame) -> DataFrame:
         "perspective_id": c("perspective_id") == F.concat_ws(":", "match_id", "_pk"),
         "match_id prefix": F.startswith(c("match_id"), F.concat(F.lower("league"), F.lit(":"))),
         "source": (c("source_type") != "") & (c("source_file") != ""),
-        "timestamp": F.regexp_like(c("timestamp"), F.lit(_OFFSET)) & parse_utc(c("timestamp")).isNotNull(),
-        "timestamp_utc": F.endswith(c("timestamp_utc"), F.lit("Z")) & parse_utc(c("timestamp_utc")).isNotNull(),
-        "instants differ": parse_utc(c("timestamp")) == parse_utc(c("timestamp_utc")),
+        "timestamp": F.regexp_like(c("timestamp"), F.lit(_OFFSET)) & c("_t").isNotNull(),
+        "timestamp_utc": F.endswith(c("timestamp_utc"), F.lit("Z")) & c("_u").isNotNull(),
+        "instants differ": c("_t") == c("_u"),
         "result against score": c("result") == expected,
     }
     errors = F.array_compact(F.array(*[F.when(~_ok(rule), F.lit(name)) for name, rule in rules.items()]))
-    return keyed.withColumn("errors", errors).drop("_pc", "_rc", "_pk", "_rk")
+    return select_once(keyed, *df.columns, errors.alias("errors"))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -278,3 +278,13 @@ def test_counts_of_a_rival_line_are_those_of_its_sequence(spark):
     text = f"T\n\nVS RIVALES\n\nP1\nP2: 2777 (50.0%/25.2%/24.8%) [{seq}]\nP3: 7 (57.1%/0.0%/42.9%)\n"
     got = by(reports.daily_rival_table(spark.createDataFrame([("20260714_player_stats.txt", text)], "file_name string, text string")), "rival")
     assert [(got[r].wins, got[r].draws, got[r].losses) for r in ("P2", "P3")] == [(1388, 700, 689), (4, 0, 3)]
+
+
+def test_rules_are_checked_once_a_row(spark, records):
+    """Counting errors by rule must not check all rules again in the filter that the explosion brings."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        plan = quality.error_counts(records(pair()))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("instants differ") == 1
