@@ -92,14 +92,15 @@ def to_local(ts: Column, zone: str = LOCAL_ZONE) -> Column:
 
 
 def local_offset(ts: Column, zone: str = LOCAL_ZONE) -> Column:
-    def shown(minutes: Column) -> Column:
-        return F.concat(
-            F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")),
-            F.lpad(F.floor(F.abs(minutes) / 60).cast("string"), 2, "0"), F.lit(":"),
-            F.lpad((F.abs(minutes) % 60).cast("string"), 2, "0"),
-        )
-
-    return bind(F.floor((micros(to_local(ts, zone)) - micros(ts)) / 60_000_000), shown)
+    # Both are TIMESTAMP_NTZ, whose differences know no zone. Zones of the 19th century have seconds; minutes are rounded down.
+    gap = to_local(ts, zone) - ts
+    hours, minutes, seconds = (F.extract(F.lit(part), gap) for part in ("HOUR", "MINUTE", "SECOND"))
+    total = hours.cast("int") * 60 + minutes.cast("int") - F.when(seconds < 0, 1).otherwise(0)
+    return F.concat(
+        F.when(total < 0, F.lit("-")).otherwise(F.lit("+")),
+        F.lpad(F.call_function("div", F.abs(total), F.lit(60)).cast("string"), 2, "0"), F.lit(":"),
+        F.lpad((F.abs(total) % 60).cast("string"), 2, "0"),
+    )
 
 
 def iso_local(ts: Column, zone: str = LOCAL_ZONE, precision: str | None = None) -> Column:

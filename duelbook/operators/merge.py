@@ -24,9 +24,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
     An aggregation that combines map-side: a key with very many copies reaches the shuffle
     as one row per task.  Several branches of a query over the result share its shuffle.
+    Rows are grouped by the keys' hash first, which sorts faster than text; places that are
+    equal go to the lowest of the other columns.
     """
+    order = [c for c in order if c not in keys]
     rest = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    if any("map<" in t or "variant" in t for _, t in df.select(*rest).dtypes):  # these have no order
+        first = F.min_by(F.struct(*rest), F.struct(*order))
+    else:
+        first = F.min(F.struct(*order, *[c for c in rest if c not in order]))
+    g = df.groupBy(F.xxhash64(*keys).alias("_hash"), *keys).agg(first.alias("_first"))
     return g.select(*keys, "_first.*").select(*df.columns)
 
 
@@ -61,7 +68,8 @@ def merge_history(df: DataFrame, arrival: Sequence[str] = ("arrival",)) -> DataF
         if name == "data_quality":
             aggs.append(F.max_by(c, quality_rank(c)).alias(name))
         else:
-            first = F.min(F.when(present(c, dtype), F.struct(F.struct(*arrival).alias("at"), c.alias("value"))))
+            places = [F.col(a).alias(f"at_{i}") for i, a in enumerate(arrival)]
+            first = F.min(F.when(present(c, dtype), F.struct(*places, c.alias("value"))))
             aggs.append(first["value"].alias(name))
     return df.groupBy("perspective_id").agg(*aggs).select(*[n for n in df.columns if n != arrival[0]])
 
@@ -106,11 +114,11 @@ def upsert(existing: DataFrame, candidates: DataFrame, candidate_order: Sequence
     return merge_history(both, ["_class", *candidate_order])
 
 
-def compatible(a: str, b: str) -> Column:
-    """Null-safe agreement on every identity field of two struct columns (VAL5)."""
+def compatible(a: str, b: str, sep: str = ".") -> Column:
+    """Null-safe agreement on every identity field of two struct columns (VAL5), or of columns with two prefixes."""
     cond = F.lit(True)
     for f in IDENTITY_FIELDS:
-        cond = cond & F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}"))
+        cond = cond & F.col(f"{a}{sep}{f}").eqNullSafe(F.col(f"{b}{sep}{f}"))
     return cond
 
 
@@ -123,17 +131,22 @@ def reconcile_repair(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     names = [n for n in existing.columns]
     extra = [n for n in candidates.columns if n not in names]
-    left = existing.select(F.col("perspective_id").alias("pid"), F.struct(*names).alias("o"))
-    right = candidates.select(F.col("perspective_id").alias("pid"), F.struct(*candidates.columns).alias("c"))
-    j = left.join(right, "pid", "full_outer")
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        """Flat columns, so those that nothing asks for are not shuffled; the hash leads the sort."""
+        pid = F.col("perspective_id")
+        return df.select(F.xxhash64(pid).alias("_hash"), pid.alias("_pid"), F.lit(True).alias(f"{prefix}_there"),
+                         *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
+
+    j = side(existing, "o").join(side(candidates, "c"), ["_hash", "_pid"], "full_outer")
     repairable = [f for f in REPAIR_FIELDS if f in names and f in candidates.columns]
     differs = F.lit(False)
     for f in repairable:
-        differs = differs | ~F.col(f"o.{f}").eqNullSafe(F.col(f"c.{f}"))
+        differs = differs | ~F.col(f"o_{f}").eqNullSafe(F.col(f"c_{f}"))
     action = (
-        F.when(F.col("c").isNull(), F.lit("stored"))
-        .when(F.col("o").isNull(), F.lit("added"))
-        .when(~compatible("o", "c"), F.lit("conflict"))
+        F.when(F.col("c_there").isNull(), F.lit("stored"))
+        .when(F.col("o_there").isNull(), F.lit("added"))
+        .when(~compatible("o", "c", "_"), F.lit("conflict"))
         .when(differs, F.lit("updated"))
         .otherwise(F.lit("unchanged"))
     )
@@ -141,8 +154,8 @@ def reconcile_repair(existing: DataFrame, candidates: DataFrame) -> DataFrame:
 
     def merged(name: str) -> Column:
         in_c = name in candidates.columns
-        new = F.col(f"c.{name}") if in_c else F.lit(None)
-        old = F.col(f"o.{name}") if name in names else F.lit(None)
+        new = F.col(f"c_{name}") if in_c else F.lit(None)
+        old = F.col(f"o_{name}") if name in names else F.lit(None)
         value = F.when(F.col("action") == "added", new)
         if in_c and (name in repairable or name == "ts"):
             value = value.when(F.col("action") == "updated", new)
@@ -150,7 +163,7 @@ def reconcile_repair(existing: DataFrame, candidates: DataFrame) -> DataFrame:
             value = value.when(F.col("action") == "updated", F.coalesce(new, old))
         return value.otherwise(old).alias(name)
 
-    return j.select("action", *[merged(n) for n in names + extra])
+    return j.select("action", *[F.col("_pid").alias(n) if n == "perspective_id" else merged(n) for n in names + extra])
 
 
 def repair_candidates(parsed: DataFrame, target_day) -> DataFrame:

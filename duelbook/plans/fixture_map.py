@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelbook.functions.names import perspective_id
@@ -19,34 +19,50 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     league = F.when(F.col("l_returnflag") == "R", F.lit("EADRIATIC")).otherwise(F.lit("GT"))
     number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return li.select(
-        league.alias("league"),
-        F.concat(F.lower(league), F.lit(":"), number.cast("string")).alias("match_id"),
-        number.alias("match_no"),
-        (F.col("l_suppkey") % 40).alias("home_no"),
-        (F.col("l_partkey") % 40).alias("away_no"),
-        (F.floor("l_quantity").cast("int") % 4).alias("home_score"),
-        (F.floor("l_extendedprice").cast("int") % 4).alias("away_score"),
+    home, away = _sides()
+    named = li.select("*", league.alias("league"), number.alias("match_no"))
+    return named.select(
+        "league", _match_id().alias("match_id"), "match_no", home.alias("home_no"), away.alias("away_no"), *_scores(),
         F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
         "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
     ).filter("home_no <> away_no")
 
 
+def _match_id() -> Column:
+    return F.concat(F.lower("league"), F.lit(":"), F.col("match_no").cast("string"))
+
+
+def _sides() -> tuple[Column, Column]:
+    """Numbers of the home and the away player."""
+    return F.col("l_suppkey") % 40, F.col("l_partkey") % 40
+
+
+def _scores() -> list[Column]:
+    return [(F.floor(c).cast("int") % 4).alias(side) for side, c in (("home_score", "l_quantity"), ("away_score", "l_extendedprice"))]
+
+
 FIRST_WINS = ("ts", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct matches: the first row of each match id in source order."""
-    kept = first_per_key(raw_matches(spark, sf_dir), ["match_id"], FIRST_WINS)
-    return kept.select(
-        "league", "match_id", "match_no", "ts", "home_score", "away_score",
-        F.concat(F.lit("P"), F.col("home_no").cast("string")).alias("home"),
-        F.concat(F.lit("P"), F.col("away_no").cast("string")).alias("away"),
+    """Distinct matches: the first row of each match id in source order.
+
+    The id is the league and the number, so these are the key; what follows from the source columns is made afterwards.
+    """
+    kept = first_per_key(raw_matches(spark, sf_dir).select("match_no", "league", *FIRST_WINS), ["match_no", "league"], FIRST_WINS)
+    return described(kept)
+
+
+def described(rows: DataFrame, *carry: str) -> DataFrame:
+    """Match rows with number, league and source columns, with what follows from these."""
+    return rows.select(
+        "league", _match_id().alias("match_id"), "match_no", "ts", *carry, *_scores(),
+        *[F.concat(F.lit("P"), no.cast("string")).alias(side) for side, no in zip(("home", "away"), _sides())],
     )
 
 
-def as_perspectives(matches_df: DataFrame) -> DataFrame:
-    """Two rows per match, one for each side."""
+def as_perspectives(matches_df: DataFrame, *carry: str) -> DataFrame:
+    """Two rows per match, one for each side; ``carry``: further columns of the match that both get."""
     home = home_result(F.col("home_score"), F.col("away_score"))
     sides = F.array(
         F.struct(F.col("home").alias("player"), F.col("away").alias("rival"),
@@ -59,7 +75,7 @@ def as_perspectives(matches_df: DataFrame) -> DataFrame:
     return one.select(
         "league", "match_id", perspective_id(F.col("match_id"), key).alias("perspective_id"),
         "s.player", key.alias("player_key"), "s.rival", F.lower("s.rival").alias("rival_key"),
-        "s.result", "ts", "s.home_away", "home_score", "away_score",
+        "s.result", "ts", "s.home_away", "home_score", "away_score", *carry,
     )
 
 

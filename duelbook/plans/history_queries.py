@@ -124,16 +124,17 @@ def _raw_named(spark, sf):
                             "away": F.concat(F.lit("P"), F.col("away_no").cast("string"))})
 
 
+def _stamped_matches(spark, sf):
+    """The matches with their stamps, which both perspectives share."""
+    return fx.matches(spark, sf).withColumns({"timestamp": iso_local(F.col("ts")), "timestamp_utc": iso_z(F.col("ts"))})
+
+
 def full_records(spark, sf):
     """Complete stored records derived from the matches, a share of them damaged by match number."""
-    m = fx.matches(spark, sf).withColumns({
-        "native_match_id": F.col("match_no").cast("string"),
-        "match_no": F.col("match_no")})
-    p = fx.as_perspectives(m).withColumn("match_no", F.split_part("match_id", F.lit(":"), F.lit(2)).cast("long"))
+    p = fx.as_perspectives(_stamped_matches(spark, sf), "match_no", "timestamp", "timestamp_utc")
     n, home = F.col("match_no"), F.col("home_away") == "home"
     good = p.withColumns({
-        "schema_version": F.lit(1), "timestamp": iso_local(F.col("ts")), "timestamp_utc": iso_z(F.col("ts")),
-        "timestamp_precision": F.lit("second"), "timezone": F.lit("Europe/Madrid"), "timezone_inferred": F.lit(True),
+        "schema_version": F.lit(1), "timestamp_precision": F.lit("second"), "timezone": F.lit("Europe/Madrid"), "timezone_inferred": F.lit(True),
         "source_type": F.lit("table"), "source_file": F.lit("lineitem"), "data_quality": F.lit("complete"),
     })
     return good.withColumns({
@@ -175,8 +176,9 @@ def match_pair_errors(spark, sf):
 
 def _copies(spark, sf):
     """Every raw copy of every perspective with its arrival number and gaps in some fields."""
-    raw = _raw_named(spark, sf)
-    raw = raw.withColumn("arrival", F.row_number().over(Window.partitionBy("match_id").orderBy(*fx.FIRST_WINS)).cast("long"))
+    raw = fx.raw_matches(spark, sf).select("match_no", "league", *fx.FIRST_WINS)
+    raw = raw.withColumn("arrival", F.row_number().over(Window.partitionBy("match_no", "league").orderBy(*fx.FIRST_WINS)).cast("long"))
+    raw = fx.described(raw, "arrival")
     sides = F.explode(F.array(F.struct("home", "away"), F.struct(F.col("away").alias("home"), F.col("home").alias("away"))))
     r = raw.withColumn("s", sides)
     return r.select(
@@ -213,9 +215,8 @@ def merge_conflict_report(spark, sf):
 
 def _repair_sides(spark, sf):
     """Stored rows and re-collected candidates derived from the matches."""
-    p = fx.perspectives(spark, sf).withColumn("match_no", F.split_part("match_id", F.lit(":"), F.lit(2)).cast("long"))
-    p = p.withColumns({"timestamp": iso_local(F.col("ts")), "timestamp_utc": iso_z(F.col("ts")), "round": F.lit("R1"),
-                       "source_file": F.lit("first")})
+    p = fx.as_perspectives(_stamped_matches(spark, sf), "match_no", "timestamp", "timestamp_utc")
+    p = p.withColumns({"round": F.lit("R1"), "source_file": F.lit("first")})
     stored = p.filter("match_no % 7 <> 0").drop("match_no")
     n = F.col("match_no")
     new = p.filter("match_no % 3 = 0 OR match_no % 7 = 0").withColumns({
@@ -247,7 +248,7 @@ def repaired_history(spark, sf):
 @register(f"""with {P} select perspective_id, player, result, case when match_no % 4 = 0 then 'a' else 'b' end as round from p""")
 def upserted_history(spark, sf):
     """A part of the matches is stored already, all are candidates: stored values win, nothing doubles."""
-    p = fx.perspectives(spark, sf).withColumn("match_no", F.split_part("match_id", F.lit(":"), F.lit(2)).cast("long"))
+    p = fx.as_perspectives(fx.matches(spark, sf), "match_no")
     old = p.filter("match_no % 4 = 0").withColumn("round", F.lit("a")).drop("match_no")
     new = p.withColumn("round", F.lit("b")).drop("match_no")
     return merge.upsert(merge.upsert(old, new), new).select("perspective_id", "player", "result", "round")
