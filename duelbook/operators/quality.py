@@ -88,7 +88,8 @@ def pair_errors(df: DataFrame) -> DataFrame:
     """(match_id, errors) of matches whose two perspectives do not mirror each other.
 
     One aggregation per match, combined map-side: per field only the lowest and highest
-    value and a null count travel, so a match with very many copies stays small.
+    value and a null count travel, so a match with very many copies stays small.  The id's
+    hash leads the sort, as ids begin alike.
     """
     shared = [f for f in SHARED_FIELDS if f in df.columns and f != "match_id"]
     home, away = F.col("home_away") == "home", F.col("home_away") == "away"
@@ -96,7 +97,7 @@ def pair_errors(df: DataFrame) -> DataFrame:
     for side, cond in (("h", home), ("a", away)):
         for f in ("result", "player_key", "rival_key"):
             per_side[f"{side}_{f}"] = F.max(F.when(cond, F.col(f)))
-    g = df.groupBy("match_id").agg(
+    g = df.groupBy(F.xxhash64("match_id").alias("_hash"), "match_id").agg(
         F.count("*").alias("n"), F.count_if(home).alias("n_home"), F.count_if(away).alias("n_away"),
         *[F.struct(F.min(F.col(f)).alias("lo"), F.max(F.col(f)).alias("hi"), F.count(F.col(f)).alias("k")).alias(f) for f in shared],
         *[v.alias(k) for k, v in per_side.items()],
