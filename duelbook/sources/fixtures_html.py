@@ -50,19 +50,23 @@ def _blocks(html: Column) -> Column:
     What stands before the first heading belongs to no block. The clock of a row is the last one before it in its block.
     """
     def read(block: Column) -> Column:
-        heading = _text(F.regexp_extract(block, _SPAN, 1))
+        return bind(_text(F.regexp_extract(block, _SPAN, 1)), lambda heading: below(heading, block))
+
+    def below(heading: Column, block: Column) -> Column:
         label, raw = F.regexp_extract(heading, _HEADING, 1), F.regexp_extract(heading, _HEADING, 2)
 
+        def part(p: Column, i: Column) -> Column:
+            """Clock and rows of a part; the clock is read once, not once a row."""
+            return F.struct(F.when(i > 0, _text(F.regexp_extract(p, _SPAN, 1))).alias("clock"), _linked_rows(p).alias("found"))
+
         def timed(parts: Column) -> Column:
-            clocks = F.transform(parts, lambda p, i: F.when(i > 0, _text(F.regexp_extract(p, _SPAN, 1))))
-            rows = F.flatten(F.transform(parts, lambda p, i: F.transform(_linked_rows(p), lambda r: F.struct(
-                F.when(i > 0, _text(F.regexp_extract(p, _SPAN, 1))).alias("clock"), r.alias("e")))))
+            rows = F.flatten(F.transform(parts, lambda p: F.transform(p["found"], lambda r: F.struct(p["clock"].alias("clock"), r.alias("e")))))
+            times = F.filter(F.transform(parts, lambda p: p["clock"]), lambda c: F.coalesce(F.regexp_like(c, F.lit(r"^\d{2}:\d{2}$")), F.lit(False)))
             return F.struct(
                 F.when(raw != "", F.trim(label)).alias("label"), F.when(raw != "", raw).alias("raw"),
-                F.when(F.length(raw) == 10, F.try_to_date(raw, "dd.MM.yyyy")).alias("day"),
-                F.filter(clocks, lambda c: F.coalesce(F.regexp_like(c, F.lit(r"^\d{2}:\d{2}$")), F.lit(False))).alias("times"), rows.alias("rows"))
+                F.when(F.length(raw) == 10, F.try_to_date(raw, "dd.MM.yyyy")).alias("day"), times.alias("times"), rows.alias("rows"))
 
-        return bind(F.split(block, _CLOCK_START), timed)
+        return bind(F.transform(F.split(block, _CLOCK_START), part), timed)
 
     return F.transform(F.filter(F.split(html, _HEADING_START), lambda x, i: (i > 0) | F.regexp_like(x, F.lit(f"^{_HEADING_START}"))), read)
 
