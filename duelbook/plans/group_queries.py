@@ -24,6 +24,17 @@ def _daily(spark, sf):
     return d.daily_rivals(fx.perspectives(spark, sf), _day())
 
 
+def _day_counts(spark, sf):
+    """The counts of every relation and day, written once: day groups and what is made of them look at them many times.
+
+    It has a row per relation and day, however many matches these had.
+    """
+    path = f"{spark.sparkContext.getCheckpointDir()}/daily-{uuid.uuid4().hex}"
+    counts = _daily(spark, sf).select(*d.RIVAL_DAY, "played", *groups.COUNTS)
+    counts.write.parquet(path)
+    return spark.read.schema(counts.schema).parquet(path)
+
+
 def _targets(spark, size: int = 5):
     return groups.target_groups(fx.tracked(spark), size)
 
@@ -142,14 +153,15 @@ dg as (select league, date, seed as group_seed, unnest(members) as member from p
 _WITH_DAYS = f"with recursive {q.PERSPECTIVES}, {q.TRACKED}, {_tg(2)}, {_DLY}, {_DAYGROUPS}"
 
 
-def _day_groups(spark, sf):
-    p = fx.perspectives(spark, sf)
-    return groups.day_groups(_daily(spark, sf), groups.report_order(d.daily_players(p, _day())))
+def _day_groups(daily):
+    """The closed groups of daily counts; a player's matches of a day are those against all rivals."""
+    players = daily.groupBy(*d.PLAYER_DAY).agg(F.sum("played").alias("played"))
+    return groups.day_groups(daily, groups.report_order(players))
 
 
 @register(f"{_WITH_DAYS} from dg")
 def closed_day_groups(spark, sf):
-    return _day_groups(spark, sf)
+    return _day_groups(_day_counts(spark, sf))
 
 
 _OV = """ov as (select t.league, t.group_no, t.group_size, d.date, d.group_seed, count(*) as common from dg d join tg t on (t.league, t.player) = (d.league, d.member) group by all),
@@ -157,7 +169,7 @@ ovk as (select *, case when common = group_size then 'exact' when group_size > 1
 
 
 def _overlap(spark, sf):
-    return groups.group_overlap(_targets(spark, 2), _day_groups(spark, sf))
+    return groups.group_overlap(_targets(spark, 2), _day_groups(_day_counts(spark, sf)))
 
 
 @register(f"{_WITH_DAYS}, {_OV} select * from ovk where kind is not null")
@@ -178,9 +190,10 @@ g as (select a.league, a.group_no, a.kind, y.player, cast(sum(wins) as bigint) a
   join cm b on (b.league, b.group_no, b.date, b.group_seed, b.member) = (a.league, a.group_no, a.date, a.group_seed, y.rival) group by all)
 select *, {q.pct('wins', '(wins + draws + losses)')} as win_pct, {q.pct('losses', '(wins + draws + losses)')} as loss_pct from g""")
 def day_group_overlap_totals(spark, sf):
-    g = _day_groups(spark, sf)
+    daily = _day_counts(spark, sf)
+    g = _day_groups(daily)
     t = _targets(spark, 2)
-    return groups.overlap_totals(t, g, groups.group_overlap(t, g), _daily(spark, sf))
+    return groups.overlap_totals(t, g, groups.group_overlap(t, g), daily)
 
 
 # --- alerts ---------------------------------------------------------------------------------------
@@ -232,10 +245,11 @@ def h2h_alerts_with_status(spark, sf):
 
 def _written(spark, sf, name: str):
     """One table of the payload after a round through its files."""
-    t, h, daily = _targets(spark), _h2h(spark, sf), _daily(spark, sf)
+    t, h = _targets(spark), _h2h(spark, sf)
+    daily = (_day_counts if name in ("groups", "overlap_totals") else _daily)(spark, sf)
     ranking = groups.h2h_ranking(t, h)
     picks = groups.back_and_lay(ranking)
-    g = _day_groups(spark, sf)
+    g = _day_groups(daily)
     overlap = groups.group_overlap(t, g)
     meta = daily.groupBy("league").agg(F.count_distinct("date").alias("files_count"), F.min("date").cast("string").alias("data_from"),
                                        F.max("date").cast("string").alias("data_to"))
