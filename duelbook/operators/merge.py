@@ -114,6 +114,37 @@ def upsert(existing: DataFrame, candidates: DataFrame, candidate_order: Sequence
     return merge_history(both, ["_class", *candidate_order])
 
 
+def id_hash() -> Column:
+    return F.xxhash64("perspective_id")
+
+
+def repeated(existing: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(_hash): the id hashes that several stored rows or several candidates have. Only hashes are shuffled and counted."""
+    both = existing.select(id_hash().alias("_hash"), F.lit(0).alias("new")).unionAll(candidates.select(id_hash().alias("_hash"), F.lit(1).alias("new")))
+    counts = both.groupBy("_hash").agg(F.sum("new").alias("new"), F.count(F.lit(1)).alias("n"))
+    return counts.where("new > 1 or n - new > 1").select("_hash")
+
+
+def upsert_lone(existing: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``upsert`` of rows that are unique by perspective_id on either side: a join of whole rows, with no place per field."""
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        """Fields without what counts as absent, so that the join has only to choose: its code stays small."""
+        fields = [F.when(present(F.col(n), t), F.col(n)) if n not in ("perspective_id", "data_quality") else F.col(n) for n, t in df.dtypes]
+        return df.select(id_hash().alias(f"{prefix}_hash"), *[c.alias(f"{prefix}_{n}") for c, n in zip(fields, df.columns)])
+
+    def value(name: str) -> Column:
+        there = [F.col(f"{p}_{name}") for p, df in (("o", existing), ("c", candidates)) if name in df.columns]
+        if name == "data_quality" and len(there) == 2:
+            old, new = there
+            better = F.coalesce(quality_rank(new), F.lit(-1)) > F.coalesce(quality_rank(old), F.lit(-1))
+            return F.when(better, new).otherwise(old).alias(name)
+        return F.coalesce(*there).alias(name)
+
+    same = (F.col("o_hash") == F.col("c_hash")) & F.col("o_perspective_id").eqNullSafe(F.col("c_perspective_id"))
+    names = [*existing.columns, *[c for c in candidates.columns if c not in existing.columns]]
+    return side(existing, "o").join(side(candidates, "c"), same, "full_outer").select(*map(value, names))
+
+
 def compatible(a: str, b: str, sep: str = ".") -> Column:
     """Null-safe agreement on every identity field of two struct columns (VAL5), or of columns with two prefixes."""
     cond = F.lit(True)

@@ -14,7 +14,7 @@ from duelbook.functions.names import name_key
 from duelbook.functions.times import event_time
 from duelbook.operators import quality
 from duelbook.operators.h2h import h2h_comparison
-from duelbook.operators.merge import conform, upsert
+from duelbook.operators.merge import conform, id_hash, repeated, upsert, upsert_lone
 from duelbook.operators.recent import player_windows, recent_forms
 from duelbook.operators.totals import player_totals
 from duelbook.schemas import HISTORY_SCHEMA
@@ -110,22 +110,49 @@ def update_history(spark: SparkSession, path: str, new: DataFrame, staging: str)
     read and rewritten. The merged rows go to ``staging`` (a folder all executors see) first, because a Parquet
     table cannot be overwritten while it is being read.
     """
-    new = conform(new)
     if not exists(spark, path):
-        write_history(upsert(conform(read_history(spark, path)), new), path)
+        write_history(staged_upsert(conform(read_history(spark, path)), new, staging), path)
         store_index.rebuild(spark, path)
         return
-    touched = touched_rows(spark, path, new)
-    upsert(conform(touched), new).write.mode("overwrite").parquet(f"{staging}/rows")
-    ready = spark.read.parquet(f"{staging}/rows")
+    days = touched_days(spark, path, new)
+    ready = staged_upsert(conform(rows_of(spark, path, days)), new, staging)
     write_history(ready, path)
-    store_index.refresh(spark, path, ready.join(new.select("perspective_id").distinct(), "perspective_id", "left_semi"), f"{staging}/index")
+    store_index.refresh(spark, path, new, ready, days, f"{staging}/index")
+
+
+def staged_upsert(existing: DataFrame, new: DataFrame, staging: str) -> DataFrame:
+    """The rows of ``upsert``, written below ``staging``: field by field only for ids that a side has several times, else by a join."""
+    spark = existing.sparkSession
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{staging}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{staging}/{name}")
+
+    several = staged(repeated(existing, new), "repeated")
+    if several.isEmpty():
+        return staged(upsert_lone(existing, new), "rows")
+
+    def part(df: DataFrame, how: str) -> DataFrame:
+        return df.withColumn("_hash", id_hash()).join(several, "_hash", how).drop("_hash")
+
+    lone = staged(upsert_lone(part(existing, "left_anti"), part(new, "left_anti")), "rows")
+    return lone.unionByName(staged(upsert(part(existing, "left_semi"), part(new, "left_semi")), "mixed"))
+
+
+def touched_days(spark: SparkSession, path: str, new: DataFrame) -> list[tuple]:
+    """(league, match_date) of the days on which rows of ``new`` lie or their stored copies do: as many as the calendar has."""
+    own = [tuple(r) for r in new.select("league", F.col("ts").cast("date").alias("match_date")).distinct().collect()]
+    return own + store_index.other_days(spark, path, new, own)
+
+
+def rows_of(spark: SparkSession, path: str, days: list[tuple]) -> DataFrame:
+    """All stored rows of some days."""
+    return spark.read.parquet(path).where(store_index.among(days)).drop("match_date")
 
 
 def touched_rows(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
     """All stored rows of the days on which rows of ``new`` lie or their stored copies do."""
-    days = store_index.days(spark, path, new).unionByName(new.select("league", F.col("ts").cast("date").alias("match_date")))
-    return store_index.on_days(spark.read.parquet(path), days).drop("match_date")
+    return rows_of(spark, path, touched_days(spark, path, new))
 
 
 def export_jsonl(df: DataFrame, path: str) -> None:

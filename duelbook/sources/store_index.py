@@ -36,12 +36,16 @@ def rebuild(spark: SparkSession, path: str) -> None:
     _write(entries(spark.read.parquet(path)), path)
 
 
+def buckets(ids: DataFrame) -> list[int]:
+    """The buckets that ``ids`` (perspective_id) fall into."""
+    return [r[0] for r in ids.select(bucket(F.col("perspective_id"))).distinct().collect()]  # BUCKETS numbers at most
+
+
 def read(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """The index rows of the buckets that ``ids`` (perspective_id) fall into."""
     if not exists(spark, folder(path)):
         rebuild(spark, path)
-    wanted = [r[0] for r in ids.select(bucket(F.col("perspective_id"))).distinct().collect()]  # BUCKETS numbers at most
-    return spark.read.parquet(folder(path)).where(F.col("bucket").isin(wanted))
+    return spark.read.parquet(folder(path)).where(F.col("bucket").isin(buckets(ids)))
 
 
 def days(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
@@ -49,20 +53,47 @@ def days(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     return read(spark, path, ids).join(ids.select("perspective_id").distinct(), "perspective_id", "left_semi").select("league", "match_date").distinct()
 
 
-def on_days(stored: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Stored rows of some days (league, match_date), by a filter that prunes the scan to their folders."""
-    cond = F.lit(False)
+def other_days(spark: SparkSession, path: str, ids: DataFrame, own: list[tuple]) -> list[tuple]:
+    """(league, match_date) of the days besides ``own`` on which ``ids`` are stored; what lies on ``own`` days is not looked at.
+
+    A store that has no index yet is looked through itself.
+    """
+    index = read(spark, path, ids) if exists(spark, folder(path)) else spark.read.parquet(path)
+    rest = index.where(~among(own)).select("perspective_id", "league", "match_date")
+    if rest.isEmpty():
+        return []
+    found = rest.join(ids.select("perspective_id").distinct(), "perspective_id", "left_semi")
+    return [tuple(r) for r in found.select("league", "match_date").distinct().collect()]  # as many as the calendar has days
+
+
+def among(wanted: list[tuple]) -> Column:
+    """Whether (league, match_date) is one of some days, never null: a filter that prunes a scan of the store to their folders."""
     by_league: dict = {}
-    for r in wanted.distinct().toLocalIterator():  # as many as the calendar has days
-        by_league.setdefault(r["league"], []).append(r["match_date"])
+    for league, date in wanted:
+        by_league.setdefault(league, []).append(date)
+    cond = F.lit(False)
     for league, dates in by_league.items():
-        cond = cond | ((F.col("league") == F.lit(league)) & F.col("match_date").isin(dates))
-    return stored.where(cond)
+        known = F.coalesce(F.col("match_date").isin([d for d in dates if d is not None]), F.lit(False))
+        on = known | F.col("match_date").isNull() if None in dates else known
+        cond = cond | (F.col("league").eqNullSafe(F.lit(league)) & on)
+    return cond
+
+
+def on_days(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Stored rows of some days (league, match_date)."""
+    return stored.where(among([tuple(r) for r in wanted.distinct().collect()]))  # as many as the calendar has days
 
 
-def refresh(spark: SparkSession, path: str, rows: DataFrame, staging: str) -> None:
-    """Set the entries of ``rows``, whose days have been written, to where they lie now. Running it twice changes nothing."""
-    new = entries(rows)
-    old = read(spark, path, new).join(new.select("perspective_id"), "perspective_id", "left_anti")
+def refresh(spark: SparkSession, path: str, ids: DataFrame, rows: DataFrame, touched: list[tuple], staging: str) -> None:
+    """Set the entries of ``ids`` to where they lie now. ``rows`` are all rows that the ``touched`` days held or hold, as written.
+
+    An id lay on touched days only, so in its bucket the entries of these days make way for those of ``rows``; none is looked up.
+    Running it twice changes nothing.
+    """
+    if not exists(spark, folder(path)):
+        rebuild(spark, path)
+        return
+    wanted = F.col("bucket").isin(buckets(ids))
+    old, new = spark.read.parquet(folder(path)).where(wanted & ~among(touched)), entries(rows).where(wanted)
     old.select(*new.columns).unionByName(new).write.mode("overwrite").parquet(staging)
     _write(spark.read.schema(new.schema).parquet(staging), path)

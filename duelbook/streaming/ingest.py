@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from duelbook.functions.times import micros
 from duelbook.operators.merge import conform, first_per_key, reconcile_repair, repair_candidates
 from duelbook.sources import store_index
-from duelbook.sources.history import touched_rows, update_history, write_history
+from duelbook.sources.history import rows_of, touched_days, update_history, write_history
 from duelbook.sources.paths import exists
 
 # A re-collected day may correct rows of that day and the next.
@@ -52,7 +52,8 @@ def repair_from(stream: DataFrame, target_day, path: str, staging: str, checkpoi
             write_history(new, path)
             store_index.rebuild(spark, path)
             return
-        touched = touched_rows(spark, path, new)
+        days = touched_days(spark, path, new)
+        touched = rows_of(spark, path, days)
         before = touched.select("league", F.col("ts").cast("date").alias("match_date")).distinct()
         folder = f"{staging}/batch={batch_id}"
         before.write.mode("overwrite").parquet(f"{folder}/days")
@@ -62,7 +63,7 @@ def repair_from(stream: DataFrame, target_day, path: str, staging: str, checkpoi
                                                            ["league", "match_date"], "left_anti")
         write_history(ready, path)
         drop_partitions(spark, path, emptied)
-        store_index.refresh(spark, path, ready.join(new.select("perspective_id").distinct(), "perspective_id", "left_semi"), f"{folder}/index")
+        store_index.refresh(spark, path, new, ready, days, f"{folder}/index")
 
     return (stream.writeStream.foreachBatch(repair).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

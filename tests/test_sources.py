@@ -82,6 +82,17 @@ def test_merge_is_idempotent(records):
     assert again.count() == 4
 
 
+def test_lone_rows_merge_as_in_the_upsert_without_a_sort_per_field(records):
+    stored = [record("gt:1", round="", competition="Cup", data_quality="partial"), record("gt:2"), record("gt:4", data_quality=None, group_players=[])]
+    new = [record("gt:1", round="R1", competition="League", data_quality="inferred"), record("gt:3", rival=""), record("gt:4", group_players=["a"]),
+           {**record("gt:5"), "perspective_id": None, "round": "R5"}]
+    stored.append({**record("gt:5"), "perspective_id": None, "data_quality": "perfect"})
+    got, want = merge.upsert_lone(records(stored), records(new)), merge.upsert(records(stored), records(new))
+    assert got.columns == want.columns and got.dtypes == want.dtypes and want.count() == 5
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_repair_actions(records):
     stored = records([record("gt:1"), record("gt:2", round="R1", competition="Cup"), record("gt:3"), record("gt:4")])
     new = records([record("gt:2", round="R2", source_file="repair", collected_at="now"), record("gt:3"), record("gt:4", away=0), record("gt:5")])
@@ -108,6 +119,48 @@ def test_jsonl_reading(spark, scratch):
         store.read_jsonl(spark, bad).select("league").collect()
 
 
+def test_update_merges_repeated_copies_field_by_field(spark, scratch, records):
+    """Ids that a side has several times, beside ids that neither has: the rows of the upsert, and an index entry each."""
+    path = f"{scratch}/repeated"
+    old = [record("gt:1", round="R1"), record("gt:1", competition="Cup"), record("gt:2"), record("gt:3", rival="")]
+    new = [record("gt:2", round="b"), record("gt:2", round="a", competition="z"), record("gt:3"), record("gt:4"), record("gt:4"), record("gt:5")]
+    store.write_history(records(old), path)
+    store.update_history(spark, path, records(new), f"{scratch}/repeated-staging")
+    got = store.read_history(spark, path)
+    want = merge.upsert(records(old), records(new)).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 5
+    assert {r.match_id: (r.round, r.competition) for r in got.collect()}["gt:2"] == ("a", "z")
+    index = spark.read.parquet(store.store_index.folder(path))
+    assert sorted(r.perspective_id for r in index.collect()) == sorted(r.perspective_id for r in got.collect())
+
+
+def test_update_looks_nothing_up_on_the_days_of_its_own_rows(spark, scratch, records, monkeypatch):
+    """No index is built or joined for days that are read anyway; it is written once, at the end, and follows later updates."""
+    path, index = f"{scratch}/own-days", store.store_index
+    later = {"timestamp": "2026-07-15T10:00:00+02:00", "timestamp_utc": "2026-07-15T08:00:00Z"}
+    store.write_history(records(pair() + pair("gt:9", **later)), path)
+    built = []
+    rebuild = index.rebuild
+    monkeypatch.setattr(index, "rebuild", lambda *a: (built.append(a), rebuild(*a)))
+    whole = records(pair() + pair("gt:2", **later))
+    days = store.touched_days(spark, path, whole)
+    assert sorted(days) == [("GT", date(2026, 7, 14)), ("GT", date(2026, 7, 15))] and not built
+    store.update_history(spark, path, whole, f"{scratch}/own-days-1")
+    assert len(built) == 1
+    store.update_history(spark, path, records(pair("gt:3") + pair("gt:9")), f"{scratch}/own-days-2")  # gt:9 lies a day later
+    at = {r.perspective_id.rsplit(":", 1)[0]: r.match_date.day for r in spark.read.parquet(index.folder(path)).collect()}
+    assert at == {"gt:1": 14, "gt:2": 15, "gt:3": 14, "gt:9": 15} and len(built) == 1
+    assert spark.read.parquet(index.folder(path)).count() == store.read_history(spark, path).count() == 8
+
+
+def test_update_keeps_stored_rows_without_an_instant(spark, scratch, records):
+    path = f"{scratch}/no-instant"
+    bare = {"timestamp": None, "timestamp_utc": None}
+    store.write_history(records(pair(**bare)), path)
+    store.update_history(spark, path, records(pair("gt:2", **bare)), f"{scratch}/no-instant-staging")
+    assert sorted(r.match_id for r in store.read_history(spark, path).collect()) == ["gt:1", "gt:1", "gt:2", "gt:2"]
+
+
 def test_update_history_twice_changes_nothing(spark, scratch, records):
     path, staging = f"{scratch}/store", f"{scratch}/staging"
     store.update_history(spark, path, records(pair()), staging)
