@@ -183,7 +183,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, home_limit: int = HOME) ->
     none = crowded.isEmpty()
     few = at_home if none else at_home.join(crowded, "anchor", "left_anti")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("at_home"))) <= threshold
-    pairs = copies.join(few, "anchor").where(near & (~F.col("home") | (F.col("fp") < F.col("at_home")))).select(
+    # Spark sizes the copies like the fingerprints they are made of, some 46 times too low, so it must not choose to broadcast them
+    pairs = copies.hint("merge").join(few, "anchor").where(near & (~F.col("home") | (F.col("fp") < F.col("at_home")))).select(
         F.col("fp").alias("a"), F.col("at_home").alias("b"))
     if none:
         return pairs

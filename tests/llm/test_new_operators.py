@@ -107,6 +107,12 @@ def test_links_are_all_pairs(llm, limit):
     assert {f: find(f) for f in fps} == brute_classes(fps)
 
 
+def test_copies_of_fingerprints_are_not_broadcast(llm):
+    """Some 46 copies of each fingerprint: Spark sizes them like the fingerprints, which are few enough for a broadcast."""
+    plan = simhash.links(llm.range(2000).select(F.xxhash64("id").alias("fp")))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # ---- 13
 
 
