@@ -108,3 +108,18 @@ def player_texts(df: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
 def player_sequences(df: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(league, player_key, slice, n, seq): operational results as text, a row per player and month (AGG20)."""
     return segments.sequences(filters.operational_results(df, excluded), KEYS, "month")
+
+
+def player_text_parts(df: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """(league, player_key, grain, slice, n, sequence, sequence_part, sequence_parts): all operational results of a player as text (AGG20).
+
+    A row of grain ``all`` with the whole text, always one part of one, and a row of grain ``month`` for each of its months, numbered in order.
+    """
+    months = player_sequences(df, excluded)
+    w = Window.partitionBy(*KEYS)
+    whole = segments.joined_text(months, KEYS, F.sum("n").alias("n")).select(
+        *KEYS, F.lit("all").alias("grain"), F.lit(None).cast("date").alias("slice"), "n", "sequence",
+        F.lit(1).alias("sequence_part"), F.lit(1).alias("sequence_parts"))
+    parts = months.select(*KEYS, F.lit("month").alias("grain"), "slice", "n", F.col("seq").alias("sequence"),
+                          F.row_number().over(w.orderBy("slice")).alias("sequence_part"), F.count(F.lit(1)).over(w).cast("int").alias("sequence_parts"))
+    return whole.unionByName(parts)

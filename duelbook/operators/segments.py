@@ -141,7 +141,7 @@ def sequences(df: DataFrame, keys: Sequence[str], slice_by: str) -> DataFrame:
     return rows.groupBy(*keys, "slice").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda r: r["result"]), "").alias("seq"))
 
 
-def joined_text(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, sequence): the slices' text put together, for stretches that one value may hold."""
+def joined_text(parts: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
+    """(keys, sequence): the slices' text put together, for stretches that one value may hold; ``extra``: further aggregates of the slices."""
     ordered = F.array_sort(F.collect_list(F.struct("slice", "seq")))
-    return parts.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda p: p["seq"]), "").alias("sequence"))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda p: p["seq"]), "").alias("sequence"), *extra)

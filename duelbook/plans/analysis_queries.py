@@ -458,10 +458,13 @@ def betting_opportunities(spark, sf):
     return opportunity.opportunities(fx.perspectives(spark, sf), filters.bettable_keys(t), filters.excluded_keys(t))
 
 
-@register(f"with {q.PERSPECTIVES}, {T}, {_OPS_P} select {K}, {q.seq()} as sequence from ops_p group by 1, 2")
+@register(f"""with {q.PERSPECTIVES}, {T}, {_OPS_P},
+m as (select {K}, date_trunc('month', ts)::date as slice, count(*) as n, {q.seq()} as sequence from ops_p group by all)
+select {K}, 'all' as grain, null::date as slice, count(*) as n, {q.seq()} as sequence, 1 as sequence_part, 1 as sequence_parts from ops_p group by 1, 2
+union all select {K}, 'month', slice, n, sequence, cast(row_number() over (partition by {K} order by slice nulls first) as int), cast(count(*) over (partition by {K}) as int) from m""")
 def operational_sequences(spark, sf):
-    """All operational results of every player as text."""
-    return opportunity.player_texts(fx.perspectives(spark, sf), filters.excluded_keys(fx.tracked(spark)))
+    """All operational results of every player as text, whole and in its parts by month."""
+    return opportunity.player_text_parts(fx.perspectives(spark, sf), filters.excluded_keys(fx.tracked(spark)))
 
 
 @register(f"with {q.PERSPECTIVES}, {T}, {_OPS_P} select {K}, date_trunc('month', ts)::date as slice, count(*) as n, {q.seq()} as seq from ops_p group by all")

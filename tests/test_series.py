@@ -367,3 +367,14 @@ def test_whole_texts_beside_the_totals(history):
     assert len(days) > 2 and "".join(days) == text
     targets = df.sparkSession.createDataFrame([("GT", 0, 2, "A", 1), ("GT", 0, 2, "B", 2)], "league string, group_no int, group_size long, player string, slot int")
     assert [r.seq for r in groups.group_h2h(targets, daily.daily_rivals(df, day, text=True), text=True).collect()] == [text]
+
+
+def test_player_texts_are_whole_and_in_numbered_parts(history):
+    """The whole text as one part of one, and a numbered part with its count for every month."""
+    days = (0, 1, 17, 18, 30, 90, 91)
+    df = history([row(i, "A", "B", v, START + timedelta(days=d)) for i, (d, v) in enumerate(zip(days, "VEDVVED"))] + [row(99, "C", "D", "E")])
+    got = [tuple(r)[1:] for r in opportunity.player_text_parts(df).orderBy("player_key", "grain", "slice").collect()]
+    month = START.date().replace(day=1)
+    assert got == [
+        ("a", "all", None, 7, "VEDVVED", 1, 1), ("a", "month", month, 3, "VED", 1, 3), ("a", "month", month.replace(month=8), 2, "VV", 2, 3),
+        ("a", "month", month.replace(month=10), 2, "ED", 3, 3), ("c", "all", None, 1, "E", 1, 1), ("c", "month", month, 1, "E", 1, 1)]
