@@ -6,10 +6,16 @@ late data within the delay cannot break a streak.  Needs the RocksDB state store
 
 from __future__ import annotations
 
+import pickle
 import sys
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +42,6 @@ PAIR_SCHEMA = ("pair_id string, a_at long, a_match_id string, a_result string, b
                "b_result string, gap_minutes long")
 
 
-def _replace(state, rows: list) -> None:
-    if rows:
-        state.put(rows)
-    else:
-        state.clear()
-
-
 class _Ordered(StatefulProcessor):
     """Keeps rows until the watermark passes them, then hands them on in order.
 
@@ -125,39 +124,94 @@ class RunningStreak(_Ordered):
         return rows
 
 
-class RunningPairs(_Ordered):
-    buffer_schema = "at long, side int, match_id string, perspective_id string, result string"
-    order = ("at", "side", "match_id", "perspective_id")
+def pack(rows: list[tuple]) -> bytes:
+    """(at, match_id, result) rows in order, small enough to be copied to every pair of a player."""
+    return zlib.compress(pickle.dumps(tuple(zip(*rows)), 5), 1)
+
+
+def unpack(packed: bytes) -> list[tuple]:
+    return list(zip(*pickle.loads(zlib.decompress(packed))))
+
+
+def _of_hour(packs: list[bytes]) -> list[tuple]:
+    """The rows of a side's hour; it has several packs if its pair is listed several times."""
+    rows = [r for packed in packs for r in unpack(packed)]
+    return sorted(rows, key=lambda r: (r[0], r[1] or "")) if len(packs) > 1 else rows
+
+
+_AT = itemgetter(0)
+
+
+class RunningPairs(StatefulProcessor):
+    """Pairs the matches of two sides; gets their hours as packed rows, each hour once and never one before an hour it has had.
+
+    The hours of a micro-batch are walked in order, each unpacked when its turn comes, and not at all where the other side has nothing
+    within the gap: what such an hour holds only waits. State are the waiting rows that later ones may still take.
+    """
+
     columns = tuple(c.split()[0] for c in PAIR_SCHEMA.split(", "))
 
-    def __init__(self, gap_minutes: int, slice_micros: int = SLICE):
+    def __init__(self, gap_minutes: int, slice_micros: int = HOUR):
         self.gap = gap_minutes * 60_000_000
         self.slice = slice_micros
 
-    def open(self, handle) -> None:
-        self.waiting = handle.getListState("waiting", self.buffer_schema)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getValueState("waiting", "a binary, b binary")
 
-    def advance(self, key, due: list[dict]) -> list[tuple]:
-        stacks: tuple[list, list] = ([], [])
-        before = list(self.waiting.get())
-        for r in before:
-            row = dict(zip(self.names, r))
-            stacks[row["side"]].append(row)
-        rows = []
-        for r in due:
-            other = stacks[1 - r["side"]]
-            if other and r["at"] - other[-1]["at"] <= self.gap:
-                e = other.pop()
-                a, b = (r, e) if r["side"] == 0 else (e, r)
-                rows.append((key[0], a["at"], a["match_id"], a["result"], b["at"], b["match_id"], b["result"],
-                             abs(a["at"] - b["at"]) // 60_000_000))
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        hours: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        for batch in rows:
+            for hour, side, packed in zip(batch["hour"].tolist(), batch["side"].tolist(), batch["packed"].tolist()):
+                hours.setdefault(hour, ([], []))[side].append(packed)
+        state = self.waiting.get()
+        #: what waits on either side, by time: rows, and after them hours that were not unpacked yet
+        stacks = [unpack(bytes(b)) if b is not None else [] for b in state] if state is not None else [[], []]
+        closed: list[list] = [[], []]
+        found: list[tuple] = []
+        for hour in sorted(hours):
+            sides, oldest = hours.pop(hour), hour - self.gap
+            for s in (0, 1):
+                closed[s] = [h for h in closed[s] if h[0] + self.slice > oldest]
+                del stacks[s][:bisect_left(stacks[s], oldest, key=_AT)]
+            if any(sides[s] and (sides[1 - s] or stacks[1 - s] or closed[1 - s]) for s in (0, 1)):
+                for s in (0, 1):
+                    for _, packs in closed[s]:
+                        stacks[s] += _of_hour(packs)
+                    closed[s] = []
+                self.walk(key[0], [_of_hour(packs) for packs in sides], stacks, found)
             else:
-                stacks[r["side"]].append(r)
-        if due:
-            alive = [r for s in stacks for r in s if r["at"] >= due[-1]["at"] - self.gap]
-            if before or alive:
-                _replace(self.waiting, [tuple(r[c] for c in self.names) for r in alive])
-        return rows
+                for s in (0, 1):
+                    if sides[s]:
+                        closed[s].append((hour, sides[s]))
+            if len(found) >= GATHERED:
+                yield pd.DataFrame(found, columns=self.columns)
+                found = []
+        if found:
+            yield pd.DataFrame(found, columns=self.columns)
+        left = [stacks[s] + [r for _, packs in closed[s] for r in _of_hour(packs)] for s in (0, 1)]
+        latest = max((rows[-1][0] for rows in left if rows), default=0)
+        left = [rows[bisect_left(rows, latest - self.gap, key=_AT):] for rows in left]
+        if any(left):
+            self.waiting.update(tuple(pack(rows) if rows else None for rows in left))
+        elif state is not None:
+            self.waiting.clear()
+
+    def walk(self, pair: str, sides: list[list], stacks: list[list], found: list[tuple]) -> None:
+        """The rows of an hour, by time and at one time the first side before the second: each takes the latest waiting one of the other side, or waits."""
+        timeline = sorted([(*r, 0) for r in sides[0]] + [(*r, 1) for r in sides[1]], key=_AT)
+        gap = self.gap
+        for at, match_id, result, side in timeline:
+            other = stacks[1 - side]
+            if other and at - other[-1][0] <= gap:
+                e_at, e_match, e_result = other.pop()
+                minutes = (at - e_at) // 60_000_000
+                found.append((pair, e_at, e_match, e_result, at, match_id, result, minutes) if side
+                             else (pair, at, match_id, result, e_at, e_match, e_result, minutes))
+            else:
+                stacks[side].append((at, match_id, result))
+
+    def close(self) -> None:
+        pass
 
 
 def _micros(df: DataFrame) -> DataFrame:
@@ -173,13 +227,31 @@ def running_streaks(stream: DataFrame, delay: str = REPAIR_DELAY) -> DataFrame:
 def running_pairs(stream: DataFrame, pairs: DataFrame, gap_minutes: int = 30, delay: str = REPAIR_DELAY) -> DataFrame:
     """Coincident matches as they become certain; ``pairs`` is a static table of candidate pairs.
 
-    Waiting matches older than the gap can never be taken and leave the state.
+    Waiting matches older than the gap can never be taken and leave the state. A match is sorted and packed once, by player and hour;
+    pairs get whole hours, and need no timers, as an hour comes when the watermark has passed it.
     """
     pid = F.concat_ws("|", "league_a", "key_a", "league_b", "key_b").alias("pair_id")
     sides = pairs.select(pid, F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("league_a").alias("league"), F.col("key_a").alias("player_key")),
         F.struct(F.lit(1).alias("side"), F.col("league_b").alias("league"), F.col("key_b").alias("player_key")))).alias("s")
     ).select("pair_id", "s.*")
-    rows = _micros(with_event_time(stream, delay)).join(sides, KEYS)
-    rows = rows.select("pair_id", "event_ts", "at", "side", "match_id", "perspective_id", "result")
-    return rows.groupBy("pair_id").transformWithStateInPandas(RunningPairs(gap_minutes, HOUR), PAIR_SCHEMA, "append", "eventTime")
+    hours = player_hours(stream, delay).join(sides, KEYS).select("pair_id", "side", "hour", "packed")
+    return hours.groupBy("pair_id").transformWithStateInPandas(RunningPairs(gap_minutes), PAIR_SCHEMA, "append", "none")
+
+
+def player_hours(stream: DataFrame, delay: str = REPAIR_DELAY) -> DataFrame:
+    """(league, player_key, hour, packed): the matches of a player and hour in order, once, when the watermark has passed the hour.
+
+    They are collected, sorted and packed here, before they are copied to the player's pairs.
+    """
+    rows = _micros(with_event_time(stream, delay))
+    collected = rows.groupBy(F.window("event_ts", f"{HOUR} microseconds").alias("w"), *KEYS).agg(
+        F.array_sort(F.collect_list(F.struct("at", "match_id", "perspective_id", "result"))).alias("rows"))
+
+    def packs(rows: pa.Array) -> pa.Array:
+        flat = rows.flatten()
+        every = list(zip(*(flat.field(c).to_pylist() for c in ("at", "match_id", "result"))))
+        ends = list(accumulate(rows.value_lengths().to_pylist(), initial=0))
+        return pa.array([pack(every[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+
+    return collected.select(*KEYS, F.unix_micros("w.start").alias("hour"), F.arrow_udf(packs, "binary")("rows").alias("packed"))

@@ -192,3 +192,78 @@ def test_slices_of_the_streams_are_hours():
     assert len(state.timers) == len(state.slices) == 39 and not state.read
     out = [r for at in sorted(state.timers) for f in p.handleExpiredTimer(("GT", "a"), None, FakeTimer(at)) for r in f.itertuples(index=False)]
     assert [r.match_id for r in out] == rows["match_id"].tolist() and out[-1].played == n and state.read == n
+
+
+def walked(timeline, gap):
+    """(a_at, a_match_id, b_at, b_match_id) of (at, side, match_id) rows, one at a time."""
+    waiting, found = ([], []), []
+    for r in sorted(timeline):
+        other = waiting[1 - r[1]]
+        if other and r[0] - other[-1][0] <= gap:
+            a, b = sorted((r, other.pop()), key=lambda x: x[1])
+            found.append((a[0], a[2], b[0], b[2]))
+        else:
+            waiting[r[1]].append(r)
+    return found
+
+
+def test_pairs_get_packed_hours(monkeypatch):
+    """Hours in batches: the pairs of a walk, one state write a batch at most, and no hour unpacked that has nothing near it on the other side."""
+    import random
+
+    import pandas as pd
+
+    from duelbook.streaming import stateful
+
+    rng, hour, minute = random.Random(11), stateful.HOUR, 60_000_000
+    for busy in (range(0, 60), range(40, 45)):  # the hours in which the second side plays
+        timeline = [(rng.randrange(60 * 60) * minute, 0, f"a{i:04d}") for i in range(900)]
+        timeline += [(rng.choice(busy) * hour + rng.randrange(60) * minute, 1, f"b{i:04d}") for i in range(600)]
+        state, p, opened, writes = FakeState(), stateful.RunningPairs(30), [], []
+        monkeypatch.setattr(state, "update", lambda v, s=state: (writes.append(1), setattr(s, "value", v)))
+        monkeypatch.setattr(state, "clear", lambda s=state: setattr(s, "value", None), raising=False)
+        unpack = stateful.unpack
+        with monkeypatch.context() as m:
+            m.setattr(stateful, "unpack", lambda packed: opened.append(1) or unpack(packed))
+            p.init(state)
+            got = []
+            for batch in (range(0, 7), range(7, 30), range(30, 60)):
+                rows = []
+                for h in batch:
+                    for side in (0, 1):
+                        part = sorted((at, mid, "V") for at, s, mid in timeline if s == side and at // hour == h)
+                        if part:
+                            rows.append((side, h * hour, stateful.pack(part)))
+                rng.shuffle(rows)
+                frame = pd.DataFrame(rows, columns=["side", "hour", "packed"])
+                for f in p.handleInputRows(("x",), iter([frame.iloc[::2], frame.iloc[1::2]]), None):
+                    got += [(r.a_at, r.a_match_id, r.b_at, r.b_match_id) for r in f.itertuples(index=False)]
+        assert got == walked(timeline, 30 * minute) and len(got) > 50 and len(writes) <= 3
+        assert len(busy) == 60 or len(opened) < 25
+
+
+def test_running_pairs_over_several_batches(spark, history, scratch):
+    """A file a batch, ties and rows on hour borders, a player who never plays."""
+    import random
+
+    from duelbook.plans import stream_queries
+    from duelbook.streaming import stateful
+
+    rng, path, rows = random.Random(4), f"{scratch}/pairs-in", []
+    for day in range(0, 12, 3):
+        part = [row(1000 * day + i, "ABC"[i % 3], "Z", "VED"[i % 3], 24 * 60 * day + 15 * rng.randrange(24)) for i in range(60)]
+        folder(history, part, path)
+        rows += part
+    folder(history, [row(99_999, "Q", "Z", "V", START + timedelta(days=90))], path)
+    names = "league_a string, key_a string, league_b string, key_b string"
+    pairs = spark.createDataFrame([("GT", "a", "GT", "b"), ("GT", "b", "GT", "c"), ("GT", "a", "GT", "nobody")], names)
+    source = spark.readStream.schema(HISTORY).option("maxFilesPerTrigger", 1).parquet(path)
+    found = stream_queries._with_rocksdb(spark, lambda: drain(stateful.running_pairs(source, pairs), scratch, "pairs-out")).collect()
+
+    def micros(at):
+        return (at - START.replace(year=1970, month=1, day=1, hour=0)) // timedelta(microseconds=1)
+
+    for a, b in (("a", "b"), ("b", "c"), ("a", "nobody")):
+        timeline = [(micros(r[8]), side, r[1]) for side, key in enumerate((a, b)) for r in rows if r[4] == key]
+        got = [(r.a_at, r.a_match_id, r.b_at, r.b_match_id) for r in found if r.pair_id == f"GT|{a}|GT|{b}"]
+        assert sorted(got) == sorted(walked(timeline, 30 * 60_000_000)) and (got or b == "nobody")
