@@ -54,6 +54,28 @@ def _payload(df: DataFrame, arrival: Sequence[str]) -> list[tuple[str, str]]:
     return [(n, t) for n, t in df.dtypes if n != "perspective_id" and n != arrival[0]]
 
 
+def _firsts(fields: Sequence[tuple[str, str]], order: Sequence[str]) -> list[Column]:
+    """An aggregate per field: its first present value in ``order``, of the data quality the highest. Equal places go to the lowest value."""
+    aggs = []
+    for name, dtype in fields:
+        c = F.col(name)
+        if name == "data_quality":
+            first = F.max_by(c, quality_rank(c))
+        elif name in order[:1]:  # is its own place
+            first = F.min(F.when(present(c, dtype), c))
+        else:
+            places = [F.col(a).alias(f"at_{i}") for i, a in enumerate(order)]
+            first = F.min(F.when(present(c, dtype), F.struct(*places, c.alias("value"))))["value"]
+        aggs.append(first.alias(name))
+    return aggs
+
+
+def _one_per_id(df: DataFrame) -> DataFrame:
+    """Marks a table that has a perspective once and null for what it lacks; what is made of it doesn't have the mark."""
+    df._merged_by_id = True
+    return df
+
+
 def merge_history(df: DataFrame, arrival: Sequence[str] = ("arrival",)) -> DataFrame:
     """One row per perspective_id: per field the first present value in arrival order.
 
@@ -62,16 +84,8 @@ def merge_history(df: DataFrame, arrival: Sequence[str] = ("arrival",)) -> DataF
     aggregate that combines map-side, with no window over the copies, so very many copies
     of one perspective shrink to one row per task before the shuffle.
     """
-    aggs = []
-    for name, dtype in _payload(df, arrival):
-        c = F.col(name)
-        if name == "data_quality":
-            aggs.append(F.max_by(c, quality_rank(c)).alias(name))
-        else:
-            places = [F.col(a).alias(f"at_{i}") for i, a in enumerate(arrival)]
-            first = F.min(F.when(present(c, dtype), F.struct(*places, c.alias("value"))))
-            aggs.append(first["value"].alias(name))
-    return df.groupBy("perspective_id").agg(*aggs).select(*[n for n in df.columns if n != arrival[0]])
+    aggs = _firsts(_payload(df, arrival), arrival)
+    return _one_per_id(df.groupBy("perspective_id").agg(*aggs).select(*[n for n in df.columns if n != arrival[0]]))
 
 
 def merge_conflicts(df: DataFrame, arrival: str = "arrival") -> DataFrame:
@@ -108,10 +122,17 @@ def merge_conflicts(df: DataFrame, arrival: str = "arrival") -> DataFrame:
 def upsert(existing: DataFrame, candidates: DataFrame, candidate_order: Sequence[str] = ("ts",)) -> DataFrame:
     """Stored rows merged with candidates (SNK2): stored values win, gaps are filled.
 
-    Candidates fill gaps in ``candidate_order``; equal places go to the lowest value.
+    Candidates fill gaps in ``candidate_order``; equal places go to the lowest value. A side is merged by itself first, unless it was merged
+    already: then the shuffles hold the rows of one side each, and the sides lie together by id when they meet, without places.
     """
-    both = existing.withColumn("_class", F.lit(0)).unionByName(candidates.withColumn("_class", F.lit(1)), allowMissingColumns=True)
-    return merge_history(both, ["_class", *candidate_order])
+    def side(df: DataFrame, class_: int) -> DataFrame:
+        if not getattr(df, "_merged_by_id", False):
+            order = [c for c in candidate_order if c in df.columns]
+            fields = [(n, t) for n, t in df.dtypes if n != "perspective_id"]
+            df = df.groupBy("perspective_id").agg(*_firsts(fields, order)).select(*df.columns)
+        return df.withColumn("_class", F.lit(class_))
+
+    return merge_history(side(existing, 0).unionByName(side(candidates, 1), allowMissingColumns=True), ["_class"])
 
 
 def id_hash() -> Column:

@@ -82,6 +82,55 @@ def test_merge_is_idempotent(records):
     assert again.count() == 4
 
 
+
+def test_upsert_of_many_copies_is_that_of_all_rows_at_once(spark):
+    """Sides merged by themselves first: copies, equal places, blanks, columns that one side lacks, repeated merges and null ids."""
+    import random
+
+    rng = random.Random(8)
+
+    def side(n, **more):
+        names = ["perspective_id", "player", "round", "data_quality", "ts", *more]
+        rows = [(rng.choice([None, *"abcdefgh"]), rng.choice([None, "", "P", "Q"]), rng.choice([None, "", "1", "2"]), rng.choice([None, *merge.QUALITY_ORDER]),
+                 rng.choice([None, datetime(2026, 7, 14), datetime(2026, 7, 15)]), *[rng.choice([None, 1, 2]) for _ in more]) for _ in range(n)]
+        return spark.createDataFrame(rows, ", ".join(f"{c} {dict(ts='timestamp_ntz', **more).get(c, 'string')}" for c in names))
+
+    def at_once(old, new):
+        both = old.withColumn("_class", F.lit(0)).unionByName(new.withColumn("_class", F.lit(1)), allowMissingColumns=True)
+        fields = [c for c in both.columns if c not in ("perspective_id", "_class")]
+        found = {}
+        for r in sorted(both.collect(), key=lambda r: (r["_class"], r["ts"] is not None, r["ts"] or datetime.min)):
+            found.setdefault(r.perspective_id, []).append(r)
+        rows = set()
+        for pid, copies in found.items():
+            values = []
+            for f in fields:
+                there = [r for r in copies if r[f] not in (None, "")]
+                if f == "data_quality":
+                    values.append(max((r[f] for r in there), key=merge.QUALITY_ORDER.index, default=None))
+                else:
+                    values.append(min((r[f] for r in there if (r["_class"], r["ts"]) == (there[0]["_class"], there[0]["ts"])), default=None))
+            rows.add((pid, *values))
+        return ["perspective_id", *fields], rows
+
+    for n, m in ((60, 60), (6, 40), (0, 30)):
+        old, new = side(n, home_score="int"), side(m, away_score="int")
+        got = merge.upsert(old, new)
+        names, want = at_once(old, new)
+        assert {tuple(r[c] for c in names) for r in got.collect()} == want and got.count() == len(want) and sorted(got.columns) == sorted(names)
+        again = merge.upsert(got, new).collect()
+        assert {tuple(r[c] for c in names) for r in again} == at_once(got, new)[1] and len(again) == len(want)
+
+
+def test_upsert_shuffles_a_side_once(spark):
+    """Sides that are merged lie together by id: nothing is shuffled after they are put together, nor the candidates again by a second merge."""
+    rows = spark.range(100).selectExpr("concat('p', id) as perspective_id", "'P' as player", "timestamp_ntz'2026-07-14' as ts")
+    df = merge.upsert(merge.upsert(rows.where("player > 'A'"), rows), rows).select("perspective_id", "player")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Exchange" not in plan[:plan.index("Union")] and plan.count(" Exchange hashpartitioning(perspective_id") <= 3 and "ReusedExchange" in plan
+
+
 def test_lone_rows_merge_as_in_the_upsert_without_a_sort_per_field(records):
     stored = [record("gt:1", round="", competition="Cup", data_quality="partial"), record("gt:2"), record("gt:4", data_quality=None, group_players=[])]
     new = [record("gt:1", round="R1", competition="League", data_quality="inferred"), record("gt:3", rival=""), record("gt:4", group_players=["a"]),
